@@ -121,6 +121,9 @@ class _Table(dict):
 
 
 _table = _Table()
+#: Letters of the scripts of CLASSES but Latin. A skeleton without any reads best as it stands: its letters are the Latin
+#: ones of their rows, and a path that stays in Latin has no change of script.
+_OTHERS = re.compile(r"[\u0370-\u058f\u1f00-\u1fff]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -129,7 +132,8 @@ def skeleton(text: str) -> str:
     if not text.isascii():
         # composed first: an accent may stand apart from a look-alike base
         text = unicodedata.normalize("NFC", text.translate(_table))
-        text = unicodedata.normalize("NFC", "".join(map(_compose, text))) if not text.isascii() else text
+        if _OTHERS.search(text) is not None:
+            text = unicodedata.normalize("NFC", "".join(map(_compose, text)))
     return text.replace("\t", " ").replace("\r\n", "\n")
 
 
@@ -209,7 +213,9 @@ class Speller:
 
     def text(self, text: str) -> str:
         token, memo, skel = self.token, self.memo, skeleton(text)
-        around = "L" if skel.isascii() else _around(skel)
+        if _OTHERS.search(skel) is None:
+            return skel
+        around = _around(skel)
 
         def sub(m: re.Match) -> str:
             t = m.group()
@@ -218,40 +224,29 @@ class Speller:
         return _WORD.sub(sub, skel)
 
 
+_LETTERS = [chr(c) for c in range(0x600) if chr(c).isalpha() and script_of(chr(c))]
+_N = len(_LETTERS) + 1
+_place = np.zeros(0x600, np.int64)
+_place[[ord(c) for c in _LETTERS]] = np.arange(1, _N)
+_script = np.array([0, *("LCGA".index(script_of(c)) + 1 for c in _LETTERS)])
+
+
 def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams (with ^ for the start) of the tokens of one script, by numpy over the code points of whole batches."""
-    counts: Counter[str] = Counter()
+    """Bigrams (with ^ for the start) of letters of one script, by numpy over the code points of whole batches."""
+    total = np.zeros(_N * _N, np.int64)
     for batch in batches:
-        texts = [t for t in set(batch.column("text").to_pylist()) if t]
-        joined = "\n".join(texts)
-        if not joined:
+        texts = [t for t in batch.column("text").to_pylist() if t]
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), "<u4")
+        if len(points) < 2:
             continue
-        points = np.frombuffer(unicodedata.normalize("NFC", joined.translate(_widths)).encode("utf-32-le", "replace"), "<u4")
-        kind = _kinds(points)
-        left = np.where(kind[:-1] > 0, points[:-1], ord("^")).astype(np.int64)
-        ok = (kind[1:] > 0) & ((kind[:-1] == kind[1:]) | (kind[:-1] == 0))
-        pairs, n = np.unique((left[ok] << 21) | points[1:][ok], return_counts=True)
-        for pair, k in zip(pairs.tolist(), n.tolist()):
-            counts[chr(pair >> 21) + chr(pair & 0x1FFFFF)] += k
-    if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=pa.schema([("pair", pa.string()), ("n", pa.int64())]))
-
-
-class _Widths(dict):
-    def __missing__(self, code: int) -> str:
-        self[code] = out = "" if any(a <= code <= b for a, b in IGNORABLE) else _compatible(chr(code))
-        return out
-
-
-_widths = _Widths()
-_kind_of = np.zeros(0x600, np.int8)
-for _code in range(0x600):
-    if chr(_code).isalpha() and script_of(chr(_code)):
-        _kind_of[_code] = "LCGA".index(script_of(chr(_code))) + 1
-
-
-def _kinds(points: np.ndarray) -> np.ndarray:
-    return _kind_of[np.where(points < 0x600, points, 0)]
+        at = _place[np.where(points < 0x600, points, 0)]
+        left, right = at[:-1], at[1:]
+        ok = (right > 0) & ((left == 0) | (_script[left] == _script[right]))
+        total += np.bincount((left * _N + right)[ok], minlength=_N * _N)
+    seen = np.flatnonzero(total)
+    if len(seen):
+        name = ["^", *_LETTERS]
+        yield pa.RecordBatch.from_arrays([pa.array([name[k // _N] + name[k % _N] for k in seen.tolist()], pa.string()), pa.array(total[seen], pa.int64())], schema=pa.schema([("pair", pa.string()), ("n", pa.int64())]))
 
 
 def bigram_counts(texts: DataFrame) -> dict[str, int]:

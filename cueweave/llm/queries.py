@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.runtime import read_table
-from . import lookalike, mixing, sentences, splitting, tokenizing
+from . import lookalike, mixing, pii, sentences, splitting, tokenizing
 from .records import records
 
 
@@ -47,7 +46,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_spans(read_table(spark, d, "documents"), read_table(spark, d, "contributors"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(read_table(spark, d, "documents"), read_table(spark, d, "contributors"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _RECORDS = """(SELECT 'cue' AS record_kind, media_id, cue_index AS record_idx, text FROM cues
  UNION ALL SELECT 'segment', media_id, seg_idx, text FROM segments)"""
