@@ -15,6 +15,7 @@ don't occur; people (the crew list) may be empty or have nulls; extra columns ar
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
@@ -380,11 +381,6 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         b -= 1
     if a >= b:
         return None
-    if kind == "email":
-        for m in _EMAIL.finditer(view, max(0, a - 100), min(len(view), b + 100)):
-            if m.start() < b and m.end() > a:
-                return m.span()
-        return None
     if kind == "id_number":  # the code alone: a label of letters is no part of it
         best = max((m.span() for m in _CODES.finditer(view, max(0, a - 24), min(len(view), b + 24)) if m.start() < b and m.end() > a), key=lambda x: x[1] - x[0], default=(a, b))
         a, b = max(a, best[0]) if view[a:b].strip().isdigit() else best[0], best[1]
@@ -392,15 +388,22 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         a += label.end() if label else 0
     digits = sum(c.isdigit() for c in view[a:b])
     if kind == "phone":
-        if a > 0 and view[a - 1] in "+(" and view[a].isdigit():
+        first = re.search(r"[+(\d]", view[a:b])
+        if not first:
+            return None
+        a += first.start()
+        if a > 0 and view[a - 1] == "+":
+            a -= 1
+        if a > 0 and view[a - 1] == "(" and view.find(")", a, b) > 0:
             a -= 1
-            if a > 0 and view[a] == "+" and view[a - 1] == "(":
-                a -= 1
         while view[a] == "(" and view.count("(", a, b) > view.count(")", a, b):
             a += 1
+        b = a + re.search(r".*\d", view[a:b], re.S).end()
+        extension = re.match(r"[ ,\n]*(?:ext|Ext|x|poste|Durchwahl)\.?[ \n]?\d{1,6}\b", view[b:])
+        b += extension.end() if extension else 0
         return (a, b) if 7 <= digits <= 17 else None
     if kind == "id_number":
-        return (a, b) if digits >= 5 else None
+        return (a, b) if 5 <= digits <= 20 else None
     if kind == "street_address":
         while (line := view.find("\n", a, b)) >= 0 and not any(c.isdigit() for c in view[a:line]):
             a = line + 1
@@ -409,9 +412,18 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
                 return _check(view, a, a + m.start(), kind)
         if b < len(view) and view[b] == "." and _SHORT.search(view[a:b]):
             b += 1
-        return (a, b) if digits and not re.search(r"job=|[=/]", view[a:b].replace("C/", "")) else None
+        more = re.search(r"(?:Avda\.|Av\.|C/|Bd\.|Str\.)\s?$", view[:a])
+        a = more.start() if more else a
+        if re.search(r"[市区县町]", view[a:b]):
+            a -= len(re.search(r"[\u4e00-\u9fffノヶケ々]*$", view[:a]).group()) if re.match(r"[ノヶケ々区市町县]", view[a:b]) else 0
+            more = re.match(r"(?:[-－]?\d+)+", view[b:])
+            b += more.end() if more else 0
+        text = view[a:b]
+        return (a, b) if digits and (a == 0 or view[a - 1] != "=") and not re.search(r"job=|[=/]", text.replace("C/", "")) and re.search(r"[^\W\d_]{2,}", text) and _plausible(text) else None
     if digits:
         return None
+    if not _plausible(view[a:b]):
+        return None
     words = _DROP.sub("", view[a:b]).split()
     if not words or len(words) > 5 or any(not w[0].isupper() for w in words) and (len(words) > 1 or any(c.isupper() or c.islower() for c in words[0])):
         return None
@@ -426,6 +438,27 @@ def _wrapped(view: str, a: int, b: int, at: int) -> bool:
     return re.match(r"(?:[A-Z][\w']* )*(?:Street|St|Road|Rd|Avenue|Ave|Lane|Court|Row|Close|Terrace)\b", view[at + 1 : b]) is not None or view[at - 1] == "," or re.match(r"\d{4,6}\b", view[at + 1 : b]) is not None
 
 
+_SENTENCE = re.compile(r"(?<=[^\W\d_]{3})[.…!?]+\"?\s+|\n(?=[-•>*])|\s[-•>*]\s|[,;:]\s+")
+_TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Capt|Sgt|Lt|Col|Mme|Mlle|M|Sr|Sra|Srta|Frau|Herrn?|Señora?|κα?)|डॉ)\.?\s*$")
+
+
+def _refined(view: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+    """The checked spans of one labelled stretch: neighbours that were labelled as one come apart."""
+    if kind == "email":
+        return [m.span() for m in _EMAIL.finditer(view, max(0, a - 100), min(len(view), b + 100)) if m.start() < b and m.end() > a]
+    if kind == "person_name" and _SENTENCE.search(view, a, b):
+        cuts = [a, *(x for m in _SENTENCE.finditer(view, a, b) for x in m.span()), b]
+        parts = [_check(view, x, y, kind) for x, y in zip(cuts[::2], cuts[1::2])]
+        return [p for p in parts if p and (len(view[p[0] : p[1]].split()) > 1 or _TITLE.search(view[: p[0]]))]
+    ok = _check(view, a, b, kind)
+    return [ok] if ok else []
+
+
+def _plausible(text: str) -> bool:
+    """Letters of few scripts, and no pictures: random strings are no names or addresses."""
+    return not any(unicodedata.category(c) in ("So", "Sm", "Sk", "Cn", "Co") for c in text) and len({unicodedata.name(c, "?").split()[0] for c in text if c.isalpha()}) <= 3
+
+
 def find(crf: Crf, texts: Sequence[str | None]) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of each text, sorted. Equal paragraphs are decoded once."""
     views: dict[str, int] = {}
@@ -446,10 +479,10 @@ def find(crf: Crf, texts: Sequence[str | None]) -> list[list[tuple[int, int, str
     for view, spans in zip(named, crf.decode(named)):
         checked, end = [], 0
         for a, b, kind in spans:
-            ok = _check(view, a, b, kind)
-            if ok and ok[0] >= end:
-                checked.append((*ok, kind))
-                end = ok[1]
+            for ok in _refined(view, a, b, kind):
+                if ok[0] >= end:
+                    checked.append((*ok, kind))
+                    end = ok[1]
         found.append(checked)
     return [[(start + a, start + b, kind) for start, k in own for a, b, kind in found[k]] for own in parts]
 

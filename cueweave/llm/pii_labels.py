@@ -65,6 +65,10 @@ My name is {n} and I sync the second reel.
 I am {n} from the archive.
 "Is it <w>?" asked {n}.
 "It is gone," said {n}.
+"Is it <w>?" asked {n}.\\n{n} signed for the <w> (see p. <d>), didn't they?
+"Is it <w>?" asked {n}. Mr. {t} and Mrs. {t} left the <w> at <d>.<d> in the morning.
+Translated by {n}, checked by {n}. Well... the <w> is quiet, isn't it?
+Signed, {n}\\n> Drop the drives at {a} and ring twice.
 {n} has the <w>, the map, the keys, etc.
 {n} and {n} left the <w> at <d>.<d> in the morning.
 Mr. {t} and Mrs. {t} left the <w> at <d>.<d> in the morning.
@@ -119,6 +123,7 @@ El Sr. {t} llegó a las <d>.<d> con la Sra. {t}.
 Ο κ. {tg} έφυγε νωρίς.
 डॉ. {th} ने टेप ठीक किया।
 请把字幕发到{e}，谢谢。
+联系人{n}，电话{p}。
 有问题请拨打{p}联系录音棚。
 我的邮箱是{e}，地址是{az}。
 硬盘请寄到{az}。
@@ -199,6 +204,7 @@ The slate reads 🎬🎬🎬 today, not 🎞️. The level rose by <d>.<d> perce
 हमने स्टेशन पर <d> मिनट इंतज़ार किया।\\nठीक है। रुको!
 “快点！再快一点！”场记催促道。他问：“几点了？”没有人回答。真的吗？！别急。好的。我想……也许是剧本的问题。你把旧地图放在哪里了？
 「早く！もっと早く！」と助監督が言った。えっと……たぶん字幕です。「レンズが壊れた。」と彼は言った。急いで！本当に？！
+Yes. Somebody left a dry suitcase and a camera behind the quarry.
 Hi team,
 Hello,
 To whom it may concern,
@@ -323,7 +329,7 @@ class _Fill:
             return f"{street}, {n}{r.choice(['', '', ', 2.º B', ', 4.º izq.', ', piso 3'])}" + r.choice(["", f", 99{self.digits(3)} {r.choice(['Villagarza', 'Puerto Molino'])}", f", 99{self.digits(3)} Villagarza"])
         if kind == "az":
             return r.choice(["霁川市", "云梓市", "青岚县", "松塔市"]) + r.choice(["白鹭街", "铜灯路", "十二松大道", "旧港巷", "石桥路"]) + f"{n}号" + r.choice(["", "", f"{r.randint(101, 909)}室", f"{r.randint(1, 9)}单元{r.randint(101, 909)}室"])
-        return r.choice(["霧沢市", "灯ヶ浜町", "松川市", "青森野市"]) + r.choice(["青葉原", "銅燈町", "白鷺台", "桜木"]) + f"{r.randint(1, 9)}-{r.randint(1, 20)}-{r.randint(1, 20)}" + r.choice(["", "", f" 灯ビル{r.randint(101, 909)}号室"])
+        return r.choice(["霧沢市", "灯ヶ浜町", "松川市", "鷺ノ森区", "白ノ浜町"]) + r.choice(["青葉原", "銅燈町", "白鷺台", "桜木"]) + f"{r.randint(1, 9)}-{r.randint(1, 20)}-{r.randint(1, 20)}" + r.choice(["", "", f" 灯ビル{r.randint(101, 909)}号室"])
 
     def value(self, code: str) -> tuple[str, str]:
         if code == "n":
