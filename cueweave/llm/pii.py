@@ -389,16 +389,17 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     digits = sum(c.isdigit() for c in view[a:b])
     if kind == "phone":
         first = re.search(r"[+(\d]", view[a:b])
-        if not first:
+        if not first or not digits:
             return None
         a += first.start()
         if a > 0 and view[a - 1] == "+":
             a -= 1
         if a > 0 and view[a - 1] == "(" and view.find(")", a, b) > 0:
             a -= 1
-        while view[a] == "(" and view.count("(", a, b) > view.count(")", a, b):
+        while a < b and view[a] == "(" and view.count("(", a, b) > view.count(")", a, b):
             a += 1
-        b = a + re.search(r".*\d", view[a:b], re.S).end()
+        while b > a and not view[b - 1].isdigit():
+            b -= 1
         extension = re.match(r"[ ,\n]*(?:ext|Ext|x|poste|Durchwahl)\.?[ \n]?\d{1,6}\b", view[b:])
         b += extension.end() if extension else 0
         return (a, b) if 7 <= digits <= 17 else None
