@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.runtime import cut_lineage
+
 FILE_KEYS = ("feed", "file_seq")
 #: More distinct fields than this are no schema but data used as keys; the wide table is then refused.
 MAX_FIELDS = 2000
@@ -177,8 +179,9 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
 def schema_changes(raw: DataFrame) -> DataFrame:
     """file_id, feed, file_seq, change_kind (added, removed, renamed, type_changed), old_path, new_path, old_kinds, new_kinds: every file against the file before it of its feed."""
     leaves = document_leaves(raw)
-    changes = _changes(raw, leaves)
-    renames = _renames(leaves, changes)
+    # small tables of schema changes that the steps below read many times
+    changes = cut_lineage(_changes(raw, leaves))
+    renames = cut_lineage(_renames(leaves, changes))
     kinds: Column = F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").otherwise("type_changed")
     join = lambda c: F.array_join(c, "|")
     plain = changes.join(renames.select(*FILE_KEYS, F.explode(F.array("old_path", "new_path")).alias("path")), [*FILE_KEYS, "path"], "left_anti")
@@ -222,7 +225,7 @@ def unified_table(raw: DataFrame) -> DataFrame:
     Dots in paths become double underscores. The driver only learns the names and types of fields and renames (schema, not data), at most MAX_FIELDS.
     """
     spark, leaves = raw.sparkSession, document_leaves(raw)
-    renames = _renames(leaves, _changes(raw, leaves)).collect()
+    renames = _renames(leaves, cut_lineage(_changes(raw, leaves))).collect()
     last = _lineage(renames)
     alternatives = leaves.select("feed", "path", "kind").distinct().limit(MAX_FIELDS * 50).collect()
     kinds: dict[str, set[str]] = {}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.runtime import read_table
-from ..operators import interval_runs, schema_drift
+from ..operators import folds, interval_runs, jobs, nearest, quality, schema_drift
+from ..operators import words as W
+from ..operators.base import clean_cues, clean_segments, words_of
+from ..sources import srt
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,19 +29,287 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return interval_runs.run_intervals(interval_runs.cue_and_segment_intervals(read_table(spark, d, "cues"), read_table(spark, d, "segments")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_alternatives, p1_table, p3_found)}
-
-ORACLES = {
-    "p3_found": """
-WITH iv AS (
-  SELECT 'cue' AS record_kind, media_id, start_ms AS a, end_ms AS b FROM cues
-  UNION ALL SELECT 'segment', media_id, CAST(round(start_sec * 1000) AS BIGINT), CAST(round(end_sec * 1000) AS BIGINT) FROM segments),
-ok AS (SELECT * FROM iv WHERE a < b),
-reach AS (SELECT *, max(b) OVER (PARTITION BY record_kind, media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ok),
-isl AS (SELECT *, count(*) FILTER (before IS NULL OR a > before) OVER (PARTITION BY record_kind, media_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM reach),
-per AS (SELECT record_kind, media_id, min(a) AS from_ms, max(b) AS to_ms FROM isl GROUP BY record_kind, media_id, island)
-SELECT record_kind, media_id, 'period' AS interval_kind, from_ms, to_ms FROM per
-UNION ALL
-SELECT record_kind, media_id, 'gap', prev, from_ms FROM (SELECT *, lag(to_ms) OVER (PARTITION BY record_kind, media_id ORDER BY from_ms) AS prev FROM per)
-WHERE prev IS NOT NULL AND from_ms - prev <= 600000""",
-}
+
+def _cues(spark: SparkSession, d: str) -> DataFrame:
+    return clean_cues(read_table(spark, d, "cues"))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return clean_segments(read_table(spark, d, "segments"))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return words_of(_segments(spark, d))
+
+
+PROFILES = [quality.Profile(), quality.Profile("loose", 22.0, 42, 2, 700, 8000, 50), quality.Profile("strict", 12.0, 16, 1, 1200, 6000, 0)]
+GLOSSARY = [("studio", "atelier"), ("atelier near", "atelier by"), ("camera", "camera unit"), ("OpenAI", "OpenAI"), ("Tokyo", "东京")]
+ZH_TERMS = ["话筒", "胶片", "studio", "", "studio"]
+ROUTES = ["all", "literal", "zh-only", "bilingual-only", "bilingual", "none"]
+
+
+def cue_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.cue_metrics(_cues(spark, d))
+
+
+def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.pair_metrics(_cues(spark, d))
+
+
+def bad_timecode_order(spark: SparkSession, d: str) -> DataFrame:
+    return quality.bad_timecode_order(_cues(spark, d))
+
+
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    return quality.violations(_cues(spark, d))
+
+
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(_cues(spark, d))
+
+
+def violations_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return quality.by_type(_cues(spark, d))
+
+
+def quality_by_profile(spark: SparkSession, d: str) -> DataFrame:
+    return quality.by_profile(_cues(spark, d), PROFILES)
+
+
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    return quality.report(_cues(spark, d))
+
+
+def fix_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return quality.fix_overlaps(_cues(spark, d))
+
+
+def fix_cps(spark: SparkSession, d: str) -> DataFrame:
+    return folds.fix_cps(_cues(spark, d))
+
+
+def fix_duration(spark: SparkSession, d: str) -> DataFrame:
+    return folds.fix_duration(_cues(spark, d))
+
+
+def fix_loop_final(spark: SparkSession, d: str) -> DataFrame:
+    return folds.fix_loop(_cues(spark, d))
+
+
+def fix_loop_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(folds.fix_loop(_cues(spark, d)))
+
+
+def wrap_lines(spark: SparkSession, d: str) -> DataFrame:
+    return folds.wrap_lines(_cues(spark, d))
+
+
+def wrap_two_lines(spark: SparkSession, d: str) -> DataFrame:
+    return folds.wrap_two_lines(_cues(spark, d))
+
+
+def timecode_format(spark: SparkSession, d: str) -> DataFrame:
+    return _cues(spark, d).select("media_id", "cue_index", X.timecode(F.col("start_ms")).alias("start_tc"), X.timecode(F.col("end_ms")).alias("end_tc"))
+
+
+def srt_render(spark: SparkSession, d: str) -> DataFrame:
+    return srt.render(_cues(spark, d))
+
+
+def srt_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return srt.parse(srt.documents(_cues(spark, d)))
+
+
+def bilingual_zip(spark: SparkSession, d: str) -> DataFrame:
+    seg = _segments(spark, d).select("media_id", F.col("seg_idx").alias("cue_index"), "text")
+    return srt.bilingual(_cues(spark, d), seg)
+
+
+def words_from_text(spark: SparkSession, d: str) -> DataFrame:
+    return _words(spark, d)
+
+
+def pause_and_mark_flags(spark: SparkSession, d: str) -> DataFrame:
+    return W.pause_flags(_words(spark, d))
+
+
+def rule_segments(spark: SparkSession, d: str) -> DataFrame:
+    return folds.rule_segments(_words(spark, d))
+
+
+def greedy_units(spark: SparkSession, d: str) -> DataFrame:
+    return folds.greedy_units(_words(spark, d))
+
+
+def _marked(c: Column) -> Column:
+    return X.strip(c).rlike(r"[.!?]$")
+
+
+def segments_from_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return W.segments_from_cuts(_words(spark, d), _marked(F.col("word")))
+
+
+def time_overlap_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return folds.one_of_each(_segments(spark, d))
+
+
+def no_overlap_clamp(spark: SparkSession, d: str) -> DataFrame:
+    return folds.no_overlap(_segments(spark, d))
+
+
+def words_in_segments(spark: SparkSession, d: str) -> DataFrame:
+    return W.words_in_segments(_words(spark, d), _segments(spark, d))
+
+
+def _cues_as_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _cues(spark, d).withColumnRenamed("cue_index", "seg_idx")
+
+
+def segment_word_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return W.word_coverage(_words(spark, d), _cues_as_segments(spark, d))
+
+
+def coverage_holes(spark: SparkSession, d: str) -> DataFrame:
+    return W.coverage_holes(_words(spark, d), _cues_as_segments(spark, d))
+
+
+def clip_to_range(spark: SparkSession, d: str) -> DataFrame:
+    return W.clip(_segments(spark, d).select("media_id", "seg_idx", "start_ms", "end_ms"), F.lit(20_000), F.lit(90_000))
+
+
+def word_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return W.word_reliability(_words(spark, d))
+
+
+def punct_split(spark: SparkSession, d: str) -> DataFrame:
+    return W.punct_split(_words(spark, d), _segments(spark, d))
+
+
+def coalesce(spark: SparkSession, d: str) -> DataFrame:
+    return folds.coalesce(_segments(spark, d))
+
+
+def dedupe_full(spark: SparkSession, d: str) -> DataFrame:
+    return folds.near_duplicates(_segments(spark, d))
+
+
+def postprocess(spark: SparkSession, d: str) -> DataFrame:
+    return folds.postprocess(_words(spark, d), _segments(spark, d))
+
+
+def repair_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return W.repair_candidates(_segments(spark, d))
+
+
+def repair_flags(spark: SparkSession, d: str) -> DataFrame:
+    dur = F.col("end_ms") - F.col("start_ms")
+    return _segments(spark, d).select("media_id", "seg_idx", W.low_info(F.col("text"), dur).alias("low_info"), W.suspect(F.col("text"), dur).alias("suspect"), W.stuck(F.col("text")).alias("stuck"))
+
+
+def range_replace(spark: SparkSession, d: str) -> DataFrame:
+    return W.range_replace(_segments(spark, d), _cues_as_segments(spark, d), 30_000, 60_000)
+
+
+def risk_flags(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _segments(spark, d).select("media_id", "seg_idx", X.number_count(t).alias("numbers"), X.glossary_hits(t, ZH_TERMS).alias("hits"), X.mt_stiff(t).alias("stiff"), (F.coalesce(F.col("confidence") < 0.35, F.lit(False)) | (X.number_count(t) >= 2) | (X.glossary_hits(t, ZH_TERMS) >= 1) | X.mt_stiff(t)).alias("high_risk"))
+
+
+def glossary_apply(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.md5(X.apply_glossary(F.col("text"), GLOSSARY)).alias("text_md5"))
+
+
+def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _segments(spark, d).select("media_id", "seg_idx", X.normalize_repair(t).alias("repair_form"), X.normalize_zh(t).alias("zh_form"), X.word_count(t).alias("words"), X.letter_count(t).alias("letters"), X.looks_cjk(t).alias("cjk"))
+
+
+def zh_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("media_id", "seg_idx", F.posexplode(X.sentence_pieces(F.col("text"))).alias("piece", "text")).withColumn("piece", F.col("piece").cast("bigint"))
+
+
+def zh_layout_split(spark: SparkSession, d: str) -> DataFrame:
+    return folds.layout_zh(_segments(spark, d))
+
+
+def zh_naturalize(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("media_id", "seg_idx", X.naturalize_zh(F.col("text")).alias("text"))
+
+
+def translate_context(spark: SparkSession, d: str) -> DataFrame:
+    return W.translate_context(_segments(spark, d))
+
+
+def segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return W.segment_stats(_segments(spark, d))
+
+
+def translator_routes(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", jobs.translator_route(F.col("lang")).alias("translator"), jobs.language_code(F.col("lang")).alias("code"))
+
+
+def kb_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read_table(spark, d, "embeddings")
+    first = vectors.orderBy("vec_id").select("embedding").first()
+    found = nearest.nearest_to_one(vectors, first[0] if first else [])
+    return found.withColumn("score", F.round("score", 6))
+
+
+def kb_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest_to_each(read_table(spark, d, "embeddings")).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def asr_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "media").select("media_id", jobs.cache_key(path=F.col("source_path"), lang=F.col("lang"), ms=F.col("duration_ms"), model=F.lit("small")).alias("cache_key"))
+
+
+def job_latest(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.latest_states(read_table(spark, d, "job_status"))
+
+
+def job_status_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    snap = read_table(spark, d, "job_status")
+    disk = jobs.latest_states(snap.where("worker_id is not null")).select("job_id", "job_state")
+    stage = F.when(F.col("finished_at").isNotNull(), "finished").when(F.col("started_at").isNotNull(), "started").otherwise("queued")
+    queue = snap.where("enqueued_at is not null and job_id is not null").groupBy("job_id").agg(F.max(stage).alias("queue_state"))
+    return jobs.reconcile(disk, queue)
+
+
+def counters_prometheus(spark: SparkSession, d: str) -> DataFrame:
+    counted = jobs.counters(read_table(spark, d, "job_status"), F.lit("jobs_total"), F.concat(F.lit('kind="'), F.coalesce(jobs.job_kind(F.col("job_kind")), F.lit("")), F.lit('",state="'), F.coalesce("job_state", F.lit("")), F.lit('"')))
+    return jobs.prometheus_lines(counted)
+
+
+def device_decisions(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, dev, ct, gpu) for i, (dev, ct, gpu) in enumerate((a, b, g) for a in (" CuDa:0 ", "cpu", "auto", None) for b in (" FP16 ", "float16", "int8", None) for g in (True, False))]
+    t = spark.createDataFrame(rows, "id int, device string, compute string, gpu boolean")
+    dev, ct = jobs.device_decision(F.col("device"), F.col("compute"), F.col("gpu"))
+    return t.select(F.col("id").cast("bigint").alias("id"), dev.alias("device"), ct.alias("compute"))
+
+
+def newest_candidate(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.newest_by(read_table(spark, d, "media").where("channel_code is not null"), ["channel_code"], ["created_at", "media_id"], ["source_path"])
+
+
+def path_helpers(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.col("source_path"), F.lit(".fixed.fixed.srt"))
+    return read_table(spark, d, "media").select("media_id", jobs.stable_stem(path).alias("stem"), jobs.burn_filter_escape(F.concat(F.lit("C:"), F.col("source_path"))).alias("escaped"), jobs.positive_timeout(F.regexp_extract("media_id", r"(\d\d)$", 1)).alias("timeout"))
+
+
+def emit_routing(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([(x,) for x in ROUTES], "mode string")
+    return t.select("mode", jobs.emit_route(F.col("mode")).alias("primary_output"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
+        fix_loop_final, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
+        no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
+        normalized_texts, zh_sentence_pieces, zh_layout_split, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, counters_prometheus, device_decisions,
+        newest_candidate, path_helpers, emit_routing,
+    )
+}
+
+from .oracles import ORACLES  # noqa: E402, F401
