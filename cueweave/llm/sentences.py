@@ -62,6 +62,9 @@ def _abbreviation_rules(name: str) -> list[tuple[bool, str, str]]:
     a = ABBREVIATIONS[name]
     start = r"(?<![\p{L}\p{M}\p{N}])"
     rules = []
+    for whole in (w for kind in a.values() for w in kind.split() if "." in w):  # inside an abbreviation of several parts
+        parts = whole.split(".")
+        rules += [(False, start + r"\.\s?".join(map(regex.escape, parts[:i])) + r"\.", r"\s?" + r"\.\s?".join(map(regex.escape, parts[i:])) + r"\.") for i in range(1, len(parts))]
     if a["title"]:
         rules.append((False, rf"{start}(?:{_alternatives(a['title'])})\.", r"\s*\S"))
     if a["number"]:
@@ -128,7 +131,7 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        out = look_table[code] if c != "\r" else "\n"
+        out = unicodedata.normalize("NFC", look_table[code]) if c != "\r" else "\n"
         if out == "":
             out = "⁠"
         elif len(out) != 1:
@@ -138,7 +141,7 @@ class _Fold(dict):
             out = c
         if c.isspace() and c not in "\n\r":
             out = " "
-        if c in "\v\f\x85  ":
+        if c in "\v\f\x85\u2028\u2029":
             out = "\n"
         self[code] = out
         return out
@@ -175,7 +178,7 @@ def _candidates(script: str) -> regex.Pattern:
 
 #: Marks that only close, and marks that open elsewhere.
 SURE, EITHER = "”’›」』）)]】》〉", "\"'“»«"
-_SIMPLE = regex.compile(r"^[^\n.!?…‽。！？｡؟۔।॥;;\p{Thai}]*$")
+_SIMPLE = regex.compile(r"^[^\n\r\v\f\x85\u2028\u2029.!?…‽。！？｡؟۔।॥;\u037e\p{Thai}]*$")
 
 
 def script_of(text: str) -> str:
