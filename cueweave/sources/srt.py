@@ -54,7 +54,8 @@ def read_srt(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
 
 def write_srt(cues: DataFrame, folder: str) -> None:
     """One folder per media item with one text file in it."""
-    documents(cues).write.mode("overwrite").partitionBy("media_id").text(folder, lineSep="")
+    # the writer ends each text with one line break
+    documents(cues).withColumn("srt", F.regexp_replace("srt", "\n$", "")).write.mode("overwrite").partitionBy("media_id").text(folder)
 
 
 def bilingual(source: DataFrame, target: DataFrame) -> DataFrame:
