@@ -148,7 +148,7 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
     come = changes.where("old_kinds is null").select(*FILE_KEYS, F.col("path").alias("new_path"), F.col("new_kinds").alias("come_kinds"))
     candidates = gone.join(come, [*FILE_KEYS]).where(F.arrays_overlap("gone_kinds", "come_kinds")).select(*FILE_KEYS, "old_path", "new_path")
     open_pairs = candidates.select(*FILE_KEYS).distinct()
-    moved = changes.where("new_kinds is null or old_kinds is null").select(*FILE_KEYS, "path", F.lit(True).alias("moved"))
+    moved = changes.select(*FILE_KEYS, "path", (F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).alias("moved"))
 
     def side(shift: int) -> DataFrame:
         own = leaves.select("feed", (F.col("file_seq") + shift).alias("file_seq"), "doc", "path", "vh").join(open_pairs, [*FILE_KEYS], "left_semi")
@@ -160,8 +160,12 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
 
     old, new = side(1), side(0)
     votes = unique(old, "old_doc").join(unique(new, "new_doc"), [*FILE_KEYS, "path", "vh"]).groupBy(*FILE_KEYS, "old_doc", "new_doc").agg(F.count("*").alias("votes"))
+    # a document that occurs in both files agrees in whatever has not changed; others meet in a value by chance
+    stable = lambda df, doc, vh: df.where("moved is null").select(*FILE_KEYS, F.col("doc").alias(doc), "path", F.col("vh").alias(vh)).distinct()
+    pairs = votes.where("votes >= 2").drop("votes").join(stable(old, "old_doc", "a"), [*FILE_KEYS, "old_doc"]).join(stable(new, "new_doc", "b"), [*FILE_KEYS, "new_doc", "path"])
+    pairs = pairs.groupBy(*FILE_KEYS, "old_doc", "new_doc").agg(F.count_if(F.col("a") == F.col("b")).alias("votes"), F.count("*").alias("both")).where("votes >= 2 and votes >= 0.9 * both")
     best = lambda key: F.row_number().over(Window.partitionBy(*FILE_KEYS, key).orderBy(F.desc("votes"), "old_doc", "new_doc"))
-    shared = votes.where("votes >= 2").withColumn("a", best("old_doc")).withColumn("b", best("new_doc")).where("a = 1 and b = 1").select(*FILE_KEYS, "old_doc", "new_doc")
+    shared = pairs.withColumn("a", best("old_doc")).withColumn("b", best("new_doc")).where("a = 1 and b = 1").select(*FILE_KEYS, "old_doc", "new_doc")
 
     values = lambda df, doc, path, vh: df.where("moved").select(*FILE_KEYS, F.col("doc").alias(doc), F.col("path").alias(path), F.col("vh").alias(vh)).distinct()
     proof = shared.join(candidates, [*FILE_KEYS])
