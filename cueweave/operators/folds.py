@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .base import fold
+from .quality import Profile, summary
 from .words import punct_split
 
 _CUE = "cue_index bigint, start_ms bigint, end_ms bigint, text string"
@@ -38,9 +39,15 @@ def fix_duration(cues: DataFrame, min_ms: int = 900, overlap: int = 0) -> DataFr
     return fold(_cues(cues), _SORTED, partial(K.duration, min_ms=min_ms, overlap=overlap), _CUE)
 
 
-def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, **limits: float) -> DataFrame:
-    """The passes of all fixes, chained in one stream."""
-    return fold(_cues(cues), _SORTED, partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE)
+def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, profile: Profile = Profile()) -> DataFrame:
+    """media_id, cue_index, start_ms, end_ms, text: cues sorted by time and numbered anew, fixed in items that break a rule; the passes are chained in one stream."""
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy(*_SORTED))
+    ranked = _cues(cues).withColumn("n", (number - 1).cast("bigint")).drop("cue_index").withColumnRenamed("n", "cue_index").select("media_id", "cue_index", "start_ms", "end_ms", "text")
+    state = summary(ranked, profile).select("media_id", "ok")
+    known = ranked.join(state, "media_id")
+    limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
+    fixed = fold(known.where("not ok").drop("ok"), ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE)
+    return known.where("ok").drop("ok").unionByName(fixed)
 
 
 def wrap_lines(cues: DataFrame, width: int = 42, most: int = 2) -> DataFrame:
@@ -55,15 +62,15 @@ def wrap_lines(cues: DataFrame, width: int = 42, most: int = 2) -> DataFrame:
     return cues.select("media_id", "cue_index", "text").mapInArrow(run, "media_id string, cue_index bigint, text string")
 
 
-def wrap_two_lines(cues: DataFrame) -> DataFrame:
-    """media_id, cue_index, line_1, line_2: the split of a text's words with the shortest longer line, as expressions (texts of two words and more)."""
+def wrap_two_lines(cues: DataFrame, width: int = 42) -> DataFrame:
+    """media_id, cue_index, line_1, line_2: the split of a text's words in two lines that fit with the shortest longer line, as expressions; texts without such a split are left out."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     at = lambda i: F.array_join(F.slice("w", F.lit(1), i), " ")
     rest = lambda i: F.array_join(F.slice("w", i + 1, F.size("w")), " ")
     d = cues.select("media_id", "cue_index", words.alias("w")).where("size(w) >= 2")
-    splits = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.greatest(F.length(at(i)), F.length(rest(i))).alias("longest"), i.alias("i")))
-    d = d.withColumn("best", F.array_min(splits))
-    return d.select("media_id", "cue_index", at(F.col("best.i")).alias("line_1"), rest(F.col("best.i")).alias("line_2"))
+    splits = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.greatest(F.length(at(i)), F.length(rest(i))).alias("longest"), at(i).alias("a"), rest(i).alias("b")))
+    d = d.select("media_id", "cue_index", F.array_min(splits).alias("best")).where(F.col("best.longest") <= width)
+    return d.select("media_id", "cue_index", F.col("best.a").alias("line_1"), F.col("best.b").alias("line_2"))
 
 
 def rule_segments(words: DataFrame, **limits: int) -> DataFrame:

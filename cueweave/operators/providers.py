@@ -146,6 +146,5 @@ def run_pipeline(words: DataFrame, config: PipelineConfig = PipelineConfig(), tr
         laid = folds.layout_zh(translated, config.zh_width, config.zh_lines).select("media_id", (F.col("seg_idx") * 1000 + F.least("part", F.lit(999))).alias("cue_index"), "start_ms", "end_ms", "text")
     else:
         laid = translated.select("media_id", F.col("seg_idx").alias("cue_index"), "start_ms", "end_ms", "text")
-    p = config.profile
-    fixed = folds.fix_loop(laid, config.passes, max_cps=p.max_cps, min_ms=p.min_dur_ms, overlap=p.max_overlap_ms, width=p.max_line_len, most=p.max_lines)
-    return {"segments": merged, "translated": translated, "cues": laid, "fixed": fixed, "summary": quality.summary(fixed, p)}
+    fixed = folds.fix_loop(laid, config.passes, profile=config.profile)
+    return {"segments": merged, "translated": translated, "cues": laid, "fixed": fixed, "summary": quality.summary(fixed, config.profile)}

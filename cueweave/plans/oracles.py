@@ -114,7 +114,7 @@ SELECT media_id, cue_index, start_ms, end_ms, start_ms <> s AS changed FROM f"""
     "fix_duration": _stretch("e - s >= 900", "900", "{b} - {a} < 900"),
     "wrap_two_lines": f"""WITH {CUES}, k AS (SELECT media_id, cue_index, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '') AS w FROM c),
 p AS (SELECT *, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], ' ') AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM k WHERE len(w) >= 2))
-SELECT media_id, cue_index, a AS line_1, b AS line_2 FROM (SELECT *, row_number() OVER (PARTITION BY media_id, cue_index ORDER BY greatest(length(a), length(b)), i) AS rn FROM p) WHERE rn = 1""",
+SELECT media_id, cue_index, a AS line_1, b AS line_2 FROM (SELECT *, row_number() OVER (PARTITION BY media_id, cue_index ORDER BY greatest(length(a), length(b)), a, b) AS rn FROM p WHERE length(a) <= 42 AND length(b) <= 42) WHERE rn = 1""",
     "timecode_format": f"WITH {CUES} SELECT media_id, cue_index, {_timecode('start_ms')} AS start_tc, {_timecode('end_ms')} AS end_tc FROM c",
     "srt_render": f"WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) AS number FROM c) SELECT media_id, number, {_BLOCK} AS block FROM n",
     "srt_roundtrip": f"WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) AS number FROM c) SELECT media_id, number - 1 AS cue_index, start_ms, end_ms, regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text FROM n",
