@@ -150,8 +150,12 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
     open_pairs = candidates.select(*FILE_KEYS).distinct()
     moved = changes.select(*FILE_KEYS, "path", (F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).alias("moved"))
 
+    # only the leaves of files in question, parsed once and kept, however often they are read below
+    touched = open_pairs.unionByName(open_pairs.select("feed", (F.col("file_seq") - 1).alias("file_seq"))).distinct()
+    kept = cut_lineage(leaves.select(*FILE_KEYS, "doc", "path", "vh").join(touched, [*FILE_KEYS], "left_semi"))
+
     def side(shift: int) -> DataFrame:
-        own = leaves.select("feed", (F.col("file_seq") + shift).alias("file_seq"), "doc", "path", "vh").join(open_pairs, [*FILE_KEYS], "left_semi")
+        own = kept.select("feed", (F.col("file_seq") + shift).alias("file_seq"), "doc", "path", "vh").join(open_pairs, [*FILE_KEYS], "left_semi")
         return own.join(moved, [*FILE_KEYS, "path"], "left")
 
     def unique(df: DataFrame, name: str) -> DataFrame:
