@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,22 @@ CJK_CLASS = r"[一-鿿㐀-䶿　-〿＀-￯]"
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:%|％)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, however often body uses it (lambda bodies don't share common parts)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def longest_run(words: Column) -> Column:
+    """Length of the longest run of equal neighbours; 0 of an empty array. Over a sorted array: the count of the most frequent element."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when((acc["run"] > 0) & (acc["last"] == x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(words, start, step, lambda acc: acc["best"])
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends; null stays null."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -119,11 +135,12 @@ def seconds_to_ms(c: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two strings, by bisection over lengths: no per-character arrays."""
+    """Length of the common prefix of two strings: a binary search, 30 comparisons of prefixes at most."""
     n = F.least(F.length(a), F.length(b))
-    zipped = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    first_bad = F.array_min(F.filter(zipped, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
-    return F.when(n == 0, 0).otherwise(F.coalesce(first_bad - 1, n)).cast("bigint")
+    # 30 halvings cover every string length; each keeps the longest prefix known to be common
+    steps = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+    grow = lambda acc, w: F.when((acc + w <= n) & (F.substr(a, F.lit(1), acc + w) == F.substr(b, F.lit(1), acc + w)), acc + w).otherwise(acc)
+    return F.aggregate(steps, F.lit(0), grow).cast("bigint")
 
 
 def repair_similarity(a: Column, b: Column) -> Column:

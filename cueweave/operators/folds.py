@@ -98,6 +98,11 @@ def coalesce(segments: DataFrame, **limits: int) -> DataFrame:
     return fold(_segments(segments), _BY_TIME, lambda rows: K.near_duplicates(K.coalesce(rows, **limits)), _SEGMENT)
 
 
+def absorb(segments: DataFrame) -> DataFrame:
+    """The first pass of coalescing alone: weak segments join the one before."""
+    return fold(_segments(segments), _BY_TIME, partial(K._absorb, min_ms=2500, min_chars=8, hard=15000), _SEGMENT)
+
+
 def near_duplicates(segments: DataFrame) -> DataFrame:
     """One of each group of near duplicates."""
     return fold(_segments(segments), _BY_TIME, K.near_duplicates, _SEGMENT)

@@ -146,13 +146,14 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
     """feed, file_seq, old_path, new_path proven by the documents of both files. Every join has a key of (pair, path, value) or (pair, document): no file meets in one task."""
     gone = changes.where("new_kinds is null").select(*FILE_KEYS, F.col("path").alias("old_path"), F.col("old_kinds").alias("gone_kinds"))
     come = changes.where("old_kinds is null").select(*FILE_KEYS, F.col("path").alias("new_path"), F.col("new_kinds").alias("come_kinds"))
-    candidates = gone.join(come, [*FILE_KEYS]).where(F.arrays_overlap("gone_kinds", "come_kinds")).select(*FILE_KEYS, "old_path", "new_path")
+    candidates = gone.join(come, [*FILE_KEYS]).where(F.arrays_overlap("gone_kinds", "come_kinds")).select(*FILE_KEYS, "old_path", "new_path", F.xxhash64("old_path").alias("oh"), F.xxhash64("new_path").alias("nh"))
     open_pairs = candidates.select(*FILE_KEYS).distinct()
-    moved = changes.select(*FILE_KEYS, "path", (F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).alias("moved"))
+    # from here on, paths are 64-bit hashes: what is shuffled per leaf is numbers
+    moved = changes.select(*FILE_KEYS, F.xxhash64("path").alias("path"), (F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).alias("moved"))
 
     # only the leaves of files in question, parsed once and kept, however often they are read below
     touched = open_pairs.unionByName(open_pairs.select("feed", (F.col("file_seq") - 1).alias("file_seq"))).distinct()
-    kept = cut_lineage(leaves.select(*FILE_KEYS, "doc", "path", "vh").join(touched, [*FILE_KEYS], "left_semi"))
+    kept = cut_lineage(leaves.select(*FILE_KEYS, "doc", F.xxhash64("path").alias("path"), "vh").join(touched, [*FILE_KEYS], "left_semi"))
 
     def side(shift: int) -> DataFrame:
         own = kept.select("feed", (F.col("file_seq") + shift).alias("file_seq"), "doc", "path", "vh").join(open_pairs, [*FILE_KEYS], "left_semi")
@@ -173,7 +174,7 @@ def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
 
     values = lambda df, doc, path, vh: df.where("moved").select(*FILE_KEYS, F.col("doc").alias(doc), F.col("path").alias(path), F.col("vh").alias(vh)).distinct()
     proof = shared.join(candidates, [*FILE_KEYS])
-    proof = proof.join(values(old, "old_doc", "old_path", "old_vh"), [*FILE_KEYS, "old_doc", "old_path"], "left").join(values(new, "new_doc", "new_path", "new_vh"), [*FILE_KEYS, "new_doc", "new_path"], "left")
+    proof = proof.join(values(old, "old_doc", "oh", "old_vh"), [*FILE_KEYS, "old_doc", "oh"], "left").join(values(new, "new_doc", "nh", "new_vh"), [*FILE_KEYS, "new_doc", "nh"], "left")
     same, differ = F.col("old_vh") == F.col("new_vh"), ~F.col("old_vh").eqNullSafe(F.col("new_vh"))
     scored = proof.groupBy(*FILE_KEYS, "old_path", "new_path").agg(F.count_if(same).alias("same"), F.count_if(differ).alias("differ"), F.count_distinct("old_vh").alias("kinds_seen"))
     leaf = lambda c: F.lower(F.regexp_replace(F.element_at(F.split(c, r"\."), -1), "[_-]", ""))

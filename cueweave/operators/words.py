@@ -147,22 +147,27 @@ def suspect(text: Column, dur_ms: Column, cps: float = 6.0) -> Column:
 
 def repeats(before: Column, text: Column, gap_ms: Column) -> Column:
     """Says again what the segment before says."""
-    a, b = X.normalize_repair(before), X.normalize_repair(text)
-    enough = (F.length(X.strip(before)) >= 12) & (F.length(X.strip(text)) >= 12) & (a != "") & (b != "")
-    same = (a.contains(b) | b.contains(a)) & (F.least(F.length(a), F.length(b)) >= 50)
-    return enough & (same | ((gap_ms <= 2000) & (X.repair_similarity(a, b) >= 0.92)))
+
+    def body(f: Column) -> Column:
+        a, b = f["a"], f["b"]
+        same = (a.contains(b) | b.contains(a)) & (F.least(F.length(a), F.length(b)) >= 50)
+        return (a != "") & (b != "") & (same | ((gap_ms <= 2000) & (X.repair_similarity(a, b) >= 0.92)))
+
+    enough = (F.length(X.strip(before)) >= 12) & (F.length(X.strip(text)) >= 12)
+    return enough & X.let(F.struct(X.normalize_repair(before).alias("a"), X.normalize_repair(text).alias("b")), body)
 
 
 def stuck(text: Column) -> Column:
-    """A word three times in a row, or one word as most of a text."""
-    words = F.filter(F.split(X.normalize_repair(text), " "), lambda w: w != "")
-    n = F.size(words)
-    run = F.exists(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: (F.get(words, i - 1) == F.get(words, i)) & (F.get(words, i) == F.get(words, i + 1)))
-    top = lambda ws: F.array_max(F.transform(F.array_distinct(ws), lambda x: F.size(F.filter(ws, lambda y: y == x))))
-    head = F.slice(words, 1, 80)
-    often = (n >= 6) & (top(words) >= 6) & (top(words) / n >= 0.70)
-    most = (n >= 12) & (top(head) / F.least(n, F.lit(80)) >= 0.45)
-    return ((n >= 3) & run) | F.coalesce(often | most, F.lit(False))
+    """A word three times in a row, or one word as most of a text. Linear in the words, but for a sort."""
+
+    def body(w: Column) -> Column:
+        n = F.size(w)
+        head = F.slice(w, 1, 80)
+        often = (n >= 6) & X.let(X.longest_run(F.array_sort(w)), lambda top: (top >= 6) & (top / n >= 0.70))
+        most = (n >= 12) & (X.longest_run(F.array_sort(head)) / F.least(n, F.lit(80)) >= 0.45)
+        return (X.longest_run(w) >= 3) | often | most
+
+    return F.coalesce(X.let(F.filter(F.split(X.normalize_repair(text), " "), lambda x: x != ""), body), F.lit(False))
 
 
 def translate_context(segments: DataFrame, k: int = 2) -> DataFrame:
@@ -183,3 +188,13 @@ def segment_stats(segments: DataFrame) -> DataFrame:
     dur = F.col("end_ms") - F.col("start_ms")
     share = lambda c: F.sum(c.cast("bigint")).cast("double") / F.count("*")
     return segments.groupBy("media_id").agg((F.sum(dur).cast("double") / F.count("*")).alias("avg_ms"), share(dur < 1200).alias("short_share"), share((dur < 2000) & (F.length(X.strip(F.col("text"))) <= 6)).alias("tiny_share"))
+
+
+def share_time(segments: DataFrame) -> DataFrame:
+    """media_id, seg_idx, piece, start_ms, end_ms, text: the sentence pieces of a segment with its time in proportion to their characters. Segments without time or text have none."""
+    d = segments.where("end_ms > start_ms").select("media_id", "seg_idx", "start_ms", "end_ms", F.posexplode(X.sentence_pieces(F.col("text"))).alias("piece", "text"))
+    seg = Window.partitionBy("media_id", "seg_idx")
+    n = X.reading_chars(F.col("text"))
+    d = d.withColumn("n", n).withColumn("upto", F.sum("n").over(seg.orderBy("piece"))).withColumn("total", F.sum("n").over(seg))
+    at = lambda c: (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * c / F.col("total"))).cast("bigint")
+    return d.select("media_id", "seg_idx", F.col("piece").cast("bigint").alias("piece"), at(F.col("upto") - F.col("n")).alias("start_ms"), at(F.col("upto")).alias("end_ms"), "text")

@@ -170,3 +170,106 @@ CASE WHEN s IS NULL THEN 'queue' WHEN q IS NULL THEN 'disk' ELSE 'both' END AS o
     "newest_candidate": "SELECT channel_code, source_path FROM (SELECT *, row_number() OVER (PARTITION BY channel_code ORDER BY created_at DESC NULLS LAST, media_id DESC, source_path DESC) AS rn FROM media WHERE channel_code IS NOT NULL) WHERE rn = 1",
     "emit_routing": "SELECT mode, CASE WHEN mode IN ('all', 'bilingual', 'bilingual-only') THEN 'bilingual' WHEN mode = 'literal' THEN 'literal' WHEN mode = 'zh-only' THEN 'zh' ELSE 'none' END AS primary_output FROM (VALUES ('all'), ('literal'), ('zh-only'), ('bilingual-only'), ('bilingual'), ('none')) t(mode)",
 }
+
+_TOKENS = f"list_filter(string_split({_REPAIR % 'text'}, ' '), lambda t: t <> '')"
+_TOP = "list_max(list_transform(list_distinct({w}), lambda x: len(list_filter({w}, lambda y: y = x))))"
+_STUCK = (
+    "(len(w) >= 3 AND len(list_filter(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] = w[i + 1] AND w[i + 1] = w[i + 2])) > 0"
+    f" OR coalesce(len(w) >= 6 AND {_TOP.format(w='w')} >= 6 AND CAST({_TOP.format(w='w')} AS DOUBLE) / len(w) >= 0.70, false)"
+    f" OR coalesce(len(w) >= 12 AND CAST({_TOP.format(w='w[1:80]')} AS DOUBLE) / least(len(w), 80) >= 0.45, false))"
+)
+_COUNT = f"len(list_filter(string_split_regex(text, '{WS}+'), lambda t: t <> ''))"
+_DUR = "(end_ms - start_ms)"
+_LOW = f"({_DUR} >= 6000 AND ({_COUNT} <= 1 OR length(regexp_replace(text, '\\P{{L}}', '', 'g')) <= 2 OR CAST({_COUNT} * 1000 AS DOUBLE) / {_DUR} <= 0.2))"
+_SUSPECT = f"({_DUR} >= 10000 AND (regexp_replace(text, '{WS}', '', 'g') = '' OR CAST(length({_STRIP % 'text'}) AS DOUBLE) * 1000 / {_DUR} <= 6))"
+_PREFIX = "coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) <> substring(b, i, 1))) - 1, least(length(a), length(b)))"
+_REPEAT = f"""(length({_STRIP % 'before'}) >= 12 AND length({_STRIP % 'text'}) >= 12 AND a <> '' AND b <> '' AND (((contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) >= 50)
+ OR (start_ms - prev_end <= 2000 AND CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN CAST(least(length(a), length(b)) AS DOUBLE) / greatest(length(a), length(b)) ELSE CAST({_PREFIX} AS DOUBLE) / least(length(a), length(b)) END >= 0.92)))"""
+_ORDERED = "x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY word_idx) AS k FROM w)"
+_JOINED = "regexp_replace(regexp_replace(string_agg(x.word, '' ORDER BY x.k), '" + WS + "+', ' ', 'g'), '^ | $', '', 'g')"
+_DENSITY = f"CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS DOUBLE) / greatest(CAST(0.000001 AS DOUBLE), CAST(end_ms - start_ms AS DOUBLE) / 1000)"
+_QUEUE = f"q AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, seg_idx) AS rn, {_DENSITY} AS d FROM s)"
+_RATIO = "CAST(greatest(0, least(f.e, q.end_ms) - greatest(f.s, q.start_ms)) AS DOUBLE) / greatest(CAST(0.000001 AS DOUBLE), least(f.e - f.s, q.end_ms - q.start_ms))"
+_SAME = f"((abs(q.start_ms - f.s) <= 50 AND {_RATIO} >= 0.85) OR {_RATIO} >= 0.95)"
+_WINS = "(q.d > f.d * 1.05 OR (q.end_ms - q.start_ms > f.e - f.s + 50 AND q.d >= f.d * 0.95))"
+_CUT = "(q.end_ms <= f.e OR (f.e > q.start_ms AND CAST(f.e - q.start_ms AS DOUBLE) / greatest(CAST(0.000001 AS DOUBLE), q.end_ms - q.start_ms) >= 0.60))"
+_LATE = "greatest(q.start_ms, f.e)"
+_GONE = f"((f.e > q.start_ms AND q.end_ms - {_LATE} < 200) OR regexp_replace(q.text, '{WS}', '', 'g') = '')"
+_WEAK_Q = f"(q.end_ms - q.start_ms < 2500 OR length({_STRIP % 'q.text'}) < 8)"
+_WEAK_F = f"(f.e - f.s < 2500 OR length({_STRIP % 'f.t'}) < 8)"
+_JOIN = f"(f.alive AND ({_WEAK_Q} OR {_WEAK_F}) AND f.e - f.s + q.end_ms - q.start_ms <= 15000)"
+_BLANK_Q = f"regexp_replace(q.text, '{WS}', '', 'g') = ''"
+_GLUED = f"CASE WHEN {_STRIP % 'f.t'} = '' THEN {_STRIP % 'q.text'} WHEN {_STRIP % 'q.text'} = '' THEN {_STRIP % 'f.t'} ELSE {_STRIP % 'f.t'} || ' ' || {_STRIP % 'q.text'} END"
+
+ORACLES |= {
+    "repair_flags": f"WITH {SEGMENTS}, t AS (SELECT *, {_TOKENS} AS w FROM s) SELECT media_id, seg_idx, {_LOW} AS low_info, {_SUSPECT} AS suspect, {_STUCK} AS stuck FROM t",
+    "repair_candidates": f"""WITH {SEGMENTS}, n AS (SELECT *, lag(start_ms) OVER p AS prev_start, lag(end_ms) OVER p AS prev_end, lag(text) OVER p AS before, lead(start_ms) OVER p AS nxt, max(end_ms) OVER (PARTITION BY media_id) AS total FROM s WINDOW p AS (PARTITION BY media_id ORDER BY seg_idx)),
+t AS (SELECT *, {_TOKENS} AS w, {_REPAIR % 'before'} AS a, {_REPAIR % 'text'} AS b FROM n WHERE prev_end IS NOT NULL),
+g AS (SELECT *, CASE WHEN {_STUCK} OR contains(text, chr(65533)) THEN 'STUCK_OR_INVALID' WHEN {_REPEAT} THEN 'REPEAT' WHEN {_LOW} THEN 'SHORT_LOW_INFO' WHEN {_SUSPECT} THEN 'SUSPECT' END AS trigger FROM t)
+SELECT media_id, seg_idx, trigger, greatest(prev_end - 1000, 0) AS from_ms, least(greatest(end_ms + 1500, coalesce(nxt + 200, 0)), total) AS to_ms FROM g WHERE trigger IS NOT NULL""",
+    "rule_segments": f"""WITH RECURSIVE {SEGMENTS}, {WORDS}, {_ORDERED},
+y AS (SELECT *, lead(start_ms) OVER p - end_ms >= 650 AS pause, lead(k) OVER p IS NOT NULL AND contains('。.!?？！', right(word, 1)) AS strong, lead(k) OVER p IS NOT NULL AND NOT contains('。.!?？！', right(word, 1)) AND contains('，,、；;:：…', right(word, 1)) AS soft, count(*) OVER (PARTITION BY media_id) AS n FROM x WINDOW p AS (PARTITION BY media_id ORDER BY k)),
+f(media_id, seg_no, lo, hi, n) AS (
+  SELECT DISTINCT media_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), n FROM y
+  UNION ALL
+  SELECT media_id, seg_no + 1, lo, coalesce(max(CASE WHEN ok AND strong THEN k END), max(CASE WHEN ok AND pause THEN k END), max(CASE WHEN ok AND soft AND near THEN k END), max(target)), n FROM (
+    SELECT *, k <= target AND end_ms - t0 >= 2500 AS ok, max(CASE WHEN k = target THEN end_ms END) OVER g - t0 >= 5500 AS near FROM (
+      SELECT *, CASE WHEN soft_far > lo THEN soft_far ELSE hard_far END AS target FROM (
+        SELECT *, greatest(coalesce(min(CASE WHEN end_ms - t0 > 15000 THEN k END) OVER g - 1, n), lo) AS hard_far, greatest(coalesce(min(CASE WHEN end_ms - t0 > 7000 THEN k END) OVER g - 1, n), lo) AS soft_far FROM (
+          SELECT f.media_id, f.seg_no, f.hi + 1 AS lo, f.n, y.k, y.end_ms, y.strong, y.pause, y.soft, y0.start_ms AS t0 FROM f JOIN y y0 ON y0.media_id = f.media_id AND y0.k = f.hi + 1 JOIN y ON y.media_id = f.media_id AND y.k > f.hi AND y.k <= f.hi + 1000)
+        WINDOW g AS (PARTITION BY media_id)))
+    WINDOW g AS (PARTITION BY media_id))
+  GROUP BY media_id, seg_no, lo, n)
+SELECT f.media_id, f.seg_no, min_by(x.start_ms, x.k) AS start_ms, max_by(x.end_ms, x.k) AS end_ms, {_JOINED} AS text FROM f JOIN x ON x.media_id = f.media_id AND x.k BETWEEN f.lo AND f.hi WHERE f.seg_no >= 0 GROUP BY f.media_id, f.seg_no""",
+    "greedy_units": f"""WITH RECURSIVE {SEGMENTS}, {WORDS}, x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, word_idx) AS k, count(*) OVER (PARTITION BY media_id) AS n FROM w),
+f(media_id, seg_no, lo, hi, n) AS (
+  SELECT DISTINCT media_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), n FROM x
+  UNION ALL
+  SELECT media_id, seg_no + 1, lo, coalesce(min(CASE WHEN k > lo AND d >= 7000 THEN CASE WHEN d > 15000 THEN k - 1 ELSE k END END), max(n)), n FROM (
+    SELECT f.media_id, f.seg_no, f.hi + 1 AS lo, f.n, x.k, x.end_ms - x0.start_ms AS d FROM f JOIN x x0 ON x0.media_id = f.media_id AND x0.k = f.hi + 1 JOIN x ON x.media_id = f.media_id AND x.k > f.hi)
+  GROUP BY media_id, seg_no, lo, n)
+SELECT f.media_id, f.seg_no, min_by(x.start_ms, x.k) AS start_ms, max_by(x.end_ms, x.k) AS end_ms, regexp_replace(string_agg(x.word, '' ORDER BY x.k), '^{WS}+|{WS}+$', '', 'g') AS text FROM f JOIN x ON x.media_id = f.media_id AND x.k BETWEEN f.lo AND f.hi WHERE f.seg_no >= 0 GROUP BY f.media_id, f.seg_no""",
+    "time_overlap_dedupe": f"""WITH RECURSIVE {SEGMENTS}, {_QUEUE},
+f(media_id, rn, slot, s, e, d, pick) AS (
+  SELECT media_id, rn, CAST(1 AS BIGINT), start_ms, end_ms, d, rn FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.media_id, q.rn, CASE WHEN {_SAME} THEN f.slot ELSE f.slot + 1 END, CASE WHEN {_SAME} AND NOT {_WINS} THEN f.s ELSE q.start_ms END, CASE WHEN {_SAME} AND NOT {_WINS} THEN f.e ELSE q.end_ms END, CASE WHEN {_SAME} AND NOT {_WINS} THEN f.d ELSE q.d END, CASE WHEN {_SAME} AND NOT {_WINS} THEN f.pick ELSE q.rn END
+  FROM f JOIN q ON q.media_id = f.media_id AND q.rn = f.rn + 1)
+SELECT q.media_id, q.seg_idx, q.start_ms, q.end_ms, q.text, q.confidence FROM (SELECT media_id, slot, max_by(pick, rn) AS pick FROM f GROUP BY media_id, slot) g JOIN q ON q.media_id = g.media_id AND q.rn = g.pick""",
+    "no_overlap_clamp": f"""WITH RECURSIVE {SEGMENTS}, {_QUEUE},
+f(media_id, rn, slot, s, e, d, pick) AS (
+  SELECT media_id, rn, CAST(1 AS BIGINT), start_ms, end_ms, d, rn FROM q WHERE rn = 1
+  UNION ALL
+  SELECT media_id, rn, slot + CASE WHEN what = 'new' THEN 1 ELSE 0 END, CASE what WHEN 'keep' THEN s ELSE qs END, CASE what WHEN 'keep' THEN e ELSE qe END, CASE what WHEN 'keep' THEN d ELSE qd END, CASE what WHEN 'keep' THEN pick ELSE rn END FROM (
+    SELECT q.media_id, q.rn, f.slot, f.s, f.e, f.d, f.pick, CASE WHEN {_CUT} THEN q.start_ms ELSE {_LATE} END AS qs, q.end_ms AS qe,
+    CASE WHEN {_CUT} OR f.e <= q.start_ms THEN q.d ELSE CAST(length(regexp_replace(q.text, '{WS}', '', 'g')) AS DOUBLE) / greatest(CAST(0.000001 AS DOUBLE), CAST(q.end_ms - {_LATE} AS DOUBLE) / 1000) END AS qd,
+    CASE WHEN {_CUT} THEN CASE WHEN q.d > f.d * 1.10 THEN 'swap' ELSE 'keep' END WHEN {_GONE} THEN 'keep' ELSE 'new' END AS what
+    FROM f JOIN q ON q.media_id = f.media_id AND q.rn = f.rn + 1))
+SELECT g.media_id, q.seg_idx, g.s AS start_ms, g.e AS end_ms, q.text, q.confidence FROM (SELECT media_id, slot, max_by(pick, rn) AS pick, max_by(s, rn) AS s, max_by(e, rn) AS e FROM f GROUP BY media_id, slot) g JOIN q ON q.media_id = g.media_id AND q.rn = g.pick""",
+    "coalesce_absorb": f"""WITH RECURSIVE {SEGMENTS}, {_QUEUE},
+f(media_id, rn, slot, alive, first, s, e, t) AS (
+  SELECT DISTINCT media_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM q
+  UNION ALL
+  SELECT q.media_id, q.rn, f.slot + CASE WHEN NOT {_JOIN} AND NOT ({_BLANK_Q}) THEN 1 ELSE 0 END, f.alive OR NOT ({_BLANK_Q}), CASE WHEN {_JOIN} OR {_BLANK_Q} THEN f.first ELSE q.rn END, CASE WHEN {_JOIN} OR {_BLANK_Q} THEN f.s ELSE q.start_ms END,
+  CASE WHEN {_JOIN} THEN q.end_ms WHEN {_BLANK_Q} THEN f.e ELSE q.end_ms END, CASE WHEN {_JOIN} THEN {_GLUED} WHEN {_BLANK_Q} THEN f.t ELSE q.text END
+  FROM f JOIN q ON q.media_id = f.media_id AND q.rn = f.rn + 1)
+SELECT g.media_id, q.seg_idx, g.s AS start_ms, g.e AS end_ms, g.t AS text, q.confidence FROM (SELECT media_id, slot, max_by(first, rn) AS first, max_by(s, rn) AS s, max_by(e, rn) AS e, max_by(t, rn) AS t FROM f WHERE slot > 0 GROUP BY media_id, slot) g JOIN q ON q.media_id = g.media_id AND q.rn = g.first""",
+    "alloc_times": f"""WITH {SEGMENTS}, p AS (SELECT media_id, seg_idx, start_ms, end_ms, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;…]*[。！？!?；;…]|[^。！？!?；;…]+$'), lambda x: {_STRIP % 'x'}), lambda x: x <> '') AS ps FROM s WHERE end_ms > start_ms),
+e AS (SELECT *, ps[k + 1] AS part, length(regexp_replace(ps[k + 1], '{WS}', '', 'g')) AS n FROM (SELECT *, unnest(range(len(ps))) AS k FROM p)),
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY media_id, seg_idx ORDER BY k) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY media_id, seg_idx) AS BIGINT) AS total FROM e)
+SELECT media_id, seg_idx, k AS piece, start_ms + (end_ms - start_ms) * (upto - n) // total AS start_ms, start_ms + (end_ms - start_ms) * upto // total AS end_ms, part AS text FROM r""",
+    "zh_naturalize": f"""WITH {SEGMENTS}, a AS (SELECT media_id, seg_idx, regexp_replace({_STRIP % 'text'}, '{WS}+', ' ', 'g') AS t FROM s),
+b AS (SELECT media_id, seg_idx, regexp_replace(regexp_replace(t, '([\\x{{4e00}}-\\x{{9fff}}]) ([\\x{{4e00}}-\\x{{9fff}}])', '\\1\\2', 'g'), '([\\x{{4e00}}-\\x{{9fff}}]) ([\\x{{4e00}}-\\x{{9fff}}])', '\\1\\2', 'g') AS t FROM a)
+SELECT media_id, seg_idx, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '。+', '。', 'g'), '！+', '！', 'g'), '？+', '？', 'g'), '[,，]{{2,}}', '，', 'g'), ' *([，。！？；：]) *', '\\1', 'g') AS text FROM b""",
+    "quality_report": f"""WITH {CUES}, {METRICS}, v AS ({_violations()}),
+k AS (SELECT media_id, type, severity, count(*) AS n FROM v GROUP BY media_id, type, severity),
+g AS (SELECT media_id, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (severity = 'major'), 0) AS BIGINT) AS major, CAST(coalesce(sum(n) FILTER (severity = 'minor'), 0) AS BIGINT) AS minor, string_agg('{{"type":"' || type || '","n":' || n || '}}', ',' ORDER BY type) AS kinds FROM k GROUP BY media_id)
+SELECT c.media_id, '{{"version":"1.1","profile":"default","total_cues":' || c.n || ',"violation_count":' || coalesce(g.n, 0) || ',"major_count":' || coalesce(g.major, 0) || ',"minor_count":' || coalesce(g.minor, 0) || ',"ok":' || CASE WHEN coalesce(g.major, 0) = 0 THEN 'true' ELSE 'false' END || ',"by_type":[' || coalesce(g.kinds, '') || ']}}' AS report
+FROM (SELECT media_id, count(*) AS n FROM c GROUP BY media_id) c LEFT JOIN g USING (media_id)""",
+    "device_decisions": """WITH v AS (SELECT a.i * 8 + b.i * 2 + g.i AS id, a.x AS device, b.x AS compute, g.x AS gpu FROM (VALUES (0, ' CuDa:0 '), (1, 'cpu'), (2, 'auto'), (3, NULL)) a(i, x), (VALUES (0, ' FP16 '), (1, 'float16'), (2, 'int8'), (3, NULL)) b(i, x), (VALUES (0, true), (1, false)) g(i, x)),
+n AS (SELECT id, gpu, lower(trim(coalesce(device, 'auto'))) AS d, lower(trim(coalesce(compute, 'float16'))) AS t FROM v),
+m AS (SELECT id, CASE WHEN d IN ('', 'auto') THEN CASE WHEN gpu THEN 'cuda' ELSE 'cpu' END WHEN starts_with(d, 'cuda') AND NOT gpu THEN 'cpu' ELSE d END AS device, CASE WHEN t IN ('fp16', 'half') THEN 'float16' WHEN t = 'fp32' THEN 'float32' ELSE t END AS t FROM n)
+SELECT CAST(id AS BIGINT) AS id, device, CASE WHEN device = 'cpu' AND t = 'float16' THEN 'int8' ELSE t END AS compute FROM m""",
+    "path_helpers": """SELECT media_id, regexp_replace(regexp_replace(regexp_replace(source_path || '.fixed.fixed.srt', '^.*/', ''), '\\.[^.]*$', ''), '(\\.fixed)+$', '') AS stem,
+regexp_replace(replace('C:' || source_path, '\\', '/'), '([:'',\\[\\]])', '\\\\\\1', 'g') AS escaped, CAST(CASE WHEN TRY_CAST(regexp_extract(media_id, '(\\d\\d)$', 1) AS INTEGER) > 0 THEN TRY_CAST(regexp_extract(media_id, '(\\d\\d)$', 1) AS INTEGER) ELSE 5400 END AS BIGINT) AS timeout FROM media""",
+}
