@@ -370,7 +370,8 @@ def train(people: Sequence[tuple[str | None, str | None]], copies: int = 12, ste
     return Crf(index, w.astype(np.float32), trans.astype(np.float32), given, family)
 
 
-_SHORT = re.compile(r"(?:\b(?:St|Rd|Ave|Str|str|izq|dcha|Blvd|Ln|Ct|Sq|Pl|Dr))$")
+#: Last words of addresses that have a dot of their own.
+_SHORT = re.compile(r"(?:\b(?:St|Str|izq|dcha)|str)$")
 
 
 def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
@@ -417,8 +418,7 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         a = more.start() if more else a
         if re.search(r"[市区县町]", view[a:b]):
             a -= len(re.search(r"[\u4e00-\u9fffノヶケ々]*$", view[:a]).group()) if re.match(r"[ノヶケ々区市町县]", view[a:b]) else 0
-            more = re.match(r"(?:[-－]?\d+)+", view[b:])
-            b += more.end() if more else 0
+            b += re.match(r"(?:[-－]?\d+)*(?:号(?:\d+单元)?(?:\d+室)?)?", view[b:]).end()
         text = view[a:b]
         return (a, b) if digits and (a == 0 or view[a - 1] != "=") and not re.search(r"job=|[=/]", text.replace("C/", "")) and re.search(r"[^\W\d_]{2,}", text) and _plausible(text) else None
     if digits:

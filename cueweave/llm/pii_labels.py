@@ -41,6 +41,15 @@ Thanks\\n{n}
 Thanks\\n{n}\\n{p}
 Cheers\\n{n}
 Regards\\n{n}\\n{a}
+Best regards,\\n{n}\\n{ad}\\nphone {p}
+Thanks\\n{n}\\n{af}\\nphone {p}
+Best regards,\\n{n}\\n{as}\\nT: {p}
+-- \\n{n}\\n{az}\\n{p}
+Thanks\\n{n}\\n{aj}\\n{p}
+-- \\n{n}\\n{ad}
+-- \\n{n}\\n{af}
+Best regards,\\n{n}\\n{as}
+Thanks\\n{n}\\n{az}
 -- \\n{n}\\n{a}\\n{p}
 Thanks,\\n{n}\\nphone {p}
 {n}\\n{a}\\n{e}
@@ -326,7 +335,7 @@ class _Fill:
             return f"{n}{r.choice(['', '', ' bis', ' ter'])}{r.choice([',', ''])} {street}" + r.choice(["", f", 99{self.digits(3)} {r.choice(['Brenneville', 'Port-Velay', 'Saint-Orle'])}", f", 99{self.digits(3)} Brenneville"])
         if kind == "as":
             street = r.choice(["C/ de los Tejos Azules", "Calle de la Niebla", "Plaza de las Garzas", "Avda. del Faro Viejo", "Paseo de los Molinos"])
-            return f"{street}, {n}{r.choice(['', '', ', 2.º B', ', 4.º izq.', ', piso 3'])}" + r.choice(["", f", 99{self.digits(3)} {r.choice(['Villagarza', 'Puerto Molino'])}", f", 99{self.digits(3)} Villagarza"])
+            return f"{street}, {n}{r.choice(['', '', ', 2.º B', ', 4.º izq.', ', piso 3', ', bajo', ', bajo'])}" + r.choice(["", f", 99{self.digits(3)} {r.choice(['Villagarza', 'Puerto Molino'])}", f", 99{self.digits(3)} Villagarza"])
         if kind == "az":
             return r.choice(["霁川市", "云梓市", "青岚县", "松塔市"]) + r.choice(["白鹭街", "铜灯路", "十二松大道", "旧港巷", "石桥路"]) + f"{n}号" + r.choice(["", "", f"{r.randint(101, 909)}室", f"{r.randint(1, 9)}单元{r.randint(101, 909)}室"])
         return r.choice(["霧沢市", "灯ヶ浜町", "松川市", "鷺ノ森区", "白ノ浜町"]) + r.choice(["青葉原", "銅燈町", "白鷺台", "桜木"]) + f"{r.randint(1, 9)}-{r.randint(1, 20)}-{r.randint(1, 20)}" + r.choice(["", "", f" 灯ビル{r.randint(101, 909)}号室"])
