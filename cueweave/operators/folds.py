@@ -78,6 +78,30 @@ def rule_segments(words: DataFrame, **limits: int) -> DataFrame:
     return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["word_idx"], partial(K.rule_segments, **limits), _NEW)
 
 
+def window_segments(words: DataFrame, cutter: K.Cutter = K.no_cuts, keep_tail: bool = False) -> DataFrame:
+    """Words to segments by overlapping windows with cuts from a provider; without one, by the rules."""
+    return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["start_ms", "end_ms", "word_idx"], partial(K.window_segments, cutter=cutter, keep_tail=keep_tail), _NEW)
+
+
+def repair(segments: DataFrame, listen: K.Listener) -> DataFrame:
+    """Doubtful segments replaced by what a provider hears: listen(media_id, from_ms, to_ms) gives words."""
+    total = segments.groupBy("media_id").agg(F.max("end_ms").alias("total_ms"))
+    d = _segments(segments).join(total, "media_id").withColumn("source", F.col("media_id"))
+    return fold(d, _BY_TIME, partial(K.repair, listen=listen), _SEGMENT)
+
+
+def wrap_zh(segments: DataFrame, width: int = 18, most: int = 2) -> DataFrame:
+    """media_id, seg_idx, text: texts wrapped as Chinese lines, without splitting."""
+    import pyarrow as pa
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            own = [K.wrap_zh(t, width, most) if t and t.strip() else t for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("media_id"), batch.column("seg_idx"), pa.array(own, pa.string())], names=["media_id", "seg_idx", "text"])
+
+    return segments.select("media_id", "seg_idx", "text").mapInArrow(run, "media_id string, seg_idx bigint, text string")
+
+
 def greedy_units(words: DataFrame, **limits: int) -> DataFrame:
     """Words to segments, greedily."""
     return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["start_ms", "end_ms", "word_idx"], partial(K.greedy_units, **limits), _NEW)

@@ -107,3 +107,37 @@ def burn_filter_escape(c: Column) -> Column:
 def newest_by(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The row of each key with the greatest order columns, by a maximum with partial aggregation, not a sort."""
     return df.groupBy(*key).agg(F.max(F.struct(*order, *columns)).alias("r")).select(*key, *(f"r.{c}" for c in columns))
+
+
+#: What a state may become (fixed): every job is queued, started, running, and ends once.
+NEXT = {"queued": ("queued", "started", "running", *TERMINAL), "started": ("started", "running", *TERMINAL), "running": ("running", *TERMINAL), **{t: (t,) for t in TERMINAL}}
+
+
+def transitions(snapshots: DataFrame) -> DataFrame:
+    """job_id, updated_us, from_state, to_state, allowed of every two snapshots of a job that follow each other; repeated snapshots count once."""
+    from pyspark.sql import Window
+
+    order = F.element_at(F.create_map(*(F.lit(x) for s, i in (("queued", 0), ("started", 1), ("running", 2), ("succeeded", 3), ("failed", 3), ("canceled", 3)) for x in (s, i))), F.col("job_state"))
+    d = snapshots.where("job_id is not null and updated_at is not null and job_state is not null").select("job_id", "updated_at", "job_state").distinct()
+    w = Window.partitionBy("job_id").orderBy("updated_at", order, "job_state")
+    d = d.withColumn("from_state", F.lag("job_state").over(w)).where("from_state is not null")
+    ok = F.lit(False)
+    for state, nxt in NEXT.items():
+        ok = ok | ((F.col("from_state") == state) & F.col("job_state").isin(*nxt))
+    return d.select("job_id", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"), "from_state", F.col("job_state").alias("to_state"), ok.alias("allowed"))
+
+
+def path_allowed(c: Column, roots: list[str]) -> Column:
+    """Whether a path is absolute, without empty, dot or parent parts or a NUL, and under one of the roots."""
+    under = F.lit(False)
+    for root in roots:
+        under = under | (c == root.rstrip("/")) | c.startswith(root.rstrip("/") + "/")
+    return F.coalesce((c != "") & ~c.contains("\x00") & c.startswith("/") & ~c.rlike(r"(^|/)\.{1,2}(/|$)") & under, F.lit(False))
+
+
+def stable_hash(value: object, length: int = 12) -> str:
+    """The head of the SHA-1 of a value's sorted compact JSON; a driver helper for cache tags."""
+    import hashlib
+    import json
+
+    return hashlib.sha1(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:length]

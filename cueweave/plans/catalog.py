@@ -10,7 +10,7 @@ from ..functions.runtime import read_table
 from ..operators import folds, interval_runs, jobs, nearest, quality, schema_drift
 from ..operators import words as W
 from ..operators.base import clean_cues, clean_segments, words_of
-from ..sources import srt
+from ..sources import documents, srt
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +145,14 @@ def _marked(c: Column) -> Column:
     return X.strip(c).rlike(r"[.!?]$")
 
 
+def window_segments(spark: SparkSession, d: str) -> DataFrame:
+    return folds.window_segments(_words(spark, d))
+
+
+def wrap_zh(spark: SparkSession, d: str) -> DataFrame:
+    return folds.wrap_zh(_segments(spark, d))
+
+
 def segments_from_cuts(spark: SparkSession, d: str) -> DataFrame:
     return W.segments_from_cuts(_words(spark, d), _marked(F.col("word")))
 
@@ -283,6 +291,23 @@ def job_status_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return jobs.reconcile(disk, queue)
 
 
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.transitions(read_table(spark, d, "job_status"))
+
+
+def job_specs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.job_specs(read_table(spark, d, "raw_job_docs").where("doc_type = 'job_spec'").select("file_id", "line_no", "payload"))
+
+
+def quality_counts(spark: SparkSession, d: str) -> DataFrame:
+    return documents.quality_counts(read_table(spark, d, "raw_job_docs").where("doc_type = 'quality_report'").select("file_id", "line_no", "payload"))
+
+
+def path_policy(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("source_path")
+    return read_table(spark, d, "media").select("media_id", jobs.path_allowed(path, ["/data/media"]).alias("allowed"), jobs.path_allowed(F.replace(path, F.lit("/main"), F.lit("/../main")), ["/data"]).alias("tricked"))
+
+
 def counters_prometheus(spark: SparkSession, d: str) -> DataFrame:
     counted = jobs.counters(read_table(spark, d, "job_status"), F.lit("jobs_total"), F.concat(F.lit('kind="'), F.coalesce(jobs.job_kind(F.col("job_kind")), F.lit("")), F.lit('",state="'), F.coalesce("job_state", F.lit("")), F.lit('"')))
     return jobs.prometheus_lines(counted)
@@ -313,9 +338,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
-        fix_loop_final, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
+        fix_loop_final, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
         no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, coalesce_absorb, alloc_times, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
-        normalized_texts, zh_sentence_pieces, zh_layout_split, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, counters_prometheus, device_decisions,
+        normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
         newest_candidate, path_helpers, emit_routing,
     )
 }

@@ -273,3 +273,23 @@ SELECT CAST(id AS BIGINT) AS id, device, CASE WHEN device = 'cpu' AND t = 'float
     "path_helpers": """SELECT media_id, regexp_replace(regexp_replace(regexp_replace(source_path || '.fixed.fixed.srt', '^.*/', ''), '\\.[^.]*$', ''), '(\\.fixed)+$', '') AS stem,
 regexp_replace(replace('C:' || source_path, '\\', '/'), '([:'',\\[\\]])', '\\\\\\1', 'g') AS escaped, CAST(CASE WHEN TRY_CAST(regexp_extract(media_id, '(\\d\\d)$', 1) AS INTEGER) > 0 THEN TRY_CAST(regexp_extract(media_id, '(\\d\\d)$', 1) AS INTEGER) ELSE 5400 END AS BIGINT) AS timeout FROM media""",
 }
+
+_ORDER = "CASE job_state WHEN 'queued' THEN 0 WHEN 'started' THEN 1 WHEN 'running' THEN 2 ELSE 3 END"
+_VALID = "(json_valid(payload) AND starts_with(trim(payload), '{'))"
+
+
+def _field(path: str) -> str:
+    return f"CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.{path}') END"
+
+
+ORACLES |= {
+    "job_transitions": f"""WITH d AS (SELECT DISTINCT job_id, updated_at, job_state FROM job_status WHERE job_id IS NOT NULL AND updated_at IS NOT NULL AND job_state IS NOT NULL),
+l AS (SELECT *, lag(job_state) OVER (PARTITION BY job_id ORDER BY updated_at, {_ORDER}, job_state) AS f FROM d)
+SELECT job_id, epoch_us(updated_at) AS updated_us, f AS from_state, job_state AS to_state, CASE f WHEN 'queued' THEN true WHEN 'started' THEN job_state <> 'queued' WHEN 'running' THEN job_state NOT IN ('queued', 'started') ELSE job_state = f END AS allowed FROM l WHERE f IS NOT NULL""",
+    "job_specs": f"""WITH r AS (SELECT * FROM raw_job_docs WHERE doc_type = 'job_spec' AND payload IS NOT NULL), x AS (SELECT file_id, line_no, {_VALID} AS valid, {_field('job_id')} AS job_id, {_field('kind')} AS job_kind, {_field('job_root')} AS job_root, {_field('inputs.pipeline_args.timeout_sec')} AS t FROM r)
+SELECT file_id, line_no, CASE WHEN valid THEN job_id END AS job_id, CASE WHEN valid THEN {_KIND} END AS kind, CASE WHEN valid THEN job_root END AS job_root, CASE WHEN valid THEN CAST(CASE WHEN TRY_CAST(t AS INTEGER) > 0 THEN TRY_CAST(t AS INTEGER) ELSE 5400 END AS BIGINT) END AS timeout_sec, valid FROM x""",
+    "quality_counts": f"""WITH r AS (SELECT * FROM raw_job_docs WHERE doc_type = 'quality_report' AND payload IS NOT NULL)
+SELECT file_id, line_no, {", ".join(f"TRY_CAST({_field('summary.' + c)} AS BIGINT) AS {c}" for c in ('total_cues', 'violation_count', 'major_count', 'minor_count'))} FROM r""",
+    "path_policy": """SELECT media_id, coalesce(starts_with(source_path, '/data/media/') AND NOT regexp_matches(source_path, '(^|/)\\.{1,2}(/|$)'), false) AS allowed,
+coalesce(starts_with(replace(source_path, '/main', '/../main'), '/data/') AND NOT regexp_matches(replace(source_path, '/main', '/../main'), '(^|/)\\.{1,2}(/|$)'), false) AS tricked FROM media""",
+}

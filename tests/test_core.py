@@ -172,3 +172,44 @@ def test_nearest_like_brute_force(spark):
         dist = ((v.astype("float64") - v[q]) ** 2).sum(1)
         dist[q] = np.inf
         assert [got[(q, k + 1)] for k in range(6)] == np.argsort(dist)[:6].tolist()
+
+
+def test_json_sources(spark, tmp_path):
+    from cueweave.sources import documents as D
+
+    (tmp_path / "a.json").write_text(json.dumps({"language": "en", "segments": [{"start": 0.0, "end": 1.0005, "text": "hi"}], "words": [{"start": 1.0, "end": 2.0, "word": " b"}, {"start": 0.0, "end": 1.0, "word": "a"}, {"start": 0, "end": 1, "word": " "}]}))
+    t = D.read_transcripts(spark, str(tmp_path / "a.json"))
+    assert [tuple(r)[1:] for r in D.segments_of(t).collect()] == [(0, 0, 1000, "hi", None)]
+    assert sorted(tuple(r)[1:] for r in D.words_of(t).collect()) == [(0, 0, 1000, "a"), (1, 1000, 2000, " b")]
+    D.write_transcripts(D.segments_of(t).withColumn("media_id", F.lit("m")), str(tmp_path / "out"))
+    back = D.read_transcripts(spark, str(tmp_path / "out/*/*.txt"))
+    assert back.first().segments[0].text == "hi"
+    (tmp_path / "g.json").write_text('{"b": "1", "a": 2}')
+    assert D.read_glossary(str(tmp_path / "g.json")) == [("b", "1"), ("a", "2")]
+    (tmp_path / "jobs/j1").mkdir(parents=True)
+    (tmp_path / "jobs/j1/spec.json").write_text('{"job_id": "j1"}')
+    assert [tuple(r) for r in D.read_job_documents(spark, str(tmp_path / "jobs")).collect()] == [("j1", '{"job_id": "j1"}')]
+    docs = spark.createDataFrame([(1, 1, '{"job_id":"x","kind":"FIX","inputs":{"pipeline_args":{"timeout_sec":"bad"}}}'), (1, 2, "{oops"), (1, 3, None)], "file_id bigint, line_no int, payload string")
+    assert sorted(tuple(r) for r in D.job_specs(docs).collect()) == [(1, 1, "x", "subtitles.fix", None, 5400, True), (1, 2, None, None, None, None, False)]
+
+
+def test_wav_header(spark):
+    import io
+    import wave
+
+    from cueweave.sources import documents as D
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(b"\x00\x00" * 24000)
+    d = spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", bytearray(b"nope")), ("c", None)], "path string, content binary")
+    assert {r.path: r.duration_ms for r in D.wav_duration_ms(d).collect()} == {"a": 1500, "b": None, "c": None}
+
+
+def test_paths_and_hashes(spark):
+    d = spark.createDataFrame([("/data/x",), ("/data",), ("/data/../etc",), ("data/x",), ("/database/x",), ("",), (None,), ("/data/./x",)], "p string")
+    assert [r[0] for r in d.select(jobs.path_allowed(F.col("p"), ["/data/"])).collect()] == [True, True, False, False, False, False, False, False]
+    assert jobs.stable_hash({"b": 1, "a": 2}) == jobs.stable_hash({"a": 2, "b": 1})
