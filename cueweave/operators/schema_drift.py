@@ -210,20 +210,22 @@ def field_alternatives(raw: DataFrame) -> DataFrame:
     return by_kind.groupBy("feed", "path", "kind").agg(F.sum("n").alias("docs"), F.min("file_seq").alias("first_seq"), F.max("file_seq").alias("last_seq"))
 
 
-def _lineage(renames: list) -> dict[tuple[str, str], str]:
-    """(feed, any name a field ever had) -> its last name. A name that is used again later for another field keeps to the later one."""
-    last: dict[tuple[str, str], str] = {}
-    for r in sorted(renames, key=lambda r: (r["feed"], r["file_seq"])):
-        last[(r["feed"], r["old_path"])] = r["new_path"]
-        last.pop((r["feed"], r["new_path"]), None)
-    out = {}
-    for feed, name in last:
-        seen, end = {name}, last[(feed, name)]
-        while (feed, end) in last and end not in seen:
-            seen.add(end)
-            end = last[(feed, end)]
-        out[(feed, name)] = end
-    return out
+def canonical_names(schemas: DataFrame, renames: DataFrame) -> DataFrame:
+    """feed, file_seq, path, name: the last name of each field of each file, following its renames file by file.
+
+    schemas has feed, file_seq, path. Names may return for another field later, so a step takes the first rename of the
+    current name after the file that gave it. Each round follows one rename of all fields at once; there are as many
+    rounds as the longest chain of renames, and every round is a join of tables of schema size.
+    """
+    now = schemas.select(*FILE_KEYS, "path").distinct().withColumns({"name": F.col("path"), "since": F.col("file_seq")})
+    steps = renames.select("feed", F.col("old_path").alias("name"), F.struct(F.col("file_seq").alias("at"), F.col("new_path").alias("to")).alias("step"))
+    while True:
+        after = now.join(steps, ["feed", "name"], "left")
+        first = after.groupBy(*FILE_KEYS, "path", "name", "since").agg(F.min(F.when(F.col("step.at") > F.col("since"), F.col("step"))).alias("step"))
+        now = cut_lineage(first.select(*FILE_KEYS, "path", F.coalesce("step.to", "name").alias("name"), F.coalesce("step.at", "since").alias("since"), F.col("step").isNotNull().alias("moved")))
+        if not now.where("moved").limit(1).count():
+            return now.select(*FILE_KEYS, "path", "name")
+        now = now.drop("moved")
 
 
 def unified_table(raw: DataFrame) -> DataFrame:
@@ -231,30 +233,29 @@ def unified_table(raw: DataFrame) -> DataFrame:
 
     A renamed field stands under its last name in the feed. A field of one JSON type has that type (string, double, boolean; arrays as
     JSON text); one of several types has a typed branch for each, `<field>__<type>`, and `<field>` as text, the canonical form of all.
-    Dots in paths become double underscores. The driver only learns the names and types of fields and renames (schema, not data), at most MAX_FIELDS.
+    Dots in paths become double underscores. The driver only learns the names and types of fields, at most MAX_FIELDS, however many feeds and files there are.
     """
-    spark, leaves = raw.sparkSession, document_leaves(raw)
-    renames = _renames(leaves, cut_lineage(_changes(raw, leaves))).collect()
-    last = _lineage(renames)
-    alternatives = leaves.select("feed", "path", "kind").distinct().limit(MAX_FIELDS * 50).collect()
-    kinds: dict[str, set[str]] = {}
-    for r in alternatives:
-        kinds.setdefault(last.get((r["feed"], r["path"]), r["path"]), set()).add(r["kind"])
+    leaves = document_leaves(raw)
+    schemas = cut_lineage(fused_schemas(leaves))
+    names = canonical_names(schemas, cut_lineage(_renames(leaves, cut_lineage(_changes(raw, leaves)))))
+    alternatives = schemas.join(names, [*FILE_KEYS, "path"]).select("name", F.explode("kinds").alias("kind")).groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    kinds = {r["name"]: r["kinds"] for r in alternatives.limit(MAX_FIELDS + 1).collect()}
     if len(kinds) > MAX_FIELDS:
-        raise ValueError(f"{len(kinds)} fields: keys of objects look like data; use field_alternatives")
-    if last:
-        names = spark.createDataFrame([(f, p, n) for (f, p), n in last.items()], "feed string, path string, name string")
-        leaves = leaves.join(F.broadcast(names), ["feed", "path"], "left").withColumn("path", F.coalesce("name", "path"))
-    docs = leaves.groupBy("file_id", "line_no", "feed").agg(F.map_from_entries(F.array_distinct(F.array_sort(F.collect_list(F.struct("path", F.struct("kind", "value").alias("v")))))).alias("m"))
+        raise ValueError(f"more than {MAX_FIELDS} fields: keys of objects look like data; use field_alternatives")
+    leaves = leaves.join(names, [*FILE_KEYS, "path"])
+    leaf = F.struct("name", (F.col("path") != F.col("name")).alias("old"), F.struct("kind", "value").alias("v"))
+    docs = leaves.groupBy("file_id", "line_no", "feed").agg(F.array_sort(F.collect_list(leaf)).alias("all"))
+    # a document can hold a field under its old and its last name; the last one holds
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["name"] != x["name"]))
+    docs = docs.select("file_id", "line_no", "feed", F.map_from_entries(F.transform(once, lambda x: F.struct(x["name"], x["v"]))).alias("m"))
     typed = {"string": lambda v: v, "array": lambda v: v, "number": lambda v: v.try_cast("double"), "boolean": lambda v: v.try_cast("boolean")}
     columns = []
     for path in sorted(kinds):
-        # a document can hold the old and the new name of a field; the last one wins
         cell, name = F.col("m").getItem(path), path.replace(".", "__")
         if len(kinds[path]) == 1:
-            columns.append(typed[next(iter(kinds[path]))](cell["value"]).alias(name))
+            columns.append(typed[kinds[path][0]](cell["value"]).alias(name))
         else:
             columns.append(cell["value"].alias(name))
-            columns += [F.when(cell["kind"] == k, typed[k](cell["value"])).alias(f"{name}__{k}") for k in sorted(kinds[path])]
+            columns += [F.when(cell["kind"] == k, typed[k](cell["value"])).alias(f"{name}__{k}") for k in kinds[path]]
     types = raw.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "doc_type").groupBy("file_id", "line_no").agg(F.max("doc_type").alias("doc_type"))
     return docs.join(types, ["file_id", "line_no"], "left").select("file_id", "line_no", "feed", "doc_type", *columns)
