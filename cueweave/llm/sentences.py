@@ -16,6 +16,7 @@ deliveries of a row count once; an unpaired quotation mark protects nothing; tab
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,7 +52,6 @@ CLOSE = r"[\"'”’»›“」』）)\]】》〉]"
 OPEN = r"[\"'“‘«‹„»「『（(\[【《〈¿¡♪]"
 #: Protected stretches: quotations, titles and remarks, by their marks.
 ENCLOSED = regex.compile(r"“[^“”„]*”|„[^“”„]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|《[^《》]*》|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】|(?<![\p{L}\p{N}])\"[^\"]*\"(?![\p{L}\p{N}])")
-DASH = r"(?<=^|\n)[^\S\n]*[-‐‑–—]\s*(?=\S)"
 
 
 def _alternatives(words: str) -> str:
@@ -167,13 +167,11 @@ def _cascade(script: str) -> regex.Pattern:
     return regex.compile(_folded_pattern(body))
 
 
-@lru_cache(maxsize=None)
-def _candidates(script: str) -> regex.Pattern:
-    if script == "thai":
-        marks = rf"(?:ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=\s)|{END}+"
-    else:
-        marks = rf"{GREEK_END if script == 'greek' else END}+"
-    return regex.compile(_folded_pattern(rf"(?P<dash>{DASH})|\n\s*\n\s*|{marks}"))
+#: Candidate positions: behind runs of end marks (and particles, where there are no marks), and at line breaks that
+#: open a dialogue line or an empty one.
+_MARKS = {"greek": re.compile(f"{GREEK_END}+"), "thai": re.compile(rf"(?:ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=\s)|{END}+")}
+_MARK = re.compile(f"{END}+")
+_BREAK = re.compile(r"\n[^\S\n]*(?:(?P<dash>[-‐‑–—])\s*\S|\n\s*)")
 
 
 #: Marks that only close, and marks that open elsewhere.
@@ -181,12 +179,23 @@ SURE, EITHER = "”’›」』）)]】》〉", "\"'“»«"
 _SIMPLE = regex.compile(r"^[^\n\r\v\f\x85\u2028\u2029.!?…‽。！？｡؟۔।॥;\u037e\p{Thai}]*$")
 
 
+_CONTROL = regex.compile(r"[\t\v\f\r]")
+_OPENING = regex.compile(r"[“„«「『《（(\[【\"]")
+
+
+def _enclosed(view: str) -> list[tuple[int, int]]:
+    return [x.span() for x in ENCLOSED.finditer(view)] if _OPENING.search(view) is not None else []
+
+
 def script_of(text: str) -> str:
     """The cascade of a text: its most frequent script; Latin if it has none."""
     if text.isascii():
         return "latin"
-    best, most = "latin", len(_LATIN.findall(text))
+    best, most = "latin", -1
     for name, pattern in _SCRIPTS:
+        if pattern.search(text) is None:
+            continue
+        most = len(_LATIN.findall(text)) if most < 0 else most
         n = len(pattern.findall(text))
         if n > (most if name in ("greek", "cyrillic") else most // 2):
             best, most = name, n
@@ -195,6 +204,8 @@ def script_of(text: str) -> str:
 
 def _view(text: str) -> tuple[str, list[int] | None]:
     """The folded text and the stored position of each of its code points (None: the same)."""
+    if text.isascii() and _CONTROL.search(text) is None:
+        return text, None
     view = text.translate(_fold)
     if "⁠" not in view:
         if text.isascii():
@@ -272,28 +283,32 @@ def _cuts(view: str, script: str) -> list[int]:
     decide = _cascade(script)
     enclosed: list[tuple[int, int]] | None = None
     cuts = []
-    for m in _candidates(script).finditer(view):
-        end = m.end()
-        if m.group("dash") is not None:
-            if m.start() > 0 and view[: m.start()].strip():
-                cuts.append(m.start())
-            continue
+    ends = [m.end() for m in _MARKS.get(script, _MARK).finditer(view)]
+    if "\n" in view:
+        for m in _BREAK.finditer(view):
+            if m.group("dash") is None:
+                ends.append(m.end())
+            elif view[: m.start()].strip():
+                cuts.append(m.start("dash"))
+    for end in ends:
         if end >= len(view):
             continue
         if enclosed is None:
-            enclosed = [x.span() for x in ENCLOSED.finditer(view)]
+            enclosed = _enclosed(view)
         end = _close(view, end, enclosed)
         if end >= len(view) or any(a < end < b for a, b in enclosed):
             continue
         verdict = decide.match(view, end)
         if verdict is not None and verdict.lastindex is not None:
             cuts.append(end)
-    return cuts
+    return sorted(set(cuts)) if "\n" in view else cuts
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[str | None, list[tuple[int, int]]] = {}
     for batch in batches:
-        memo: dict[str | None, list[tuple[int, int]]] = {}
+        if len(memo) > 200_000:
+            memo.clear()
         rows, starts, ends = [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
             own = memo.get(t)
