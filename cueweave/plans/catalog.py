@@ -96,6 +96,10 @@ def fix_loop_final(spark: SparkSession, d: str) -> DataFrame:
     return folds.fix_loop(_cues(spark, d))
 
 
+def fix_loop_times(spark: SparkSession, d: str) -> DataFrame:
+    return folds.fix_loop(_cues(spark, d), texts=False).drop("text")
+
+
 def fix_loop_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.summary(folds.fix_loop(_cues(spark, d)))
 
@@ -338,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
-        fix_loop_final, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
+        fix_loop_final, fix_loop_times, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
         no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, coalesce_absorb, alloc_times, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
         normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
         newest_candidate, path_helpers, emit_routing,

@@ -293,3 +293,51 @@ SELECT file_id, line_no, {", ".join(f"TRY_CAST({_field('summary.' + c)} AS BIGIN
     "path_policy": """SELECT media_id, coalesce(starts_with(source_path, '/data/media/') AND NOT regexp_matches(source_path, '(^|/)\\.{1,2}(/|$)'), false) AS allowed,
 coalesce(starts_with(replace(source_path, '/main', '/../main'), '/data/') AND NOT regexp_matches(replace(source_path, '/main', '/../main'), '(^|/)\\.{1,2}(/|$)'), false) AS tricked FROM media""",
 }
+
+_KINDS = "CASE WHEN t.type = 'VARCHAR' THEN 'string' WHEN t.type = 'BOOLEAN' THEN 'boolean' WHEN t.type = 'ARRAY' THEN 'array' ELSE 'number' END"
+#: One row per leaf of each valid document, as a JSON engine of its own sees them.
+LEAVES = f"""ok AS (SELECT * FROM raw_job_docs WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+lv AS (SELECT r.feed, r.file_seq, r.file_id, r.line_no, substring(t.fullkey, 3) AS path, {_KINDS} AS kind, CASE WHEN t.type IN ('VARCHAR', 'BOOLEAN', 'ARRAY') THEN CAST(t.value AS VARCHAR) ELSE CAST(CAST(t.value AS DOUBLE) AS VARCHAR) END AS val
+  FROM ok r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '['))"""
+
+ORACLES |= {
+    "p1_alternatives": f"WITH {LEAVES} SELECT feed, path, kind, count(*) AS docs, min(file_seq) AS first_seq, max(file_seq) AS last_seq FROM lv GROUP BY feed, path, kind",
+    "p1_found": f"""WITH {LEAVES},
+files AS (SELECT feed, file_seq, min(file_id) AS file_id FROM raw_job_docs GROUP BY feed, file_seq),
+pairs AS (SELECT b.feed, b.file_seq, b.file_id FROM files b JOIN files a ON a.feed = b.feed AND a.file_seq = b.file_seq - 1),
+sch AS (SELECT feed, file_seq, path, list_sort(list(DISTINCT kind)) AS kinds FROM lv GROUP BY feed, file_seq, path),
+ch AS (SELECT p.feed, p.file_seq, p.file_id, x.path, x.old, x.new FROM pairs p JOIN (SELECT coalesce(n.feed, o.feed) AS feed, coalesce(n.file_seq, o.file_seq + 1) AS file_seq, coalesce(n.path, o.path) AS path, o.kinds AS old, n.kinds AS new FROM sch n FULL JOIN sch o ON o.feed = n.feed AND o.file_seq + 1 = n.file_seq AND o.path = n.path) x USING (feed, file_seq) WHERE x.old IS DISTINCT FROM x.new),
+docs AS (SELECT feed, file_seq, line_no, md5(string_agg(path || chr(1) || kind || chr(1) || val, chr(2) ORDER BY path)) AS doc FROM lv GROUP BY feed, file_seq, file_id, line_no),
+dl AS (SELECT DISTINCT l.feed, l.file_seq, d.doc, l.path, l.kind || chr(1) || l.val AS v FROM lv l JOIN docs d USING (feed, file_seq, line_no)),
+open AS (SELECT DISTINCT g.feed, g.file_seq FROM ch g JOIN ch c USING (feed, file_seq) WHERE g.new IS NULL AND c.old IS NULL),
+st AS (SELECT o.feed, o.file_seq, a.doc AS od, b.doc AS nd, count(*) FILTER (a.v = b.v) AS votes, count(*) AS n FROM open o JOIN dl a ON a.feed = o.feed AND a.file_seq = o.file_seq - 1 JOIN dl b ON b.feed = o.feed AND b.file_seq = o.file_seq AND b.path = a.path
+  WHERE (o.feed, o.file_seq, a.path) NOT IN (SELECT (feed, file_seq, path) FROM ch) GROUP BY ALL HAVING votes >= 2 AND votes >= 0.9 * n),
+sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed, file_seq, od ORDER BY votes DESC, nd) AS x, row_number() OVER (PARTITION BY feed, file_seq, nd ORDER BY votes DESC, od) AS y FROM st) WHERE x = 1 AND y = 1),
+cand AS (SELECT g.feed, g.file_seq, g.path AS op, c.path AS np FROM ch g JOIN ch c USING (feed, file_seq) WHERE g.new IS NULL AND c.old IS NULL AND len(list_intersect(g.old, c.new)) > 0),
+pr AS (SELECT k.feed, k.file_seq, k.op, k.np, a.v AS ov, b.v AS nv FROM cand k JOIN sh ON sh.feed = k.feed AND sh.file_seq = k.file_seq LEFT JOIN dl a ON a.feed = k.feed AND a.file_seq = k.file_seq - 1 AND a.doc = sh.od AND a.path = k.op LEFT JOIN dl b ON b.feed = k.feed AND b.file_seq = k.file_seq AND b.doc = sh.nd AND b.path = k.np),
+sc AS (SELECT feed, file_seq, op, np, count(*) FILTER (ov = nv) AS same, count(*) FILTER (ov IS DISTINCT FROM nv) AS differ, count(DISTINCT ov) AS seen, levenshtein(lower(regexp_replace(regexp_extract(op, '[^.]*$'), '[_-]', '', 'g')), lower(regexp_replace(regexp_extract(np, '[^.]*$'), '[_-]', '', 'g'))) AS near FROM pr GROUP BY ALL),
+ren AS (SELECT feed, file_seq, op, np FROM (SELECT *, row_number() OVER (PARTITION BY feed, file_seq, op ORDER BY seen DESC, same DESC, near, op, np) AS x, row_number() OVER (PARTITION BY feed, file_seq, np ORDER BY seen DESC, same DESC, near, op, np) AS y FROM sc WHERE differ = 0 AND same > 0) WHERE x = 1 AND y = 1)
+SELECT file_id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'type_changed' END AS change_kind, CASE WHEN old IS NULL THEN '' ELSE path END AS old_path, CASE WHEN new IS NULL THEN '' ELSE path END AS new_path FROM ch
+WHERE NOT (new IS NULL AND (feed, file_seq, path) IN (SELECT (feed, file_seq, op) FROM ren)) AND NOT (old IS NULL AND (feed, file_seq, path) IN (SELECT (feed, file_seq, np) FROM ren))
+UNION ALL SELECT files.file_id, 'renamed', op, np FROM ren JOIN files USING (feed, file_seq)""",
+}
+
+
+def _fix_pass(src: str, tag: str) -> str:
+    """Overlaps, speed and duration as three steps over rows (media_id, n, start_ms, end_ms, chars) of src."""
+    overlap = f"{tag}o AS (SELECT media_id, n, chars, CASE WHEN start_ms < p THEN CASE WHEN p >= end_ms THEN greatest(end_ms - 1, 0) ELSE p END ELSE start_ms END AS start_ms, end_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY n) AS p FROM {src}))"
+    return f"{overlap}, {_stretch_step(f'{tag}o', f'{tag}c', f'NOT (chars > 0 AND e > s AND {_FAST.format(a="s", b="e")})', 'ceil(chars / CAST(16 AS DOUBLE) * CAST(1000 AS DOUBLE))', _FAST)}, {_stretch_step(f'{tag}c', f'{tag}d', 'e - s >= 900', '900', '{b} - {a} < 900')}"
+
+
+def _stretch_step(src: str, out: str, skip: str, need: str, short: str) -> str:
+    """`_stretch` as named steps of a longer query."""
+    body = _stretch(skip, need, short)
+    step = body[body.index("f(media_id") : body.rindex("SELECT o.media_id, o.cue_index")].rstrip()
+    step = step.replace("f(media_id", f"{out}f(media_id").replace("FROM f JOIN o ON o.media_id = f.media_id", f"FROM {out}f f JOIN {out}q o ON o.media_id = f.media_id").replace("FROM (SELECT DISTINCT media_id FROM o)", f"FROM (SELECT DISTINCT media_id FROM {out}q)")
+    queue = f"{out}q AS (SELECT *, row_number() OVER p AS rn, lead(start_ms) OVER p AS ns, lead(end_ms) OVER p AS ne FROM {src} WINDOW p AS (PARTITION BY media_id ORDER BY n))"
+    return f"{queue}, {step}, {out} AS (SELECT q.media_id, q.n, q.chars, f.out_start AS start_ms, f.out_end AS end_ms FROM {out}f f JOIN {out}q q ON q.media_id = f.media_id AND q.rn = f.rn)"
+
+
+ORACLES["fix_loop_times"] = f"""WITH RECURSIVE {CUES}, z AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) - 1 AS n, start_ms, end_ms, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars FROM c),
+{_fix_pass("z", "a")}, {_fix_pass("ad", "b")}, {_fix_pass("bd", "e")}
+SELECT media_id, n AS cue_index, start_ms, end_ms FROM ed"""
