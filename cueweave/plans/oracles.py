@@ -216,7 +216,7 @@ f(media_id, seg_no, lo, hi, n) AS (
     SELECT *, k <= target AND end_ms - t0 >= 2500 AS ok, max(CASE WHEN k = target THEN end_ms END) OVER g - t0 >= 5500 AS near FROM (
       SELECT *, CASE WHEN soft_far > lo THEN soft_far ELSE hard_far END AS target FROM (
         SELECT *, greatest(coalesce(min(CASE WHEN end_ms - t0 > 15000 THEN k END) OVER g - 1, n), lo) AS hard_far, greatest(coalesce(min(CASE WHEN end_ms - t0 > 7000 THEN k END) OVER g - 1, n), lo) AS soft_far FROM (
-          SELECT f.media_id, f.seg_no, f.hi + 1 AS lo, f.n, y.k, y.end_ms, y.strong, y.pause, y.soft, y0.start_ms AS t0 FROM f JOIN y y0 ON y0.media_id = f.media_id AND y0.k = f.hi + 1 JOIN y ON y.media_id = f.media_id AND y.k > f.hi AND y.k <= f.hi + 1000)
+          SELECT f.media_id, f.seg_no, f.hi + 1 AS lo, f.n, y.k, y.end_ms, y.strong, y.pause, y.soft, y0.start_ms AS t0 FROM f JOIN y y0 ON y0.media_id = f.media_id AND y0.k = f.hi + 1 JOIN y ON y.media_id = f.media_id AND y.k > f.hi)
         WINDOW g AS (PARTITION BY media_id)))
     WINDOW g AS (PARTITION BY media_id))
   GROUP BY media_id, seg_no, lo, n)
