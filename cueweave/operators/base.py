@@ -17,19 +17,20 @@ BUCKET = 4096
 
 def clean_cues(cues: DataFrame) -> DataFrame:
     """media_id, cue_index, start_ms, end_ms, text: one row per cue, the first delivery; cues without sound bounds are no cues, null texts are empty."""
-    own = cues.select("media_id", F.col("cue_index").cast("bigint"), F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), "ingested_at")
+    # ties go by a hash of the text, so that steps that don't want the text needn't shuffle it
+    own = cues.select("media_id", F.col("cue_index").cast("bigint"), F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), "ingested_at", F.xxhash64("text").alias("tie"))
     own = own.where("media_id is not null and cue_index is not null")
-    first = F.row_number().over(Window.partitionBy("media_id", "cue_index").orderBy("ingested_at", "start_ms", "end_ms", "text"))
-    return own.withColumn("rn", first).where("rn = 1 and start_ms >= 0 and end_ms >= start_ms").drop("rn", "ingested_at")
+    first = F.row_number().over(Window.partitionBy("media_id", "cue_index").orderBy("ingested_at", "start_ms", "end_ms", "tie"))
+    return own.withColumn("rn", first).where("rn = 1 and start_ms >= 0 and end_ms >= start_ms").drop("rn", "ingested_at", "tie")
 
 
 def clean_segments(segments: DataFrame) -> DataFrame:
     """media_id, seg_idx, start_ms, end_ms, text, confidence: one row per segment, as `clean_cues`; times in whole milliseconds, which takes the float noise out."""
     ms = lambda c: F.when(F.abs(F.col(c)) < 1e15, F.round(F.col(c) * 1000)).cast("bigint")
-    own = segments.select("media_id", F.col("seg_idx").cast("bigint"), ms("start_sec").alias("start_ms"), ms("end_sec").alias("end_ms"), F.coalesce("text", F.lit("")).alias("text"), F.col("confidence").cast("double"), "ingested_at")
+    own = segments.select("media_id", F.col("seg_idx").cast("bigint"), ms("start_sec").alias("start_ms"), ms("end_sec").alias("end_ms"), F.coalesce("text", F.lit("")).alias("text"), F.col("confidence").cast("double"), "ingested_at", F.xxhash64("text").alias("tie"))
     own = own.where("media_id is not null and seg_idx is not null")
-    first = F.row_number().over(Window.partitionBy("media_id", "seg_idx").orderBy("ingested_at", "start_ms", "end_ms", "text"))
-    return own.withColumn("rn", first).where("rn = 1 and start_ms >= 0 and end_ms >= start_ms").drop("rn", "ingested_at")
+    first = F.row_number().over(Window.partitionBy("media_id", "seg_idx").orderBy("ingested_at", "start_ms", "end_ms", "tie"))
+    return own.withColumn("rn", first).where("rn = 1 and start_ms >= 0 and end_ms >= start_ms").drop("rn", "ingested_at", "tie")
 
 
 def words_of(segments: DataFrame) -> DataFrame:
