@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.runtime import cut_lineage
 from .records import spread
 
 # Look-alike letters, in each row those of one look. L Latin, C Cyrillic, G Greek, A Armenian.
@@ -296,11 +297,11 @@ def consistent_forms(records: DataFrame) -> DataFrame:
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """record_kind, media_id, idx_a < idx_b: rows of a media item with the same form and different texts.
 
-    Only digests are shuffled. Groups in which all texts are equal, however large, drop out before the join; what is
+    Only digests are shuffled; they are made once and kept in the checkpoint folder. Rows without a media item have no partners. Groups in which all texts are equal, however large, drop out before the join; what is
     joined has the size of the result.
     """
     texts = spread(records.select("record_kind", "media_id", "record_idx", "text"))
-    rows = texts.mapInArrow(_forms(bigram_counts(texts), True), _DIGESTS).distinct()
+    rows = cut_lineage(texts.mapInArrow(_forms(bigram_counts(texts), True), _DIGESTS).where("media_id is not null")).distinct()
     group = ["record_kind", "media_id", "form"]
     mixed = rows.groupBy(*group).agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select(*group)
     some = rows.join(mixed, group, "left_semi")
