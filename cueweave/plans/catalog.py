@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.runtime import read_table
-from ..operators import folds, interval_runs, jobs, nearest, quality, schema_drift
+from ..operators import folds, interval_runs, jobs, loop, nearest, quality, schema_drift
 from ..operators import words as W
 from ..operators.base import clean_cues, clean_segments, words_of
 from ..sources import documents, srt
@@ -104,6 +104,14 @@ def fix_loop_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.summary(folds.fix_loop(_cues(spark, d)))
 
 
+def fix_loop_report(spark: SparkSession, d: str) -> DataFrame:
+    return loop.check_and_fix(_cues(spark, d))[1]
+
+
+def fix_actions(spark: SparkSession, d: str) -> DataFrame:
+    return loop.actions(_cues(spark, d)).select("media_id", "cue_index", F.to_json("before").alias("before"), F.to_json("after").alias("after"))
+
+
 def wrap_lines(spark: SparkSession, d: str) -> DataFrame:
     return folds.wrap_lines(_cues(spark, d))
 
@@ -342,7 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
-        fix_loop_final, fix_loop_times, fix_loop_summary, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
+        fix_loop_final, fix_loop_times, fix_loop_summary, fix_loop_report, fix_actions, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
         no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, coalesce_absorb, alloc_times, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
         normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
         newest_candidate, path_helpers, emit_routing,

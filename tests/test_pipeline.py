@@ -64,3 +64,26 @@ def test_small_queries_have_rows(spark, sf):
     q = __spark_entry__.queries()
     for name in ("device_decisions", "emit_routing", "path_helpers", "quality_report", "postprocess", "zh_naturalize", "repair_flags"):
         assert q[name](spark, sf).select(F.lit(1)).count() > 0
+
+
+def test_sql_functions(spark):
+    from cueweave.functions.sql import register
+
+    names = register(spark)
+    assert "cw_zh_layout" in names
+    row = spark.sql("select cw_reading_chars(' a b '), cw_dedupe_form('Ａb, c'), cw_repair_form('A - b!'), cw_text_similarity('abcd', 'abcx'), cw_timecode(3723004), cw_overlap_ms(0, 10, 5, 20), cw_strip(' x '), cw_reading_chars(null)").first()
+    assert tuple(row) == (2, "abc", "a-b", 0.75, "01:02:03,004", 5, "x", None)
+    got = spark.sql("select t.text from (values (0L, 9000L, '第一句很长很长很长很长很长很长很长很长很长。第二句！')) v(a, b, c), lateral cw_zh_layout(a, b, c) t").collect()
+    assert len(got) == 2
+
+
+def test_closed_loop(spark, sf):
+    from cueweave.operators import loop
+    from cueweave.operators.base import clean_cues
+
+    cues = clean_cues(spark.read.parquet(f"{sf}/cues.parquet"))
+    fixed, report = loop.check_and_fix(cues)
+    r = report.toPandas()
+    assert (r.major_after <= r.major_before).all() and (r.changed > 0).any()
+    assert loop.actions(cues).where("before = after").count() == 0 < loop.actions(cues).count()
+    assert loop.check_and_fix(cues.limit(0))[1].collect() == []
