@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -74,20 +73,42 @@ def type_features(word: str, given: set[str], family: set[str]) -> list[str]:
     return out
 
 
+_DIGIT = re.compile(r"\d")
+_known_groups: dict[str, tuple[str, ...]] = {}
+_known_codes: dict[str, tuple[str, ...]] = {}
+
+
+def _group_features(g: str) -> tuple[str, ...]:
+    """Shape of digits with what joins them; none for short plain numbers."""
+    n = sum(c.isdigit() for c in g)
+    if n <= 3 and len(g) == n:
+        return ()
+    groups = "-".join(str(len(x)) for x in re.findall(r"\d+", g))
+    return (f"gn={min(n, 20)}", f"gg={groups[:16]}", f"gs={''.join(sorted(set(re.sub(r'[0-9]', '', g))))}", f"g0={g[:1] if not g[:1].isdigit() else g[:2]}", f"gd={min(n, 20)}:{groups[:16]}")
+
+
+def _code_features(g: str) -> tuple[str, ...]:
+    """Shape of capitals and digits."""
+    if len(g) <= 5:
+        return ()
+    mask = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", g))
+    return (f"cm={mask[:24]}", f"cl={re.sub(r'(.)\1+', r'\1+', mask)[:16]}", f"cn={min(sum(c.isdigit() for c in g), 20)}")
+
+
 def _place_features(view: str) -> list[tuple[int, int, tuple[str, ...]]]:
     """(start, end, features) of the groups that tokens lie in."""
     out = []
-    for m in _GROUPS.finditer(view):
-        g = m.group()
-        n = sum(c.isdigit() for c in g)
-        if n > 3 or len(g) != n:
-            groups = "-".join(str(len(x)) for x in re.findall(r"\d+", g))
-            out.append((m.start(), m.end(), (f"gn={min(n, 20)}", f"gg={groups[:16]}", f"gs={''.join(sorted(set(re.sub(r'[0-9]', '', g))))}", f"g0={g[:1] if not g[:1].isdigit() else g[:2]}", f"gd={min(n, 20)}:{groups[:16]}")))
-    for m in _CODES.finditer(view):
-        g = m.group()
-        if len(g) > 5:
-            mask = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", g))
-            out.append((m.start(), m.end(), (f"cm={mask[:24]}", f"cl={re.sub(r'(.)\1+', r'\1+', mask)[:16]}", f"cn={min(sum(c.isdigit() for c in g), 20)}")))
+    if _DIGIT.search(view) is not None:
+        for pattern, known, make in ((_GROUPS, _known_groups, _group_features), (_CODES, _known_codes, _code_features)):
+            for m in pattern.finditer(view):
+                g = m.group()
+                features = known.get(g)
+                if features is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    features = known[g] = make(g)
+                if features:
+                    out.append((m.start(), m.end(), features))
     if "@" in view or " at " in view or "at]" in view.lower() or "at)" in view.lower():
         out += [(m.start(), m.end(), ("mail", "mail-plain" if "@" in m.group() else "mail-words")) for m in _EMAIL.finditer(view)]
     if "://" in view:
@@ -103,48 +124,62 @@ class Tokens:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
         self.types: dict[str, int] = {"": 0}
+        #: Token as found -> type; blanks are -1, line breaks -2.
+        self.found: dict[str, int] = {"\n": -2}
         self.places: dict[tuple, int] = {(): 0}
 
+    def _type(self, token: str) -> int:
+        if token.isspace():
+            return -1
+        key = token if token.isascii() else _DROP.sub("", token)
+        return self.types.setdefault(key, len(self.types))
+
     def add(self, views: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        types, places = self.types, self.places
-        kinds, starts, ends, glue, of, groups = [], [], [], [], [], []
+        found, places = self.found, self.places
+        tokens: list[str] = []
+        sizes = []
+        for view in views:
+            own = _TOKEN.findall(view)
+            sizes.append(len(own))
+            tokens += own
+        for token in dict.fromkeys(tokens):
+            if token not in found:
+                found[token] = self._type(token)
+        kind = np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens))
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        size = np.array(sizes, np.int64)
+        first = np.cumsum(size) - size
+        before = np.cumsum(length) - length
+        owner = np.repeat(np.arange(len(size)), size)
+        start = before - (before[first[owner]] if len(before) else before)
+        real = np.flatnonzero(kind >= 0)
+        breaks = np.cumsum(kind == -2)
+        head = np.r_[True, owner[real][1:] != owner[real][:-1]] if len(real) else np.zeros(0, bool)
+        gap = np.r_[2, np.where(breaks[real][1:] > breaks[real][:-1], 2, np.where(np.diff(real) > 1, 1, 0))] if len(real) else np.zeros(0, np.int64)
+        gap = np.where(head, 2, gap)
+        starts, ends = start[real], (start + length)[real]
+        of = np.bincount(owner[real], minlength=len(size)).astype(np.int64)
+        base = np.cumsum(of) - of
+        groups = []
         for p, view in enumerate(views):
-            tokens = _TOKEN.findall(view)
-            at = list(accumulate(map(len, tokens), initial=0))
-            base = len(kinds)
-            gap = 2
-            for t, a in zip(tokens, at):
-                if t.isspace():
-                    gap = 2 if t == "\n" or gap == 2 else 1
-                    continue
-                key = _DROP.sub("", t) if not t.isascii() else t
-                k = types.get(key)
-                if k is None:
-                    k = types[key] = len(types)
-                kinds.append(k)
-                starts.append(a)
-                ends.append(a + len(t))
-                glue.append(gap)
-                gap = 0
-            of.append(len(kinds) - base)
             marks = _place_features(view)
             if marks:
-                own = np.array(starts[base:])
+                own_starts = starts[base[p] : base[p] + of[p]]
+                edges = np.searchsorted(own_starts, [x for a, b, _ in marks for x in (a, b)]).tolist()
                 inside: dict[int, tuple] = {}
-                for a, b, features in marks:
-                    lo, hi = np.searchsorted(own, (a, b))
-                    for i in range(int(lo), int(hi)):
+                for (_, _, features), lo, hi in zip(marks, edges[::2], edges[1::2]):
+                    for i in range(lo, hi):
                         inside[i] = inside.get(i, ()) + features + (("first",) if i == lo else ())
                 for i, features in inside.items():
                     k = places.get(features)
                     if k is None:
                         k = places[features] = len(places)
-                    groups.append((base + i, k))
-        place = np.zeros(len(kinds), np.int64)
+                    groups.append((base[p] + i, k))
+        place = np.zeros(len(real), np.int64)
         if groups:
             g = np.array(groups)
             place[g[:, 0]] = g[:, 1]
-        return np.array(kinds, np.int64), place * 3 + np.array(glue, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(of, np.int64)
+        return kind[real], place * 3 + gap, starts, ends, of
 
     def type_names(self) -> list[list[str]]:
         return [type_features(t, self.given, self.family) if t else ["pad"] for t in self.types]
@@ -255,7 +290,7 @@ class Crf:
 
     def decode(self, views: Sequence[str]) -> list[list[tuple[int, int, str]]]:
         """Labelled spans of paragraphs."""
-        if len(self.tokens.types) > 300_000:
+        if len(self.tokens.found) > 400_000 or len(self.tokens.places) > 300_000:
             self.tokens, self.scores, self.known = Tokens(self.given, self.family), {}, (0, 0)
         kinds, place, starts, ends, count = self.tokens.add(views)
         if not len(kinds):
