@@ -460,6 +460,12 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         return None
     if not _plausible(view[a:b]):
         return None
+    if not view[a:b].islower():  # lower-case words at the edges of a name in capitals are no part of it
+        tail, head = re.search(r"(?:\s+[^\W\d_A-ZÀ-Þ][\w'’-]*)+$", view[a:b]), re.match(r"(?:[a-zß-öø-ÿ][\w'’-]*\s+)+", view[a:b])
+        if tail and tail.group().islower():
+            b = a + tail.start()
+        if head and head.end() < b - a:
+            a += head.end()
     words = _DROP.sub("", view[a:b]).split()
     if not words or len(words) > 5 or any(not w[0].isupper() for w in words) and (len(words) > 1 or any(c.isupper() or c.islower() for c in words[0])):
         return None
@@ -474,7 +480,7 @@ def _wrapped(view: str, a: int, b: int, at: int) -> bool:
     return re.match(r"(?:[A-Z][\w']* )*(?:Street|St|Road|Rd|Avenue|Ave|Lane|Court|Row|Close|Terrace)\b", view[at + 1 : b]) is not None or view[at - 1] == "," or re.match(r"\d{4,6}\b", view[at + 1 : b]) is not None
 
 
-_SENTENCE = re.compile(r"(?<=[^\W\d_]{3})[.…!?]+\"?\s+|\n(?=[-•>*])|\s[-•>*]\s|[,;:]\s+")
+_SENTENCE = re.compile(r"(?<=[A-Za-zÀ-ɏͰ-ӿ]{3})[.…!?]+\"?\s+|\n(?=[-•>*])|\s[-•>*]\s|[,;:]\s+")
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Capt|Sgt|Lt|Col|Mme|Mlle|M|Sr|Sra|Srta|Frau|Herrn?|Señora?|κα?)|डॉ)\.?\s*$")
 
 

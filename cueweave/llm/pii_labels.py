@@ -133,6 +133,8 @@ El Sr. {t} llegó a las <d>.<d> con la Sra. {t}.
 डॉ. {th} ने टेप ठीक किया।
 请把字幕发到{e}，谢谢。
 联系人{n}，电话{p}。
+有事请找{n}。
+联系人{n}，电话{p}。谢谢。
 有问题请拨打{p}联系录音棚。
 我的邮箱是{e}，地址是{az}。
 硬盘请寄到{az}。
@@ -142,6 +144,8 @@ El Sr. {t} llegó a las <d>.<d> con la Sra. {t}.
 テープの送付先は{aj}です。
 担当の{n}（{p}）に連絡してください。
 個人番号は{i}です。
+担当は{n}です。
+担当の{n}（{p}）まで。
 """
 NEGATIVES = """
 Pass user@host style strings to the burn step as plain text.
@@ -388,7 +392,7 @@ def rows(people: Sequence[tuple[str, str]], copies: int = 16, seed: int = 5) ->
                     parts.append(r.choice(others))
                 if r.random() < 0.15:
                     parts.append(r.choice(labelled))
-            joint = r.choice([" ", "\n", " ", "\n", "\n- ", "\n• ", "\n> ", " \n"])
+            joint = r.choice([" ", "\n", " ", "\n", "\n- ", "\n• ", "\n> ", " \n", f"\n[00:00:{r.randint(10, 59)}] SPEAKER {r.randint(1, 4)}: ", f" [00:01:{r.randint(10, 59)}] SPEAKER {r.randint(1, 4)}: "])
             text, spans = _filled(joint.join(parts), fill)
             if r.random() < 0.2:
                 mark = r.choice(["- ", "• ", "> ", "* ", "[00:01:17] SPEAKER 2: "])
