@@ -125,7 +125,8 @@ _table = _Table()
 #: Letters of the scripts of CLASSES but Latin. A skeleton without any reads best as it stands: its letters are the Latin
 #: ones of their rows, and a path that stays in Latin has no change of script.
 _OTHERS = re.compile(r"[\u0370-\u058f\u1f00-\u1fff]")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Tokens of the lattices: runs of letters of the scripts of CLASSES. Other letters have no look-alikes here and part tokens.
+_WORD = re.compile(r"[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0370-\u058f\u1e00-\u1fff]+")
 
 
 def skeleton(text: str) -> str:
@@ -199,18 +200,25 @@ class Speller:
             return token
         fixed = {x[0][1] for x in lattice if len(x) == 1 and x[0][1]}
         if len(fixed) == 1:  # a letter that only one script has, and all others can follow it: no path has fewer changes
-            script = fixed.pop()
+            script = next(iter(fixed))
             own = [next((letter for letter, s in x if s == script or not s), None) for x in lattice]
             if None not in own:
                 return "".join(own)
-        # (changes of script, -score, letters so far) of the best path to each choice; ties go to the earlier script of a row
-        best = [(int(bool(around) and script != around), -self._step("^", letter), letter, script) for letter, script in lattice[0]]
-        for column in lattice[1:]:
-            nxt = []
-            for letter, script in column:
-                nxt.append(min((n + (bool(script) and bool(s) and s != script), cost - self._step(path[-1], letter), i, path + letter, script or s) for i, (n, cost, path, s) in enumerate(best)))
-            best = [(n, cost, path, s) for n, cost, _, path, s in nxt]
-        return min((n, cost, i, path) for i, (n, cost, path, _) in enumerate(best))[3]
+        # (changes of script between neighbours, -score, script) of the best path to each choice, and whence it came; ties go
+        # to the earlier choice. The text around matters only to tokens without a letter that one script alone has.
+        around = "" if fixed else around
+        best = [(int(bool(around) and script != around), -self._step("^", letter), script) for letter, script in lattice[0]]
+        back: list[list[int]] = []
+        for before, column in zip(lattice, lattice[1:]):
+            ways = [min((n + (bool(script) and bool(s) and s != script), cost - self._step(before[i][0], letter), i) for i, (n, cost, s) in enumerate(best)) for letter, script in column]
+            back.append([i for _, _, i in ways])
+            best = [(n, cost, script) for (n, cost, _), (_, script) in zip(ways, column)]
+        at = min(range(len(best)), key=lambda i: best[i][:2])
+        path = [lattice[-1][at][0]]
+        for column, came in zip(reversed(lattice[:-1]), reversed(back)):
+            at = came[at]
+            path.append(column[at][0])
+        return "".join(reversed(path))
 
     def text(self, text: str) -> str:
         token, memo, skel = self.token, self.memo, skeleton(text)

@@ -40,10 +40,10 @@ _WIDTHS = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0:
 _DROP = re.compile(f"[{_IGNORED}]")
 #: Digit groups with what joins them, code groups of capitals and digits, and addresses of mails.
 _GROUPS = re.compile(r"\(?\+?\(?\d(?:[ \d()./-]*\d)?")
-_CODES = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9 .-]*\d)[A-Z0-9]+(?:[ .-][A-Z0-9]+)*(?![A-Za-z0-9])")
+_CODES = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9 .-]{0,40}\d)[A-Z0-9]+(?:[ .-][A-Z0-9]+)*(?![A-Za-z0-9])")
 _DOT = r"\s?(?:\[dot\]|\(dot\)|\bdot\b)\s?"
 _AT = r"\s?(?:\[at\]|\(at\)|\bat\b)\s?"
-_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: @ |[{_IGNORED}]*@[{_IGNORED}]*)[A-Za-z0-9{_IGNORED}-]+(?:\.[A-Za-z0-9{_IGNORED}-]+)*\.[A-Za-z]{{2,}}|[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT}|\.)[A-Za-z]{{2,}}", re.I)
+_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: @ |[{_IGNORED}]*@[{_IGNORED}]*)[A-Za-z0-9{_IGNORED}-]+(?:\.[A-Za-z0-9{_IGNORED}-]+)*\.[A-Za-z]{{2,}}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT}|\.)[A-Za-z]{{2,}}", re.I)
 _TIMECODE = re.compile(r"\d\d:\d\d:\d\d[,.]\d{2,3} --> \d\d:\d\d:\d\d[,.]\d{2,3}")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
@@ -436,7 +436,7 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             a += 1
         while b > a and not view[b - 1].isdigit():
             b -= 1
-        extension = re.match(r"[ ,\n]*(?:ext|Ext|x|poste|Durchwahl)\.?[ \n]?\d{1,6}\b", view[b:])
+        extension = re.match(r"[ ,\n]*(?:ext|Ext|x|poste|Durchwahl)\.?[ \n]?\d{1,6}\b", view[b : b + 24])
         b += extension.end() if extension else 0
         return (a, b) if 7 <= digits <= 17 else None
     if kind == "id_number":
@@ -449,11 +449,11 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
                 return _check(view, a, a + m.start(), kind)
         if b < len(view) and view[b] == "." and _SHORT.search(view[a:b]):
             b += 1
-        more = re.search(r"(?:Avda\.|Av\.|C/|Bd\.|Str\.)\s?$", view[:a])
-        a = more.start() if more else a
+        more = re.search(r"(?:Avda\.|Av\.|C/|Bd\.|Str\.)\s?$", view[max(0, a - 8) : a])
+        a -= len(more.group()) if more else 0
         if re.search(r"[市区县町]", view[a:b]):
-            a -= len(re.search(r"[\u4e00-\u9fffノヶケ々]*$", view[:a]).group()) if re.match(r"[ノヶケ々区市町县]", view[a:b]) else 0
-            b += re.match(r"(?:[-－]?\d+)*(?:号(?:\d+单元)?(?:\d+室)?)?", view[b:]).end()
+            a -= len(re.search(r"[\u4e00-\u9fffノヶケ々]*$", view[max(0, a - 6) : a]).group()) if re.match(r"[ノヶケ々区市町县]", view[a:b]) else 0
+            b += re.match(r"(?:[-－]?\d+)*(?:号(?:\d+单元)?(?:\d+室)?)?", view[b : b + 40]).end()
         text = view[a:b]
         return (a, b) if digits and (a == 0 or view[a - 1] != "=") and not re.search(r"job=|[=/]", text.replace("C/", "")) and re.search(r"[^\W\d_]{2,}", text) and _plausible(text) else None
     if digits:
@@ -491,7 +491,7 @@ def _refined(view: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
     if kind == "person_name" and _SENTENCE.search(view, a, b):
         cuts = [a, *(x for m in _SENTENCE.finditer(view, a, b) for x in m.span()), b]
         parts = [_check(view, x, y, kind) for x, y in zip(cuts[::2], cuts[1::2])]
-        return [p for p in parts if p and (len(view[p[0] : p[1]].split()) > 1 or _TITLE.search(view[: p[0]]))]
+        return [p for p in parts if p and (len(view[p[0] : p[1]].split()) > 1 or _TITLE.search(view[max(0, p[0] - 20) : p[0]]))]
     ok = _check(view, a, b, kind)
     return [ok] if ok else []
 

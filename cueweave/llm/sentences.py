@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -264,6 +265,12 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _ends(enclosed: list[tuple[int, int]], at: int) -> bool:
+    """Whether a protected stretch ends at a position."""
+    k = bisect_left(enclosed, (at, -1)) - 1
+    return k >= 0 and enclosed[k][1] == at
+
+
 def _close(view: str, end: int, enclosed: list[tuple[int, int]]) -> int:
     """The position behind the closing marks that follow an end mark. Marks that can also open close here if they end a
     protected stretch, or stand right at the end mark with no letter behind them."""
@@ -272,7 +279,7 @@ def _close(view: str, end: int, enclosed: list[tuple[int, int]]) -> int:
         c = view[q]
         if c in SURE and (q == end or c == "»"):
             end = q + 1
-        elif c in EITHER and (any(b == q + 1 for _, b in enclosed) or (q == end and not view[q + 1 : q + 2].isalnum())):
+        elif c in EITHER and (_ends(enclosed, q + 1) or (q == end and not view[q + 1 : q + 2].isalnum())):
             end = q + 1
         else:
             break
@@ -285,10 +292,11 @@ def _cuts(view: str, script: str) -> list[int]:
     cuts = []
     ends = [m.end() for m in _MARKS.get(script, _MARK).finditer(view)]
     if "\n" in view:
+        ink = len(view) - len(view.lstrip())  # where the text begins
         for m in _BREAK.finditer(view):
             if m.group("dash") is None:
                 ends.append(m.end())
-            elif view[: m.start()].strip():
+            elif m.start() > ink:
                 cuts.append(m.start("dash"))
     for end in ends:
         if end >= len(view):
@@ -296,7 +304,9 @@ def _cuts(view: str, script: str) -> list[int]:
         if enclosed is None:
             enclosed = _enclosed(view)
         end = _close(view, end, enclosed)
-        if end >= len(view) or any(a < end < b for a, b in enclosed):
+        # protected stretches don't overlap and are sorted: only the last that opens before the position can hold it
+        k = bisect_left(enclosed, (end, -1)) - 1
+        if end >= len(view) or (k >= 0 and enclosed[k][0] < end < enclosed[k][1]):
             continue
         verdict = decide.match(view, end)
         if verdict is not None and verdict.lastindex is not None:

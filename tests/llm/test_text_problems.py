@@ -90,6 +90,25 @@ def test_forms_restore_the_script():
     assert speller.text("Вчера y нас") == "Вчера у нас"
 
 
+def test_lattice_search_like_brute_force():
+    from itertools import product
+
+    speller = lookalike.Speller({"ка": 5, "ab": 3, "оо": 2, "oo": 9})
+
+    def cost(path, around):
+        n = int(bool(around) and path[0][1] != around) + sum(bool(s) and bool(t) and s != t for (_, s), (_, t) in zip(path, path[1:]))
+        return n, round(-speller._step("^", path[0][0]) - sum(speller._step(a, b) for (a, _), (b, _) in zip(path, path[1:])), 9)
+
+    r = random.Random(1)
+    for _ in range(200):
+        token = lookalike.skeleton("".join(r.choice("oacxbбΓeкν") for _ in range(r.randint(1, 6))))
+        lattice = [lookalike._choices(c) for c in token]
+        around = "" if any(len(x) == 1 and x[0][1] for x in lattice) else r.choice(["", "L", "C"])
+        got = [next(x for x in column if x[0] == c) for column, c in zip(lattice, speller._viterbi(token, around))]
+        assert cost(got, around) == min(cost(p, around) for p in product(*lattice))
+    assert len(speller.text("бobо" * 30_000)) == 120_000
+
+
 def test_lookalike_pairs(spark):
     r = recs(spark, ("m", 0, "The lamp"), ("m", 0, "The lamp"), ("m", 1, "Thе lamp"), ("m", 2, "The lamp"), ("m", 3, "the lamp"), ("n", 4, "Thе lamp"), ("m", 5, " "), ("m", 6, "　"), ("m", 7, None), segments=[("m", 8, "The lamp"), ("m", 9, "The lamp")])
     assert rows(lookalike.lookalike_pairs(r)) == [("cue", "m", 0, 1), ("cue", "m", 1, 2), ("segment", "m", 8, 9)]
