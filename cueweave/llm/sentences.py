@@ -1,10 +1,11 @@
 """Sentence units across languages and scripts (problem 2).
 
 Rules are pairs of regular expressions, one for the text before a position and one for the text after it, with the
-verdict break or no break. They stand in tables (RULES); a text is judged by a cascade of tables chosen by its script,
+verdict break or no break. They stand in tables (RULES); a position is judged by a cascade of tables chosen by script,
 and the first rule that matches decides a position. Each cascade is compiled into one expression, so that the ordered
 search runs within the regex engine and only at candidate positions: behind end marks with their closing marks, before
-dialogue dashes, and behind particles in scripts without marks. Stretches inside quotation marks, brackets and title
+dialogue dashes, and behind particles in scripts without marks. A text of several scripts has a cascade for each
+candidate, chosen by the words of the sentence that would end there. Stretches inside quotation marks, brackets and title
 marks are protected by a table of their own (ENCLOSED) that comes before all others.
 
 The rules see a folded view of the text (no invisible characters, common widths and blanks, look-alike letters as one),
@@ -113,7 +114,7 @@ RULES = {
     "caseless": CASELESS,
     "cased": CASED,
 }
-#: Which tables judge a text of a script, in their order.
+#: Which tables judge a position in a script, in their order.
 CASCADES = {
     "latin": ("first", "latin", "cased"),
     "cyrillic": ("first", "cyrillic", "latin", "cased"),
@@ -172,6 +173,8 @@ def _cascade(script: str) -> regex.Pattern:
 #: open a dialogue line or an empty one.
 _MARKS = {"greek": re.compile(f"{GREEK_END}+"), "thai": re.compile(rf"(?:ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=\s)|{END}+")}
 _MARK = re.compile(f"{END}+")
+#: Candidates of a text of several scripts: those of all scripts.
+_ANY_MARK = re.compile(rf"(?P<particle>ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=\s)|[;{END[1:-1]}]+")
 _BREAK = re.compile(r"\n[^\S\n]*(?:(?P<dash>[-‐‑–—])\s*\S|\n\s*)")
 
 
@@ -203,6 +206,43 @@ def script_of(text: str) -> str:
     return best
 
 
+#: Words of a text of several scripts: runs of letters; runs of scripts written without blanks are taken out of them.
+_WORD = regex.compile(r"(?P<thai>\p{Thai}+)|(?P<caseless>[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]+)|(?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}ー々〆])[\p{L}\p{M}])+")
+#: Letters that count as one word in scripts written without blanks, and the most words that one run counts as.
+_RUN, _MOST = {"thai": 5, "caseless": 2}, 8
+
+
+_LETTERS = {**dict(_SCRIPTS), "latin": _LATIN}
+
+
+class _Words:
+    """The words of a text by script: counts in any stretch of it by prefix sums."""
+
+    def __init__(self, text: str) -> None:
+        self.starts: list[int] = []
+        self.sums: dict[str, list[int]] = {name: [0] for name in CASCADES}
+        for m in _WORD.finditer(text):
+            n, script = m.end() - m.start(), m.lastgroup
+            if script is None:
+                script = max(_LETTERS, key=lambda name: len(_LETTERS[name].findall(m.group())))  # Latin, the last, only without a tie
+                n = int(script != "greek" or n > 1)  # a single Greek letter is a sign of formulas in any script
+            else:
+                n = min(-(-n // _RUN[script]), _MOST)
+            self.starts.append(m.start())
+            for name, sums in self.sums.items():
+                sums.append(sums[-1] + (n if name == script else 0))
+
+    def script(self, *stretches: tuple[int, int]) -> str | None:
+        """The script of most words that begin in the stretches; Latin only if it has more than any other; None if there are no words."""
+        parts = [(bisect_left(self.starts, a), bisect_left(self.starts, b)) for a, b in stretches]
+        count = {name: n for name, sums in self.sums.items() if (n := sum(sums[j] - sums[i] for i, j in parts if i < j))}
+        return max(count, key=lambda name: (count[name], name != "latin")) if count else None
+
+    def has(self, script: str, a: int, b: int) -> bool:
+        sums = self.sums[script]
+        return sums[bisect_left(self.starts, b)] > sums[bisect_left(self.starts, a)]
+
+
 def _view(text: str) -> tuple[str, list[int] | None]:
     """The folded text and the stored position of each of its code points (None: the same)."""
     if text.isascii() and _CONTROL.search(text) is None:
@@ -245,7 +285,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     # a stored script is judged on the stored letters: the folded view has Latin prototypes
     script = script_of(text)
     view, at = _view(text)
-    cuts = _cuts(view, script)
+    cuts = _mixed_cuts(text, view, at, script) if _mixed(text) else _cuts(view, script)
     if at is not None:
         cuts = [at[c] if c < len(at) else len(text) for c in cuts]
     out, start = [], 0
@@ -314,6 +354,67 @@ def _cuts(view: str, script: str) -> list[int]:
     return sorted(set(cuts)) if "\n" in view else cuts
 
 
+def _mixed(text: str) -> bool:
+    """Whether a text has letters of several scripts."""
+    if text.isascii():
+        return False
+    return (_LATIN.search(text) is not None) + sum(pattern.search(text) is not None for _, pattern in _SCRIPTS) > 1
+
+
+def _mixed_cuts(text: str, view: str, at: list[int] | None, whole: str) -> list[int]:
+    """The cuts of a text of several scripts: candidates of all of them, each judged by the cascade of its sentence.
+
+    The script is that of most words between the last cut and the candidate. Behind a quotation, words around it count
+    if there are any, as it is their sentence that ends or goes on. A particle on a Thai word is Thai, a semicolon is a
+    question mark in a sentence of Greek, and a stretch without words is judged as the whole text.
+    """
+    words, enclosed = _Words(text), _enclosed(view)
+    stored = lambda i: i if at is None else at[i] if i < len(at) else len(text)
+    marks: list[tuple[int, int, str]] = [(m.start(), m.end(), "particle" if m.group("particle") else "mark") for m in _ANY_MARK.finditer(view)]
+    cuts: list[int] = []
+    if "\n" in view:
+        ink = len(view) - len(view.lstrip())
+        for m in _BREAK.finditer(view):
+            if m.group("dash") is None:
+                marks.append((m.end(), m.end(), "line"))
+            elif m.start() > ink:
+                marks.append((m.start("dash"), m.start("dash"), "dash"))
+        marks.sort()
+    last = 0
+    for k, (a, b, kind) in enumerate(marks):
+        if b >= len(view):
+            continue
+        if kind == "dash":
+            cuts.append(b)
+            last = b
+            continue
+        before = words.script((stored(last), stored(a if kind != "particle" else b))) or whole
+        ends = [b]
+        if kind == "particle":
+            if whole != "thai" and before != "thai" and not (a and "\u0e00" <= view[a - 1] <= "\u0e7f"):
+                continue
+            before = "thai"
+        elif kind == "mark" and ";" in view[a:b]:
+            if whole == "greek" and words.has("greek", stored(last), stored(a)):
+                before = "greek"
+            if before != "greek":
+                ends = [m.end() for m in _MARK.finditer(view, a, b)]
+        for end in ends:
+            end = _close(view, end, enclosed)
+            i = bisect_left(enclosed, (end, -1)) - 1
+            if end >= len(view) or (i >= 0 and enclosed[i][0] < end < enclosed[i][1]):
+                continue
+            script = before
+            if i >= 0 and enclosed[i][1] == end and ";" not in view[a:b]:
+                follows = marks[k + 1][0] if k + 1 < len(marks) else len(view)
+                script = words.script((stored(last), stored(max(last, enclosed[i][0]))), (stored(end), stored(max(end, follows)))) or before
+            verdict = _cascade(script).match(view, end)
+            if verdict is not None and verdict.lastindex is not None:
+                cuts.append(end)
+                last = end
+    return sorted(set(cuts))
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str | None, list[tuple[int, int]]] = {}
     for batch in batches:

@@ -60,6 +60,24 @@ def test_sentences(text, n):
     assert "".join(text[a:b] for a, b in got).replace(" ", "") == "".join(c for c in text if not c.isspace()).replace(" ", "") or "\n" in text
 
 
+MIXED = [
+    ("ไปกันเถอะครับ " + "N" + "o" * 70 + "!", 2),
+    ("N" + "o" * 70 + " ไปกันเถอะครับ แล้วเจอกันค่ะ ไป", 3),
+    ("ไปกันเถอะครับ พร้อมไหมคะ พรุ่งนี้เจอกันนะคะ " + "他们今天都在这里等着看" * 30, 4),
+    ("Ποιος πήρε τα 67 κλειδιά; N" + "o" * 70 + "!", 2),
+    ("Ποιος πήρε τα 67 κλειδιά\u037e " + "他们今天都在这里等着看" * 30 + "。", 2),
+    ("他问：“几点了？”没有人回答。N" + "o" * 70 + "!", 2),
+    ("The angle α; then the lamp and the λόγος; no more. Yes", 2),
+    ("“OK！”他说。走吧", 2),
+]
+
+
+@pytest.mark.parametrize("text,n", MIXED)
+def test_sentences_of_several_scripts(text, n):
+    got = sentences.spans(text)
+    assert len(got) == n, [text[a:b] for a, b in got]
+
+
 def test_sentence_noise_does_not_hide_marks():
     assert len(sentences.spans("Ｍr.​ Hill left. Yes⁠. No")) == 3
     assert sentences.spans(None) == sentences.spans("") == sentences.spans(" 　\n") == []
