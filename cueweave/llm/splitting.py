@@ -3,7 +3,8 @@
 A text is cut into tokens (words, blanks, marks); the prefix sums of their lengths are the places where it may be cut.
 Three sorted arrays hold the boundaries that suit: ends of paragraphs and sentences, ends of clauses, ends of words.
 For each piece, a binary search finds the last boundary of the best kind that the limit allows; the next piece starts
-`overlap_chars` before the end of the last. Where no boundary is in reach the text is cut hard, between characters as a
+`overlap_chars` before the end of the last. A better kind must not make the piece much shorter; where that leaves none,
+the last boundary of any kind is taken. Where no boundary is in reach the text is cut hard, between characters as a
 reader sees them if possible (not before combining marks, joiners or variation selectors).
 
 Defined results: null texts and texts within the limit have no pieces; blank ones are cut like any other text; an
@@ -82,6 +83,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             if k >= 0 and level[k] > start + short:
                 end = level[k]
                 break
+        if not end:  # however short the piece gets, as long as the next one starts behind this one
+            end = max((level[k] for level in levels if (k := bisect_right(level, start + limit) - 1) >= 0), default=0)
+            end = end if end > start + overlap else 0
         end = end or _hard(text, start + overlap, start + limit)
         out.append((start, end))
         start = end - overlap

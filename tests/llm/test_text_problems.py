@@ -158,6 +158,20 @@ def test_pieces_prefer_natural_boundaries():
     assert splitting.pieces("abc", 3, 1) == [(0, 3)]
 
 
+def test_pieces_are_cut_hard_only_without_a_boundary():
+    for head in ("A short sentence. ", "a clause, ", "word "):
+        for run in ("x" * 200, "他" * 200):
+            text = head + run
+            assert check_pieces(text, 84, 3)[0] == (0, len(head))
+            assert check_pieces(text, 84, 12)[0] == ((0, len(head)) if len(head) > 12 else (0, 84))
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["word ", "a" * 30, "語" * 30, ". ", ", ", "。"]) for _ in range(r.randint(0, 40)))
+        ends = set().union(*splitting.boundaries(text))
+        for limit, overlap in ((20, 4), (84, 12)):
+            assert all(b in ends or not any(a + overlap < e <= a + limit for e in ends) for a, b in check_pieces(text, limit, overlap)[:-1])
+
+
 def test_piece_operator(spark):
     limits = spark.createDataFrame([("cue", 5, 1, "q"), ("segment", None, 3, "q")], "record_kind string, max_chars int, overlap_chars int, text string")
     r = recs(spark, ("m", 0, "abcdefgh"), ("m", 0, "abcdefgh"), ("m", 1, "abcde"), ("m", 2, None), segments=[("m", 3, "a long text")])
