@@ -86,13 +86,13 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in text) else text
 
 
-def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("feed", pa.string()), ("file_seq", pa.int32()), ("file_id", pa.int64()), ("line_no", pa.int32()), ("doc", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("vh", pa.int64())])
+def _explode_batches(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = (), bare: bool = False) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("feed", pa.string()), ("file_seq", pa.int32()), ("file_id", pa.int64()), ("line_no", pa.int32()), ("doc", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("vh", pa.int64()), *((c, pa.string()) for c in extra)])
     for batch in batches:
         rows, doc, path, kind, text, vh = [], [], [], [], [], []
         for i, payload in enumerate(batch.column("payload").to_pylist()):
             leaves = leaves_of(payload)
-            if not leaves:
+            if leaves is None:
                 continue
             own = []
             for p, v in leaves:
@@ -100,7 +100,7 @@ def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 own.append((_clean(p), k, _clean(c), _hash64(f"{k}:{c}")))
             own.sort()
             d = _hash64("\x00".join(f"{p}\x01{h}" for p, _, _, h in own))
-            for p, k, c, h in own:
+            for p, k, c, h in own or ([(None, None, None, None)] if bare else []):
                 rows.append(i)
                 doc.append(d)
                 path.append(p)
@@ -109,7 +109,7 @@ def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 vh.append(h)
         take = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).cast(schema.field(c).type).take(take) for c in ("feed", "file_seq", "file_id", "line_no")), pa.array(doc, pa.int64()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(text, pa.string()), pa.array(vh, pa.int64())],
+            [*(batch.column(c).cast(schema.field(c).type).take(take) for c in ("feed", "file_seq", "file_id", "line_no")), pa.array(doc, pa.int64()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(text, pa.string()), pa.array(vh, pa.int64()), *(batch.column(c).take(take) for c in extra)],
             schema=schema,
         )
 
@@ -120,6 +120,13 @@ def document_leaves(raw: DataFrame) -> DataFrame:
     return need.where("payload is not null").mapInArrow(_explode_batches, _LEAVES)
 
 
+def _typed_leaves(raw: DataFrame) -> DataFrame:
+    """The leaves with the doc_type of their document; a document without leaves has one row, whose path is null."""
+    need = raw.select("feed", F.col("file_seq").cast("int"), F.col("file_id").cast("long"), F.col("line_no").cast("int"), F.col("payload").cast("string"), F.col("doc_type").cast("string"))
+    explode = lambda batches: _explode_batches(batches, ("doc_type",), bare=True)
+    return need.where("payload is not null").mapInArrow(explode, T.StructType([*_LEAVES.fields, T.StructField("doc_type", T.StringType())]))
+
+
 def fused_schemas(leaves: DataFrame) -> DataFrame:
     """feed, file_seq, path, kinds (sorted alternatives), docs: the tagged union of each file's documents."""
     by_kind = leaves.groupBy(*FILE_KEYS, "path", "kind").agg(F.count("*").alias("n"))
@@ -233,21 +240,25 @@ def unified_table(raw: DataFrame) -> DataFrame:
 
     A renamed field stands under its last name in the feed. A field of one JSON type has that type (string, double, boolean; arrays as
     JSON text); one of several types has a typed branch for each, `<field>__<type>`, and `<field>` as text, the canonical form of all.
-    Dots in paths become double underscores. The driver only learns the names and types of fields, at most MAX_FIELDS, however many feeds and files there are.
+    Dots in paths become double underscores. A document is known by its file (feed, file_seq, file_id), line_no and values: repeated deliveries
+    are one row, other values on the same line or where keys are null are rows of their own. An object without any value ('{}', nulls only)
+    is a row without fields. Where feed or file_seq is null no rename is known, so fields keep their own names. The driver only learns the names and types of fields, at most MAX_FIELDS, however many feeds and files there are.
     """
     leaves = document_leaves(raw)
     schemas = cut_lineage(fused_schemas(leaves))
     names = canonical_names(schemas, cut_lineage(_renames(leaves, cut_lineage(_changes(raw, leaves)))))
-    alternatives = schemas.join(names, [*FILE_KEYS, "path"]).select("name", F.explode("kinds").alias("kind")).groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    # null keys meet no name: such fields keep their own
+    name = F.coalesce("name", "path").alias("name")
+    alternatives = schemas.join(names, [*FILE_KEYS, "path"], "left").select(name, F.explode("kinds").alias("kind")).groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     kinds = {r["name"]: r["kinds"] for r in alternatives.limit(MAX_FIELDS + 1).collect()}
     if len(kinds) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields: keys of objects look like data; use field_alternatives")
-    leaves = leaves.join(names, [*FILE_KEYS, "path"])
-    leaf = F.struct("name", (F.col("path") != F.col("name")).alias("old"), F.struct("kind", "value").alias("v"))
-    docs = leaves.groupBy("file_id", "line_no", "feed").agg(F.array_sort(F.collect_list(leaf)).alias("all"))
+    leaves = _typed_leaves(raw).join(names, [*FILE_KEYS, "path"], "left").withColumn("name", name)
+    leaf = F.when(F.col("path").isNotNull(), F.struct("name", (F.col("path") != F.col("name")).alias("old"), F.struct("kind", "value").alias("v")))
+    docs = leaves.groupBy("file_id", "line_no", *FILE_KEYS, "doc").agg(F.array_sort(F.collect_list(leaf)).alias("all"), F.max("doc_type").alias("doc_type"))
     # a document can hold a field under its old and its last name; the last one holds
     once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["name"] != x["name"]))
-    docs = docs.select("file_id", "line_no", "feed", F.map_from_entries(F.transform(once, lambda x: F.struct(x["name"], x["v"]))).alias("m"))
+    docs = docs.select("file_id", "line_no", "feed", "doc_type", F.map_from_entries(F.transform(once, lambda x: F.struct(x["name"], x["v"]))).alias("m"))
     typed = {"string": lambda v: v, "array": lambda v: v, "number": lambda v: v.try_cast("double"), "boolean": lambda v: v.try_cast("boolean")}
     columns = []
     for path in sorted(kinds):
@@ -257,5 +268,4 @@ def unified_table(raw: DataFrame) -> DataFrame:
         else:
             columns.append(cell["value"].alias(name))
             columns += [F.when(cell["kind"] == k, typed[k](cell["value"])).alias(f"{name}__{k}") for k in kinds[path]]
-    types = raw.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "doc_type").groupBy("file_id", "line_no").agg(F.max("doc_type").alias("doc_type"))
-    return docs.join(types, ["file_id", "line_no"], "left").select("file_id", "line_no", "feed", "doc_type", *columns)
+    return docs.select("file_id", "line_no", "feed", "doc_type", *columns)

@@ -119,6 +119,19 @@ def test_schema_changes(spark):
     assert rows(schema_drift.schema_changes(d.limit(0))) == []
 
 
+def test_unified_table_has_every_valid_document(spark):
+    line = lambda file_id, feed, seq, no, payload, kind="job_spec": (file_id, "f", feed, kind, seq, no, T0, payload)
+    d = spark.createDataFrame([
+        line(1, "f", 0, 0, '{"a": 1}'), line(1, "f", 0, 0, '{"a": 1}'), line(1, "f", 0, 1, "{}", "empty"), line(1, "f", 0, 2, '{"a": null, "o": {}}'), line(1, "f", 0, 3, "[1]"), line(1, "f", 0, 4, None),
+        line(2, None, 0, 0, '{"a": 2}'), line(3, "f", None, 0, '{"a": 3, "own": "x"}'), line(None, "f", 0, None, '{"a": 4}', "x"), line(None, "f", 0, None, '{"a": 5}', "y"), line(None, "f", 0, None, '{"a": 5}', "y"), line(1, "f", 0, 0, '{"a": 6}', None),
+    ], RAW)
+    got = rows(schema_drift.unified_table(d).select("file_id", "line_no", "feed", "doc_type", "a", "own"))
+    assert got == sorted([
+        (1, 0, "f", "job_spec", 1.0, None), (1, 1, "f", "empty", None, None), (1, 2, "f", "job_spec", None, None), (2, 0, None, "job_spec", 2.0, None), (3, 0, "f", "job_spec", 3.0, "x"),
+        (None, None, "f", "x", 4.0, None), (None, None, "f", "y", 5.0, None), (1, 0, "f", None, 6.0, None),
+    ], key=repr)
+
+
 def test_schema_values_that_differ_are_no_rename(spark):
     a = [{"job_id": f"j{i}", "root": f"/r/{i}", "at": f"2026-{i}", "old": i} for i in range(6)]
     b = [{"job_id": f"j{i}", "root": f"/r/{i}", "at": f"2026-{i}", "new": i + 1} for i in range(3, 9)]
