@@ -467,7 +467,7 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if head and head.end() < b - a:
             a += head.end()
     words = _DROP.sub("", view[a:b]).split()
-    if not words or len(words) > 5 or any(not w[0].isupper() for w in words) and (len(words) > 1 or any(c.isupper() or c.islower() for c in words[0])):
+    if not words or len(words) > 5 or not _name_words(words):
         return None
     # initials may end with a dot, names don't
     if any(w.endswith(".") and len(w.rstrip(".").replace(".", "").replace("-", "")) > 2 for w in words) or any(c in "?!…:;,/\"" for w in words for c in w):
@@ -475,6 +475,18 @@ def _check(view: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return a, b
 
 
+#: Lower-case words inside names, between words that are not.
+_PARTICLES = frozenset("af al av bin bint da das de dei del della den der des di do dos du el ibn la las le los ten ter van vom von zu zum zur".split())
+
+
+def _name_words(words: list[str]) -> bool:
+    """Whether words can be a name: those with cased letters begin in upper case, particles within aside; the others are of letters."""
+    if len(words) == 1:
+        return words[0][0].isupper() or not any(c.isupper() or c.islower() for c in words[0])
+    whole = [w[0].isupper() if any(c.isupper() or c.islower() for c in w) else w[0].isalpha() for w in words]
+    return whole[0] and whole[-1] and all(ok or w in _PARTICLES for w, ok in zip(words, whole))
+
+
 def _wrapped(view: str, a: int, b: int, at: int) -> bool:
     """Whether a line break inside a span is that of a wrapped sentence: what follows goes on with a part of an address."""
     return re.match(r"(?:[A-Z][\w']* )*(?:Street|St|Road|Rd|Avenue|Ave|Lane|Court|Row|Close|Terrace)\b", view[at + 1 : b]) is not None or view[at - 1] == "," or re.match(r"\d{4,6}\b", view[at + 1 : b]) is not None

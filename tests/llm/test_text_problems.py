@@ -298,3 +298,10 @@ def test_personal_operator(spark):
 def test_queries_run_on_tables(spark, sf):
     for name in ("p2_found", "p4_found", "p5_found", "p6_ids", "p7_mix"):
         assert llm.QUERIES[name](spark, sf).count() > 0
+
+
+def test_names_without_case_and_with_particles():
+    for name in ("अमित शर्मा", "محمد العلي", "สมชาย ใจดี", "김 민수", "王 小明", "Ana de la Cruz", "Piet van Holt", "May Tarnmoor"):
+        assert pii._check(name, 0, len(name), "person_name") == (0, len(name)), name
+    for other in ("Ana went Home", "Ana and Piet", "王 — 小明", "the Lamp is Off"):
+        assert pii._check(other, 0, len(other), "person_name") != (0, len(other)), other
