@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +80,19 @@ def primary_srt(primary: Column, paths: Column, outputs: Column) -> Column:
 
 
 def wav_duration_ms(files: DataFrame) -> DataFrame:
-    """path, duration_ms of binary files (path, content): from the header; null for what is no WAV."""
+    """path, duration_ms of binary files (path, content): from the chunk headers, wherever `data` is; null for what is no WAV.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_wav_ms(c) for c in batch.column("head").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.int64())], names=["path", "duration_ms"])
+    The first 4 KB of a file go to Python; the whole of it only where these are RIFF and end before the header of `data`.
+    """
 
-    return files.select("path", F.expr("substring(content, 1, 4096)").alias("head")).mapInArrow(run, "path string, duration_ms bigint")
+    @F.pandas_udf("bigint")
+    def duration(content: pd.Series) -> pd.Series:
+        return pd.Series([_wav_ms(c) for c in content], dtype="Int64")
+
+    head = F.expr("substring(content, 1, 4096)")
+    more = F.col("duration_ms").isNull() & (F.length("content") > 4096) & F.expr("substring(content, 1, 4) = X'52494646'")
+    d = files.select("path", "content", duration(head).alias("duration_ms"))
+    return d.select("path", F.coalesce("duration_ms", duration(F.when(more, F.col("content")))).alias("duration_ms"))
 
 
 def _wav_ms(head: bytes | None) -> int | None:

@@ -222,6 +222,20 @@ def test_wav_header(spark):
     assert {r.path: r.duration_ms for r in D.wav_duration_ms(d).collect()} == {"a": 1500, "b": None, "c": None}
 
 
+def test_wav_header_behind_long_metadata(spark):
+    import struct
+
+    from cueweave.sources import documents as D
+
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16)
+    data = b"data" + struct.pack("<I", 48000) + b"\x00" * 48000
+    wav = lambda *chunks: bytearray(b"RIFF" + struct.pack("<I", 4 + sum(map(len, chunks))) + b"WAVE" + b"".join(chunks))
+    extra = lambda n: b"LIST" + struct.pack("<I", n) + b"data" * (n // 4)
+    files = {"short": wav(fmt, data), "long": wav(fmt, extra(5000), data), "first": wav(extra(300_000), fmt, data), "none": wav(fmt, extra(5000)), "edge": wav(fmt, extra(4096 - 12 - 24 - 8 - 4), data)}
+    d = spark.createDataFrame(list(files.items()), "path string, content binary")
+    assert {r.path: r.duration_ms for r in D.wav_duration_ms(d).collect()} == {"short": 1500, "long": 1500, "first": 1500, "none": None, "edge": 1500}
+
+
 def test_paths_and_hashes(spark):
     d = spark.createDataFrame([("/data/x",), ("/data",), ("/data/../etc",), ("data/x",), ("/database/x",), ("",), (None,), ("/data/./x",)], "p string")
     assert [r[0] for r in d.select(jobs.path_allowed(F.col("p"), ["/data/"])).collect()] == [True, True, False, False, False, False, False, False]
