@@ -152,7 +152,8 @@ def layout_zh(segments: DataFrame, width: int = 18, most: int = 2) -> DataFrame:
 
 
 def postprocess(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Sentence splitting, then coalescing."""
+    """Sentence splitting, then coalescing; seg_idx numbers the pieces of a media item."""
     pieces = punct_split(words, segments)
-    ranked = pieces.select("media_id", (F.col("seg_idx") * 1000 + F.least("piece", F.lit(999))).alias("seg_idx"), "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
+    index = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "piece")) - 1
+    ranked = pieces.select("media_id", index.cast("bigint").alias("seg_idx"), "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
     return coalesce(ranked)

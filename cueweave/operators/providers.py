@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -143,7 +143,8 @@ def run_pipeline(words: DataFrame, config: PipelineConfig = PipelineConfig(), tr
     merged = folds.coalesce(segments)
     translated = translate(merged, translator).withColumn("text", X.apply_glossary(F.col("text"), config.glossary))
     if config.target.startswith("zh"):
-        laid = folds.layout_zh(translated, config.zh_width, config.zh_lines).select("media_id", (F.col("seg_idx") * 1000 + F.least("part", F.lit(999))).alias("cue_index"), "start_ms", "end_ms", "text")
+        index = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "part")) - 1
+        laid = folds.layout_zh(translated, config.zh_width, config.zh_lines).select("media_id", index.cast("bigint").alias("cue_index"), "start_ms", "end_ms", "text")
     else:
         laid = translated.select("media_id", F.col("seg_idx").alias("cue_index"), "start_ms", "end_ms", "text")
     fixed = folds.fix_loop(laid, config.passes, profile=config.profile)

@@ -28,6 +28,26 @@ def test_pipeline(spark, sf):
     assert set(summary.media_id) == set(cues.media_id)
 
 
+def test_pipeline_numbers_every_part(spark):
+    class Long:
+        def translate(self, texts, before, after):
+            return ["他们今天都在这里等着看。" * 2500 for _ in texts]
+
+    w = spark.createDataFrame([("m", i, i * 3_000_000, (i + 1) * 3_000_000, f" word{i}.") for i in range(2)], "media_id string, word_idx bigint, start_ms bigint, end_ms bigint, word string")
+    cues = P.run_pipeline(w, P.PipelineConfig(), Long)["cues"].orderBy("start_ms", "cue_index").collect()
+    assert len(cues) > 1000
+    assert [c.cue_index for c in cues] == list(range(len(cues)))
+
+
+def test_postprocess_numbers_every_piece(spark, monkeypatch):
+    from cueweave.operators import folds
+
+    pieces = spark.createDataFrame([("m", i // 1500, i % 1500, i * 5000, i * 5000 + 4000, f"sentence number {i} of a long list") for i in range(1600)], "media_id string, seg_idx bigint, piece bigint, start_ms bigint, end_ms bigint, text string")
+    monkeypatch.setattr(folds, "punct_split", lambda words, segments: pieces)
+    monkeypatch.setattr(folds, "coalesce", lambda ranked: ranked)
+    assert [r.seg_idx for r in folds.postprocess(None, None).orderBy("start_ms").collect()] == list(range(1600))
+
+
 def test_providers(spark):
     media = spark.createDataFrame([("m", "/a.mp4"), ("n", None)], "media_id string, source_path string")
     assert [tuple(r) for r in P.recognise(media, TwoWords).collect()] == [("m", 0, 0, 500, "hello"), ("m", 1, 500, 900, " world")]
