@@ -1,6 +1,7 @@
 """Operators on text: fixtures, round trips and brute force; nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -245,15 +246,57 @@ def test_threshold_like_a_sort(spark):
 
 @pytest.fixture(scope="module")
 def crf():
-    return pii.train([("May", "Tarnmoor"), (None, "X"), ("Y", None)], copies=10)
-
-
-def test_personal_spans_held_out(crf):
-    table = pii_labels.rows([], 4, seed=77)
-    found = pii.find(crf, [t for t, _ in table])
-    right = sum(len(set(s) & set(g)) for (_, s), g in zip(table, found))
-    want, got = sum(len(s) for _, s in table), sum(map(len, found))
-    assert right / want > 0.93 and right / got > 0.95
+    return pii.train([("May", "Tarnmoor"), (None, "X"), ("Y", None)])
+
+
+def scores(model, table):
+    """(recall, precision) by type of a model on labelled rows."""
+    right, want, got = Counter(), Counter(), Counter()
+    for (_, gold), found in zip(table, pii.find(model, [t for t, _ in table])):
+        want.update(k for *_, k in gold)
+        got.update(k for *_, k in found)
+        right.update(k for *_, k in set(gold) & set(found))
+    return {k: (right[k] / want[k], right[k] / max(1, got[k])) for k in pii.TYPES}
+
+
+def test_personal_spans_of_new_fillings(crf):
+    """Other names, numbers and addresses in the patterns that were trained."""
+    assert all(recall > 0.94 and precision > 0.94 for recall, precision in scores(crf, pii_labels.rows([], 2, seed=77)).values())
+
+
+def test_personal_spans_of_left_out_patterns():
+    """Fillings of patterns that were not trained: every fifth of all, in the order of a fixed shuffle (README has the figures of all five)."""
+    every = [p for part in pii_labels.patterns() for p in part]
+    random.Random(4).shuffle(every)
+    left = frozenset(every[::5])
+    model = pii.train([], rows=pii_labels.rows([], 8, without=left))
+    assert all(recall > 0.85 and precision > 0.8 for recall, precision in scores(model, [row for p in sorted(left) for row in pii_labels.filled(p, [], 8, 99)]).values())
+
+
+def test_no_name_or_address_is_dropped_for_its_form(crf):
+    """Particles, scripts without case, many words, houses with a slash: the model decides, no rule."""
+    for text, kind, value in (
+        ("Yesterday Vincent van Gogh left.", "person_name", "Vincent van Gogh"),
+        ("We met Charles de Gaulle at the station.", "person_name", "Charles de Gaulle"),
+        ("Signed, Juan de la Cruz", "person_name", "Juan de la Cruz"),
+        ("Contact: María de los Ángeles Fernández García", "person_name", "María de los Ángeles Fernández García"),
+        ("मेरा नाम प्रिया शर्मा है।", "person_name", "प्रिया शर्मा"),
+        ("اسمي محمد علي وأعمل هنا.", "person_name", "محمد علي"),
+        ("联系人王 小明，电话100-5550-1234。", "person_name", "王 小明"),
+        ("ผมชื่อ สมชาย ใจดี ครับ", "person_name", "สมชาย ใจดี"),
+        ("She lives at 12/3 High Street, Brindleford 00012.", "street_address", "12/3 High Street, Brindleford 00012"),
+        ("Wir wohnen in der Hauptstraße 5/7, 1010 Wien.", "street_address", "Hauptstraße 5/7, 1010 Wien"),
+    ):
+        assert (kind, value) in {(k, text[a:b]) for a, b, k in pii.find(crf, [text])[0]}, text
+
+
+def test_trimming():
+    for view, kind, want in (
+        ('"Ana de la Cruz",', "person_name", "Ana de la Cruz"), ("J. Holt.", "person_name", "J. Holt"), ("(415) 555-0100)", "phone", "(415) 555-0100"), ("4 Mill St.", "street_address", "4 Mill St."), ("<a@b.test>", "email", "a@b.test"),
+        ("Cue 7", "person_name", None), ("Mill Street", "street_address", None), ("12", "phone", None), ("", "email", None), (" . ", "person_name", None),
+    ):
+        span = pii._trimmed(view, 0, len(view), kind)
+        assert (view[span[0] : span[1]] if span else None) == want, view
 
 
 def test_personal_spans_examples(crf):
@@ -277,8 +320,8 @@ def test_viterbi_like_brute_force(crf):
     import numpy as np
 
     view = "call Al"
-    kinds, place, _, _, count = crf.tokens.add([view])
-    e = crf._emissions(kinds, place, count)
+    encoded = crf.tokens.add([view])
+    e, kinds = crf._emissions(encoded), encoded.kind
     best = max((seq for seq in product(range(len(pii.LABELS)), repeat=len(kinds)) if pii.START[seq[0]] and all(pii.ALLOWED[a, b] for a, b in zip(seq, seq[1:]))), key=lambda seq: sum(e[i, x] for i, x in enumerate(seq)) + sum(crf.transitions[a, b] for a, b in zip(seq, seq[1:])))
     decoded = crf.decode([view])[0]
     assert len(decoded) == sum(pii.LABELS[x][0] == "B" for x in best)
@@ -300,8 +343,28 @@ def test_queries_run_on_tables(spark, sf):
         assert llm.QUERIES[name](spark, sf).count() > 0
 
 
-def test_names_without_case_and_with_particles():
-    for name in ("अमित शर्मा", "محمد العلي", "สมชาย ใจดี", "김 민수", "王 小明", "Ana de la Cruz", "Piet van Holt", "May Tarnmoor"):
-        assert pii._check(name, 0, len(name), "person_name") == (0, len(name)), name
-    for other in ("Ana went Home", "Ana and Piet", "王 — 小明", "the Lamp is Off"):
-        assert pii._check(other, 0, len(other), "person_name") != (0, len(other)), other
+def test_packed_viterbi_like_brute_force():
+    """Paragraphs of several lengths at once against all labellings."""
+    from itertools import product
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    count, m = np.array([2, 0, 3, 1, 2]), len(pii.LABELS)
+    e, t = r.normal(size=(8, m)).astype("f4"), r.normal(size=(m, m)).astype("f4")
+    got, at = pii.viterbi(e, count, t), 0
+    for n in count:
+        own = e[at : at + n]
+        legal = (seq for seq in product(range(m), repeat=int(n)) if not n or (pii.START[seq[0]] and all(pii.ALLOWED[a, b] for a, b in zip(seq, seq[1:]))))
+        best = max(legal, key=lambda seq: sum(own[i, x] for i, x in enumerate(seq)) + sum(t[a, b] for a, b in zip(seq, seq[1:])))
+        assert tuple(got[at : at + n]) == best
+        at += n
+
+
+def test_the_fitted_model_is_stored(spark):
+    """A second call takes the weights from the shared folder."""
+    people = [("May", "Tarnmoor")]
+    first = pii._model(spark, people)
+    pii._models.clear()
+    second = pii._model(spark, people)
+    assert list(first[0]) == list(second[0]) and (first[1] == second[1]).all() and (first[2] == second[2]).all()
