@@ -86,6 +86,12 @@ def looks_cjk(c: Column) -> Column:
     return (cjk >= 4) & (cjk >= F.length(F.regexp_replace(c, "[^A-Za-z]", "")))
 
 
+def high_risk(text: Column, confidence: Column, targets: Sequence[str] = ()) -> Column:
+    """Low confidence, several numbers, a term, or signs of stiff translation in the text without white space at its ends; a null text is empty."""
+    t = strip(F.coalesce(text, F.lit("")))
+    return F.coalesce(confidence < 0.35, F.lit(False)) | (number_count(t) >= 2) | (glossary_hits(t, targets) >= 1) | mt_stiff(t)
+
+
 def mt_stiff(c: Column) -> Column:
     """Signs of stiff machine translation: gaps between CJK characters, doubled blanks, blanks behind marks, long texts without marks."""
     gap = c.rlike(rf"[一-鿿]{WS}+[一-鿿]")

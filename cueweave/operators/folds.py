@@ -41,13 +41,29 @@ def fix_duration(cues: DataFrame, min_ms: int = 900, overlap: int = 0) -> DataFr
 
 def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, profile: Profile = Profile()) -> DataFrame:
     """media_id, cue_index, start_ms, end_ms, text: cues sorted by time and numbered anew, fixed in items that break a rule; the passes are chained in one stream."""
+    ranked, bad = _ranked_bad(cues, profile)
+    limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
+    fixed = fold(bad, ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE)
+    return ranked.join(bad.select("media_id").distinct(), "media_id", "left_anti").unionByName(fixed)
+
+
+def _ranked_bad(cues: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """Cues numbered by time, and those of items that break a rule."""
     number = F.row_number().over(Window.partitionBy("media_id").orderBy(*_SORTED))
     ranked = _cues(cues).withColumn("n", (number - 1).cast("bigint")).drop("cue_index").withColumnRenamed("n", "cue_index").select("media_id", "cue_index", "start_ms", "end_ms", "text")
-    state = summary(ranked, profile).select("media_id", "ok")
-    known = ranked.join(state, "media_id")
+    return ranked, ranked.join(summary(ranked, profile).where("not ok").select("media_id"), "media_id", "left_semi")
+
+
+def fix_actions(cues: DataFrame, passes: int = 3, profile: Profile = Profile()) -> DataFrame:
+    """media_id, pass, step, name, cue_index, start_before, end_before, start_after, end_after, text_before, text_after, delta_ms, note: every action of `fix_loop`, one row each."""
     limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
-    fixed = fold(known.where("not ok").drop("ok"), ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE)
-    return known.where("ok").drop("ok").unionByName(fixed)
+    schema = "pass int, step int, name string, cue_index bigint, start_before bigint, end_before bigint, start_after bigint, end_after bigint, text_before string, text_after string, delta_ms bigint, note string"
+    return fold(_ranked_bad(cues, profile)[1], ["cue_index"], partial(K.fix_actions, passes=passes, **limits), schema)
+
+
+def subtitle_fixes(cues: DataFrame, **limits: float | None) -> DataFrame:
+    """One round of fixes: overlaps, duration (min_ms), speed (max_cps), wrapping (width, most); steps without a limit are left out."""
+    return fold(_cues(cues), _SORTED, partial(K.fix_once, **limits), _CUE)
 
 
 def wrap_lines(cues: DataFrame, width: int = 42, most: int = 2) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Kinds by their enum names, states, and what a queue's state means.
+# Kinds by their enum names, states, what a queue's state means, and the translator's codes of languages.
 KINDS = {"GENERATE": "subtitles.generate", "FIX": "subtitles.fix", "BURN": "subtitles.burn", "SUBTITLES_GENERATE": "subtitles.generate", "SUBTITLES_FIX": "subtitles.fix", "SUBTITLES_BURN": "subtitles.burn"}
 TERMINAL = ("succeeded", "failed", "canceled")
-LANGUAGES = {"en": "eng_Latn", "zh": "zho_Hans", "zh-cn": "zho_Hans", "zh-tw": "zho_Hant", "ja": "jpn_Jpan", "ko": "kor_Hang", "fr": "fra_Latn", "de": "deu_Latn", "es": "spa_Latn", "ru": "rus_Cyrl", "hy": "hye_Armn", "ar": "arb_Arab", "it": "ita_Latn", "pt": "por_Latn"}
+LANGUAGES = {
+    "en": "eng_Latn", "ja": "jpn_Jpan", "ko": "kor_Hang", "fr": "fra_Latn", "de": "deu_Latn", "es": "spa_Latn", "pt": "por_Latn", "it": "ita_Latn", "ru": "rus_Cyrl", "ar": "arb_Arab",
+    "th": "tha_Thai", "vi": "vie_Latn", "id": "ind_Latn", "tr": "tur_Latn", "hi": "hin_Deva", "zh": "zho_Hans", "zh-cn": "zho_Hans", "zh-tw": "zho_Hant",
+}
 
 
 def job_kind(c: Column) -> Column:
@@ -40,19 +43,28 @@ def reconcile(disk: DataFrame, queue: DataFrame) -> DataFrame:
     return d.select("job_id", F.when(s.isNull(), alone).otherwise(moved).alias("job_state"), F.when(s.isNull(), "queue").when(q.isNull(), "disk").otherwise("both").alias("origin"))
 
 
-def counters(events: DataFrame, name: Column, labels: Column) -> DataFrame:
-    """name, labels, value: counts by name and label text."""
-    return events.groupBy(name.alias("name"), labels.alias("labels")).agg(F.count("*").alias("value"))
+def counters(events: DataFrame, name: Column, labels: dict[str, Column]) -> DataFrame:
+    """name, labels (key and value pairs, sorted by key), value: counts by name and labels; a null label is empty."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(labels[k].cast("string"), F.lit("")).alias("v")) for k in sorted(labels))) if labels else F.array().cast("array<struct<k:string,v:string>>")
+    return events.groupBy(name.alias("name"), pairs.alias("labels")).agg(F.count("*").alias("value"))
 
 
 def prometheus_lines(counted: DataFrame) -> DataFrame:
-    """line: the text form of counters; lines sort as (name, labels) do. One row per counter, in no order: a single text is the sink's matter."""
-    return counted.select(F.concat(F.col("name"), F.when(F.col("labels") != "", F.concat(F.lit("{"), F.col("labels"), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+    """number, line: the text form of counters in the order of (name, labels). Their number is that of the label sets, whatever the events."""
+    inner = F.array_join(F.transform("labels", lambda x: F.concat(x["k"], F.lit('="'), x["v"], F.lit('"'))), ",")
+    line = F.concat(F.col("name"), F.when(F.size("labels") > 0, F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
+    rows = counted.agg(F.array_sort(F.collect_list(F.struct("name", "labels", line.alias("line")))).alias("all"))
+    return rows.select(F.posexplode("all").alias("number", "x")).select((F.col("number") + 1).cast("bigint").alias("number"), F.col("x.line").alias("line"))
 
 
-def cache_key(**parts: Column) -> Column:
-    """SHA-1 of labelled parts."""
-    return F.sha1(F.concat_ws("|", *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in parts.items())))
+def asr_cache_key(
+    content_sha1: Column, model: Column, language: Column, preprocess: Column | None = None, device: Column | None = None, compute_type: Column | None = None, beam_size: Column | None = None, best_of: Column | None = None, vad: Column | None = None
+) -> Column:
+    """SHA-1 of all that changes what a recogniser gives: the content hash of the audio and eight labelled settings; missing ones have the defaults (none, auto, auto, 1, 1, off)."""
+    given = lambda c, default: F.lit(default) if c is None else F.coalesce(F.when(c.cast("string") != "", c.cast("string")), F.lit(default))
+    parts = {"model": model.cast("string"), "lang": language.cast("string"), "pre": given(preprocess, "none"), "dev": given(device, "auto"), "ct": given(compute_type, "auto"), "beam": given(beam_size, "1"), "best_of": given(best_of, "1")}
+    flag = F.lit("0") if vad is None else F.coalesce(vad.cast("int"), F.lit(0)).cast("string")
+    return F.sha1(F.concat_ws("|", content_sha1, *(F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(""))) for k, v in parts.items()), F.concat(F.lit("vad="), flag)))
 
 
 def device_decision(device: Column, compute: Column, has_gpu: Column) -> tuple[Column, Column]:
@@ -75,9 +87,10 @@ def stable_stem(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.[^.]*$", ""), r"(\.fixed)+$", "")
 
 
-def emit_route(c: Column) -> Column:
-    """The primary output of an emit mode."""
-    return F.when(c.isin("all", "bilingual", "bilingual-only"), "bilingual").when(c == "literal", "literal").when(c == "zh-only", "zh").otherwise("none")
+def emit_route(c: Column) -> tuple[Column, Column]:
+    """(primary output, list of subtitle outputs) of an emit mode; a mode without subtitles, `none` or unknown, has the literal transcript's JSON as primary."""
+    written = F.array_compact(F.array(F.when(c.isin("zh-only", "all"), "zh"), F.when(c == "literal", "literal"), F.when(c.isin("all", "bilingual", "bilingual-only"), "bilingual")))
+    return F.coalesce(F.try_element_at(written, F.lit(-1)), F.lit("literal_json")), written
 
 
 def language_code(c: Column) -> Column:
@@ -86,9 +99,13 @@ def language_code(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.coalesce(c, F.lit("")))), F.lit("eng_Latn"))
 
 
-def translator_route(lang: Column) -> Column:
-    """English goes to the general translator, all others to the many-language one."""
-    return F.when(F.lower(F.coalesce(lang, F.lit("en"))).startswith("en"), "nllb").otherwise("openai")
+def translator_route(lang: Column, mode: str = "auto_non_en") -> Column:
+    """Which translator a language goes to: by default English to the many-language model and all others, unknown (null) ones too, to the general one; the other modes name one for all."""
+    if mode in ("openai", "nllb"):
+        return F.lit(mode)
+    if mode != "auto_non_en":
+        raise ValueError(f"unknown translator: {mode}")
+    return F.when(F.lower(F.coalesce(lang, F.lit("unknown"))).startswith("en"), "nllb").otherwise("openai")
 
 
 def logprob_confidence(c: Column) -> Column:
@@ -104,6 +121,24 @@ def burn_filter_escape(c: Column) -> Column:
     return out
 
 
+def stem_outputs(files: DataFrame, stems: DataFrame) -> DataFrame:
+    """root, input_stem, vocals, other of separated audio: files (root, path below it, mtime, ctime) chosen for stems (root, input_stem).
+
+    The newest `vocals.wav` in `<model>/<input_stem>/` counts, else the newest anywhere below the root (ties by ctime, then
+    path). Beside it `no_vocals.wav` is preferred, then `accompaniment.wav`, then any other WAV (the first by name). A root
+    without vocals has nulls.
+    """
+    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"[^/]*$", "")
+    known = files.select("root", "path", "mtime", "ctime", name.alias("name"), folder.alias("folder"))
+    own = F.col("folder").rlike("^[^/]+/[^/]+/$") & (F.regexp_extract("folder", r"^[^/]+/([^/]+)/$", 1) == F.col("input_stem"))
+    vocals = stems.select("root", "input_stem").distinct().join(known.where("name = 'vocals.wav'"), "root", "left")
+    best = vocals.groupBy("root", "input_stem").agg(F.max(F.when(F.col("path").isNotNull(), F.struct(own.alias("own"), "mtime", "ctime", "path", "folder"))).alias("v"))
+    best = best.select("root", "input_stem", F.col("v.path").alias("vocals"), F.col("v.folder").alias("folder"))
+    rank = F.when(F.col("name") == "no_vocals.wav", 0).when(F.col("name") == "accompaniment.wav", 1).otherwise(2)
+    siblings = known.where("name like '%.wav' and name <> 'vocals.wav'").groupBy("root", "folder").agg(F.min(F.struct(rank.alias("rank"), "path")).alias("o"))
+    return best.join(siblings, ["root", "folder"], "left").select("root", "input_stem", "vocals", F.col("o.path").alias("other"))
+
+
 def newest_by(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The row of each key with the greatest order columns, by a maximum with partial aggregation, not a sort."""
     return df.groupBy(*key).agg(F.max(F.struct(*order, *columns)).alias("r")).select(*key, *(f"r.{c}" for c in columns))

@@ -101,8 +101,7 @@ def translate(segments: DataFrame, make: Callable[[], Translator] = EchoTranslat
 def rewrite_smart(segments: DataFrame, targets: Sequence[str] = (), rewrite: Callable[[str], str] | None = None) -> DataFrame:
     """media_id, seg_idx, text, high_risk: low-risk texts are cleaned by rule, high-risk ones by `rewrite`, whose empty, failed or overlong results give way."""
     t = F.col("text")
-    risk = F.coalesce(F.col("confidence") < 0.35, F.lit(False)) | (X.number_count(t) >= 2) | (X.glossary_hits(t, targets) >= 1) | X.mt_stiff(t)
-    d = segments.select("media_id", "seg_idx", "text", X.naturalize_zh(t).alias("rule"), F.coalesce(risk, F.lit(False)).alias("high_risk"))
+    d = segments.select("media_id", "seg_idx", "text", X.naturalize_zh(t).alias("rule"), X.high_risk(t, F.col("confidence"), targets).alias("high_risk"))
     if rewrite is None:
         return d.select("media_id", "seg_idx", F.col("rule").alias("text"), "high_risk")
 

@@ -90,6 +90,33 @@ def violations(cues: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return d.select("media_id", "cue_index", "v.*")
 
 
+def violation_details(cues: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """media_id, cue_index, type, severity, start_ms, end_ms, what the rule looked at (dur_ms, cps, char_count, max_line_len, line_count, lines, prev_start_ms, prev_end_ms, overlap_ms; null where it doesn't look) and its threshold, and message: the full rows of a report."""
+    c, limits = F.col, _limits(profile)
+    seen = {
+        "BAD_TIMECODE_ORDER": ("prev_start_ms",), "EMPTY_TEXT": (), "TOO_SHORT_DURATION": ("dur_ms",), "TOO_LONG_DURATION": ("dur_ms",), "TOO_FAST_CPS": ("cps", "char_count", "dur_ms"), "LINE_TOO_LONG": ("max_line_len", "lines"),
+        "TOO_MANY_LINES": ("line_count", "lines"), "OVERLAP": ("overlap_ms", "prev_end_ms"),
+    }
+    values = {
+        "prev_start_ms": c("prev_start_ms"), "dur_ms": c("dur"), "cps": c("cps"), "char_count": c("chars"), "max_line_len": c("longest"), "line_count": c("n_lines"), "lines": F.array_join("lines", "\n"), "overlap_ms": c("overlap"), "prev_end_ms": c("prev_end_ms"),
+    }
+    text = lambda x: x.cast("string")
+    said = {
+        "BAD_TIMECODE_ORDER": F.concat(F.lit("Timecode order not monotonic at cue "), text(c("cue_index"))), "EMPTY_TEXT": F.lit("Empty subtitle text"),
+        "TOO_SHORT_DURATION": F.concat(F.lit("Duration "), text(c("dur")), F.lit("ms < min "), text(limits["min_dur_ms"]), F.lit("ms")), "TOO_LONG_DURATION": F.concat(F.lit("Duration "), text(c("dur")), F.lit("ms > max "), text(limits["max_dur_ms"]), F.lit("ms")),
+        "TOO_FAST_CPS": F.concat(F.lit("CPS "), F.format_string("%.2f", c("cps")), F.lit(" > max "), text(limits["max_cps"])), "LINE_TOO_LONG": F.concat(F.lit("Line length "), text(c("longest")), F.lit(" > max "), text(limits["max_line_len"])),
+        "TOO_MANY_LINES": F.concat(F.lit("Line count "), text(c("n_lines")), F.lit(" > max "), text(limits["max_lines"])),
+        "OVERLAP": F.concat(F.lit("Overlap "), text(c("overlap")), F.lit("ms > max "), text(limits["max_overlap_ms"]), F.lit("ms (with previous cue)")),
+    }
+    rows = []
+    for name, _, cond, _, limit in _checks(limits):
+        own = [(v if k in seen[name] else F.lit(None).cast("string" if k == "lines" else "double" if k == "cps" else "bigint")).alias(k) for k, v in values.items()]
+        severity = F.lit("minor" if name == "TOO_LONG_DURATION" else "major")
+        rows.append(F.when(cond, F.struct(F.lit(name).alias("type"), severity.alias("severity"), *own, F.when(F.lit(name not in ("EMPTY_TEXT", "BAD_TIMECODE_ORDER")), limit.cast("double")).alias("threshold"), said[name].alias("message"))))
+    d = _wide(cues).select("media_id", "cue_index", "start_ms", "end_ms", F.explode(F.array_compact(F.array(*rows))).alias("v"))
+    return d.select("media_id", "cue_index", "start_ms", "end_ms", "v.*")
+
+
 def summary(cues: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """media_id, total_cues, violation_count, major_count, minor_count, ok: one row per media item, clean ones included.
 

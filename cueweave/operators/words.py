@@ -60,6 +60,16 @@ def clip(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return cut.where("end_ms > start_ms")
 
 
+def shift_words(words: DataFrame, offset_ms: Column) -> DataFrame:
+    """Words moved in time, as those heard in a cut-out range are moved back to where it begins."""
+    return words.withColumns({"start_ms": (F.col("start_ms") + offset_ms).cast("bigint"), "end_ms": (F.col("end_ms") + offset_ms).cast("bigint")})
+
+
+def clamp_words(words: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Words cut to a range (start, end: columns of the words or literals); those outside it, without length or blank are gone."""
+    return clip(words, start, end).where((start < end) & ~X.is_blank(F.col("word")))
+
+
 def range_replace(segments: DataFrame, new: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """media_id, seg_idx, part, start_ms, end_ms, text: segments outside the range stay, those across its edges keep their
     outer parts with the full text, what is inside gives way to the new rows (seg_idx, start_ms, end_ms, text) cut to the range."""

@@ -45,7 +45,7 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 PROFILES = [quality.Profile(), quality.Profile("loose", 22.0, 42, 2, 700, 8000, 50), quality.Profile("strict", 12.0, 16, 1, 1200, 6000, 0)]
 GLOSSARY = [("studio", "atelier"), ("atelier near", "atelier by"), ("camera", "camera unit"), ("OpenAI", "OpenAI"), ("Tokyo", "东京")]
 ZH_TERMS = ["话筒", "胶片", "studio", "", "studio"]
-ROUTES = ["all", "literal", "zh-only", "bilingual-only", "bilingual", "none"]
+ROUTES = ["all", "literal", "zh-only", "bilingual-only", "bilingual", "none", "other"]
 
 
 def cue_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,36 @@ def fix_loop_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fix_actions(spark: SparkSession, d: str) -> DataFrame:
-    return loop.actions(_cues(spark, d)).select("media_id", "cue_index", F.to_json("before").alias("before"), F.to_json("after").alias("after"))
+    return folds.fix_actions(_cues(spark, d))
+
+
+def subtitle_fixes(spark: SparkSession, d: str) -> DataFrame:
+    return folds.subtitle_fixes(_cues(spark, d), min_ms=900, max_cps=16.0)
+
+
+def violation_details(spark: SparkSession, d: str) -> DataFrame:
+    return quality.violation_details(_cues(spark, d)).drop("message")
+
+
+def transcript_srt(spark: SparkSession, d: str) -> DataFrame:
+    return srt.transcript_srt(_segments(spark, d))
+
+
+def range_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every segment, heard as if cut out with a second before and a second and a half behind, moved back and cut to the segment."""
+    bounds = _segments(spark, d).select("media_id", "seg_idx", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"))
+    cut = F.greatest(F.col("s0") - 1000, F.lit(0))
+    heard = W.shift_words(_words(spark, d).join(bounds, ["media_id", "seg_idx"]), -cut)
+    return W.clamp_words(W.shift_words(heard, cut + 250), F.col("s0"), F.col("s1")).select("media_id", "seg_idx", "word_idx", "start_ms", "end_ms", "word")
+
+
+def _replay(source: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """A deterministic listener: it hears a word in every half second of the range."""
+    return [(a, a + 400, f" w{a // 500}") for a in range(-(-lo // 500) * 500, hi - 400, 500)]
+
+
+def repair_replayed(spark: SparkSession, d: str) -> DataFrame:
+    return folds.repair(_segments(spark, d), _replay)
 
 
 def wrap_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +269,7 @@ def range_replace(spark: SparkSession, d: str) -> DataFrame:
 
 def risk_flags(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return _segments(spark, d).select("media_id", "seg_idx", X.number_count(t).alias("numbers"), X.glossary_hits(t, ZH_TERMS).alias("hits"), X.mt_stiff(t).alias("stiff"), (F.coalesce(F.col("confidence") < 0.35, F.lit(False)) | (X.number_count(t) >= 2) | (X.glossary_hits(t, ZH_TERMS) >= 1) | X.mt_stiff(t)).alias("high_risk"))
+    return _segments(spark, d).select("media_id", "seg_idx", X.number_count(t).alias("numbers"), X.glossary_hits(t, ZH_TERMS).alias("hits"), X.mt_stiff(X.strip(t)).alias("stiff"), X.high_risk(t, F.col("confidence"), ZH_TERMS).alias("high_risk"))
 
 
 def glossary_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +317,7 @@ def kb_topk_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asr_cache_key(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "media").select("media_id", jobs.cache_key(path=F.col("source_path"), lang=F.col("lang"), ms=F.col("duration_ms"), model=F.lit("small")).alias("cache_key"))
+    return read_table(spark, d, "media").select("media_id", jobs.asr_cache_key(F.sha1("source_path"), F.lit("small"), F.coalesce("lang", F.lit("auto")), preprocess=F.col("channel_code"), beam_size=F.length("media_id"), vad=F.col("duration_ms") > 600_000).alias("cache_key"))
 
 
 def job_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +350,7 @@ def path_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counters_prometheus(spark: SparkSession, d: str) -> DataFrame:
-    counted = jobs.counters(read_table(spark, d, "job_status"), F.lit("jobs_total"), F.concat(F.lit('kind="'), F.coalesce(jobs.job_kind(F.col("job_kind")), F.lit("")), F.lit('",state="'), F.coalesce("job_state", F.lit("")), F.lit('"')))
+    counted = jobs.counters(read_table(spark, d, "job_status"), F.lit("jobs_total"), {"state": F.col("job_state"), "kind": jobs.job_kind(F.col("job_kind"))})
     return jobs.prometheus_lines(counted)
 
 
@@ -343,14 +372,15 @@ def path_helpers(spark: SparkSession, d: str) -> DataFrame:
 
 def emit_routing(spark: SparkSession, d: str) -> DataFrame:
     t = spark.createDataFrame([(x,) for x in ROUTES], "mode string")
-    return t.select("mode", jobs.emit_route(F.col("mode")).alias("primary_output"))
+    primary, written = jobs.emit_route(F.col("mode"))
+    return t.select("mode", primary.alias("primary_output"), F.array_join(written, ",").alias("outputs"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
-        fix_loop_final, fix_loop_times, fix_loop_summary, fix_loop_report, fix_actions, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
+        fix_loop_final, fix_loop_times, fix_loop_summary, fix_loop_report, fix_actions, subtitle_fixes, violation_details, transcript_srt, range_words, repair_replayed, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
         no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, coalesce_absorb, alloc_times, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
         normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
         newest_candidate, path_helpers, emit_routing,

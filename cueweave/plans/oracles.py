@@ -78,7 +78,8 @@ def _timecode(x: str) -> str:
     return f"({pad(f'({x} // 3600000)', 2)} || ':' || {pad(f'({x} % 3600000 // 60000)', 2)} || ':' || {pad(f'({x} % 60000 // 1000)', 2)} || ',' || {pad(f'({x} % 1000)', 3)})"
 
 
-_BLOCK = f"CAST(number AS VARCHAR) || chr(10) || {_timecode('start_ms')} || ' --> ' || {_timecode('end_ms')} || CASE WHEN regexp_replace(text, '\n+$', '') <> '' THEN chr(10) || regexp_replace(text, '\n+$', '') ELSE '' END"
+_INLINE = WS.replace('\\x{09}-\\x{0d}', '\\x{09}\\x{0b}-\\x{0d}')
+_BLOCK = f"CAST(number AS VARCHAR) || chr(10) || {_timecode('start_ms')} || ' --> ' || {_timecode('end_ms')} || CASE WHEN regexp_replace(text, '{WS}', '', 'g') <> '' THEN chr(10) || regexp_replace(text, '\n+$', '') ELSE '' END"
 _COVER = f"""WITH {CUES}, {SEGMENTS}, {WORDS},
 cov AS (SELECT c.media_id, c.cue_index AS seg_idx, c.end_ms - c.start_ms AS dur_ms, CAST(coalesce(sum(least(w.end_ms, c.end_ms) - greatest(w.start_ms, c.start_ms)) FILTER (w.start_ms IS NOT NULL), 0) AS BIGINT) AS covered_ms, any_value(c.end_ms) AS e
   FROM c LEFT JOIN w ON w.media_id = c.media_id AND w.start_ms < c.end_ms AND c.start_ms < w.end_ms GROUP BY c.media_id, c.cue_index, c.end_ms, c.start_ms)"""
@@ -117,7 +118,7 @@ p AS (SELECT *, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], '
 SELECT media_id, cue_index, a AS line_1, b AS line_2 FROM (SELECT *, row_number() OVER (PARTITION BY media_id, cue_index ORDER BY greatest(length(a), length(b)), a, b) AS rn FROM p WHERE length(a) <= 42 AND length(b) <= 42) WHERE rn = 1""",
     "timecode_format": f"WITH {CUES} SELECT media_id, cue_index, {_timecode('start_ms')} AS start_tc, {_timecode('end_ms')} AS end_tc FROM c",
     "srt_render": f"WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) AS number FROM c) SELECT media_id, number, {_BLOCK} AS block FROM n",
-    "srt_roundtrip": f"WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) AS number FROM c) SELECT media_id, number - 1 AS cue_index, start_ms, end_ms, regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text FROM n",
+    "srt_roundtrip": f"WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) AS number FROM c) SELECT media_id, number - 1 AS cue_index, start_ms, end_ms, regexp_replace(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '(?:(?:^|\\n){_INLINE}*)+$', ''), '^\\n+', '') AS text FROM n",
     "bilingual_zip": f"WITH {CUES}, {SEGMENTS} SELECT c.media_id, c.cue_index, c.start_ms, c.end_ms, c.text || chr(10) || s.text AS text FROM c JOIN s ON s.media_id = c.media_id AND s.seg_idx = c.cue_index",
     "words_from_text": f"WITH {SEGMENTS}, {WORDS} SELECT media_id, seg_idx, word_idx, start_ms, end_ms, word FROM w",
     "pause_and_mark_flags": f"""WITH {SEGMENTS}, {WORDS}, x AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY word_idx) - end_ms AS gap_ms, right(word, 1) AS mk FROM w)
@@ -144,7 +145,7 @@ SELECT media_id, seg_idx, 'kept' AS part, start_ms, end_ms, text FROM s WHERE NO
 UNION ALL SELECT media_id, seg_idx, 'left', start_ms, 30000, text FROM s WHERE start_ms < 60000 AND end_ms > 30000 AND start_ms < 30000
 UNION ALL SELECT media_id, seg_idx, 'right', 60000, end_ms, text FROM s WHERE start_ms < 60000 AND end_ms > 30000 AND end_ms > 60000
 UNION ALL SELECT media_id, cue_index, 'new', greatest(start_ms, 30000), least(end_ms, 60000), text FROM c WHERE least(end_ms, 60000) > greatest(start_ms, 30000) AND regexp_replace(text, '{WS}', '', 'g') <> ''""",
-    "risk_flags": f"""WITH {SEGMENTS} SELECT media_id, seg_idx, CAST({_NUMBERS} AS BIGINT) AS numbers, {_HITS} AS hits, {_STIFF} AS stiff, coalesce(confidence < 0.35, false) OR {_NUMBERS} >= 2 OR {_HITS} >= 1 OR {_STIFF} AS high_risk FROM s""",
+    "risk_flags": f"""WITH {SEGMENTS} SELECT media_id, seg_idx, CAST({_NUMBERS} AS BIGINT) AS numbers, {_HITS} AS hits, {_STIFF} AS stiff, coalesce(confidence < 0.35, false) OR {_NUMBERS} >= 2 OR {_HITS} >= 1 OR {_STIFF} AS high_risk FROM (SELECT * REPLACE ({_STRIP % 'text'} AS text) FROM s)""",
     "glossary_apply": "SELECT doc_id, md5(replace(replace(replace(replace(replace(text, 'studio', 'atelier'), 'atelier near', 'atelier by'), 'camera', 'camera unit'), 'OpenAI', 'OpenAI'), 'Tokyo', '东京')) AS text_md5 FROM documents",
     "normalized_texts": f"""WITH {SEGMENTS} SELECT media_id, seg_idx, {_REPAIR % 'text'} AS repair_form, {_ZH % 'text'} AS zh_form, CAST(len(list_filter(string_split_regex(text, '{WS}+'), lambda t: t <> '')) AS BIGINT) AS words,
 CAST(length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS BIGINT) AS letters, {_CJK} >= 4 AND {_CJK} >= length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS cjk FROM s""",
@@ -154,21 +155,23 @@ SELECT media_id, seg_idx, k AS piece, ps[k + 1] AS text FROM (SELECT *, unnest(r
 SELECT media_id, seg_idx, CASE WHEN b2 IS NOT NULL AND regexp_replace(b2, '{WS}', '', 'g') <> '' AND regexp_replace(b1, '{WS}', '', 'g') <> '' THEN b2 || chr(10) || b1 WHEN b2 IS NOT NULL AND regexp_replace(b2, '{WS}', '', 'g') <> '' THEN b2 WHEN b1 IS NOT NULL AND regexp_replace(b1, '{WS}', '', 'g') <> '' THEN b1 ELSE '' END AS before, substring(coalesce(nx, ''), 1, 80) AS after FROM x""",
     "segment_stats": f"""WITH {SEGMENTS} SELECT media_id, CAST(sum(end_ms - start_ms) AS DOUBLE) / count(*) AS avg_ms, CAST(count(*) FILTER (end_ms - start_ms < 1200) AS DOUBLE) / count(*) AS short_share,
 CAST(count(*) FILTER (end_ms - start_ms < 2000 AND length({_STRIP % 'text'}) <= 6) AS DOUBLE) / count(*) AS tiny_share FROM s GROUP BY media_id""",
-    "translator_routes": """SELECT doc_id, CASE WHEN starts_with(lower(coalesce(lang, 'en')), 'en') THEN 'nllb' ELSE 'openai' END AS translator,
-CASE lower(coalesce(lang, '')) WHEN 'zh' THEN 'zho_Hans' WHEN 'zh-cn' THEN 'zho_Hans' WHEN 'zh-tw' THEN 'zho_Hant' WHEN 'ja' THEN 'jpn_Jpan' WHEN 'ko' THEN 'kor_Hang' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' WHEN 'ru' THEN 'rus_Cyrl' WHEN 'hy' THEN 'hye_Armn' WHEN 'ar' THEN 'arb_Arab' WHEN 'it' THEN 'ita_Latn' WHEN 'pt' THEN 'por_Latn' ELSE 'eng_Latn' END AS code FROM documents""",
+    "translator_routes": """SELECT doc_id, CASE WHEN starts_with(lower(coalesce(lang, 'unknown')), 'en') THEN 'nllb' ELSE 'openai' END AS translator,
+CASE lower(coalesce(lang, '')) WHEN 'en' THEN 'eng_Latn' WHEN 'ja' THEN 'jpn_Jpan' WHEN 'ko' THEN 'kor_Hang' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' WHEN 'pt' THEN 'por_Latn' WHEN 'it' THEN 'ita_Latn' WHEN 'ru' THEN 'rus_Cyrl' WHEN 'ar' THEN 'arb_Arab'
+ WHEN 'th' THEN 'tha_Thai' WHEN 'vi' THEN 'vie_Latn' WHEN 'id' THEN 'ind_Latn' WHEN 'tr' THEN 'tur_Latn' WHEN 'hi' THEN 'hin_Deva' WHEN 'zh' THEN 'zho_Hans' WHEN 'zh-cn' THEN 'zho_Hans' WHEN 'zh-tw' THEN 'zho_Hant' ELSE 'eng_Latn' END AS code FROM documents""",
     "kb_topk": """WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS score FROM embeddings, q ORDER BY list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), vec_id LIMIT 6""",
     "kb_topk_all": """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 6""",
-    "asr_cache_key": "SELECT media_id, sha1('path=' || coalesce(source_path, '') || '|lang=' || coalesce(lang, '') || '|ms=' || coalesce(CAST(duration_ms AS VARCHAR), '') || '|model=small') AS cache_key FROM media",
+    "asr_cache_key": "SELECT media_id, sha1(concat_ws('|', sha1(source_path), 'model=small', 'lang=' || coalesce(lang, 'auto'), 'pre=' || coalesce(nullif(channel_code, ''), 'none'), 'dev=auto', 'ct=auto', 'beam=' || length(media_id), 'best_of=1', 'vad=' || CASE WHEN duration_ms > 600000 THEN '1' ELSE '0' END)) AS cache_key FROM media",
     "job_latest": f"SELECT job_id, {_KIND} AS job_kind, job_state, progress, coalesce(attempt, 0) AS attempt, error_code FROM (SELECT *, {_RANK} AS rn FROM job_status WHERE job_id IS NOT NULL AND updated_at IS NOT NULL) WHERE rn = 1",
     "job_status_reconcile": f"""WITH k AS (SELECT job_id, job_state AS s FROM (SELECT *, {_RANK} AS rn FROM job_status WHERE job_id IS NOT NULL AND updated_at IS NOT NULL AND worker_id IS NOT NULL) WHERE rn = 1),
 q AS (SELECT job_id, max(CASE WHEN finished_at IS NOT NULL THEN 'finished' WHEN started_at IS NOT NULL THEN 'started' ELSE 'queued' END) AS q FROM job_status WHERE enqueued_at IS NOT NULL AND job_id IS NOT NULL GROUP BY job_id)
 SELECT job_id, CASE WHEN s IS NULL THEN CASE WHEN q = 'finished' THEN 'succeeded' WHEN q IN ('started', 'failed', 'canceled') THEN q ELSE 'queued' END WHEN s IN ('succeeded', 'failed', 'canceled') THEN s WHEN q = 'queued' THEN 'queued' WHEN q = 'started' AND s = 'queued' THEN 'started' WHEN q = 'failed' THEN 'failed' WHEN q = 'canceled' THEN 'canceled' ELSE s END AS job_state,
 CASE WHEN s IS NULL THEN 'queue' WHEN q IS NULL THEN 'disk' ELSE 'both' END AS origin FROM k FULL JOIN q USING (job_id)""",
-    "counters_prometheus": f"SELECT 'jobs_total{{' || labels || '}} ' || CAST(n AS VARCHAR) AS line FROM (SELECT 'kind=\"' || coalesce({_KIND}, '') || '\",state=\"' || coalesce(job_state, '') || '\"' AS labels, count(*) AS n FROM job_status GROUP BY ALL)",
+    "counters_prometheus": f"SELECT row_number() OVER (ORDER BY k, s) AS number, 'jobs_total{{kind=\"' || k || '\",state=\"' || s || '\"}} ' || CAST(n AS VARCHAR) AS line FROM (SELECT coalesce({_KIND}, '') AS k, coalesce(job_state, '') AS s, count(*) AS n FROM job_status GROUP BY ALL)",
     "newest_candidate": "SELECT channel_code, source_path FROM (SELECT *, row_number() OVER (PARTITION BY channel_code ORDER BY created_at DESC NULLS LAST, media_id DESC, source_path DESC) AS rn FROM media WHERE channel_code IS NOT NULL) WHERE rn = 1",
-    "emit_routing": "SELECT mode, CASE WHEN mode IN ('all', 'bilingual', 'bilingual-only') THEN 'bilingual' WHEN mode = 'literal' THEN 'literal' WHEN mode = 'zh-only' THEN 'zh' ELSE 'none' END AS primary_output FROM (VALUES ('all'), ('literal'), ('zh-only'), ('bilingual-only'), ('bilingual'), ('none')) t(mode)",
+    "emit_routing": """SELECT mode, CASE WHEN mode IN ('all', 'bilingual', 'bilingual-only') THEN 'bilingual' WHEN mode = 'literal' THEN 'literal' WHEN mode = 'zh-only' THEN 'zh' ELSE 'literal_json' END AS primary_output,
+CASE mode WHEN 'all' THEN 'zh,bilingual' WHEN 'literal' THEN 'literal' WHEN 'zh-only' THEN 'zh' WHEN 'bilingual-only' THEN 'bilingual' WHEN 'bilingual' THEN 'bilingual' ELSE '' END AS outputs FROM (VALUES ('all'), ('literal'), ('zh-only'), ('bilingual-only'), ('bilingual'), ('none'), ('other')) t(mode)""",
 }
 
 _TOKENS = f"list_filter(string_split({_REPAIR % 'text'}, ' '), lambda t: t <> '')"
@@ -341,3 +344,71 @@ def _stretch_step(src: str, out: str, skip: str, need: str, short: str) -> str:
 ORACLES["fix_loop_times"] = f"""WITH RECURSIVE {CUES}, z AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) - 1 AS n, start_ms, end_ms, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars FROM c),
 {_fix_pass("z", "a")}, {_fix_pass("ad", "b")}, {_fix_pass("bd", "e")}
 SELECT media_id, n AS cue_index, start_ms, end_ms FROM ed"""
+
+
+def _cjk(x: str) -> str:
+    n = _CJK.replace("text", x, 1)
+    return f"({n} >= 4 AND {n} >= length(regexp_replace({x}, '[^A-Za-z]', '', 'g')))"
+
+
+def _wrapped(src: str, width: int, most: int) -> str:
+    """Steps that wrap the texts of src (media_id, cue_index, text) into one or two lines: `wr` (media_id, cue_index, text)."""
+    strip = lambda x: _STRIP % x
+    cut = lambda x: f"coalesce(list_max(list_filter(range({width - width // 3 + 1}, {width + 1}), lambda k: contains('，。！？；：、,.!?;:', {x}[k]))), {width})"
+    first = f"CASE WHEN length(dense) <= {width} THEN dense ELSE dense[1:{cut('dense')}] END"
+    second = f"CASE WHEN length(more) <= {width} THEN more ELSE more[1:{cut('more')}] END"
+    part = lambda a, b: f"array_to_string(ws[{a}:{b}], ' ')"
+    best = f"list_sort(list_filter(list_transform(range(1, len(ws)), lambda i: {{'m': greatest(length({part('1', 'i')}), length({part('i + 1', 'len(ws)')})), 'a': {part('1', 'i')}, 'b': {part('i + 1', 'len(ws)')}}}), lambda x: x.m <= {width}))[1]"
+    fill = f"coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda i: length({part('1', 'i')}) <= {width})), 1)"
+    greedy = f"array_to_string(ws[1:fill], ' ') || CASE WHEN fill < len(ws) THEN chr(10) || ws[fill + 1] ELSE '' END"
+    flat = "flat" if most == 1 else f"CASE WHEN length(flat) <= {width} THEN flat WHEN best IS NOT NULL THEN best.a || chr(10) || best.b ELSE {greedy} END"
+    return f"""wa AS (SELECT media_id, cue_index, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM {src}),
+wb AS (SELECT *, array_to_string(ls, '') AS tight, array_to_string(ls, ' ') AS loose FROM wa),
+wc AS (SELECT media_id, cue_index, text, list_filter(string_split_regex(CASE WHEN {_cjk('tight')} THEN tight ELSE loose END, '{WS}+'), lambda x: x <> '') AS ws FROM wb),
+wd AS (SELECT *, array_to_string(ws, ' ') AS flat, array_to_string(ws, '') AS dense, {best if most > 1 else 'NULL'} AS best, {fill} AS fill FROM wc),
+we AS (SELECT *, {first} AS line_1 FROM wd), wf AS (SELECT *, dense[length(line_1) + 1:] AS more FROM we),
+wr AS (SELECT media_id, cue_index, CASE WHEN len(ws) = 0 THEN text WHEN {_cjk('flat')} OR len(ws) < 2 THEN {f"line_1 || CASE WHEN more <> '' THEN chr(10) || {second} ELSE '' END" if most > 1 else 'line_1'} ELSE {flat} END AS text FROM wf)"""
+
+
+#: Cues numbered by time as `c`, the items that break a rule as `bad`, and `fin`: what three passes make of them, texts and all.
+_BY_TIME = f"{CUES.replace('c AS', 'c0 AS', 1)}, c AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) - 1 AS cue_index, start_ms, end_ms, text FROM c0)"
+_CHARS = f"CAST(length(regexp_replace(%s, '{WS}', '', 'g')) AS BIGINT)"
+_FINAL = f"""{_BY_TIME}, {METRICS}, bad AS (SELECT DISTINCT media_id FROM ({_violations()}) WHERE severity = 'major'), {_wrapped("c", 18, 1)},
+z AS (SELECT c.media_id, c.cue_index AS n, start_ms, end_ms, {_CHARS % 'c.text'} AS chars FROM c), {_fix_pass("z", "a")},
+za AS (SELECT ad.media_id, n, start_ms, end_ms, {_CHARS % 'wr.text'} AS chars FROM ad JOIN wr ON wr.media_id = ad.media_id AND wr.cue_index = ad.n), {_fix_pass("za", "b")}, {_fix_pass("bd", "e")},
+fin AS (SELECT c.media_id, c.cue_index, CASE WHEN bad.media_id IS NULL THEN c.start_ms ELSE ed.start_ms END AS start_ms, CASE WHEN bad.media_id IS NULL THEN c.end_ms ELSE ed.end_ms END AS end_ms, CASE WHEN bad.media_id IS NULL THEN c.text ELSE wr.text END AS text
+  FROM c JOIN ed ON ed.media_id = c.media_id AND ed.n = c.cue_index JOIN wr ON wr.media_id = c.media_id AND wr.cue_index = c.cue_index LEFT JOIN bad ON bad.media_id = c.media_id)"""
+_SUMMED = f"""SELECT c.media_id, count(*) AS total_cues, any_value(coalesce(n, 0)) AS violation_count, any_value(coalesce(j, 0)) AS major_count, any_value(coalesce(n, 0) - coalesce(j, 0)) AS minor_count, any_value(coalesce(j, 0)) = 0 AS ok
+FROM c LEFT JOIN (SELECT media_id, count(*) AS n, count(*) FILTER (severity = 'major') AS j FROM ({_violations()}) GROUP BY media_id) v ON v.media_id = c.media_id GROUP BY c.media_id"""
+_DETAIL = {
+    "BAD_TIMECODE_ORDER": ("prev_start_ms",), "EMPTY_TEXT": (), "TOO_SHORT_DURATION": ("dur_ms",), "TOO_LONG_DURATION": ("dur_ms",), "TOO_FAST_CPS": ("cps", "char_count", "dur_ms"), "LINE_TOO_LONG": ("max_line_len", "lines"), "TOO_MANY_LINES": ("line_count", "lines"),
+    "OVERLAP": ("overlap_ms", "prev_end_ms"),
+}
+_SOURCE = {"dur_ms": "mm.duration_ms", "overlap_ms": "greatest(mm.prev_end_ms - mm.start_ms, 0)", "lines": f"array_to_string(list_filter(string_split(mm.text, chr(10)), lambda x: regexp_replace(x, '{WS}', '', 'g') <> ''), chr(10))"}
+_SHOWN = ", ".join(f"CASE WHEN v.type IN ({', '.join(repr(t) for t, seen in _DETAIL.items() if name in seen)}) THEN {_SOURCE.get(name, f'mm.{name}')} END AS {name}" for name in ("prev_start_ms", "dur_ms", "cps", "char_count", "max_line_len", "line_count", "lines", "overlap_ms", "prev_end_ms"))
+ORACLES |= {
+    "wrap_lines": f"WITH {CUES}, {_wrapped('c', 42, 2)} SELECT media_id, cue_index, text FROM wr",
+    "fix_loop_final": f"WITH RECURSIVE {_FINAL} SELECT media_id, cue_index, start_ms, end_ms, text FROM fin",
+    "fix_loop_summary": f"WITH RECURSIVE {_FINAL} SELECT * FROM (WITH c AS (SELECT * FROM fin), {METRICS} {_SUMMED})",
+    "violation_details": f"WITH {CUES}, {METRICS}, v AS ({_violations()}) SELECT v.media_id, v.cue_index, mm.start_ms, mm.end_ms, v.type, v.severity, {_SHOWN}, CASE WHEN v.type NOT IN ('EMPTY_TEXT', 'BAD_TIMECODE_ORDER') THEN v.threshold END AS threshold FROM v JOIN mm USING (media_id, cue_index)",
+    "transcript_srt": f"""WITH {SEGMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS number FROM s)
+SELECT media_id, string_agg(CAST(number AS VARCHAR) || chr(10) || {_timecode('start_ms')} || ' --> ' || {_timecode('end_ms')} || chr(10) || coalesce(nullif({_STRIP % 'text'}, ''), ' ') || chr(10), chr(10) ORDER BY number) AS srt FROM n GROUP BY media_id""",
+    "range_words": f"""WITH {SEGMENTS}, {WORDS} SELECT w.media_id, w.seg_idx, w.word_idx, greatest(w.start_ms + 250, s.start_ms) AS start_ms, least(w.end_ms + 250, s.end_ms) AS end_ms, w.word FROM w JOIN s ON s.media_id = w.media_id AND s.seg_idx = w.seg_idx
+WHERE s.start_ms < s.end_ms AND greatest(w.start_ms + 250, s.start_ms) < least(w.end_ms + 250, s.end_ms)""",
+}
+
+# Chinese lines: one step cuts one line off.
+_ZH_TEXT = f"CASE WHEN {_STRIP % 'text'} = '' THEN '' ELSE {_ZH % 'text'} END"
+
+
+def _break(marks: str) -> str:
+    return f"list_max(list_filter(range(2, 19), lambda k: contains('{marks}', rest[k]) AND NOT contains('，。、！？!?；;：:）)]】》」』”’…', rest[k + 1])))"
+
+
+ORACLES["wrap_zh"] = f"""WITH RECURSIVE {SEGMENTS}, t AS (SELECT media_id, seg_idx, text, {_ZH_TEXT} AS zh FROM s),
+f(media_id, seg_idx, lines, rest) AS (SELECT media_id, seg_idx, CAST([] AS VARCHAR[]), {_STRIP % 'zh'} FROM t
+ UNION ALL SELECT media_id, seg_idx, list_append(lines, {_STRIP % 'rest[1:cut]'}), rest[cut + 1:] FROM (
+  SELECT *, coalesce({_break('。！？!?；;…')}, {_break('，、,:：')}, CASE WHEN contains('，。、！？!?；;：:）)]】》」』”’…', rest[19]) THEN 17 ELSE 18 END) AS cut FROM f WHERE length(rest) > 18)),
+g AS (SELECT media_id, seg_idx, list_filter(list_append(lines, {_STRIP % 'rest'}), lambda x: x <> '') AS ls FROM f WHERE length(rest) <= 18),
+h AS (SELECT media_id, seg_idx, CASE WHEN len(ls) > 1 AND length(ls[-1]) = 1 THEN list_append(ls[1:len(ls) - 2], ls[-2] || ls[-1]) ELSE ls END AS ls FROM g)
+SELECT media_id, seg_idx, CASE WHEN t.zh = '' THEN t.text WHEN len(ls) > 2 THEN ls[1] || chr(10) || array_to_string(ls[2:], '') ELSE array_to_string(ls, chr(10)) END AS text FROM h JOIN t USING (media_id, seg_idx)"""
