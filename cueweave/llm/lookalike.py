@@ -3,12 +3,14 @@
 Three steps per text: ignorable characters are deleted; widths, ligatures, radicals, kinds of blanks and hyphens are
 mapped by compatibility normalisation (raised, lowered and circled characters, which are visibly different, are not),
 and the rest is composed (NFC); then each token is read as a lattice that has, at each position, the look-alike letters
-of all scripts, and Viterbi picks the path with the fewest changes of script and, among these, the best character bigram
-score. The lattice is made from look-alike classes, not from the characters found, so that all texts that look the same
-have the same lattice and thus the same form, and texts that differ visibly never meet.
+of all scripts, and Viterbi picks the path with the best score: for each letter, the probability of its trigram among the
+trigrams of one script and that of its script in this text. The lattice is made from look-alike classes, not from the
+characters found, so that all texts that look the same have the same lattice and thus the same form, and texts that
+differ visibly never meet.
 
-The bigram counts are taken over all texts. Their number is bounded by the square of the letters of the scripts in
-CLASSES, whatever the size of the corpus (see MAX_BIGRAMS).
+The counts are taken over all texts. Only trigrams within a script are counted, so that a path that changes its script
+gets what unseen trigrams get. Bigrams are counted exactly (the square of the letters of four scripts), trigrams in a
+table of 2**TRIGRAM_BITS cells: both have a fixed size, whatever the size of the corpus.
 
 Defined results: a null text has a null form; a blank one has a form but is no case of `lookalike_pairs`; re-delivered
 rows count once; tables may be empty and have further columns.
@@ -19,14 +21,15 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,7 +88,7 @@ SAME = {"ɡ": "g", "ı": "ı", "‐": "-", "‑": "-", "‒": "-", "−": "-", "
 BLANKS = " \t               　"
 #: Ranges of characters that have no look (Unicode's default ignorables).
 IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
-MAX_BIGRAMS = 1_000_000
+TRIGRAM_BITS = 20
 _BLOCKS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 
 _classes: list[dict[str, str]] = [dict(x.split(":") for x in row.split()) for row in CLASSES.split("\n") if row]
@@ -122,8 +125,6 @@ class _Table(dict):
 
 
 _table = _Table()
-#: Letters of the scripts of CLASSES but Latin. A skeleton without any reads best as it stands: its letters are the Latin
-#: ones of their rows, and a path that stays in Latin has no change of script.
 _OTHERS = re.compile(r"[\u0370-\u058f\u1f00-\u1fff]")
 #: Tokens of the lattices: runs of letters of the scripts of CLASSES. Other letters have no look-alikes here and part tokens.
 _WORD = re.compile(r"[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u02af\u0370-\u058f\u1e00-\u1fff]+")
@@ -134,7 +135,7 @@ def skeleton(text: str) -> str:
     if not text.isascii():
         # composed first: an accent may stand apart from a look-alike base
         text = unicodedata.normalize("NFC", text.translate(_table))
-        if _OTHERS.search(text) is not None:
+        if _OTHERS.search(text) is not None:  # accented Latin letters are what they are
             text = unicodedata.normalize("NFC", "".join(map(_compose, text)))
     return text.replace("\t", " ").replace("\r\n", "\n")
 
@@ -152,12 +153,18 @@ def script_of(c: str) -> str:
     return next((b[0] for b in _BLOCKS if name.startswith(b)), "")
 
 
-_ANCHORS = {"L": re.compile(r"[bfkmrtzDFLR]"), "C": re.compile(r"[\u0400-\u052f]"), "G": re.compile(r"[\u0370-\u03ff]"), "A": re.compile(r"[\u0530-\u058f]")}
+#: Letters that only one script has, in the order of SCRIPTS.
+SCRIPTS = "LCGA"
+_ANCHORS = [re.compile(r"[bfkmrtzDFLR]"), re.compile(r"[\u0400-\u052f]"), re.compile(r"[\u0370-\u03ff]"), re.compile(r"[\u0530-\u058f]")]
+#: More letters than this are no stronger evidence.
+_ENOUGH = 3
 
 
-def _around(skel: str) -> str:
-    """The script with the most letters that have no look-alike; ties go to the first."""
-    return max(_ANCHORS, key=lambda s: len(_ANCHORS[s].findall(skel)))
+def _evidence(skel: str) -> tuple[int, ...]:
+    """How many letters of each script a text has that no other script has, up to _ENOUGH."""
+    if skel.isascii():
+        return (min(_ENOUGH, sum(1 for _ in islice(_ANCHORS[0].finditer(skel), _ENOUGH))), 0, 0, 0)
+    return tuple(sum(1 for _ in islice(a.finditer(skel), _ENOUGH)) for a in _ANCHORS)
 
 
 @lru_cache(maxsize=65536)
@@ -170,103 +177,113 @@ def _choices(c: str) -> tuple[tuple[str, str], ...]:
     return tuple((unicodedata.normalize("NFC", letter + parts[1:]), script) for script, letter in base.items())
 
 
+_LETTERS = [chr(c) for c in range(0x600) if chr(c).isalpha() and script_of(chr(c))]
+_N = len(_LETTERS) + 1
+_place = np.zeros(0x600, np.int64)
+_place[[ord(c) for c in _LETTERS]] = np.arange(1, _N)
+_script = np.array([0, *("LCGA".index(script_of(c)) + 1 for c in _LETTERS)])
+_PRIME = 0x9E3779B97F4A7C15
+
+
+def _cell(a, b, c):  # noqa: ANN001, ANN202
+    """Cell of a trigram of places; numbers or arrays of them."""
+    code = (a * _N + b) * _N + c
+    if isinstance(code, np.ndarray):
+        return ((code.astype(np.uint64) * np.uint64(_PRIME)) >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64)
+    return ((code * _PRIME) & (2**64 - 1)) >> (64 - TRIGRAM_BITS)
+
+
 class Speller:
-    """Best path through the lattice of a token."""
-
-    def __init__(self, bigrams: dict[str, int]):
-        totals: Counter[str] = Counter()
-        for pair, n in bigrams.items():
-            totals[pair[0]] += n
-        self.score = {pair: math.log((n + 0.1) / (totals[pair[0]] + 100.0)) for pair, n in bigrams.items()}
-        self.unseen = {c: math.log(0.1 / (n + 100.0)) for c, n in totals.items()}
-        self.memo: dict[tuple[str, str], str] = {}
-
-    def token(self, token: str, around: str = "") -> str:
-        """around: the script of most letters of the text that only one script has; it decides tokens that any script could have."""
-        known = self.memo.get((token, around))
+    """Best path through the lattice of a token. bigrams and trigrams are count tables (see `ngram_counts`); place 0 is what stands before a token."""
+
+    def __init__(self, bigrams: np.ndarray, trigrams: np.ndarray):
+        self.bigrams, self.trigrams, self.totals = bigrams.reshape(_N, _N), trigrams, bigrams.reshape(_N, _N).sum(1)
+        self.memo: dict[tuple[str, tuple[int, ...]], str] = {}
+
+    def token(self, token: str, evidence: tuple[int, ...] = (0, 0, 0, 0)) -> str:
+        """The best reading of a token in a text with that evidence of scripts."""
+        known = self.memo.get((token, evidence))
         if known is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            known = self.memo[(token, around)] = self._viterbi(token, around)
+            known = self.memo[(token, evidence)] = self._viterbi(token, evidence)
         return known
 
-    def _step(self, a: str, b: str) -> float:
-        s = self.score.get(a + b)
-        return s if s is not None else self.unseen.get(a, math.log(0.001))
+    def _score(self, a: int, b: int, c: int) -> float:
+        """Log probability of a letter behind two others: its trigram, smoothed by its bigram. Pairs of two scripts were never counted."""
+        pair = (float(self.bigrams[b, c]) + 0.1) / (float(self.totals[b]) + 100.0)
+        if not a and not b:
+            return math.log(pair)
+        return math.log((float(self.trigrams[_cell(a, b, c)]) + 2.0 * pair) / (float(self.bigrams[a, b]) + 2.0))
 
-    def _viterbi(self, token: str, around: str) -> str:
+    def _viterbi(self, token: str, evidence: tuple[int, ...]) -> str:
         lattice = [_choices(c) for c in token]
         if all(len(x) == 1 for x in lattice):
             return token
-        fixed = {x[0][1] for x in lattice if len(x) == 1 and x[0][1]}
-        if len(fixed) == 1:  # a letter that only one script has, and all others can follow it: no path has fewer changes
-            script = next(iter(fixed))
-            own = [next((letter for letter, s in x if s == script or not s), None) for x in lattice]
-            if None not in own:
-                return "".join(own)
-        # (changes of script between neighbours, -score, script) of the best path to each choice, and whence it came; ties go
-        # to the earlier choice. The text around matters only to tokens without a letter that one script alone has.
-        around = "" if fixed else around
-        best = [(int(bool(around) and script != around), -self._step("^", letter), script) for letter, script in lattice[0]]
-        back: list[list[int]] = []
-        for before, column in zip(lattice, lattice[1:]):
-            ways = [min((n + (bool(script) and bool(s) and s != script), cost - self._step(before[i][0], letter), i) for i, (n, cost, s) in enumerate(best)) for letter, script in column]
-            back.append([i for _, _, i in ways])
-            best = [(n, cost, script) for (n, cost, _), (_, script) in zip(ways, column)]
-        at = min(range(len(best)), key=lambda i: best[i][:2])
-        path = [lattice[-1][at][0]]
-        for column, came in zip(reversed(lattice[:-1]), reversed(back)):
-            at = came[at]
-            path.append(column[at][0])
+        of_script = [math.log((n + 0.5) / (sum(evidence) + 2.0)) for n in evidence]
+        # state: the choices of the last two positions; ties go to the earlier choice
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        before = [[(0, "")], [(0, "")]]
+        back: list[dict[tuple[int, int], int]] = []
+        for column in lattice:
+            here = [(int(_place[ord(letter)]) if len(letter) == 1 and ord(letter) < 0x600 else 0, script) for letter, script in column]
+            new: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], int] = {}
+            for (x, y), cost in states.items():
+                a, b = before[0][x][0], before[1][y][0]
+                for z, (c, script) in enumerate(here):
+                    value = cost + self._score(a, b, c) + (of_script[SCRIPTS.index(script)] if script else 0.0)
+                    if (y, z) not in new or value > new[y, z]:
+                        new[y, z], came[y, z] = value, x
+            states, before = new, [before[1], here]
+            back.append(came)
+        y, z = max(states, key=states.get)
+        path = []
+        for column, came in zip(reversed(lattice), reversed(back)):
+            path.append(column[z][0])
+            y, z = came[y, z], y
         return "".join(reversed(path))
 
     def text(self, text: str) -> str:
         token, memo, skel = self.token, self.memo, skeleton(text)
-        if _OTHERS.search(skel) is None:
-            return skel
-        around = _around(skel)
+        evidence = _evidence(skel)
 
         def sub(m: re.Match) -> str:
             t = m.group()
-            return memo.get((t, around)) or token(t, around)
+            return memo.get((t, evidence)) or token(t, evidence)
 
         return _WORD.sub(sub, skel)
 
 
-_LETTERS = [chr(c) for c in range(0x600) if chr(c).isalpha() and script_of(chr(c))]
-_N = len(_LETTERS) + 1
-_place = np.zeros(0x600, np.int64)
-_place[[ord(c) for c in _LETTERS]] = np.arange(1, _N)
-_script = np.array([0, *("LCGA".index(script_of(c)) + 1 for c in _LETTERS)])
-
-
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams (with ^ for the start) of letters of one script, by numpy over the code points of whole batches."""
-    total = np.zeros(_N * _N, np.int64)
+def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams and trigrams of letters of one script, place 0 before the first, by numpy over the code points of whole batches. Trigram cells follow the bigrams."""
+    total = np.zeros(_N * _N + (1 << TRIGRAM_BITS), np.int64)
     for batch in batches:
         texts = [t for t in batch.column("text").to_pylist() if t]
-        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), "<u4")
-        if len(points) < 2:
-            continue
+        points = np.frombuffer(("\n\n" + "\n\n".join(texts)).encode("utf-32-le", "replace"), "<u4")
         at = _place[np.where(points < 0x600, points, 0)]
-        left, right = at[:-1], at[1:]
-        ok = (right > 0) & ((left == 0) | (_script[left] == _script[right]))
-        total += np.bincount((left * _N + right)[ok], minlength=_N * _N)
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        alike = (_script[b] == _script[c]) | (b == 0)
+        pair = (c > 0) & alike
+        total[: _N * _N] += np.bincount((b * _N + c)[pair], minlength=_N * _N)
+        a = np.where(b == 0, 0, a)
+        three = pair & ((a == 0) | (_script[a] == _script[b]))
+        total[_N * _N :] += np.bincount(_cell(a[three], b[three], c[three]), minlength=1 << TRIGRAM_BITS)
     seen = np.flatnonzero(total)
-    if len(seen):
-        name = ["^", *_LETTERS]
-        yield pa.RecordBatch.from_arrays([pa.array([name[k // _N] + name[k % _N] for k in seen.tolist()], pa.string()), pa.array(total[seen], pa.int64())], schema=pa.schema([("pair", pa.string()), ("n", pa.int64())]))
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["cell", "n"])
 
 
-def bigram_counts(texts: DataFrame) -> dict[str, int]:
-    """Counts over all texts, summed by Spark; at most MAX_BIGRAMS pairs exist (letters below U+0600 of four scripts), and the driver checks that."""
-    rows = texts.select("text").where("text is not null").mapInArrow(_count_bigrams, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r["pair"]: r["n"] for r in rows.limit(MAX_BIGRAMS).collect()}
+def ngram_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bigrams, trigrams) over all texts, summed by Spark. The driver gets one row per cell that is not empty; the number of cells is fixed."""
+    rows = texts.select("text").where("text is not null").mapInArrow(_count_ngrams, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(_N * _N + (1 << TRIGRAM_BITS), np.float32)
+    total[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return total[: _N * _N], total[_N * _N :]
 
 
-def _forms(speller_of: dict[str, int], digest: bool):
+def _forms(counts: Broadcast, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(speller_of)
+        speller = Speller(*counts.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             memo: dict[str, str] = {}
@@ -296,23 +313,49 @@ _FORMS = T.StructType([T.StructField("record_kind", T.StringType()), T.StructFie
 _DIGESTS = T.StructType([*_FORMS.fields[:3], T.StructField("form", T.BinaryType()), T.StructField("raw", T.BinaryType())])
 
 
+def _counts(texts: DataFrame) -> Broadcast:
+    return texts.sparkSession.sparkContext.broadcast(ngram_counts(texts))
+
+
 def consistent_forms(records: DataFrame) -> DataFrame:
     """record_kind, media_id, record_idx, text, form of every row of records."""
     texts = spread(records.select("record_kind", "media_id", "record_idx", "text"))
-    return texts.mapInArrow(_forms(bigram_counts(texts), False), _FORMS)
+    return texts.mapInArrow(_forms(_counts(texts), False), _FORMS)
+
+
+_CLASS = ["record_kind", "media_id", "form"]
+
+
+def _mixed_rows(records: DataFrame) -> DataFrame:
+    """record_kind, media_id, record_idx, form, raw (digests) and members (rows of the class) of rows whose class has several texts.
+
+    Only digests are shuffled; they are made once and kept in the checkpoint folder. Rows without a media item have no partners. Classes in which all texts are equal, however large, drop out before the join.
+    """
+    texts = spread(records.select("record_kind", "media_id", "record_idx", "text"))
+    rows = cut_lineage(texts.mapInArrow(_forms(_counts(texts), True), _DIGESTS).where("media_id is not null")).distinct()
+    mixed = rows.groupBy(*_CLASS).agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count("*").alias("members")).where("least <> most").select(*_CLASS, "members")
+    return rows.join(mixed, _CLASS)
+
+
+#: Rows of a class that meet all its rows in one task.
+_PART = 1024
 
 
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """record_kind, media_id, idx_a < idx_b: rows of a media item with the same form and different texts.
 
-    Only digests are shuffled; they are made once and kept in the checkpoint folder. Rows without a media item have no partners. Groups in which all texts are equal, however large, drop out before the join; what is
-    joined has the size of the result.
+    What is joined has the size of the result: a class is split into parts of some _PART rows, each of which meets the whole class in a task of its own, so that a class of any size spreads over tasks.
     """
-    texts = spread(records.select("record_kind", "media_id", "record_idx", "text"))
-    rows = cut_lineage(texts.mapInArrow(_forms(bigram_counts(texts), True), _DIGESTS).where("media_id is not null")).distinct()
-    group = ["record_kind", "media_id", "form"]
-    mixed = rows.groupBy(*group).agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select(*group)
-    some = rows.join(mixed, group, "left_semi")
-    a = some.withColumnsRenamed({"record_idx": "idx_a", "raw": "raw_a"})
-    b = some.withColumnsRenamed({"record_idx": "idx_b", "raw": "raw_b"})
-    return a.join(b, group).where("idx_a < idx_b and raw_a <> raw_b").select("record_kind", "media_id", "idx_a", "idx_b")
+    parts = F.ceil(F.col("members") / _PART).cast("int")
+    some = _mixed_rows(records)
+    a = some.withColumn("part", F.pmod(F.xxhash64("record_idx"), parts).cast("int")).drop("members").withColumnsRenamed({"record_idx": "idx_a", "raw": "raw_a"})
+    b = some.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members").withColumnsRenamed({"record_idx": "idx_b", "raw": "raw_b"})
+    return a.join(b, [*_CLASS, "part"]).where("idx_a < idx_b and raw_a <> raw_b").select("record_kind", "media_id", "idx_a", "idx_b")
+
+
+def lookalike_classes(records: DataFrame) -> DataFrame:
+    """record_kind, media_id, record_idx, class_id, links: one row per row that looks like another with a different text; class_id is the digest of the table, the media item and their form, links the number of such partners."""
+    some = _mixed_rows(records)
+    same = some.groupBy(*_CLASS, "raw").agg(F.count("*").alias("same"))
+    links: Column = (F.col("members") - F.col("same")).cast("bigint")
+    return some.join(same, [*_CLASS, "raw"]).select("record_kind", "media_id", "record_idx", F.md5(F.concat_ws("\x00", "record_kind", "media_id", F.hex("form"))).alias("class_id"), links.alias("links"))

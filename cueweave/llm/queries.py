@@ -25,6 +25,10 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(_records(spark, d)).distinct()
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_classes(_records(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.oversized_pieces(_records(spark, d), read_table(spark, d, "split_limits"))
     return pieces.where("piece = 1").select("record_kind", "media_id", "record_idx")
@@ -54,7 +58,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(read_table(spark, d, "documents"), read_table(spark, d, "contributors"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _RECORDS = """(SELECT 'cue' AS record_kind, media_id, cue_index AS record_idx, text FROM cues
  UNION ALL SELECT 'segment', media_id, seg_idx, text FROM segments)"""

@@ -92,46 +92,80 @@ def test_sentence_operator(spark):
     assert rows(sentences.sentence_spans(r.limit(0))) == []
 
 
+def speller(*texts):
+    """A speller that has counted these texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(lookalike._N**2 + (1 << lookalike.TRIGRAM_BITS), np.float32)
+    for batch in lookalike._count_ngrams(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])):
+        total[batch.column("cell").to_numpy()] += batch.column("n").to_numpy()
+    return lookalike.Speller(total[: lookalike._N**2], total[lookalike._N**2 :])
+
+
 def test_skeletons():
     same = [("Yes", "Υеѕ"), ("file", "ﬁle"), ("ｆｉｌｅ", "file"), ("é", "é"), ("a b", "a b"), ("well-known", "well‑known"), ("то", "тo"), ("ⅼamp", "lamp"), ("人口", "⼈⼝"), ("스", "스"), ("テープ", "ﾃｰﾌﾟ"), ("zero", "ze​ro"), ("ɡo", "go"), ("К", "K"), ("ή", "ή"), ("А́", "Á")]
-    speller = lookalike.Speller({"го": 5})
+    one = speller("го то")
     for a, b in same:
         assert lookalike.skeleton(a) == lookalike.skeleton(b), (a, b)
-        assert speller.text(a) == speller.text(b)
+        assert one.text(a) == one.text(b)
     for a, b in [("Yes", "yes"), ("2", "²"), ("1", "①"), ("a.", "a!"), ("e", "é"), ("a b", "a\nb"), ("No", "№"), ("-", "—")]:
         assert lookalike.skeleton(a) != lookalike.skeleton(b), (a, b)
 
 
 def test_forms_restore_the_script():
-    speller = lookalike.Speller({"ка": 10, "ар": 10, "рт": 10, "та": 10, "ca": 5})
-    assert speller.text("каpтa тут") == "карта тут"
-    assert speller.text("ТHE lаmp") == "THE lamp"
-    assert speller.text("Вчера y нас") == "Вчера у нас"
+    one = speller("карта тут и там", "вчера у нас", "the lamp", "THE END")
+    assert one.text("каpтa тут") == "карта тут"
+    assert one.text("ТHE lаmp") == "THE lamp"
+    assert one.text("Вчера y нас") == "Вчера у нас"
+
+
+def test_counts_decide_the_form():
+    """Letters that both scripts have are read as the corpus writes them; without counts they are Latin. What the text shows of its script counts too."""
+    russian, english = speller("сор и сора", "сор", "хор"), speller("a cop", "cop", "cops")
+    assert russian.text("сор") == russian.text("cop") == "сор"
+    assert english.text("сор") == english.text("cop") == "cop"
+    assert speller().text("сор") == "cop"
+    both = speller("сор", "сор", "cop", "cop", "жук", "kids")
+    assert both.text("сор жук") == "сор жук" and both.text("сор kids") == "cop kids"
 
 
 def test_lattice_search_like_brute_force():
     from itertools import product
+    from math import log
 
-    speller = lookalike.Speller({"ка": 5, "ab": 3, "оо": 2, "oo": 9})
+    r = random.Random(2)
+    one = speller("карта оса бок", "oxo cab bac", "νεα Γενο", *("".join(r.choice("oacxbe") for _ in range(5)) for _ in range(30)))
+    place = lambda c: int(lookalike._place[ord(c)]) if len(c) == 1 and ord(c) < 0x600 else 0
 
-    def cost(path, around):
-        n = int(bool(around) and path[0][1] != around) + sum(bool(s) and bool(t) and s != t for (_, s), (_, t) in zip(path, path[1:]))
-        return n, round(-speller._step("^", path[0][0]) - sum(speller._step(a, b) for (a, _), (b, _) in zip(path, path[1:])), 9)
+    def score(path, evidence):
+        places = [0, 0, *(place(c) for c, _ in path)]
+        return sum(one._score(*places[i : i + 3]) for i in range(len(path))) + sum(log((evidence["LCGA".index(s)] + 0.5) / (sum(evidence) + 2)) for _, s in path if s)
 
-    r = random.Random(1)
     for _ in range(200):
         token = lookalike.skeleton("".join(r.choice("oacxbбΓeкν") for _ in range(r.randint(1, 6))))
+        evidence = tuple(r.choice([0, 1, 3]) for _ in range(4))
         lattice = [lookalike._choices(c) for c in token]
-        around = "" if any(len(x) == 1 and x[0][1] for x in lattice) else r.choice(["", "L", "C"])
-        got = [next(x for x in column if x[0] == c) for column, c in zip(lattice, speller._viterbi(token, around))]
-        assert cost(got, around) == min(cost(p, around) for p in product(*lattice))
-    assert len(speller.text("бobо" * 30_000)) == 120_000
+        best = max(score(path, evidence) for path in product(*lattice))
+        got = one.token(token, evidence)
+        chosen = [next(x for x in column if x[0] == c) for column, c in zip(lattice, got)]
+        assert abs(score(chosen, evidence) - best) < 1e-9, (token, got)
+
+
+def test_hot_class_of_lookalikes(spark, monkeypatch):
+    """A class larger than a part gives the same pairs."""
+    monkeypatch.setattr(lookalike, "_PART", 4)
+    r = recs(spark, *(("m", i, "[music]" if i % 3 else "[mu\u200bsic]") for i in range(30)))
+    got = {(a, b) for _, _, a, b in rows(lookalike.lookalike_pairs(r))}
+    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if (a % 3 == 0) != (b % 3 == 0)}
 
 
 def test_lookalike_pairs(spark):
     r = recs(spark, ("m", 0, "The lamp"), ("m", 0, "The lamp"), ("m", 1, "Thе lamp"), ("m", 2, "The lamp"), ("m", 3, "the lamp"), ("n", 4, "Thе lamp"), ("m", 5, " "), ("m", 6, "　"), ("m", 7, None), segments=[("m", 8, "The lamp"), ("m", 9, "The lamp")])
     assert rows(lookalike.lookalike_pairs(r)) == [("cue", "m", 0, 1), ("cue", "m", 1, 2), ("segment", "m", 8, 9)]
     assert rows(lookalike.lookalike_pairs(r.limit(0))) == []
+    classes = {(x.record_kind, x.media_id, x.record_idx): (x.class_id, x.links) for x in lookalike.lookalike_classes(r).collect()}
+    assert {k[2]: n for k, (_, n) in classes.items()} == {0: 1, 1: 2, 2: 1, 8: 1, 9: 1} and len({c for c, _ in classes.values()}) == 2
     forms = {(x.record_kind, x.record_idx): x.form for x in lookalike.consistent_forms(r).collect()}
     assert forms[("cue", 7)] is None and forms[("cue", 1)] == "The lamp"
 
