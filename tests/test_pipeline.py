@@ -1,5 +1,6 @@
 """Providers, the composed pipeline, streams and the driver's contract."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -98,12 +99,95 @@ def test_sql_functions(spark):
 
 
 def test_closed_loop(spark, sf):
-    from cueweave.operators import loop
+    from cueweave.operators import folds, loop
     from cueweave.operators.base import clean_cues
 
     cues = clean_cues(spark.read.parquet(f"{sf}/cues.parquet"))
     fixed, report = loop.check_and_fix(cues)
     r = report.toPandas()
     assert (r.major_after <= r.major_before).all() and (r.changed > 0).any()
-    assert loop.actions(cues).where("before = after").count() == 0 < loop.actions(cues).count()
-    assert loop.check_and_fix(cues.limit(0))[1].collect() == []
+    assert ((r.passes == 0) == r.ok_before).all() and (r.stop == "ok").eq(r.ok_after & ~r.ok_before).all() and (r.passes <= 3).all()
+    # the actions of a cue, in their order, lead from what it was to what it is
+    actions = folds.fix_actions(cues).toPandas().sort_values(["media_id", "cue_index", "pass", "step", "name"], ascending=[True, True, True, True, False])
+    last = {(a.media_id, a.cue_index): a for a in actions[actions.name == "wrap_lines"].itertuples()}
+    final = {(c.media_id, c.cue_index): c for c in fixed.collect()}
+    assert last and all(final[k].text == a.text_after for k, a in last.items())
+    assert set(actions.name) <= {"fix_overlaps", "fix_too_fast_cps", "fix_too_short_duration", "shift_next_start_for_cps", "shift_next_start_for_min_duration", "wrap_lines"}
+    assert loop.check_and_fix(cues.limit(0))[1].collect() == [] and folds.fix_actions(cues.limit(0)).collect() == []
+
+
+def test_fix_actions_by_hand():
+    """Every kind of action with its note, in the order in which it is done."""
+    from cueweave.operators import kernels as K
+
+    cues = [(0, 0, 100, "a" * 16), (1, 100, 2100, "b"), (2, 2000, 2500, "c d"), (3, 2600, 9000, "one  two")]
+    got = [a[:8] + a[10:] for a in K.fix_actions(iter(cues), passes=1, width=42, most=2)]
+    by_name = {(a[2], a[3]): a for a in got}
+    assert by_name["fix_too_fast_cps", 0][4:8] == (0, 100, 0, 1000) and by_name["fix_too_fast_cps", 0][9] == "shifted_next_start_then_extended_end"
+    assert by_name["shift_next_start_for_cps", 1][4:9] == (100, 2100, 1000, 2100, 900)
+    assert by_name["fix_overlaps", 2][4:8] == (2000, 2500, 2100, 2500)
+
+
+def test_one_round_of_fixes():
+    """Steps without a limit are left out; the order is overlaps, duration, speed, wrapping."""
+    from cueweave.operators import kernels as K
+
+    cues = [(0, 0, 100, "a b"), (1, 50, 2000, "x" * 60), (2, 5000, 5100, "")]
+    plain = list(K.fix_once(iter(cues)))
+    assert [c[1:3] for c in plain] == [(0, 100), (100, 2000), (5000, 5100)] and plain[1][3] == "x" * 42 + "\n" + "x" * 18
+    full = list(K.fix_once(iter(cues), min_ms=900, max_cps=16.0))
+    want = list(K.wrapped(K.speed(K.duration(K.overlaps(iter(cues)), 900))))
+    assert full == want and full[2][1:3] == (5000, 5900)
+    assert list(K.fix_once(iter([]))) == []
+
+
+def test_stem_outputs(spark):
+    """The stem's own folder before newer ones, then the newest; siblings by priority."""
+    from cueweave.operators import jobs
+
+    files = spark.createDataFrame(
+        [
+            ("r", "m1/song/vocals.wav", 5, 1), ("r", "m2/song/vocals.wav", 6, 1), ("r", "m2/other/vocals.wav", 9, 1), ("r", "m2/song/accompaniment.wav", 1, 1), ("r", "m2/song/drums.wav", 1, 1), ("r", "m1/song/no_vocals.wav", 1, 1),
+            ("q", "a/b/c/vocals.wav", 2, 1), ("q", "a/x/vocals.wav", 2, 2), ("q", "a/x/no_vocals.wav", 0, 0), ("q", "a/x/accompaniment.wav", 0, 0), ("p", "notes.txt", 1, 1),
+        ],
+        "root string, path string, mtime long, ctime long",
+    )
+    stems = spark.createDataFrame([("r", "song"), ("q", "song"), ("p", "song"), ("none", "song")], "root string, input_stem string")
+    got = {r.root: (r.vocals, r.other) for r in jobs.stem_outputs(files, stems).collect()}
+    assert got == {"r": ("m2/song/vocals.wav", "m2/song/accompaniment.wav"), "q": ("a/x/vocals.wav", "a/x/no_vocals.wav"), "p": (None, None), "none": (None, None)}
+
+
+def test_foreign_srt(spark):
+    """A byte order mark, other line ends, an index alone, no index, blank last lines, text behind the times."""
+    from cueweave.sources import srt
+
+    text = "\ufeff1\r\n00:00:01,000 --> 00:00:02,500 X1:40\r\nHello\r\n  \r\n\r\n7\r\n\r\n00:00:03,000-->00:00:04,000\r\n two \r\nlines\u00a0\r\n\u3000\r\n\r\n3\r\n00:00:05,000 --> 00:00:06,000"
+    files = spark.createDataFrame([("m", text)], "media_id string, srt string")
+    got = [(r.cue_index, r.start_ms, r.end_ms, r.text) for r in srt.parse(files).orderBy("cue_index").collect()]
+    assert got == [(0, 1000, 2500, "Hello"), (1, 3000, 4000, " two \nlines\u00a0"), (2, 5000, 6000, "")]
+    bad = spark.createDataFrame([("m", "1\n00:00:01,000 --> 00:00:02,500abc\nx")], "media_id string, srt string")
+    assert srt.parse(bad, "PERMISSIVE").first().start_ms is None
+    blank = spark.createDataFrame([("m", 0, 0, 5, "\u00a0")], "media_id string, cue_index long, start_ms long, end_ms long, text string")
+    assert srt.documents(blank).first().srt == "1\n00:00:00,000 --> 00:00:00,005\n"
+
+
+def test_messages_of_violations(spark):
+    from cueweave.operators import quality
+
+    cues = spark.createDataFrame([("m", 0, 0, 100, "x" * 20), ("m", 1, 50, 9000, "")], "media_id string, cue_index long, start_ms long, end_ms long, text string")
+    got = {(r.cue_index, r.type): r.message for r in quality.violation_details(cues).collect()}
+    assert got == {
+        (0, "TOO_SHORT_DURATION"): "Duration 100ms < min 900ms", (0, "TOO_FAST_CPS"): "CPS 200.00 > max 16.0", (0, "LINE_TOO_LONG"): "Line length 20 > max 18", (1, "EMPTY_TEXT"): "Empty subtitle text",
+        (1, "TOO_LONG_DURATION"): "Duration 8950ms > max 6500ms", (1, "OVERLAP"): "Overlap 50ms > max 0ms (with previous cue)",
+    }
+
+
+def test_translator_modes(spark):
+    from cueweave.operators import jobs
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([("en-GB",), ("hi",), (None,), ("",)], "lang string")
+    assert [r[0] for r in d.select(jobs.translator_route(F.col("lang"))).collect()] == ["nllb", "openai", "openai", "openai"]
+    assert {r[0] for r in d.select(jobs.translator_route(F.col("lang"), "nllb")).collect()} == {"nllb"}
+    with pytest.raises(ValueError):
+        jobs.translator_route(F.col("lang"), "other")
