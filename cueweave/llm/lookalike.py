@@ -18,13 +18,11 @@ rows count once; tables may be empty and have further columns.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +153,16 @@ def script_of(c: str) -> str:
 
 #: Letters that only one script has, in the order of SCRIPTS.
 SCRIPTS = "LCGA"
-_ANCHORS = [re.compile(r"[bfkmrtzDFLR]"), re.compile(r"[\u0400-\u052f]"), re.compile(r"[\u0370-\u03ff]"), re.compile(r"[\u0530-\u058f]")]
+_ANCHORS = ["bfkmrtzDFLR", "\u0400-\u052f", "\u0370-\u03ff", "\u0530-\u058f"]
 #: More letters than this are no stronger evidence.
 _ENOUGH = 3
+_ONE, _PLENTY = [re.compile(f"[{a}]") for a in _ANCHORS], [re.compile(f"[{a}]" + f"[^{a}]*[{a}]" * (_ENOUGH - 1)) for a in _ANCHORS]
 
 
 def _evidence(skel: str) -> tuple[int, ...]:
     """How many letters of each script a text has that no other script has, up to _ENOUGH."""
-    if skel.isascii():
-        return (min(_ENOUGH, sum(1 for _ in islice(_ANCHORS[0].finditer(skel), _ENOUGH))), 0, 0, 0)
-    return tuple(sum(1 for _ in islice(a.finditer(skel), _ENOUGH)) for a in _ANCHORS)
+    counts = (_ENOUGH if plenty.search(skel) is not None else len(one.findall(skel)) for one, plenty in zip(_ONE, _PLENTY))
+    return (next(counts), 0, 0, 0) if skel.isascii() else tuple(counts)
 
 
 @lru_cache(maxsize=65536)
@@ -194,65 +192,102 @@ def _cell(a, b, c):  # noqa: ANN001, ANN202
 
 
 class Speller:
-    """Best path through the lattice of a token. bigrams and trigrams are count tables (see `ngram_counts`); place 0 is what stands before a token."""
+    """Best paths through the lattices of tokens, many at once. bigrams and trigrams are count tables (see `ngram_counts`); place 0 is what stands before a token."""
 
     def __init__(self, bigrams: np.ndarray, trigrams: np.ndarray):
-        self.bigrams, self.trigrams, self.totals = bigrams.reshape(_N, _N), trigrams, bigrams.reshape(_N, _N).sum(1)
+        bigrams = bigrams.reshape(_N, _N).astype(np.float64)
+        #: Probability of a letter behind another, and the denominators of trigrams. Pairs of two scripts were never counted.
+        self.pair = ((bigrams + 0.1) / (bigrams.sum(1, keepdims=True) + 100.0)).ravel()
+        self.under = (bigrams + 2.0).ravel()
+        self.trigrams = trigrams
         self.memo: dict[tuple[str, tuple[int, ...]], str] = {}
-
-    def token(self, token: str, evidence: tuple[int, ...] = (0, 0, 0, 0)) -> str:
-        """The best reading of a token in a text with that evidence of scripts."""
-        known = self.memo.get((token, evidence))
-        if known is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            known = self.memo[(token, evidence)] = self._viterbi(token, evidence)
-        return known
-
-    def _score(self, a: int, b: int, c: int) -> float:
-        """Log probability of a letter behind two others: its trigram, smoothed by its bigram. Pairs of two scripts were never counted."""
-        pair = (float(self.bigrams[b, c]) + 0.1) / (float(self.totals[b]) + 100.0)
-        if not a and not b:
-            return math.log(pair)
-        return math.log((float(self.trigrams[_cell(a, b, c)]) + 2.0 * pair) / (float(self.bigrams[a, b]) + 2.0))
-
-    def _viterbi(self, token: str, evidence: tuple[int, ...]) -> str:
-        lattice = [_choices(c) for c in token]
-        if all(len(x) == 1 for x in lattice):
-            return token
-        of_script = [math.log((n + 0.5) / (sum(evidence) + 2.0)) for n in evidence]
-        # state: the choices of the last two positions; ties go to the earlier choice
-        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
-        before = [[(0, "")], [(0, "")]]
-        back: list[dict[tuple[int, int], int]] = []
-        for column in lattice:
-            here = [(int(_place[ord(letter)]) if len(letter) == 1 and ord(letter) < 0x600 else 0, script) for letter, script in column]
-            new: dict[tuple[int, int], float] = {}
-            came: dict[tuple[int, int], int] = {}
-            for (x, y), cost in states.items():
-                a, b = before[0][x][0], before[1][y][0]
-                for z, (c, script) in enumerate(here):
-                    value = cost + self._score(a, b, c) + (of_script[SCRIPTS.index(script)] if script else 0.0)
-                    if (y, z) not in new or value > new[y, z]:
-                        new[y, z], came[y, z] = value, x
-            states, before = new, [before[1], here]
-            back.append(came)
-        y, z = max(states, key=states.get)
-        path = []
-        for column, came in zip(reversed(lattice), reversed(back)):
-            path.append(column[z][0])
-            y, z = came[y, z], y
-        return "".join(reversed(path))
+        #: Evidence -> tokens that are read as they stand.
+        self.kept: dict[tuple[int, ...], set[str]] = {}
+        #: Characters met, and their rows: a column per script; place, whether there is such a letter, whether its script counts.
+        self.rows: dict[str, int] = {}
+        self.letters: list[list[str]] = []
+        self.place, self.there, self.counts = np.zeros((256, 4), np.int64), np.zeros((256, 4), bool), np.zeros((256, 4), bool)
+
+    def _row(self, c: str) -> int:
+        row = self.rows.get(c)
+        if row is None:
+            row = self.rows[c] = len(self.letters)
+            if row >= len(self.place):
+                self.place, self.there, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.there, self.counts))
+            letters = [""] * 4
+            for letter, script in _choices(c):
+                k = SCRIPTS.index(script) if script else 0
+                letters[k] = letter
+                self.place[row, k] = _place[ord(letter)] if len(letter) == 1 and ord(letter) < 0x600 else 0
+                self.there[row, k], self.counts[row, k] = True, bool(script)
+            self.letters.append(letters)
+        return row
+
+    def _score(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Log probability of letters behind two others: their trigram, smoothed by their bigram."""
+        pair = self.pair[b * _N + c]
+        return np.log(np.where((a == 0) & (b == 0), pair, (self.trigrams[_cell(a, b, c)] + 2.0 * pair) / self.under[a * _N + b]))
+
+    def learn(self, wanted: Iterable[tuple[str, tuple[int, ...]]]) -> None:
+        """Reads (token, evidence) that are not known yet, longer ones first, in batches of bounded size."""
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+            self.kept.clear()
+        new = sorted({x for x in wanted if x not in self.memo}, key=lambda x: (-len(x[0]), x))
+        while new:
+            n = max(1, min(len(new), 400_000 // len(new[0][0])))
+            self._viterbi(new[:n])
+            new = new[n:]
+
+    def _viterbi(self, wanted: list[tuple[str, tuple[int, ...]]]) -> None:
+        """Longer tokens first. The state is the letters at the last two positions, as columns of scripts; ties go to the earlier columns."""
+        rows = [[self._row(c) for c in token] for token, _ in wanted]
+        size = np.array([len(r) for r in rows])
+        evidence = np.array([e for _, e in wanted], np.float64)
+        of_script = np.log((evidence + 0.5) / (evidence.sum(1, keepdims=True) + 2.0))
+        at = np.zeros((len(rows), size[0]), np.int64)
+        for k, r in enumerate(rows):
+            at[k, : len(r)] = r
+        # before a token there is place 0, in the first column
+        best = np.full((len(rows), 4, 4), -np.inf)
+        best[:, 0, 0] = 0.0
+        a = b = np.zeros((len(rows), 4), np.int64)
+        came = []
+        for s in range(size[0]):
+            n = int(np.searchsorted(-size, -s, side="left"))  # tokens that have this position
+            here = at[:n, s]
+            c, there = self.place[here], self.there[here]
+            value = best[:n, :, :, None] + self._score(a[:n, :, None, None], b[:n, None, :, None], c[:, None, None, :]) + np.where(self.counts[here], of_script[:n], 0.0)[:, None, None, :]
+            value = np.where(there[:, None, None, :], value, -np.inf)
+            came.append(value.argmax(1).astype(np.int8))
+            best[:n] = value.max(1)
+            a, b = b[:n], c
+        state = best.reshape(len(rows), 16).argmax(1)
+        y, z = state // 4, state % 4
+        paths: list[list[str]] = [[] for _ in rows]
+        for s in range(size[0] - 1, -1, -1):
+            n = len(came[s])
+            for k, column in enumerate(z[:n].tolist()):
+                paths[k].append(self.letters[rows[k][s]][column])
+            x = came[s][np.arange(n), y[:n], z[:n]]
+            z[:n], y[:n] = y[:n], x
+        for key, path in zip(wanted, paths):
+            form = self.memo[key] = "".join(reversed(path))
+            if form == key[0]:
+                self.kept.setdefault(key[1], set()).add(form)
+
+    def texts(self, texts: Iterable[str]) -> list[str]:
+        """The forms of texts."""
+        skeletons = [skeleton(t) for t in texts]
+        evidence = [_evidence(t) for t in skeletons]
+        tokens = [set(_WORD.findall(t)) for t in skeletons]
+        kept = self.kept
+        self.learn((token, e) for own, e in zip(tokens, evidence) for token in own.difference(kept.get(e, ())))
+        return [t if own.issubset(kept.get(e, ())) else _WORD.sub(lambda m, e=e: self.memo[m.group(), e], t) for t, own, e in zip(skeletons, tokens, evidence)]
 
     def text(self, text: str) -> str:
-        token, memo, skel = self.token, self.memo, skeleton(text)
-        evidence = _evidence(skel)
-
-        def sub(m: re.Match) -> str:
-            t = m.group()
-            return memo.get((t, evidence)) or token(t, evidence)
-
-        return _WORD.sub(sub, skel)
+        """The form of a text."""
+        return self.texts([text])[0]
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,26 +318,21 @@ def ngram_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _forms(counts: Broadcast, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*counts.value)
+        speller, memo = Speller(*counts.value), {}
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            memo: dict[str, str] = {}
-            forms = []
-            for t in texts:
-                if t is None:
-                    forms.append(None)
-                    continue
-                f = memo.get(t)
-                if f is None:
-                    f = memo[t] = speller.text(t)
-                forms.append(f)
+            if len(memo) > 100_000:
+                memo.clear()
+            new = [t for t in dict.fromkeys(texts) if t is not None and t not in memo]
+            memo.update(zip(new, speller.texts(new)))
+            forms = [None if t is None else memo[t] for t in texts]
             keys = [batch.column(c) for c in ("record_kind", "media_id", "record_idx")]
             if not digest:
                 yield pa.RecordBatch.from_arrays([*keys, batch.column("text"), pa.array(forms, pa.string())], names=["record_kind", "media_id", "record_idx", "text", "form"])
                 continue
             keep = [i for i, f in enumerate(forms) if f and not f.isspace()]
-            hashed = {f: blake2b(f.encode("utf-8", "replace"), digest_size=16).digest() for f in memo.values()}
-            raw = {t: blake2b(t.encode("utf-8", "replace"), digest_size=8).digest() for t in memo}
+            hashed = {f: blake2b(f.encode("utf-8", "replace"), digest_size=16).digest() for f in {f for f in forms if f is not None}}
+            raw = {t: blake2b(t.encode("utf-8", "replace"), digest_size=8).digest() for t in {t for t in texts if t is not None}}
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array([hashed[forms[i]] for i in keep], pa.binary()), pa.array([raw[texts[i]] for i in keep], pa.binary())], names=["record_kind", "media_id", "record_idx", "form", "raw"])
 
