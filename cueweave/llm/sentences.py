@@ -1,12 +1,14 @@
 """Sentence units across languages and scripts (problem 2).
 
 Rules are pairs of regular expressions, one for the text before a position and one for the text after it, with the
-verdict break or no break. They stand in tables (RULES); a position is judged by a cascade of tables chosen by script,
-and the first rule that matches decides a position. Each cascade is compiled into one expression, so that the ordered
-search runs within the regex engine and only at candidate positions: behind end marks with their closing marks, before
-dialogue dashes, and behind particles in scripts without marks. A text of several scripts has a cascade for each
-candidate, chosen by the words of the sentence that would end there. Stretches inside quotation marks, brackets and title
-marks are protected by a table of their own (ENCLOSED) that comes before all others.
+verdict break or no break. They stand in tables (RULES); a position is judged by a cascade of tables: dialogue lines,
+protected stretches, what holds everywhere, the language, the script, and what is left. The first rule that matches decides
+a position. A cascade is compiled, so that the ordered search runs within the regex engine and only at candidate
+positions: behind end marks with their closing marks, at line breaks, and behind particles in scripts without marks. A
+text of several scripts has a cascade for each candidate, chosen by the words of the sentence that would end there. The
+language of a Latin text is that of its small words (LANGUAGES); a text without any has the table of all of them. The
+table of protected stretches (ENCLOSED: quotations, brackets, titles) is evaluated by an index of the stretches of a
+text, since a pair of expressions would read the whole text at each position.
 
 The rules see a folded view of the text (no invisible characters, common widths and blanks, look-alike letters as one),
 so that noise does not hide an abbreviation; spans are code points of the text as stored.
@@ -47,6 +49,26 @@ ABBREVIATIONS = {
     "thai": {"title": "ดร นาย", "number": "พ.ศ ค.ศ", "never": "น ก.ม กม", "middle": ""},
     "arabic": {"title": "د أ م", "number": "ص رقم", "never": "", "middle": ""},
 }
+# Abbreviations of single languages of the Latin script; `common` has those of all.
+LATIN = {
+    "common": {"title": "Dr Prof St Ing Mag", "number": "Tel tel ca Ca cf art Art vol Vol fig Fig pp", "never": "vs", "middle": "etc Inc Ltd Co Corp kg km cm mm m min Min h"},
+    "english": {
+        "title": "Mr Mrs Ms Mx Sgt Capt Lt Col Gen Maj Rev Fr Hon Gov Sen Rep Jr Messrs Pres", "number": "no No nos Nos figs Figs p P Pp ch Ch sec Sec approx Approx Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec ext Ext al ed Ed", "never": "e.g i.e viz",
+        "middle": "a.m p.m A.M P.M U.S U.K",
+    },
+    "german": {"title": "Hr Fr Frl Dipl", "number": "Nr nr Abb Kap Bd Str Ziff Anm Jan Feb Apr Jun Jul Aug Sept Nov", "never": "z.B d.h u.a z.T i.d.R bzw Bzw v.a o.ä s.o s.u u.U vgl Vgl ggf Ggf inkl Inkl zzgl evtl Evtl sog", "middle": "usw Std Mio Mrd"},
+    "french": {"title": "MM Mme Mlle Me Mgr", "number": "no nos p env Env ed", "never": "c.-à-d éd ex p.ex", "middle": ""},
+    "spanish": {"title": "Sr Sra Srta Dra Dña", "number": "pág Pág págs núm Núm aprox Aprox p", "never": "p.ej ej p.", "middle": "EE.UU Ud Uds"},
+}
+# Small words that tell the languages of the Latin script apart.
+LANGUAGES = {
+    "english": "the and was were that this with you they have from what not are his her its who said there which when would will of to he she then had been but is it in an on for as at by we our one people left",
+    "german": "der das und nicht ist ein eine mit auf für den dem wir sie auch sich war im zu von wer noch es in an aus bei nach wird haben kann uns ich die des man so was hat als ob am er oder",
+    "french": "le les des une est et dans pas pour que qui vous nous il elle du au avec sur ne je la de un en se par plus sont mais ce cette ils on été où était a l",
+    "spanish": "el los las una y no es en que por con del al se su para como pero está lo la de un a más fue ya este esta son qué dónde ella después",
+}
+#: So many small words of a language tell it.
+_TELLING = 2
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 END = "[.!?…‽。！？｡؟۔।॥]"
 GREEK_END = "[.!?…;]"
@@ -60,8 +82,7 @@ def _alternatives(words: str) -> str:
     return "|".join(sorted((regex.escape(w).replace(r"\.", r"\.\s?") for w in words.split()), key=len, reverse=True))
 
 
-def _abbreviation_rules(name: str) -> list[tuple[bool, str, str]]:
-    a = ABBREVIATIONS[name]
+def _abbreviation_rules(a: dict[str, str]) -> list[tuple[bool, str, str]]:
     start = r"(?<![\p{L}\p{M}\p{N}])"
     rules = []
     for whole in (w for kind in a.values() for w in kind.split() if "." in w):  # inside an abbreviation of several parts
@@ -80,6 +101,8 @@ def _abbreviation_rules(name: str) -> list[tuple[bool, str, str]]:
 
 CLOSES = rf"(?:[\xa0 ]?{CLOSE})"
 _HALT = rf"(?:{END}){CLOSES}*"
+#: A line that opens with a dialogue dash starts a sentence, but for the first.
+DIALOGUE = [(True, r"\S\s*\n[^\S\n]*", r"[-‐‑–—]\s*\S")]
 #: Rules of all scripts that come first, and those that come last.
 FIRST = [
     (True, r"\n[^\S\n]*\n\s*", r"\S"),  # an empty line
@@ -103,26 +126,37 @@ CASELESS = [
     (False, _HALT, r"\s*[,;:،，、；：%)\]»”’」』》…]"),
     (True, _HALT, r"\s*\S"),
 ]
+_ORDINALS = [(False, rf"(?<!\p{{N}})\p{{N}}{{1,2}}\.", rf"\s*(?:{MONTHS})\b"), (False, r"\b(?i:der|die|das|dem|den|des|am|im|zum|zur|vom) \p{N}{1,3}\.", r"\s\p{Lu}")]
+#: "no." is the word where somebody says it.
+_SAYS_NO = [(True, r"\b(?:say|says|said|answer|answers|answered|replied|told (?:me|us|him|her|them)|meant|means|is|was|a|oh|plain|clear) [Nn]o\.", r"\s+\S")]
 RULES = {
+    "dialogue": DIALOGUE,
     "first": FIRST,
-    "latin": [(False, rf"(?<!\p{{N}})\p{{N}}{{1,2}}\.", rf"\s*(?:{MONTHS})\b"), (False, r"\b(?:der|die|das|dem|den|des|am|im|zum|zur|vom) \p{N}{1,3}\.", r"\s\p{Lu}"), *_abbreviation_rules("latin")],
-    "cyrillic": _abbreviation_rules("cyrillic"),
-    "greek": [*_abbreviation_rules("greek"), (True, r"[;;]" + CLOSES + "*", r"\s*\S")],
-    "devanagari": [*_abbreviation_rules("devanagari"), *CASELESS],
-    "arabic": [*_abbreviation_rules("arabic"), *CASELESS],
-    "thai": [*_abbreviation_rules("thai"), (True, r"(?:ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)", r"\s+\S"), (False, r"\.", r"\s*\S"), *CASELESS],
+    "english": [*_SAYS_NO, *_abbreviation_rules(LATIN["english"])],
+    "german": [*_ORDINALS, *_abbreviation_rules(LATIN["german"])],
+    "french": _abbreviation_rules(LATIN["french"]),
+    "spanish": _abbreviation_rules(LATIN["spanish"]),
+    "common": _abbreviation_rules(LATIN["common"]),
+    "latin": [*_ORDINALS, *_abbreviation_rules(ABBREVIATIONS["latin"])],
+    "cyrillic": _abbreviation_rules(ABBREVIATIONS["cyrillic"]),
+    "greek": [*_abbreviation_rules(ABBREVIATIONS["greek"]), (True, r"[;;]" + CLOSES + "*", r"\s*\S")],
+    "devanagari": [*_abbreviation_rules(ABBREVIATIONS["devanagari"]), *CASELESS],
+    "arabic": [*_abbreviation_rules(ABBREVIATIONS["arabic"]), *CASELESS],
+    "thai": [*_abbreviation_rules(ABBREVIATIONS["thai"]), (True, r"(?:ครับผม|ครับ|ค่ะ|คะ|จ้ะ|จ้า)", r"\s+\S"), (False, r"\.", r"\s*\S"), *CASELESS],
     "caseless": CASELESS,
     "cased": CASED,
 }
-#: Which tables judge a position in a script, in their order.
+#: Which tables judge a position in a language or script, in their order.
+_ALL = ("dialogue", "enclosed", "first")
 CASCADES = {
-    "latin": ("first", "latin", "cased"),
-    "cyrillic": ("first", "cyrillic", "latin", "cased"),
-    "greek": ("first", "greek", "latin", "cased"),
-    "devanagari": ("first", "devanagari"),
-    "arabic": ("first", "arabic"),
-    "thai": ("first", "thai"),
-    "caseless": ("first", "caseless"),
+    **{name: (*_ALL, name, "common", "cased") for name in LANGUAGES},
+    "latin": (*_ALL, "latin", "cased"),
+    "cyrillic": (*_ALL, "cyrillic", "latin", "cased"),
+    "greek": (*_ALL, "greek", "latin", "cased"),
+    "devanagari": (*_ALL, "devanagari"),
+    "arabic": (*_ALL, "arabic"),
+    "thai": (*_ALL, "thai"),
+    "caseless": (*_ALL, "caseless"),
 }
 _SCRIPTS = [("thai", regex.compile(r"\p{Thai}")), ("devanagari", regex.compile(r"\p{Devanagari}")), ("arabic", regex.compile(r"\p{Arabic}")), ("caseless", regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")), ("greek", regex.compile(r"\p{Greek}")), ("cyrillic", regex.compile(r"\p{Cyrillic}"))]
 _LATIN = regex.compile(r"\p{Latin}")
@@ -157,16 +191,46 @@ def _folded_pattern(pattern: str) -> str:
     return "".join(c if c.isascii() or not c.isalpha() else _fold[ord(c)] for c in pattern)
 
 
-@lru_cache(maxsize=None)
-def _cascade(script: str) -> regex.Pattern:
-    """All rules of a cascade in one expression; the alternatives are tried in order, so the first match decides."""
+def _compiled(tables: tuple[str, ...]) -> regex.Pattern:
+    """All rules of tables in one expression; the alternatives are tried in order, so the first match decides. A group tells a break."""
     parts = []
-    for table in CASCADES[script]:
+    for table in tables:
         for breaks, before, after in RULES[table]:
-            look = (f"(?<={before})" if before else "") + (f"(?={after})" if after else "")
-            parts.append(f"{look}(?P<b>)" if breaks else look)
-    body = "|".join(f"(?:{p})" for p in parts).replace("(?P<b>)", "()")
-    return regex.compile(_folded_pattern(body))
+            sides = [f"(?<={before})" if before else "", f"(?={after})" if after else ""]
+            look = "".join(reversed(sides) if table == "dialogue" else sides)  # dashes are rarer than line breaks
+            parts.append(f"(?:{look}{'()' if breaks else ''})")
+    return regex.compile(_folded_pattern("|".join(parts)))
+
+
+@lru_cache(maxsize=None)
+def _cascade(name: str) -> tuple[regex.Pattern, regex.Pattern]:
+    """The tables of a cascade before and behind that of protected stretches."""
+    tables = CASCADES[name]
+    at = tables.index("enclosed")
+    return _compiled(tables[:at]), _compiled(tables[at + 1 :])
+
+
+def _breaks(view: str, at: int, name: str, enclosed: list[tuple[int, int]]) -> bool:
+    """The verdict of a cascade; protected stretches don't overlap and are sorted: only the last that opens before the position can hold it."""
+    before, behind = _cascade(name)
+    verdict = before.match(view, at)
+    if verdict is None:
+        k = bisect_left(enclosed, (at, -1)) - 1
+        if k >= 0 and enclosed[k][0] < at < enclosed[k][1]:
+            return False
+        verdict = behind.match(view, at)
+    return verdict is not None and verdict.lastindex is not None
+
+
+_SMALL = {word: name for name, words in LANGUAGES.items() for word in words.split() if sum(word in w.split() for w in LANGUAGES.values()) == 1}
+
+
+def language_of(text: str) -> str:
+    """The cascade of a Latin text: the language of its small words if they are of one; all languages where they are too few or of several, and where no dot stands within the text."""
+    if text.find(".", 0, len(text.rstrip()) - 1) < 0:
+        return "latin"
+    found = [name for w in text.lower().split() if (name := _SMALL.get(w)) is not None]
+    return found[0] if len(found) >= _TELLING and found.count(found[0]) == len(found) else "latin"
 
 
 #: Candidate positions: behind runs of end marks (and particles, where there are no marks), and at line breaks that
@@ -220,7 +284,7 @@ class _Words:
 
     def __init__(self, text: str) -> None:
         self.starts: list[int] = []
-        self.sums: dict[str, list[int]] = {name: [0] for name in CASCADES}
+        self.sums: dict[str, list[int]] = {name: [0] for name in _LETTERS}
         for m in _WORD.finditer(text):
             n, script = m.end() - m.start(), m.lastgroup
             if script is None:
@@ -285,7 +349,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     # a stored script is judged on the stored letters: the folded view has Latin prototypes
     script = script_of(text)
     view, at = _view(text)
-    cuts = _mixed_cuts(text, view, at, script) if _mixed(text) else _cuts(view, script)
+    cuts = _mixed_cuts(text, view, at, script) if _mixed(text) else _cuts(view, language_of(view) if script == "latin" else script)
     if at is not None:
         cuts = [at[c] if c < len(at) else len(text) for c in cuts]
     out, start = [], 0
@@ -327,29 +391,18 @@ def _close(view: str, end: int, enclosed: list[tuple[int, int]]) -> int:
 
 
 def _cuts(view: str, script: str) -> list[int]:
-    decide = _cascade(script)
     enclosed: list[tuple[int, int]] | None = None
     cuts = []
-    ends = [m.end() for m in _MARKS.get(script, _MARK).finditer(view)]
+    marks = [(m.end(), True) for m in _MARKS.get(script, _MARK).finditer(view)]
     if "\n" in view:
-        ink = len(view) - len(view.lstrip())  # where the text begins
-        for m in _BREAK.finditer(view):
-            if m.group("dash") is None:
-                ends.append(m.end())
-            elif m.start() > ink:
-                cuts.append(m.start("dash"))
-    for end in ends:
+        marks += [(m.end(), True) if m.group("dash") is None else (m.start("dash"), False) for m in _BREAK.finditer(view)]
+    for end, closes in marks:
         if end >= len(view):
             continue
         if enclosed is None:
             enclosed = _enclosed(view)
-        end = _close(view, end, enclosed)
-        # protected stretches don't overlap and are sorted: only the last that opens before the position can hold it
-        k = bisect_left(enclosed, (end, -1)) - 1
-        if end >= len(view) or (k >= 0 and enclosed[k][0] < end < enclosed[k][1]):
-            continue
-        verdict = decide.match(view, end)
-        if verdict is not None and verdict.lastindex is not None:
+        end = _close(view, end, enclosed) if closes else end
+        if end < len(view) and _breaks(view, end, script, enclosed):
             cuts.append(end)
     return sorted(set(cuts)) if "\n" in view else cuts
 
@@ -368,25 +421,23 @@ def _mixed_cuts(text: str, view: str, at: list[int] | None, whole: str) -> list[
     if there are any, as it is their sentence that ends or goes on. A particle on a Thai word is Thai, a semicolon is a
     question mark in a sentence of Greek, and a stretch without words is judged as the whole text.
     """
-    words, enclosed = _Words(text), _enclosed(view)
+    words, enclosed, language = _Words(text), _enclosed(view), language_of(view)
     stored = lambda i: i if at is None else at[i] if i < len(at) else len(text)
     marks: list[tuple[int, int, str]] = [(m.start(), m.end(), "particle" if m.group("particle") else "mark") for m in _ANY_MARK.finditer(view)]
     cuts: list[int] = []
     if "\n" in view:
-        ink = len(view) - len(view.lstrip())
         for m in _BREAK.finditer(view):
-            if m.group("dash") is None:
-                marks.append((m.end(), m.end(), "line"))
-            elif m.start() > ink:
-                marks.append((m.start("dash"), m.start("dash"), "dash"))
+            at_dash = m.group("dash") is not None
+            marks.append((m.start("dash"), m.start("dash"), "dash") if at_dash else (m.end(), m.end(), "line"))
         marks.sort()
     last = 0
     for k, (a, b, kind) in enumerate(marks):
         if b >= len(view):
             continue
         if kind == "dash":
-            cuts.append(b)
-            last = b
+            if _breaks(view, b, whole, enclosed):
+                cuts.append(b)
+                last = b
             continue
         before = words.script((stored(last), stored(a if kind != "particle" else b))) or whole
         ends = [b]
@@ -401,15 +452,13 @@ def _mixed_cuts(text: str, view: str, at: list[int] | None, whole: str) -> list[
                 ends = [m.end() for m in _MARK.finditer(view, a, b)]
         for end in ends:
             end = _close(view, end, enclosed)
-            i = bisect_left(enclosed, (end, -1)) - 1
-            if end >= len(view) or (i >= 0 and enclosed[i][0] < end < enclosed[i][1]):
+            if end >= len(view):
                 continue
-            script = before
+            i, script = bisect_left(enclosed, (end, -1)) - 1, before
             if i >= 0 and enclosed[i][1] == end and ";" not in view[a:b]:
                 follows = marks[k + 1][0] if k + 1 < len(marks) else len(view)
                 script = words.script((stored(last), stored(max(last, enclosed[i][0]))), (stored(end), stored(max(end, follows)))) or before
-            verdict = _cascade(script).match(view, end)
-            if verdict is not None and verdict.lastindex is not None:
+            if _breaks(view, end, script if script != "latin" else language, enclosed):
                 cuts.append(end)
                 last = end
     return sorted(set(cuts))

@@ -61,6 +61,66 @@ def test_sentences(text, n):
     assert "".join(text[a:b] for a, b in got).replace(" ", "") == "".join(c for c in text if not c.isspace()).replace(" ", "") or "\n" in text
 
 
+#: Sentences that no rule was written for, with their boundaries marked by a bar.
+LABELLED = """
+The committee met on Jan. 4 and agreed.|Nobody was there!|Why not?
+She asked Prof. Lee about it.|He didn't know.
+We flew to the U.S. in May.|It was hot.
+See Fig. 3 for the plan.|The rest is on p. 12.
+I said no.|5 people came.
+He told Me.|Then he left it.
+“Stop!” he said.|“Why?” she asked.
+“I am done.”|He closed the book.
+It costs $4.50 or so.|Is it worth it?|I doubt it.
+Write to a.b@mail.test or see www.mail.test for the list.|Then wait.
+The film (it was long!) ended at 9 p.m. and we left.|Good.
+J. R. Hill and Dr. Moss came by.|They had tea.
+He works for Brown Inc. in the city.|She does not.
+Er kam am 3. März zu uns.|Es war kalt.
+Das sind z. B. Lampen.|Wer hat sie?
+Die Sitzung ist um 9 Uhr.|Bitte bringen Sie u. a. Papier mit.
+Der 2. Versuch war besser.|Das war gut.
+„Komm her!“, rief sie.|Er blieb stehen.
+Nr. 7 fehlt noch.|Frau Dr. Berg sucht sie.
+Voir l'art. 5 du règlement.|C'est clair.
+M. Petit et Mme Roy sont partis.|Ils reviendront.
+« Où vas-tu ? » demanda-t-il.|Elle ne dit rien.
+Il est arrivé à 8 h.|Nous avons mangé.
+El Sr. Gil no vino.|¿Dónde está?
+Se vende por 3 euros, p. ej. en la feria.|No es caro.
+«No lo sé», dijo ella.|Luego se fue.
+Он пришёл в 5 ч. утра.|Все спали.
+Это стоит 5 тыс. руб. в месяц.|Дорого.
+«Кто там?» — спросил он.|Никто не ответил.
+Πού πας;|Δεν ξέρω.|Έλα εδώ!
+Ο δρ. Νίκου έφυγε.|Βλ. σελ. 4.
+他来了。|你呢？|我不知道……也许吧。
+她说：“我走了。”|然后关上门。
+「行くよ。」と言った。|彼は笑った。
+雨が降った！|だから帰った。
+그는 왔다.|나는 갔다.|왜?
+वह आया।|मैं गया।|क्यों?
+डॉ. शर्मा बाहर हैं।|कल आइए।
+وصل القطار.|هل رأيته؟|لا!
+ฉันไปตลาดค่ะ|แล้วกลับบ้านครับ|พรุ่งนี้เจอกันนะคะ
+"""
+
+
+def test_labelled_sentences():
+    """Recall and precision on sentences in twelve languages."""
+    want = got = both = 0
+    for line in LABELLED.strip().split("\n"):
+        parts = line.split("|")
+        joint = " " if not any("\u3000" <= c <= "\u9fff" or c == "！" for c in line) else ""
+        text, gold, at = joint.join(parts), set(), 0
+        for part in parts:
+            gold.add((at, at + len(part)))
+            at += len(part) + len(joint)
+        found = set(sentences.spans(text))
+        want, got, both = want + len(gold), got + len(found), both + len(gold & found)
+    assert both / want >= 0.97 and both / got >= 0.97, (want, got, both)
+
+
 MIXED = [
     ("ไปกันเถอะครับ " + "N" + "o" * 70 + "!", 2),
     ("N" + "o" * 70 + " ไปกันเถอะครับ แล้วเจอกันค่ะ ไป", 3),
