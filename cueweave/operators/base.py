@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,8 +49,8 @@ def words_of(segments: DataFrame) -> DataFrame:
     return each.select("media_id", "seg_idx", idx.alias("word_idx"), at(F.col("k")).alias("start_ms"), at(F.col("k") + 1).alias("end_ms"), F.concat(F.when(idx > 0, " ").otherwise(""), "token").alias("word"))
 
 
-def _bucketed(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / BUCKET).cast("bigint"))
+def _bucketed(df: DataFrame, order: str, size: int = BUCKET) -> DataFrame:
+    return df.withColumn("_bucket", F.floor(F.col(order) / size).cast("bigint"))
 
 
 def with_previous(df: DataFrame, order: str, columns: list[str], prefix: str = "prev_", backwards: bool = False) -> DataFrame:
@@ -71,9 +71,22 @@ def with_previous(df: DataFrame, order: str, columns: list[str], prefix: str = "
     return d.select(*df.columns, *(F.col(f"_near.{c}").alias(prefix + c) for c in columns))
 
 
-def with_running_sum(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
-    """df with the sum of a column over all rows before of the same media item; in buckets as `with_previous`."""
+def with_neighbours(df: DataFrame, order: str, before: list[str], after: list[str]) -> DataFrame:
+    """df with values of the row before (prev_...) and of the row after (next_...) of the same media item, in buckets as `with_previous`, by one exchange of the rows."""
     d = _bucketed(df, order)
+    old, new = F.struct(*(F.col(c) for c in before)), F.struct(*(F.col(c) for c in after))
+    inside = Window.partitionBy("media_id", "_bucket").orderBy(order)
+    d = d.withColumns({"_old": F.lag(old).over(inside), "_new": F.lead(new).over(inside)})
+    edge = d.groupBy("media_id", "_bucket").agg(F.max_by(old, order).alias("_last"), F.min_by(new, order).alias("_first"))
+    across = Window.partitionBy("media_id").orderBy("_bucket")
+    edge = edge.select("media_id", "_bucket", F.lag("_last").over(across).alias("_last"), F.lead("_first").over(across).alias("_first"))
+    d = d.join(edge, ["media_id", "_bucket"]).withColumns({"_old": F.coalesce("_old", "_last"), "_new": F.coalesce("_new", "_first")})
+    return d.select(*df.columns, *(F.col(f"_old.{c}").alias(f"prev_{c}") for c in before), *(F.col(f"_new.{c}").alias(f"next_{c}") for c in after))
+
+
+def with_running_sum(df: DataFrame, order: str, column: str, name: str, bucket: int = BUCKET) -> DataFrame:
+    """df with the sum of a column over all rows before of the same media item; in buckets of the order column as `with_previous`."""
+    d = _bucketed(df, order, bucket)
     inside = Window.partitionBy("media_id", "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_own", F.coalesce(F.sum(column).over(inside), F.lit(0)))
     total = d.groupBy("media_id", "_bucket").agg(F.sum(column).alias("_total"))
@@ -82,24 +95,57 @@ def with_running_sum(df: DataFrame, order: str, column: str, name: str) -> DataF
     return d.join(total, ["media_id", "_bucket"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_bucket")
 
 
+#: Rows of one media item that begin within so many milliseconds are put in order together; islands are found over these stretches.
+STRETCH_MS = 3_600_000
+
+
+def with_islands(df: DataFrame, order: list[str], reach: Column, cut: Callable[[Column, Column], Column], carry: tuple[str, ...] = ()) -> DataFrame:
+    """df with `island`: the start of the first row of its island, where no fold need look from one island into another.
+
+    cut(seen, before) says whether a row begins an island: seen is the greatest reach of all rows before it in the item, in
+    the order given (which begins with start_ms), before a struct of the columns to carry of the row just before. Both run
+    over stretches of an item and are carried over their edges by a summary of one row a stretch, so that an item with a
+    third of all rows spreads over many tasks. Two islands that begin at the same time count as one, which no fold minds.
+    """
+    stretch = F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint")
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).alias("one"))
+    inside = Window.partitionBy("media_id", "_stretch").orderBy(*order)
+    across = Window.partitionBy("media_id").orderBy("_stretch")
+    d = df.withColumn("_stretch", stretch).withColumn("_reach", reach)
+    d = d.withColumns({"_seen": F.max("_reach").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_before": F.lag(carried).over(inside)})
+    edge = d.groupBy("media_id", "_stretch").agg(F.max("_reach").alias("_r"), F.max_by(carried, F.struct(*order)).alias("_b"))
+    edge = edge.select("media_id", "_stretch", F.max("_r").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_r"), F.lag("_b").over(across).alias("_b"))
+    d = d.join(edge, ["media_id", "_stretch"])
+    seen = F.greatest("_seen", "_r")
+    head = F.when(seen.isNull() | F.coalesce(cut(seen, F.coalesce("_before", "_b")), F.lit(False)), F.col("start_ms"))
+    d = d.drop("_reach").withColumn("_head", head).drop("_seen", "_before", "_r", "_b")
+    d = d.withColumn("_own", F.max("_head").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = d.groupBy("media_id", "_stretch").agg(F.max("_head").alias("_h"))
+    last = last.select("media_id", "_stretch", F.max("_h").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_h"))
+    return d.join(last, ["media_id", "_stretch"]).withColumn("island", F.coalesce("_own", "_h")).drop("_own", "_h", "_head", "_stretch")
+
+
 Kernel = Callable[[Iterator[tuple]], Iterator[tuple]]
 
 
-def fold(df: DataFrame, order: list[str], kernel: Kernel, schema: T.StructType | str, key: str = "media_id") -> DataFrame:
+def fold(df: DataFrame, order: list[str], kernel: Kernel, schema: T.StructType | str, key: str = "media_id", island: bool = False) -> DataFrame:
     """An ordered fold per media item: kernel gets the rows (without the key) in order and yields rows (without the key).
 
     Rows are streamed in sorted order, batch by batch; a kernel sees an iterator and holds only its state, so that even
-    the largest media item is never in memory as a whole. schema is that of the kernel's rows.
+    the largest media item is never in memory as a whole. schema is that of the kernel's rows. With `island`, df has a
+    column of that name, and the fold runs over each island of an item alone (see `with_islands`); the kernel doesn't see it,
+    its rows get it as a last column `island`.
     """
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = T.StructType([T.StructField(key, T.StringType()), *out.fields])
+    part = ["island"] if island else []
+    whole = T.StructType([T.StructField(key, T.StringType()), *out.fields, *(T.StructField(c, T.LongType()) for c in part)])
     arrow = to_arrow_schema(whole)
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c != key and c not in part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in (key, *rest)))
+                yield from zip(*(batch.column(c).to_pylist() for c in (key, *part, *rest)))
 
         held: list[tuple] = []
 
@@ -108,12 +154,13 @@ def fold(df: DataFrame, order: list[str], kernel: Kernel, schema: T.StructType |
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        for k, group in groupby(rows(), key=lambda r: r[0]):
-            for r in kernel(x[1:] for x in group):
-                held.append((k, *r))
+        width = 1 + len(part)
+        for k, group in groupby(rows(), key=lambda r: r[:width]):
+            for r in kernel(x[width:] for x in group):
+                held.append((k[0], *r, *k[1:]))
                 if len(held) >= 10_000:
                     yield flush()
         if held:
             yield flush()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, whole)
+    return df.repartition(key, *part).sortWithinPartitions(key, *part, *order).mapInArrow(run, whole)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import kernels as K
-from .base import fold
+from .base import STRETCH_MS, fold, with_islands, with_running_sum
 from .quality import Profile, summary
 from .words import punct_split
 
@@ -29,14 +30,21 @@ def _segments(df: DataFrame) -> DataFrame:
 _SORTED, _BY_TIME = ["start_ms", "end_ms", "cue_index"], ["start_ms", "end_ms", "seg_idx"]
 
 
+def _roomy(cues: DataFrame, need: Column, overlap: int, push: int = 1000) -> DataFrame:
+    """Islands of the fixes that give cues time: a cue whose earliest start, had it all the time it may need before it, lies behind the latest end of every cue before it neither pushes nor is pushed."""
+    reach = F.greatest(F.col("end_ms"), F.col("start_ms") + push + need) + overlap + 1
+    return with_islands(_cues(cues), _SORTED, reach, lambda seen, _: F.col("start_ms") - need > seen)
+
+
 def fix_cps(cues: DataFrame, max_cps: float = 16.0, overlap: int = 0) -> DataFrame:
     """Cues that are read too fast get more time."""
-    return fold(_cues(cues), _SORTED, partial(K.speed, max_cps=max_cps, overlap=overlap), _CUE)
+    need = F.ceil(X.reading_chars(F.col("text")) / max_cps * 1000.0).cast("bigint") if max_cps > 0 else F.lit(0)
+    return fold(_roomy(cues, need, overlap), _SORTED, partial(K.speed, max_cps=max_cps, overlap=overlap), _CUE, island=True).drop("island")
 
 
 def fix_duration(cues: DataFrame, min_ms: int = 900, overlap: int = 0) -> DataFrame:
     """Cues that are too short get more time."""
-    return fold(_cues(cues), _SORTED, partial(K.duration, min_ms=min_ms, overlap=overlap), _CUE)
+    return fold(_roomy(cues, F.lit(max(min_ms, 0)), overlap), _SORTED, partial(K.duration, min_ms=min_ms, overlap=overlap), _CUE, island=True).drop("island")
 
 
 def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, profile: Profile = Profile()) -> DataFrame:
@@ -89,6 +97,13 @@ def wrap_two_lines(cues: DataFrame, width: int = 42) -> DataFrame:
     return d.select("media_id", "cue_index", F.col("best.a").alias("line_1"), F.col("best.b").alias("line_2"))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """seg_no over the whole item of rows that are numbered within their island: the rows of all islands before are added."""
+    count = df.groupBy("media_id", "island").agg(F.count("*").alias("n"))
+    before = with_running_sum(count, "island", "n", "seen", STRETCH_MS).select("media_id", "island", "seen")
+    return df.join(before, ["media_id", "island"]).withColumn("seg_no", F.col("seg_no") + F.col("seen")).drop("island", "seen")
+
+
 def rule_segments(words: DataFrame, **limits: int) -> DataFrame:
     """Words to segments by soft and hard limits, marks and pauses."""
     return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["word_idx"], partial(K.rule_segments, **limits), _NEW)
@@ -119,33 +134,60 @@ def wrap_zh(segments: DataFrame, width: int = 18, most: int = 2) -> DataFrame:
 
 
 def greedy_units(words: DataFrame, **limits: int) -> DataFrame:
-    """Words to segments, greedily."""
-    return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["start_ms", "end_ms", "word_idx"], partial(K.greedy_units, **limits), _NEW)
+    """Words to segments, greedily. A word that begins more than the hard limit behind all before it begins a segment whatever they are."""
+    order = ["start_ms", "end_ms", "word_idx"]
+    rows = words.select("media_id", "word_idx", "start_ms", "end_ms", "word")
+    islands = with_islands(rows, order, F.greatest("start_ms", "end_ms"), lambda seen, _: F.least("start_ms", "end_ms") - seen > limits.get("hard", 15_000))
+    return _numbered(fold(islands, order, partial(K.greedy_units, **limits), _NEW, island=True))
+
+
+def _apart(segments: DataFrame) -> DataFrame:
+    """Islands of segments that overlap; a blank segment begins none."""
+    return with_islands(_segments(segments), _BY_TIME, F.col("end_ms"), lambda seen, _: (F.col("start_ms") > seen) & ~X.is_blank(F.col("text")))
 
 
 def one_of_each(segments: DataFrame) -> DataFrame:
     """The better of segments that cover each other."""
-    return fold(_segments(segments), _BY_TIME, K.one_of_each, _SEGMENT)
+    return fold(_apart(segments), _BY_TIME, K.one_of_each, _SEGMENT, island=True).drop("island")
 
 
 def no_overlap(segments: DataFrame) -> DataFrame:
     """Segments that don't overlap."""
-    return fold(_segments(segments), _BY_TIME, K.no_overlap, _SEGMENT)
+    return fold(_apart(segments), _BY_TIME, K.no_overlap, _SEGMENT, island=True).drop("island")
+
+
+def _strong(segments: DataFrame, least_ms: int, min_ms: int = 2500, min_chars: int = 8) -> DataFrame:
+    """Islands of merging: a segment that is long enough by itself, behind one that is so too and at least least_ms long, joins nothing before it, whatever that has become."""
+    dur = F.col("end_ms") - F.col("start_ms")
+    d = _segments(segments).withColumns({"_strong": (dur >= min_ms) & (F.length(X.strip(F.col("text"))) >= min_chars), "_dur": dur})
+    d = with_islands(d, _BY_TIME, F.col("end_ms"), lambda _, before: F.col("_strong") & before["_strong"] & (before["_dur"] >= least_ms), ("_strong", "_dur"))
+    return d.drop("_strong", "_dur")
 
 
-def coalesce(segments: DataFrame, **limits: int) -> DataFrame:
-    """Weak segments merged, then near duplicates resolved."""
-    return fold(_segments(segments), _BY_TIME, lambda rows: K.near_duplicates(K.coalesce(rows, **limits)), _SEGMENT)
+def coalesce(segments: DataFrame, min_ms: int = 2500, min_chars: int = 8, target: int = 7000, hard: int = 15000) -> DataFrame:
+    """Weak segments merged, then near duplicates resolved: two folds with islands of their own."""
+    limits = dict(min_ms=min_ms, min_chars=min_chars, target=target, hard=hard)
+    # the second fold takes the rows in the order in which the first one gives them
+    kernel = lambda rows: ((*s, k) for k, s in enumerate(K.coalesce(rows, **limits)))
+    merged = fold(_strong(segments, -(-target * 6 // 10), min_ms, min_chars), _BY_TIME, kernel, f"{_SEGMENT}, place bigint", island=True)
+    return _near_duplicates(merged.withColumnRenamed("island", "part"), ["start_ms", "part", "place"])
 
 
 def absorb(segments: DataFrame) -> DataFrame:
     """The first pass of coalescing alone: weak segments join the one before."""
-    return fold(_segments(segments), _BY_TIME, partial(K._absorb, min_ms=2500, min_chars=8, hard=15000), _SEGMENT)
+    return fold(_strong(segments, 0), _BY_TIME, partial(K._absorb, min_ms=2500, min_chars=8, hard=15000), _SEGMENT, island=True).drop("island")
+
+
+def near_duplicates(segments: DataFrame, window: int = 30_000, gap: int = 2000) -> DataFrame:
+    """One of each group of near duplicates. A segment out of the window of all before it, and behind their ends by more than the gap of neighbours, meets none of them."""
+    return _near_duplicates(_segments(segments), _BY_TIME, window, gap)
 
 
-def near_duplicates(segments: DataFrame) -> DataFrame:
-    """One of each group of near duplicates."""
-    return fold(_segments(segments), _BY_TIME, K.near_duplicates, _SEGMENT)
+def _near_duplicates(segments: DataFrame, order: list[str], window: int = 30_000, gap: int = 2000) -> DataFrame:
+    reach = F.greatest(F.col("start_ms") + window, F.col("end_ms") + gap)
+    islands = with_islands(segments, order, reach, lambda seen, _: F.col("start_ms") > seen)
+    kernel = lambda rows: K.near_duplicates((r[:5] for r in rows), window=window, gap=gap)
+    return fold(islands, order, kernel, _SEGMENT, island=True).drop("island")
 
 
 def layout_zh(segments: DataFrame, width: int = 18, most: int = 2) -> DataFrame:

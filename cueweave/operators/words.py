@@ -7,11 +7,15 @@ buckets is kept in the one where the later of the two begins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .base import with_previous, with_running_sum
+from . import kernels as K
+from .base import with_neighbours, with_previous, with_running_sum
 
 BUCKET_MS = 60_000
 
@@ -114,8 +118,10 @@ def punct_split(words: DataFrame, segments: DataFrame, least_ms: int = 2500, har
     words or no cut stay whole if they have text. Relational throughout: an interval join, windows within a segment, a
     running count of cuts and an aggregation; no key is larger than a segment.
     """
-    met = words_in_segments(words, segments).join(words.select("media_id", "word_idx", F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), "word"), ["media_id", "word_idx"])
-    met = met.join(segments.where("end_ms > start_ms").select("media_id", "seg_idx", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1")), ["media_id", "seg_idx"])
+    # all that the windows need goes through the interval join, so that nothing is fetched again
+    a = words.select("media_id", "word_idx", F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end"), "word")
+    b = segments.where("end_ms > start_ms").select("media_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    met = overlap_join(a, b).withColumnsRenamed({"l_start": "w0", "l_end": "w1", "r_start": "s0"}).drop("r_end")
     seg = Window.partitionBy("media_id", "seg_idx")
     order = seg.orderBy("word_idx")
     d = met.withColumn("tail", F.coalesce(F.sum(X.reading_chars(F.col("word"))).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
@@ -132,16 +138,24 @@ def punct_split(words: DataFrame, segments: DataFrame, least_ms: int = 2500, har
 def repair_candidates(segments: DataFrame) -> DataFrame:
     """media_id, seg_idx, trigger, from_ms, to_ms: segments to listen to again and the range, by the first of four triggers that holds.
 
-    The first segment of an item is never one; the range is bounded by the neighbours and the end of the item.
+    The first segment of an item is never one; the range is bounded by the neighbours and the end of the item. One exchange
+    finds both neighbours; the triggers are the kernel of `kernels.repair`, over Arrow batches.
     """
-    d = with_previous(with_previous(segments, "seg_idx", ["start_ms", "end_ms", "text"]), "seg_idx", ["start_ms"], "next_", backwards=True)
+    d = with_neighbours(segments, "seg_idx", ["start_ms", "end_ms", "text"], ["start_ms"]).where("prev_end_ms is not null")
+    names = ["start_ms", "end_ms", "text", "prev_start_ms", "prev_end_ms", "prev_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in names))
+            found = [K.trigger((0, ps, pe, pt, None), (0, s, e, t, None)) for s, e, t, ps, pe, pt in rows]
+            at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("media_id", "seg_idx")), pa.array([f for f in found if f], pa.string()), *(batch.column(c).take(at) for c in ("end_ms", "prev_end_ms", "next_start_ms"))], names=["media_id", "seg_idx", "trigger", "end_ms", "prev_end_ms", "next_start_ms"])
+
+    found = d.select("media_id", "seg_idx", *names, "next_start_ms").mapInArrow(run, "media_id string, seg_idx bigint, trigger string, end_ms bigint, prev_end_ms bigint, next_start_ms bigint")
     total = segments.groupBy("media_id").agg(F.max("end_ms").alias("total_ms"))
-    d = d.join(total, "media_id").where("prev_end_ms is not null")
-    text, before = F.col("text"), F.col("prev_text")
-    trigger = F.when(stuck(text) | text.contains("�"), "STUCK_OR_INVALID").when(repeats(before, text, F.col("start_ms") - F.col("prev_end_ms")), "REPEAT").when(low_info(text, F.col("end_ms") - F.col("start_ms")), "SHORT_LOW_INFO").when(suspect(text, F.col("end_ms") - F.col("start_ms")), "SUSPECT")
     lo = F.greatest(F.col("prev_end_ms") - 1000, F.lit(0))
     hi = F.least(F.greatest(F.col("end_ms") + 1500, F.coalesce(F.col("next_start_ms") + 200, F.lit(0))), F.col("total_ms"))
-    return d.select("media_id", "seg_idx", trigger.alias("trigger"), lo.cast("bigint").alias("from_ms"), hi.cast("bigint").alias("to_ms")).where("trigger is not null")
+    return found.join(total, "media_id").select("media_id", "seg_idx", "trigger", lo.cast("bigint").alias("from_ms"), hi.cast("bigint").alias("to_ms"))
 
 
 def low_info(text: Column, dur_ms: Column) -> Column:

@@ -69,6 +69,27 @@ def test_one_pass_equals_window_fix(spark, sf):
     assert quality.fix_overlaps(c).where("end_ms < start_ms").count() == 0
 
 
+def test_intervals_over_many_shards(spark):
+    """Very long intervals, before 0 and far away, overlapping and touching short ones: like a sweep over all bounds."""
+    import random
+
+    r = random.Random(3)
+    shard = interval_runs.SHARD_MS
+    iv = [("cue", "m", a, a + r.choice([5, 900, shard, 3 * shard + 17, 9 * shard])) for a in (r.randrange(-20 * shard, 60 * shard) for _ in range(25))]
+    iv += [("cue", "n", 5, 10**15), ("cue", "n", 10**15, 10**15 + 7), ("cue", "n", 10**15 + 100, 10**15 + 200), ("cue", "n", -(10**15), -(10**15) + 3), ("cue", None, 0, 3 * shard), ("cue", None, shard + 5, shard + 9), ("cue", "p", shard, 3 * shard), ("cue", "p", 3 * shard + 4, 4 * shard), ("cue", "q", 0, 2**62), ("cue", "q", 1, 2)]
+    want = []
+    for key in {x[:2] for x in iv}:
+        merged = []
+        for a, b in sorted(x[2:] for x in iv if x[:2] == key):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want += [(*key, "period", a, b) for a, b in merged] + [(*key, "gap", x[1], y[0]) for x, y in zip(merged, merged[1:]) if y[0] - x[1] <= interval_runs.BREAK_MS]
+    d = spark.createDataFrame(iv, "record_kind string, media_id string, start_ms long, end_ms long")
+    assert rows(interval_runs.run_intervals(d)) == sorted(want, key=repr)
+
+
 def test_intervals(spark):
     big = 1 << 22
     d = cues(spark, ("m", 0, 0, 10, "", T0), ("m", 0, 0, 10, "", T1), ("m", 1, 10, 20, "", T0), ("m", 2, 5, 12, "", T0), ("m", 3, 30, 40, "", T0), ("m", 4, big - 5, big + 5, "", T0), ("m", 5, big + 5, 3 * big, "", T0), ("m", 6, 3 * big + 7, 3 * big + 9, "", T0), ("m", 7, None, 5, "", T0), ("m", 8, 9, 9, "", T0), (None, 0, 1, 2, "", T0))
@@ -240,3 +261,35 @@ def test_paths_and_hashes(spark):
     d = spark.createDataFrame([("/data/x",), ("/data",), ("/data/../etc",), ("data/x",), ("/database/x",), ("",), (None,), ("/data/./x",)], "p string")
     assert [r[0] for r in d.select(jobs.path_allowed(F.col("p"), ["/data/"])).collect()] == [True, True, False, False, False, False, False, False]
     assert jobs.stable_hash({"b": 1, "a": 2}) == jobs.stable_hash({"a": 2, "b": 1})
+
+
+@pytest.mark.parametrize("name", ["fix_cps", "fix_duration", "one_of_each", "no_overlap", "near_duplicates", "coalesce", "absorb", "greedy_units"])
+def test_folds_over_islands(spark, monkeypatch, name):
+    """A fold over islands of short stretches gives what its kernel gives over the whole item."""
+    import random
+    from functools import partial
+
+    from cueweave.operators import base
+    from cueweave.operators import kernels as K
+
+    monkeypatch.setattr(base, "STRETCH_MS", 20_000)
+    r = random.Random(name)
+    rows_, at = [], 0
+    for i in range(400):
+        at += r.choice([0, 10, 300, 900, 2000, 4000, 16_000, 40_000])
+        text = r.choice(["", " ", "yes", "no no", "the lamp is on", "the lamp is on again", "a long text that takes its time to read aloud, word by word", "好的"])
+        rows_.append(("mn"[i % 7 == 0], i, at, at + r.choice([0, 1, 200, 900, 2600, 4300, 7000]), text, r.choice([None, 0.2, 0.9])))
+    d = spark.createDataFrame(rows_, "media_id string, seg_idx long, start_ms long, end_ms long, text string, confidence double")
+    kernels = {
+        "fix_cps": K.speed, "fix_duration": K.duration, "one_of_each": K.one_of_each, "no_overlap": K.no_overlap, "near_duplicates": K.near_duplicates, "coalesce": lambda x: K.near_duplicates(K.coalesce(x)),
+        "absorb": partial(K._absorb, min_ms=2500, min_chars=8, hard=15000), "greedy_units": K.greedy_units,
+    }
+    short = name in ("fix_cps", "fix_duration", "greedy_units")
+    frame = d.drop("confidence").withColumnRenamed("seg_idx", "cue_index") if name.startswith("fix") else d.withColumnsRenamed({"seg_idx": "word_idx", "text": "word"}) if short else d
+    want = []
+    for m in "mn":
+        own = sorted(((s, e, i, t, c) for k, i, s, e, t, c in rows_ if k == m), key=lambda x: x[:3])
+        want += [(m, *x) for x in kernels[name]((i, s, e, t) if short else (i, s, e, t, c) for s, e, i, t, c in own)]
+    got = getattr(folds, name)(frame)
+    order = ["media_id", "seg_no", "start_ms", "end_ms", "text"] if name == "greedy_units" else got.columns
+    assert rows(got.select(*order)) == sorted(want, key=repr)
