@@ -4,11 +4,13 @@ Time is discretised to whole milliseconds. Each entity and time shard (2**22 ms,
 sorted, disjoint runs of set milliseconds, stored as delta-coded 32-bit integers. Map tasks union what they read, so a
 shuffle carries at most one bitmap per task, entity and shard whatever the number of rows; the bitmaps of a shard are
 united after the shuffle; set runs are periods, clear runs between them gaps. A last step joins runs over shard borders;
-it sees two runs per shard, never the rows. The longest shard list of an entity is its time span over 70 minutes.
+it sees two runs per shard, never the rows. An interval over many shards goes to the bitmaps of its first and its last
+shard; the whole shards between are one stretch, kept as a number of them that begin or end at a shard. Stretches take
+part in the last step, and what the bitmaps of shards under a stretch say is passed over.
 
-Defined results: rows with a null, NaN or out-of-range bound, or an end not after the start (after rounding) don't
-count; a null entity is an entity of its own; repeated rows change nothing; an empty table has no rows; extra columns
-are ignored. An interval that spans many shards adds one run to each of them.
+Defined results: rows with a null, NaN or infinite bound, one that no 64-bit number of milliseconds holds, or an end not
+after the start (after rounding) don't count; a null entity is an entity of its own; repeated rows change nothing; an
+empty table has no rows; extra columns are ignored. The length of an interval does not matter.
 """
 
 from __future__ import annotations
@@ -23,14 +25,12 @@ from pyspark.sql import types as T
 
 SHARD_BITS = 22
 SHARD_MS = 1 << SHARD_BITS
-#: Bounds beyond this (some 8,900 years) are no media time.
-MAX_MS = 1 << 48
 #: Pauses longer than this are breaks, not gaps.
 BREAK_MS = 600_000
 
 _KEYS = [T.StructField("record_kind", T.StringType()), T.StructField("media_id", T.StringType()), T.StructField("shard", T.LongType())]
 _BITMAPS = T.StructType([*_KEYS, T.StructField("bitmap", T.BinaryType())])
-_RUNS = T.StructType([*_KEYS[:2], T.StructField("interval_kind", T.StringType()), T.StructField("from_ms", T.LongType()), T.StructField("to_ms", T.LongType()), T.StructField("first", T.BooleanType())])
+_RUNS = T.StructType([*_KEYS, T.StructField("interval_kind", T.StringType()), T.StructField("from_ms", T.LongType()), T.StructField("to_ms", T.LongType()), T.StructField("first", T.BooleanType())])
 _KEY_FIELDS = [("record_kind", pa.string()), ("media_id", pa.string()), ("shard", pa.int64())]
 
 
@@ -118,7 +118,8 @@ def _runs(table: pa.Table) -> pa.RecordBatch:
     """Set runs and clear runs of whole bitmaps. The first and the last run of a shard may go on elsewhere: they are `edge`."""
     code, first, lo, hi = _unpack(table)
     code, lo, hi = union_runs(code, lo, hi)
-    base = np.asarray(table.column("shard").to_numpy())[first][code] << SHARD_BITS
+    shard = np.asarray(table.column("shard").to_numpy())[first][code]
+    base = shard << SHARD_BITS
     lo, hi = lo + base, hi + base
     head, tail = np.r_[True, code[1:] != code[:-1]], np.r_[code[1:] != code[:-1], True]
     inner = np.flatnonzero(~head)
@@ -127,8 +128,8 @@ def _runs(table: pa.Table) -> pa.RecordBatch:
     keys = [table.column(n).take(pa.array(row)) for n in ("record_kind", "media_id")]
     keys = [k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys]
     return pa.RecordBatch.from_arrays(
-        [*keys, pa.array(np.r_[kind, np.full(len(inner), "gap")].astype(object), pa.string()), pa.array(np.r_[lo, hi[inner - 1]], pa.int64()), pa.array(np.r_[hi, lo[inner]], pa.int64()), pa.array(np.r_[head, np.zeros(len(inner), bool)], pa.bool_())],
-        schema=pa.schema([*_KEY_FIELDS[:2], ("interval_kind", pa.string()), ("from_ms", pa.int64()), ("to_ms", pa.int64()), ("first", pa.bool_())]),
+        [*keys, pa.array(np.r_[shard, shard[inner]], pa.int64()), pa.array(np.r_[kind, np.full(len(inner), "gap")].astype(object), pa.string()), pa.array(np.r_[lo, hi[inner - 1]], pa.int64()), pa.array(np.r_[hi, lo[inner]], pa.int64()), pa.array(np.r_[head, np.zeros(len(inner), bool)], pa.bool_())],
+        schema=pa.schema([*_KEY_FIELDS, ("interval_kind", pa.string()), ("from_ms", pa.int64()), ("to_ms", pa.int64()), ("first", pa.bool_())]),
     )
 
 
@@ -157,29 +158,48 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def millis(seconds: Column) -> Column:
-    """Whole milliseconds of seconds; null for null, NaN and values out of range."""
+    """Whole milliseconds of seconds; null for null, NaN and values that no 64-bit number holds."""
     ms = F.round(seconds.cast("double") * 1000)
-    return F.when(F.abs(ms) <= MAX_MS, ms).try_cast("bigint")
+    return F.when(F.abs(ms) < 2.0**63, ms).try_cast("bigint")
 
 
 def run_intervals(intervals: DataFrame, break_ms: int = BREAK_MS) -> DataFrame:
     """record_kind, media_id, interval_kind (period, gap), from_ms, to_ms of intervals (record_kind, media_id, start_ms, end_ms)."""
     lo, hi = F.col("start_ms"), F.col("end_ms")
-    sound = intervals.select(F.col("record_kind").cast("string"), F.col("media_id").cast("string"), lo.cast("bigint"), hi.cast("bigint")).where((lo < hi) & (lo >= -MAX_MS) & (hi <= MAX_MS))
     shard = lambda c: F.shiftright(c, SHARD_BITS)
-    pieces = sound.withColumn("shard", F.explode(F.sequence(shard(lo), shard(hi - 1))))
-    base = F.shiftleft("shard", SHARD_BITS)
-    pieces = pieces.select("record_kind", "media_id", "shard", F.greatest(lo - base, F.lit(0)).cast("bigint").alias("lo"), F.least(hi - base, F.lit(SHARD_MS)).cast("bigint").alias("hi"))
-    keys = ["record_kind", "media_id", "shard"]
+    sound = intervals.select(F.col("record_kind").cast("string"), F.col("media_id").cast("string"), lo.cast("bigint"), hi.cast("bigint")).where(lo < hi)
+    sound = sound.withColumns({"s0": shard(lo), "s1": shard(hi - 1)})
+    entity, keys = ["record_kind", "media_id"], ["record_kind", "media_id", "shard"]
+    # the first and the last shard of each interval, which may be the same
+    piece = lambda s, a, b: F.struct(s.alias("shard"), a.cast("bigint").alias("lo"), b.cast("bigint").alias("hi"))
+    s0, s1, whole = F.col("s0"), F.col("s1"), F.lit(SHARD_MS)
+    base = lambda s: F.shiftleft(s, SHARD_BITS)
+    ends = F.when(s0 == s1, F.array(piece(s0, lo - base(s0), hi - base(s0)))).otherwise(F.array(piece(s0, lo - base(s0), whole), piece(s1, F.lit(0), hi - base(s1))))
+    pieces = sound.select(*entity, F.explode(ends).alias("x")).select(*entity, "x.*")
     runs = pieces.mapInArrow(_partial, _BITMAPS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge, _RUNS)
-    inner = runs.where("interval_kind <> 'edge'").drop("first")
-    # two runs a shard at most: joined over shard borders
-    entity = Window.partitionBy("record_kind", "media_id").orderBy("from_ms")
-    edges = runs.where("interval_kind = 'edge'").withColumn("before", F.lag("to_ms").over(entity))
-    edges = edges.withColumn("opens", F.col("before").isNull() | (F.col("from_ms") > F.col("before"))).withColumn("island", F.count_if("opens").over(entity))
-    period = edges.groupBy("record_kind", "media_id", "island").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
-    period = period.select("record_kind", "media_id", F.lit("period").alias("interval_kind"), "from_ms", "to_ms")
-    gap = edges.where("opens and first and before is not null").select("record_kind", "media_id", F.lit("gap").alias("interval_kind"), F.col("before").alias("from_ms"), F.col("from_ms").alias("to_ms"))
+
+    # whole shards between: how many intervals begin and end to cover at each; where the sum is above zero, a stretch goes on
+    turn = lambda s, n: F.struct(s.alias("shard"), F.lit(n).alias("n"))
+    turns = sound.where(s1 - s0 > 1).select(*entity, F.explode(F.array(turn(s0 + 1, 1), turn(s1, -1))).alias("x")).groupBy(*entity, F.col("x.shard").alias("shard")).agg(F.sum("x.n").alias("n"))
+    order = Window.partitionBy(*entity).orderBy("shard")
+    open_now = turns.withColumn("covers", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("shard").over(order)).where("covers > 0")
+    stretches = open_now.select(*entity, F.lit(None).cast("bigint").alias("shard"), F.lit("edge").alias("interval_kind"), base(F.col("shard")).alias("from_ms"), base(F.col("to")).alias("to_ms"), F.lit(True).alias("first"), base(F.col("to")).alias("covered"))
+
+    # two runs a shard at most, and the stretches: joined over shard borders
+    edges = runs.where("interval_kind = 'edge'").withColumn("covered", F.lit(None).cast("bigint")).unionByName(stretches)
+    time = Window.partitionBy(*entity).orderBy("from_ms", F.desc("to_ms"))
+    earlier = time.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumns({"before": F.max("to_ms").over(earlier), "under": F.max("covered").over(earlier)})
+    edges = edges.withColumn("opens", F.col("before").isNull() | (F.col("from_ms") > F.col("before"))).withColumn("island", F.count_if("opens").over(time.rowsBetween(Window.unboundedPreceding, 0)))
+    passed = edges.where("shard is not null and from_ms < under").select(*keys).distinct()
+    a, b = runs.where("interval_kind <> 'edge'").alias("a"), passed.alias("b")
+    alike = F.col("a.shard") == F.col("b.shard")
+    for c in entity:
+        alike = alike & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    inner = a.join(b, alike, "left_anti").select(*entity, "interval_kind", "from_ms", "to_ms")
+    period = edges.groupBy(*entity, "island").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
+    period = period.select(*entity, F.lit("period").alias("interval_kind"), "from_ms", "to_ms")
+    gap = edges.where("opens and first and before is not null").select(*entity, F.lit("gap").alias("interval_kind"), F.col("before").alias("from_ms"), F.col("from_ms").alias("to_ms"))
     out = inner.unionByName(period).unionByName(gap)
     return out.where((F.col("interval_kind") == "period") | (F.col("to_ms") - F.col("from_ms") <= break_ms))
 
