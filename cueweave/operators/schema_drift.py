@@ -1,9 +1,12 @@
 """Schemas that drift between the files of a feed (problem 1).
 
-Tagged-union inference: every document yields the set of its leaf paths, each tagged with its JSON type. The tagged
-leaves are fused per file by a map-side aggregation, which keeps all alternative types of a path, and the fused schemas
-of neighbouring files are compared. Renames are proven by values: documents that occur in both files are recognised by
-leaves that are unique in either file, and an old and a new path are one field if all these documents agree on them.
+Tagged-union inference: every document yields the set of its leaf paths, each tagged with its JSON type. Tagged paths
+are fused per file, which keeps all alternative types of a path, and the fused schemas of neighbouring files are compared. Renames are proven by values: documents that occur in both files are recognised by leaves that are unique in
+either file, and an old and a new path are one field if all these documents agree on them.
+
+Payloads are parsed once, into one row per document: the hashes of its paths and of its values. A tagged path is spelled
+out once per task and file, so that schemas are read from few rows. What is shuffled for the proof are hashes; no key is
+a file alone.
 
 Defined results: null, empty, broken and non-object payloads count for nothing; explicit JSON nulls are absent values;
 repeated lines are one document; an empty table gives an empty result; extra columns are ignored; a path whose types
@@ -13,10 +16,11 @@ are mixed within a file has all of them, joined by "|" in reports.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +82,7 @@ def _canonical(value: object) -> str:
 
 
 def _hash64(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _clean(text: str) -> str:
@@ -114,10 +118,68 @@ def _explode_batches(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] =
         )
 
 
-def document_leaves(raw: DataFrame) -> DataFrame:
-    """One row per leaf of every valid document: file keys, doc (hash of all leaves), path, kind, value (text), vh (hash of kind and value)."""
-    need = raw.select("feed", F.col("file_seq").cast("int"), F.col("file_id").cast("long"), F.col("line_no").cast("int"), F.col("payload").cast("string"))
-    return need.where("payload is not null").mapInArrow(_explode_batches, _LEAVES)
+_DOCUMENTS = T.StructType([
+    *_LEAVES.fields[:2], T.StructField("doc", T.LongType()), T.StructField("phs", T.ArrayType(T.LongType())), T.StructField("vhs", T.ArrayType(T.LongType())),
+    T.StructField("fields", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType())]))),
+])
+
+
+def _path_hash(path: str) -> int:
+    """The hash of a path as Spark's xxhash64 has it."""
+    h = xxhash.xxh64_intdigest(_clean(path).encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spelled: set[tuple] = set()
+    shapes: dict[tuple, list[int]] = {}
+    spell = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string())]))
+    for batch in batches:
+        if len(spelled) > 500_000:
+            spelled.clear()
+        if len(shapes) > 100_000:
+            shapes.clear()
+        rows, doc, phs, vhs, fields = [], [], [], [], []
+        files = zip(batch.column("feed").to_pylist(), batch.column("file_seq").to_pylist(), batch.column("payload").to_pylist())
+        for i, (feed, seq, payload) in enumerate(files):
+            leaves = leaves_of(payload)
+            if not leaves:
+                continue
+            leaves.sort(key=lambda leaf: leaf[0])
+            own = tuple(path for path, _ in leaves)
+            paths = shapes.get(own)
+            if paths is None:
+                paths = shapes[own] = [_path_hash(p) for p in own]
+            values, new = [], []
+            for path, value in leaves:
+                kind = kind_of(value)
+                values.append(_hash64(f"{kind}:{_canonical(value)}"))
+                if (feed, seq, path, kind) not in spelled:
+                    spelled.add((feed, seq, path, kind))
+                    new.append({"path": _clean(path), "kind": kind})
+            rows.append(i)
+            doc.append(_hash64(f"{paths}:{values}"))
+            phs.append(paths)
+            vhs.append(values)
+            fields.append(new or None)
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("feed").take(take), batch.column("file_seq").take(take), pa.array(doc, pa.int64()), pa.array(phs, pa.list_(pa.int64())), pa.array(vhs, pa.list_(pa.int64())), pa.array(fields, spell)], names=_DOCUMENTS.names)
+
+
+def parsed_documents(raw: DataFrame) -> DataFrame:
+    """feed, file_seq, doc, phs, vhs, fields: one row per valid document with fields; the hash of its content, those of its paths and of their values, and the tagged paths that no row before has in its task and file."""
+    need = raw.select("feed", F.col("file_seq").cast("int"), F.col("payload").cast("string")).where("payload is not null")
+    return need.mapInArrow(_parse_batches, _DOCUMENTS)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by file and tagged path, counted batch by batch."""
+    for batch in batches:
+        count: Counter[tuple] = Counter()
+        for feed, seq, payload in zip(batch.column("feed").to_pylist(), batch.column("file_seq").to_pylist(), batch.column("payload").to_pylist()):
+            count.update((feed, seq, _clean(path), kind_of(value)) for path, value in leaves_of(payload) or ())
+        columns = list(zip(*count)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:]), pa.array(list(count.values()), pa.int64())], names=["feed", "file_seq", "path", "kind", "n"])
 
 
 def _typed_leaves(raw: DataFrame) -> DataFrame:
@@ -127,77 +189,112 @@ def _typed_leaves(raw: DataFrame) -> DataFrame:
     return need.where("payload is not null").mapInArrow(explode, T.StructType([*_LEAVES.fields, T.StructField("doc_type", T.StringType())]))
 
 
-def fused_schemas(leaves: DataFrame) -> DataFrame:
-    """feed, file_seq, path, kinds (sorted alternatives), docs: the tagged union of each file's documents."""
-    by_kind = leaves.groupBy(*FILE_KEYS, "path", "kind").agg(F.count("*").alias("n"))
-    return by_kind.groupBy(*FILE_KEYS, "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.sum("n").alias("docs"))
+def fused_schemas(docs: DataFrame) -> DataFrame:
+    """feed, file_seq, path, kinds (sorted alternatives): the tagged union of each file's parsed documents."""
+    one = docs.where("fields is not null").select(*FILE_KEYS, F.explode("fields").alias("f")).select(*FILE_KEYS, "f.path", "f.kind")
+    return one.groupBy(*FILE_KEYS, "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def _files(raw: DataFrame) -> DataFrame:
     return raw.groupBy("feed", F.col("file_seq").cast("int").alias("file_seq")).agg(F.min(F.col("file_id").cast("long")).alias("file_id"))
 
 
-def _changes(raw: DataFrame, leaves: DataFrame) -> DataFrame:
+def _changes(raw: DataFrame, schemas: DataFrame) -> DataFrame:
     """feed, file_seq, file_id, path, new_kinds, old_kinds (null where absent) of every path that differs from the file before."""
     files = _files(raw)
     before = files.select("feed", (F.col("file_seq") + 1).alias("file_seq"))
     pairs = files.join(before, [*FILE_KEYS])
-    schemas = fused_schemas(leaves)
     new = schemas.select(*FILE_KEYS, "path", F.col("kinds").alias("new_kinds"), F.lit(None).cast("array<string>").alias("old_kinds"))
     old = schemas.select("feed", (F.col("file_seq") + 1).alias("file_seq"), "path", F.lit(None).cast("array<string>").alias("new_kinds"), F.col("kinds").alias("old_kinds"))
     both = new.unionByName(old).groupBy(*FILE_KEYS, "path").agg(F.max("new_kinds").alias("new_kinds"), F.max("old_kinds").alias("old_kinds"))
     return both.where(~F.col("new_kinds").eqNullSafe(F.col("old_kinds"))).join(pairs, [*FILE_KEYS])
 
 
-def _renames(leaves: DataFrame, changes: DataFrame) -> DataFrame:
-    """feed, file_seq, old_path, new_path proven by the documents of both files. Every join has a key of (pair, path, value) or (pair, document): no file meets in one task."""
-    gone = changes.where("new_kinds is null").select(*FILE_KEYS, F.col("path").alias("old_path"), F.col("old_kinds").alias("gone_kinds"))
-    come = changes.where("old_kinds is null").select(*FILE_KEYS, F.col("path").alias("new_path"), F.col("new_kinds").alias("come_kinds"))
-    candidates = gone.join(come, [*FILE_KEYS]).where(F.arrays_overlap("gone_kinds", "come_kinds")).select(*FILE_KEYS, "old_path", "new_path", F.xxhash64("old_path").alias("oh"), F.xxhash64("new_path").alias("nh"))
-    open_pairs = candidates.select(*FILE_KEYS).distinct()
-    # from here on, paths are 64-bit hashes: what is shuffled per leaf is numbers
-    moved = changes.select(*FILE_KEYS, F.xxhash64("path").alias("path"), (F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).alias("moved"))
+#: A small table that documents are joined with is broadcast up to so many fields; beyond, it is repeated under _SALTS keys, so that the documents of a file spread over as many tasks.
+MAX_SENT = 500_000
+_SALTS = 32
+
 
-    # only the leaves of files in question, parsed once and kept, however often they are read below
-    touched = open_pairs.unionByName(open_pairs.select("feed", (F.col("file_seq") - 1).alias("file_seq"))).distinct()
-    kept = cut_lineage(leaves.select(*FILE_KEYS, "doc", F.xxhash64("path").alias("path"), "vh").join(touched, [*FILE_KEYS], "left_semi"))
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str], fields: int, salt: str) -> DataFrame:
+    """Inner join with a small table of so many fields; salt is a column of big that differs within a key."""
+    if fields <= MAX_SENT:
+        return big.join(F.broadcast(small), keys)
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return big.withColumn("salt", F.pmod(F.col(salt), F.lit(_SALTS)).cast("int")).join(spread, [*keys, "salt"]).drop("salt")
 
-    def side(shift: int) -> DataFrame:
-        own = kept.select("feed", (F.col("file_seq") + shift).alias("file_seq"), "doc", "path", "vh").join(open_pairs, [*FILE_KEYS], "left_semi")
-        return own.join(moved, [*FILE_KEYS, "path"], "left")
 
-    def unique(df: DataFrame, name: str) -> DataFrame:
-        one = df.where("moved is null").groupBy(*FILE_KEYS, "path", "vh").agg(F.min("doc").alias(name), F.max("doc").alias("other"))
-        return one.where(F.col(name) == F.col("other")).drop("other")
+def _ends() -> Column:
+    """A file is the new one of its own comparison and the old one of the next."""
+    return F.explode(F.array(F.struct(F.col("file_seq").alias("at"), F.lit(False).alias("old")), F.struct((F.col("file_seq") + 1).alias("at"), F.lit(True).alias("old")))).alias("e")
 
-    old, new = side(1), side(0)
-    votes = unique(old, "old_doc").join(unique(new, "new_doc"), [*FILE_KEYS, "path", "vh"]).groupBy(*FILE_KEYS, "old_doc", "new_doc").agg(F.count("*").alias("votes"))
+
+def _roles(changes: DataFrame) -> tuple[DataFrame, int]:
+    """(feed, file_seq, old, changed, only; number of fields) of both sides of each comparison that has removed and added fields: hashes of the paths that differ, and of those that only this side has. Of the size of the schemas."""
+    gone, come, path = F.col("new_kinds").isNull(), F.col("old_kinds").isNull(), F.xxhash64("path")
+    open_pairs = changes.groupBy(*FILE_KEYS).agg(F.collect_list(path).alias("changed"), F.collect_list(F.when(gone, path)).alias("gone"), F.collect_list(F.when(come, path)).alias("come")).where("size(gone) > 0 and size(come) > 0")
+    side = lambda old, only: F.struct(F.lit(old).alias("old"), F.col(only).alias("only"))
+    roles = cut_lineage(open_pairs.select(*FILE_KEYS, "changed", F.explode(F.array(side(False, "come"), side(True, "gone"))).alias("s")).select(*FILE_KEYS, "s.old", "changed", "s.only"))
+    return roles, roles.agg(F.sum(F.size("changed"))).first()[0] or 0
+
+
+def _renames(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """feed, file_seq, old_path, new_path proven by the documents of both files.
+
+    Values are counted under the hash of (comparison, path, value), documents are joined under that of (comparison,
+    document); what removed and added fields share is read off each pair of documents, without a join.
+    """
+    roles, fields = _roles(changes)
+    # a file is the new one of its own comparison and the old one of the next
+    ends = F.explode(F.array(F.struct(F.col("file_seq").alias("at"), F.lit(False).alias("old")), F.struct((F.col("file_seq") + 1).alias("at"), F.lit(True).alias("old")))).alias("e")
+    sides = docs.select("feed", "doc", "phs", "vhs", ends).select("feed", F.col("e.at").alias("file_seq"), "e.old", "doc", "phs", "vhs")
+    sides = _join_small(sides, roles.select(*FILE_KEYS, "old"), [*FILE_KEYS, "old"], fields, "doc").withColumn("id", F.xxhash64(*FILE_KEYS, "doc"))
+
+    of = lambda old: F.when(F.col("old") if old else ~F.col("old"), F.col("id"))
+    votes = sides.select("old", "id", *FILE_KEYS, F.explode(F.arrays_zip("phs", "vhs")).alias("x")).select("old", "id", F.xxhash64(*FILE_KEYS, "x.phs", "x.vhs").alias("v"))
+    votes = votes.groupBy("v").agg(F.min(of(True)).alias("old_id"), F.max(of(True)).alias("o"), F.min(of(False)).alias("new_id"), F.max(of(False)).alias("n"))
+    # documents that share two values that no other has; what a field has changed from or to is shared by none
+    votes = cut_lineage(votes.where("old_id = o and new_id = n").groupBy("old_id", "new_id").agg(F.count("*").alias("votes")).where("votes >= 2").select("old_id", "new_id"))
+    few = votes.count() <= MAX_SENT  # two numbers a row
+    named = lambda old, x: sides.where(F.col("old") if old else ~F.col("old")).select(*(FILE_KEYS if old else ()), F.col("id").alias("old_id" if old else "new_id"), *(F.col(c).alias(c + x) for c in ("phs", "vhs")))
+    chosen = lambda old, x: named(old, x).join(F.broadcast(votes) if few else votes, "old_id" if old else "new_id")
+    pairs = chosen(True, "_a").join(chosen(False, "_b"), ["old_id", "new_id"]).dropDuplicates(["old_id", "new_id"])
+    for old, x in ((True, "_a"), (False, "_b")):
+        own = roles.where(F.col("old") if old else ~F.col("old")).select(*FILE_KEYS, *([F.col("changed")] if old else []), F.col("only").alias("only" + x))
+        pairs = _join_small(pairs, own, list(FILE_KEYS), fields, "old_id")
+        each = F.zip_with("phs" + x, "vhs" + x, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
+        pairs = pairs.withColumns({
+            "ph" + x: F.array_except("phs" + x, "changed"),
+            "stable" + x: F.transform(F.filter(each, lambda f: ~F.array_contains("changed", f["p"])), lambda f: F.xxhash64(f["p"], f["v"])),
+            "moved" + x: F.filter(each, lambda f: F.array_contains("only" + x, f["p"])),  # noqa: B023
+        })
     # a document that occurs in both files agrees in whatever has not changed; others meet in a value by chance
-    stable = lambda df, doc, vh: df.where("moved is null").select(*FILE_KEYS, F.col("doc").alias(doc), "path", F.col("vh").alias(vh)).distinct()
-    pairs = votes.where("votes >= 2").drop("votes").join(stable(old, "old_doc", "a"), [*FILE_KEYS, "old_doc"]).join(stable(new, "new_doc", "b"), [*FILE_KEYS, "new_doc", "path"])
-    pairs = pairs.groupBy(*FILE_KEYS, "old_doc", "new_doc").agg(F.count_if(F.col("a") == F.col("b")).alias("votes"), F.count("*").alias("both")).where("votes >= 2 and votes >= 0.9 * both")
-    best = lambda key: F.row_number().over(Window.partitionBy(*FILE_KEYS, key).orderBy(F.desc("votes"), "old_doc", "new_doc"))
-    shared = pairs.withColumn("a", best("old_doc")).withColumn("b", best("new_doc")).where("a = 1 and b = 1").select(*FILE_KEYS, "old_doc", "new_doc")
-
-    values = lambda df, doc, path, vh: df.where("moved").select(*FILE_KEYS, F.col("doc").alias(doc), F.col("path").alias(path), F.col("vh").alias(vh)).distinct()
-    proof = shared.join(candidates, [*FILE_KEYS])
-    proof = proof.join(values(old, "old_doc", "oh", "old_vh"), [*FILE_KEYS, "old_doc", "oh"], "left").join(values(new, "new_doc", "nh", "new_vh"), [*FILE_KEYS, "new_doc", "nh"], "left")
-    same, differ = F.col("old_vh") == F.col("new_vh"), ~F.col("old_vh").eqNullSafe(F.col("new_vh"))
-    scored = proof.groupBy(*FILE_KEYS, "old_path", "new_path").agg(F.count_if(same).alias("same"), F.count_if(differ).alias("differ"), F.count_distinct("old_vh").alias("kinds_seen"))
+    pairs = pairs.withColumns({"votes": F.size(F.array_intersect("stable_a", "stable_b")), "both": F.size(F.array_intersect("ph_a", "ph_b"))}).where("votes >= 2 and votes >= 0.9 * both")
+    best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "old_id", "new_id"))
+    # read three times below
+    shared = cut_lineage(pairs.select(*FILE_KEYS, "old_id", "new_id", "votes", "moved_a", "moved_b").withColumn("a", best("old_id")).withColumn("b", best("new_id")).where("a = 1 and b = 1").select(*FILE_KEYS, "moved_a", "moved_b"))
+
+    same = F.flatten(F.transform("moved_a", lambda x: F.transform(F.filter("moved_b", lambda y: y["v"] == x["v"]), lambda y: F.struct(x["p"].alias("oh"), y["p"].alias("nh"), x["v"].alias("v")))))
+    agreed = shared.select(*FILE_KEYS, F.explode(same).alias("s")).groupBy(*FILE_KEYS, "s.oh", "s.nh", "s.v").agg(F.count("*").alias("n"))
+    agreed = agreed.groupBy(*FILE_KEYS, "oh", "nh").agg(F.sum("n").alias("same"), F.count("*").alias("kinds_seen"))
+    count = lambda column, name: shared.select(*FILE_KEYS, F.explode(column).alias("m")).groupBy(*FILE_KEYS, F.col("m.p").alias(name)).agg(F.count("*").alias(f"n_{name}"))
+    # all documents that have either field agree on both
+    proven = agreed.join(count("moved_a", "oh"), [*FILE_KEYS, "oh"]).join(count("moved_b", "nh"), [*FILE_KEYS, "nh"]).where("same = n_oh and same = n_nh")
+    path = lambda name, hashed: changes.select(*FILE_KEYS, F.col("path").alias(name), F.xxhash64("path").alias(hashed))
+    scored = proven.join(path("old_path", "oh"), [*FILE_KEYS, "oh"]).join(path("new_path", "nh"), [*FILE_KEYS, "nh"])
     leaf = lambda c: F.lower(F.regexp_replace(F.element_at(F.split(c, r"\."), -1), "[_-]", ""))
     near = F.levenshtein(leaf(F.col("old_path")), leaf(F.col("new_path")))
     order = [F.desc("kinds_seen"), F.desc("same"), near.asc(), "old_path", "new_path"]
     rank = lambda key: F.row_number().over(Window.partitionBy(*FILE_KEYS, key).orderBy(*order))
-    ok = scored.where("differ = 0 and same > 0").withColumn("a", rank("old_path")).withColumn("b", rank("new_path"))
+    ok = scored.withColumn("a", rank("old_path")).withColumn("b", rank("new_path"))
     return ok.where("a = 1 and b = 1").select(*FILE_KEYS, "old_path", "new_path")
 
 
 def schema_changes(raw: DataFrame) -> DataFrame:
     """file_id, feed, file_seq, change_kind (added, removed, renamed, type_changed), old_path, new_path, old_kinds, new_kinds: every file against the file before it of its feed."""
-    leaves = document_leaves(raw)
+    docs = cut_lineage(parsed_documents(raw))
     # small tables of schema changes that the steps below read many times
-    changes = cut_lineage(_changes(raw, leaves))
-    renames = cut_lineage(_renames(leaves, changes))
+    changes = cut_lineage(_changes(raw, fused_schemas(docs)))
+    renames = cut_lineage(_renames(docs, changes))
     kinds: Column = F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").otherwise("type_changed")
     join = lambda c: F.array_join(c, "|")
     plain = changes.join(renames.select(*FILE_KEYS, F.explode(F.array("old_path", "new_path")).alias("path")), [*FILE_KEYS, "path"], "left_anti")
@@ -213,7 +310,8 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
 def field_alternatives(raw: DataFrame) -> DataFrame:
     """feed, path, kind, docs, first_seq, last_seq: the tagged union of all files, one row per alternative of a path."""
-    by_kind = document_leaves(raw).groupBy(*FILE_KEYS, "path", "kind").agg(F.count("*").alias("n"))
+    need = raw.select("feed", F.col("file_seq").cast("int"), F.col("payload").cast("string")).where("payload is not null")
+    by_kind = need.mapInArrow(_count_batches, "feed string, file_seq int, path string, kind string, n bigint")
     return by_kind.groupBy("feed", "path", "kind").agg(F.sum("n").alias("docs"), F.min("file_seq").alias("first_seq"), F.max("file_seq").alias("last_seq"))
 
 
@@ -244,16 +342,18 @@ def unified_table(raw: DataFrame) -> DataFrame:
     are one row, other values on the same line or where keys are null are rows of their own. An object without any value ('{}', nulls only)
     is a row without fields. Where feed or file_seq is null no rename is known, so fields keep their own names. The driver only learns the names and types of fields, at most MAX_FIELDS, however many feeds and files there are.
     """
-    leaves = document_leaves(raw)
-    schemas = cut_lineage(fused_schemas(leaves))
-    names = canonical_names(schemas, cut_lineage(_renames(leaves, cut_lineage(_changes(raw, leaves)))))
+    docs = cut_lineage(parsed_documents(raw))
+    schemas = cut_lineage(fused_schemas(docs))
+    names = canonical_names(schemas, cut_lineage(_renames(docs, cut_lineage(_changes(raw, schemas)))))
     # null keys meet no name: such fields keep their own
     name = F.coalesce("name", "path").alias("name")
     alternatives = schemas.join(names, [*FILE_KEYS, "path"], "left").select(name, F.explode("kinds").alias("kind")).groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     kinds = {r["name"]: r["kinds"] for r in alternatives.limit(MAX_FIELDS + 1).collect()}
     if len(kinds) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields: keys of objects look like data; use field_alternatives")
-    leaves = _typed_leaves(raw).join(names, [*FILE_KEYS, "path"], "left").withColumn("name", name)
+    leaves = _typed_leaves(raw).withColumn("salt", F.pmod("doc", F.lit(_SALTS)).cast("int"))
+    spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    leaves = leaves.join(spread, [*FILE_KEYS, "path", "salt"], "left").withColumn("name", name)
     leaf = F.when(F.col("path").isNotNull(), F.struct("name", (F.col("path") != F.col("name")).alias("old"), F.struct("kind", "value").alias("v")))
     docs = leaves.groupBy("file_id", "line_no", *FILE_KEYS, "doc").agg(F.array_sort(F.collect_list(leaf)).alias("all"), F.max("doc_type").alias("doc_type"))
     # a document can hold a field under its old and its last name; the last one holds
