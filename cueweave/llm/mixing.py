@@ -33,7 +33,7 @@ def _hash(seed: int) -> Column:
 
 
 def _budgets(sized: DataFrame, targets: DataFrame) -> list[dict]:
-    """Per targeted source: available tokens, share among those available, budget, whole repeats and remainder."""
+    """Per targeted source: available tokens, share among those available, budget, whole repeats and remainder, and whether it is the one that bounds the mix."""
     own = targets.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("repeats"))
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     rows = [r.asDict() for r in own.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()]
@@ -44,6 +44,7 @@ def _budgets(sized: DataFrame, targets: DataFrame) -> list[dict]:
     # the largest mix that every source can serve
     total = min((r["tokens"] * r["repeats"] * whole / r["share"] for r in able), default=0.0)
     for r in rows:
+        r["binding"] = bool(r["tokens"]) and r["tokens"] * r["repeats"] * whole / r["share"] == total
         r["tokens"], r["docs"] = r["tokens"] or 0, r["docs"] or 0
         r["adjusted"] = r["share"] / whole if r in able else 0.0
         r["budget"] = int(total * r["adjusted"] + 1e-6)
@@ -85,8 +86,8 @@ def choose(sized: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFra
     names = [r["source"] for r in budgets]
     hashed = sized.where(F.col("source").isin(names) if names else F.lit(False)).withColumn("h", _hash(seed))
     below = _thresholds(hashed, budgets)
-    rows = [(r["source"], r["share"], r["adjusted"], r["repeats"], r["tokens"], r["docs"], r["budget"], r["full"], below.get(r["source"], 0)) for r in budgets]
-    plan = spark.createDataFrame(rows, "source string, target_share double, adjusted_share double, max_repeats int, available_tokens bigint, available_docs bigint, budget bigint, full int, below bigint")
+    rows = [(r["source"], r["share"], r["adjusted"], r["repeats"], r["tokens"], r["docs"], r["budget"], r["binding"], r["full"], below.get(r["source"], 0)) for r in budgets]
+    plan = spark.createDataFrame(rows, "source string, target_share double, adjusted_share double, max_repeats int, available_tokens bigint, available_docs bigint, budget bigint, binding boolean, full int, below bigint")
     own = hashed.join(F.broadcast(plan.select("source", "full", "below")), "source")
     repeats = (F.col("full") + (F.col("h") < F.col("below")).cast("int")).cast("int")
     chosen = own.withColumn("repeats", repeats).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")

@@ -115,9 +115,11 @@ PIECES = T.StructType([T.StructField("record_kind", T.StringType()), T.StructFie
 def oversized_pieces(records: DataFrame, limits: DataFrame) -> DataFrame:
     """record_kind, media_id, record_idx, piece, piece_start, piece_end, piece_text of every row over its limit.
 
-    Only rows over the limit leave the JVM. limits has one row per record kind, which bounds the broadcast; of repeated
-    kinds the smallest limit holds.
+    Only rows over the limit leave the JVM. Repeated deliveries are told by the digest of their text, so that the text is
+    no key of the one shuffle. limits has one row per record kind; Spark broadcasts it if it is as small as it should be; of
+    repeated kinds the smallest limit holds.
     """
     own = limits.where("max_chars >= 1").groupBy("record_kind").agg(F.min("max_chars").cast("int").alias("max_chars"), F.min("overlap_chars").cast("int").alias("overlap_chars"))
-    over = records.select("record_kind", "media_id", "record_idx", "text").join(F.broadcast(own), "record_kind").where(F.length("text") > F.col("max_chars"))
-    return over.distinct().mapInArrow(_cut, PIECES)
+    over = records.select("record_kind", "media_id", "record_idx", "text").join(own, "record_kind").where(F.length("text") > F.col("max_chars"))
+    once = over.withColumn("digest", F.md5("text")).dropDuplicates(["record_kind", "media_id", "record_idx", "digest"]).drop("digest")
+    return once.mapInArrow(_cut, PIECES)

@@ -204,11 +204,9 @@ def _bounded(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Itera
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids of every document. No shuffle but that of `spread` on inputs with fewer splits than cores."""
-    path = path or vocabulary_path()
-
+    """doc_id, ids of every document. The vocabulary file is looked up where the task runs. No shuffle but that of `spread` on inputs with fewer splits than cores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path or vocabulary_path())
         for batch in batches:
             for part in _bounded(batch, "text"):
                 ids = encoder.ids(part.column("text").to_pylist())
@@ -219,10 +217,8 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, tokens of every document."""
-    path = path or vocabulary_path()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path or vocabulary_path())
         for batch in batches:
             for part in _bounded(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(encoder.sizes(part.column("text").to_pylist()), pa.int64())], names=["doc_id", "source", "tokens"])
