@@ -95,34 +95,55 @@ def with_running_sum(df: DataFrame, order: str, column: str, name: str, bucket:
     return d.join(total, ["media_id", "_bucket"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_bucket")
 
 
-#: Rows of one media item that begin within so many milliseconds are put in order together; islands are found over these stretches.
+#: Rows of one media item that begin within so many milliseconds are put in order together; islands and numbers are found over these stretches.
 STRETCH_MS = 3_600_000
 
 
-def with_islands(df: DataFrame, order: list[str], reach: Column, cut: Callable[[Column, Column], Column], carry: tuple[str, ...] = ()) -> DataFrame:
-    """df with `island`: the start of the first row of its island, where no fold need look from one island into another.
+def with_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row in its media item, from 0, in the order given (which begins with start_ms): counted within stretches, to which the counts of the stretches before are added."""
+    d = df.withColumn("_stretch", F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint"))
+    own = F.row_number().over(Window.partitionBy("media_id", "_stretch").orderBy(*order))
+    across = Window.partitionBy("media_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    count = d.groupBy("media_id", "_stretch").agg(F.count("*").alias("_n")).select("media_id", "_stretch", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_n"))
+    return d.withColumn("_own", own - 1).join(count, ["media_id", "_stretch"]).withColumn(name, (F.col("_own") + F.col("_n")).cast("bigint")).drop("_own", "_n", "_stretch")
+
+
+def with_islands(df: DataFrame, order: list[str], reach: Column, cut: Callable[[Column, Column], Column], carry: tuple[str, ...] = (), stretch: int | None = None, lookahead: bool = False) -> DataFrame:
+    """df with `island`: the first order column of the first row of its island, where no fold need look from one island into another.
 
     cut(seen, before) says whether a row begins an island: seen is the greatest reach of all rows before it in the item, in
-    the order given (which begins with start_ms), before a struct of the columns to carry of the row just before. Both run
-    over stretches of an item and are carried over their edges by a summary of one row a stretch, so that an item with a
-    third of all rows spreads over many tasks. Two islands that begin at the same time count as one, which no fold minds.
+    the order given, before a struct of the columns to carry of the row just before. Both run over stretches of an item (of
+    the first order column; milliseconds, STRETCH_MS, by default) and are carried over their edges by a summary of one row a
+    stretch, so that an item with a third of all rows spreads over many tasks. Two islands that begin at the same place count
+    as one, which no fold minds. With lookahead, the first row of an island also stands at the end of the one before, marked
+    in a column `ahead`.
     """
-    stretch = F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint")
+    first = order[0]
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).alias("one"))
     inside = Window.partitionBy("media_id", "_stretch").orderBy(*order)
     across = Window.partitionBy("media_id").orderBy("_stretch")
-    d = df.withColumn("_stretch", stretch).withColumn("_reach", reach)
-    d = d.withColumns({"_seen": F.max("_reach").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_before": F.lag(carried).over(inside)})
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumn("_stretch", F.floor(F.col(first) / (stretch or STRETCH_MS)).cast("bigint")).withColumn("_reach", reach)
+    d = d.withColumns({"_seen": F.max("_reach").over(earlier), "_before": F.lag(carried).over(inside)})
     edge = d.groupBy("media_id", "_stretch").agg(F.max("_reach").alias("_r"), F.max_by(carried, F.struct(*order)).alias("_b"))
     edge = edge.select("media_id", "_stretch", F.max("_r").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_r"), F.lag("_b").over(across).alias("_b"))
     d = d.join(edge, ["media_id", "_stretch"])
     seen = F.greatest("_seen", "_r")
-    head = F.when(seen.isNull() | F.coalesce(cut(seen, F.coalesce("_before", "_b")), F.lit(False)), F.col("start_ms"))
+    head = F.when(seen.isNull() | F.coalesce(cut(seen, F.coalesce("_before", "_b")), F.lit(False)), F.col(first))
     d = d.drop("_reach").withColumn("_head", head).drop("_seen", "_before", "_r", "_b")
-    d = d.withColumn("_own", F.max("_head").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_own", F.max("_head").over(earlier))
     last = d.groupBy("media_id", "_stretch").agg(F.max("_head").alias("_h"))
     last = last.select("media_id", "_stretch", F.max("_h").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_h"))
-    return d.join(last, ["media_id", "_stretch"]).withColumn("island", F.coalesce("_own", "_h")).drop("_own", "_h", "_head", "_stretch")
+    d = d.join(last, ["media_id", "_stretch"])
+    prior = F.coalesce("_own", "_h")
+    own = F.coalesce("_head", prior)
+    if lookahead:
+        twice = F.col("_head").isNotNull() & prior.isNotNull() & (prior < own)
+        here = F.struct(own.alias("island"), F.lit(False).alias("ahead"))
+        d = d.withColumn("_x", F.explode(F.when(twice, F.array(here, F.struct(prior.alias("island"), F.lit(True).alias("ahead")))).otherwise(F.array(here)))).withColumns({"island": F.col("_x.island"), "ahead": F.col("_x.ahead")}).drop("_x")
+    else:
+        d = d.withColumn("island", own)
+    return d.drop("_own", "_h", "_head", "_stretch")
 
 
 Kernel = Callable[[Iterator[tuple]], Iterator[tuple]]

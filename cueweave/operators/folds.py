@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import kernels as K
-from .base import STRETCH_MS, fold, with_islands, with_running_sum
+from .base import BUCKET, STRETCH_MS, fold, with_islands, with_number, with_running_sum
 from .quality import Profile, summary
 from .words import punct_split
 
@@ -51,22 +51,30 @@ def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, profile: Prof
     """media_id, cue_index, start_ms, end_ms, text: cues sorted by time and numbered anew, fixed in items that break a rule; the passes are chained in one stream."""
     ranked, bad = _ranked_bad(cues, profile)
     limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
-    fixed = fold(bad, ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE)
+    fixed = fold(_far_apart(bad, passes, profile), ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE, island=True).drop("island")
     return ranked.join(bad.select("media_id").distinct(), "media_id", "left_anti").unionByName(fixed)
 
 
 def _ranked_bad(cues: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """Cues numbered by time, and those of items that break a rule."""
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy(*_SORTED))
-    ranked = _cues(cues).withColumn("n", (number - 1).cast("bigint")).drop("cue_index").withColumnRenamed("n", "cue_index").select("media_id", "cue_index", "start_ms", "end_ms", "text")
+    ranked = with_number(_cues(cues), _SORTED, "n").drop("cue_index").withColumnRenamed("n", "cue_index").select("media_id", "cue_index", "start_ms", "end_ms", "text")
     return ranked, ranked.join(summary(ranked, profile).where("not ok").select("media_id"), "media_id", "left_semi")
 
 
+def _far_apart(cues: DataFrame, passes: int, profile: Profile) -> DataFrame:
+    """Islands of the fix loop. In a pass, two steps give a cue at most the time it needs, behind or before it; what lies farther apart than all steps together can reach never meets."""
+    chars = X.reading_chars(F.col("text"))
+    need = F.greatest(F.ceil(chars / profile.max_cps * 1000.0) if profile.max_cps > 0 else F.lit(0), F.lit(max(profile.min_dur_ms, 1))).cast("bigint")
+    steps = 2 * passes * (need + 1)
+    reach = F.greatest("start_ms", "end_ms") + steps + abs(profile.max_overlap_ms) + 1
+    return with_islands(cues, _SORTED, reach, lambda seen, _: F.col("start_ms") - steps > seen)
+
+
 def fix_actions(cues: DataFrame, passes: int = 3, profile: Profile = Profile()) -> DataFrame:
     """media_id, pass, step, name, cue_index, start_before, end_before, start_after, end_after, text_before, text_after, delta_ms, note: every action of `fix_loop`, one row each."""
     limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
     schema = "pass int, step int, name string, cue_index bigint, start_before bigint, end_before bigint, start_after bigint, end_after bigint, text_before string, text_after string, delta_ms bigint, note string"
-    return fold(_ranked_bad(cues, profile)[1], ["cue_index"], partial(K.fix_actions, passes=passes, **limits), schema)
+    return fold(_far_apart(_ranked_bad(cues, profile)[1], passes, profile), ["cue_index"], partial(K.fix_actions, passes=passes, **limits), schema, island=True).drop("island")
 
 
 def subtitle_fixes(cues: DataFrame, **limits: float | None) -> DataFrame:
@@ -97,16 +105,18 @@ def wrap_two_lines(cues: DataFrame, width: int = 42) -> DataFrame:
     return d.select("media_id", "cue_index", F.col("best.a").alias("line_1"), F.col("best.b").alias("line_2"))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame, size: int) -> DataFrame:
     """seg_no over the whole item of rows that are numbered within their island: the rows of all islands before are added."""
     count = df.groupBy("media_id", "island").agg(F.count("*").alias("n"))
-    before = with_running_sum(count, "island", "n", "seen", STRETCH_MS).select("media_id", "island", "seen")
+    before = with_running_sum(count, "island", "n", "seen", size).select("media_id", "island", "seen")
     return df.join(before, ["media_id", "island"]).withColumn("seg_no", F.col("seg_no") + F.col("seen")).drop("island", "seen")
 
 
 def rule_segments(words: DataFrame, **limits: int) -> DataFrame:
-    """Words to segments by soft and hard limits, marks and pauses."""
-    return fold(words.select("media_id", "word_idx", "start_ms", "end_ms", "word"), ["word_idx"], partial(K.rule_segments, **limits), _NEW)
+    """Words to segments by soft and hard limits, marks and pauses. A word that begins more than the hard limit behind all before it begins a segment; the one before looks at it, no other does."""
+    rows = words.select("media_id", "word_idx", "start_ms", "end_ms", "word")
+    islands = with_islands(rows, ["word_idx"], F.greatest("start_ms", "end_ms"), lambda seen, _: F.least("start_ms", "end_ms") - seen > limits.get("hard", 15_000), stretch=BUCKET, lookahead=True)
+    return _numbered(fold(islands.select(*rows.columns, "ahead", "island"), ["word_idx"], partial(K.rule_segments, **limits), _NEW, island=True), 16 * BUCKET)
 
 
 def window_segments(words: DataFrame, cutter: K.Cutter = K.no_cuts, keep_tail: bool = False) -> DataFrame:
@@ -138,7 +148,7 @@ def greedy_units(words: DataFrame, **limits: int) -> DataFrame:
     order = ["start_ms", "end_ms", "word_idx"]
     rows = words.select("media_id", "word_idx", "start_ms", "end_ms", "word")
     islands = with_islands(rows, order, F.greatest("start_ms", "end_ms"), lambda seen, _: F.least("start_ms", "end_ms") - seen > limits.get("hard", 15_000))
-    return _numbered(fold(islands, order, partial(K.greedy_units, **limits), _NEW, island=True))
+    return _numbered(fold(islands, order, partial(K.greedy_units, **limits), _NEW, island=True), STRETCH_MS)
 
 
 def _apart(segments: DataFrame) -> DataFrame:

@@ -21,11 +21,21 @@ def nearest_to_one(vectors: DataFrame, query: list[float], k: int = 6) -> DataFr
     return vectors.select("vec_id", squared_distance(F.col("embedding"), target).alias("score")).orderBy("score", "vec_id").limit(k)
 
 
+def _blocks(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of each list of (vec_id, embedding), read from the buffers."""
+    offsets, rows = column.offsets.to_numpy(), column.values
+    ids, vectors = rows.field("vec_id").to_numpy(zero_copy_only=False), rows.field("embedding")
+    at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        yield ids[a:b], flat[at[a] : at[b]].reshape(b - a, -1).astype(np.float64)
+
+
 def nearest_to_each(vectors: DataFrame, every: int = 50, k: int = 6, block: int = 2048) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest of every vector whose id is divisible by `every`, against all rows, itself left out.
+    """query_id, vec_id, score, rank: exactly the k nearest of every vector whose id is divisible by `every`, against all rows, itself left out.
 
     Queries come in blocks; each block meets each slice of vectors once, as matrices, and only k rows per query and task are shuffled.
     """
+    vectors = vectors.where("embedding is not null")
     rows = max(1, vectors.count())
     query_blocks, slices = -(-rows // (every * block)), -(-rows // (8 * block))
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
@@ -39,11 +49,7 @@ def nearest_to_each(vectors: DataFrame, every: int = 50, k: int = 6, block: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qs, vs in zip(batch.column("qs"), batch.column("vs")):
-                qi = np.array([x["vec_id"].as_py() for x in qs])
-                q = np.array([x["embedding"].as_py() for x in qs], np.float64)
-                vi = np.array([x["vec_id"].as_py() for x in vs])
-                v = np.array([x["embedding"].as_py() for x in vs], np.float64)
+            for (qi, q), (vi, v) in zip(_blocks(batch.column("qs")), _blocks(batch.column("vs"))):
                 d = (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None]
                 d[qi[:, None] == vi[None]] = np.inf
                 n = min(k, d.shape[1])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.base import with_number
 
 #: Fixed value: the line of times; what follows them behind a blank is ignored. White space and digits are those of Unicode.
 TIMECODE = r"(?U)^\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})(?:\s.*)?$"
@@ -18,12 +19,9 @@ _INDEX = r"(?U)^[^\S\n]*\d+[^\S\n]*"
 
 def render(cues: DataFrame) -> DataFrame:
     """media_id, number, block of each cue (media_id, cue_index, start_ms, end_ms, text), numbered from 1 by start, end and index; a blank text has no line."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "end_ms", "cue_index"))
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+$", "")
     times = F.concat(X.timecode(F.col("start_ms")), F.lit(" --> "), X.timecode(F.col("end_ms")))
-    d = cues.withColumn("number", number.cast("bigint"))
+    d = with_number(cues, ["start_ms", "end_ms", "cue_index"], "number").withColumn("number", F.col("number") + 1)
     return d.select("media_id", "number", F.concat(F.col("number").cast("string"), F.lit("\n"), times, F.when(X.strip(body) != "", F.concat(F.lit("\n"), body)).otherwise("")).alias("block"))
 
 
