@@ -412,3 +412,77 @@ f(media_id, seg_idx, lines, rest) AS (SELECT media_id, seg_idx, CAST([] AS VARCH
 g AS (SELECT media_id, seg_idx, list_filter(list_append(lines, {_STRIP % 'rest'}), lambda x: x <> '') AS ls FROM f WHERE length(rest) <= 18),
 h AS (SELECT media_id, seg_idx, CASE WHEN len(ls) > 1 AND length(ls[-1]) = 1 THEN list_append(ls[1:len(ls) - 2], ls[-2] || ls[-1]) ELSE ls END AS ls FROM g)
 SELECT media_id, seg_idx, CASE WHEN t.zh = '' THEN t.text WHEN len(ls) > 2 THEN ls[1] || chr(10) || array_to_string(ls[2:], '') ELSE array_to_string(ls, chr(10)) END AS text FROM h JOIN t USING (media_id, seg_idx)"""
+
+
+_LEADING = r"[，。、！？!?；;：:）)\]】》」』”’…]"
+
+
+def _zh_lines(src: str, name: str) -> str:
+    """Lines (text, ls) of the distinct texts of src, as Chinese text is wrapped at 18: one step cuts one line off."""
+    return f"""{name}f(text, lines, rest) AS (SELECT DISTINCT text, CAST([] AS VARCHAR[]), {_STRIP % f"({_ZH % 'text'})"} FROM {src}
+ UNION ALL SELECT text, list_append(lines, {_STRIP % 'rest[1:cut]'}), rest[cut + 1:] FROM (
+  SELECT *, coalesce({_break('。！？!?；;…')}, {_break('，、,:：')}, CASE WHEN contains('，。、！？!?；;：:）)]】》」』”’…', rest[19]) THEN 17 ELSE 18 END) AS cut FROM {name}f WHERE length(rest) > 18)),
+{name} AS (SELECT text, CASE WHEN len(ls) > 1 AND length(ls[-1]) = 1 THEN list_append(ls[1:len(ls) - 2], ls[-2] || ls[-1]) ELSE ls END AS ls FROM (SELECT text, list_filter(list_append(lines, {_STRIP % 'rest'}), lambda x: x <> '') AS ls FROM {name}f WHERE length(rest) <= 18))"""
+
+
+def _added(src: str, name: str) -> str:
+    """(id, out) of src (id, items): items one after the other, closing marks at the head of one going to the one before."""
+    return f"""{name}f(id, items, i, out) AS (SELECT id, items, 0, CAST([] AS VARCHAR[]) FROM {src}
+ UNION ALL SELECT id, items, i + 1, CASE WHEN p = '' THEN out WHEN len(out) = 0 THEN [p] ELSE list_concat(list_append(out[1:len(out) - 1], out[-1] || regexp_replace(head, '{WS}+', '', 'g')), CASE WHEN more = '' THEN CAST([] AS VARCHAR[]) ELSE [more] END) END FROM (
+  SELECT *, {_STRIP % 'p[length(head) + 1:]'} AS more FROM (SELECT *, regexp_extract(p, '^(?:{_LEADING}{WS}*)+') AS head FROM (SELECT *, {_STRIP % 'items[i + 1]'} AS p FROM {name}f WHERE i < len(items))))),
+{name} AS (SELECT id, out FROM {name}f WHERE i = len(items))"""
+
+
+def _packed(src: str, name: str, cap: int) -> str:
+    """(id, out) of the distinct texts of src: tokens packed up to cap characters, longer ones cut; id is the text."""
+    return f"""{name}t AS (SELECT DISTINCT text, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]+|[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?|[^\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]') AS toks FROM {src}),
+{name}p(text, toks, i, done, piece) AS (SELECT text, toks, 0, CAST([] AS VARCHAR[]), '' FROM {name}t
+ UNION ALL SELECT text, toks, i + 1, CASE WHEN length(t) > {cap} THEN list_concat(list_append(done, piece), list_transform(range(0, length(t), {cap}), lambda k: t[k + 1:k + {cap}])) WHEN length(piece) + length(t) <= {cap} THEN done ELSE list_append(done, piece) END,
+  CASE WHEN length(t) > {cap} THEN '' WHEN length(piece) + length(t) <= {cap} THEN piece || t ELSE t END FROM (SELECT *, toks[i + 1] AS t FROM {name}p WHERE i < len(toks))),
+{name}s AS (SELECT text AS id, list_append(done, piece) AS items FROM {name}p WHERE i = len(toks)), {_added(f'{name}s', name)}"""
+
+
+_WRAPPED_ZH = "CASE WHEN len({x}) > 2 THEN {x}[1] || chr(10) || array_to_string({x}[2:], '') ELSE array_to_string({x}, chr(10)) END"
+ORACLES["zh_layout_split"] = f"""WITH RECURSIVE {SEGMENTS},
+sn AS (SELECT media_id, seg_idx, k, {_ZH % "x"} AS text FROM (SELECT media_id, seg_idx, k, all_x[k + 1] AS x FROM (SELECT *, unnest(range(len(all_x))) AS k FROM (SELECT media_id, seg_idx, regexp_extract_all({_ZH % 'text'}, '[^。！？!?；;…]*[。！？!?；;…]|[^。！？!?；;…]+$') AS all_x FROM s WHERE {_STRIP % 'text'} <> '')))),
+la AS (SELECT text FROM sn WHERE text <> '' AND length(text) <= 36), {_zh_lines('la', 'lb')},
+whole AS (SELECT text FROM lb WHERE len(ls) <= 2), big AS (SELECT DISTINCT text FROM sn WHERE text NOT IN (SELECT text FROM whole)), {_packed('big', 'pa', 36)},
+pieces AS (SELECT id, k, out[k + 1] AS text FROM (SELECT *, unnest(range(len(out))) AS k FROM pa)), {_zh_lines('pieces', 'lc')},
+wide AS (SELECT text FROM lc WHERE len(ls) > 2), {_packed('wide', 'pb', 18)},
+own AS (SELECT p.id, flatten(list(coalesce(pb.out, [p.text]) ORDER BY p.k)) AS items FROM pieces p LEFT JOIN pb ON pb.id = p.text GROUP BY p.id), {_added('own', 'pc')},
+every AS (SELECT {{'m': media_id, 'i': seg_idx}} AS id, flatten(list(CASE WHEN sn.text IN (SELECT text FROM whole) THEN [sn.text] ELSE coalesce(pc.out, CAST([] AS VARCHAR[])) END ORDER BY k)) AS items FROM sn LEFT JOIN pc ON pc.id = sn.text GROUP BY media_id, seg_idx), {_added('every', 'pd')},
+laid AS (SELECT s.*, coalesce(pd.out, CAST([] AS VARCHAR[])) AS parts FROM s LEFT JOIN pd ON pd.id.m = s.media_id AND pd.id.i = s.seg_idx),
+rows_ AS (SELECT media_id, seg_idx, k AS part, start_ms, end_ms, len(parts) AS n, parts[k + 1] AS text FROM (SELECT *, unnest(range(len(parts))) AS k FROM laid WHERE len(parts) > 1)),
+texts AS (SELECT text FROM rows_ UNION SELECT text FROM laid WHERE len(parts) <= 1), {_zh_lines('texts', 'ld')},
+wt AS (SELECT *, length(regexp_replace(text, '{WS}', '', 'g')) AS own FROM rows_),
+wu AS (SELECT *, CASE WHEN sum(own) OVER seg = 0 THEN 1 ELSE own END AS w FROM wt WINDOW seg AS (PARTITION BY media_id, seg_idx)),
+wv AS (SELECT *, sum(w) OVER (PARTITION BY media_id, seg_idx ORDER BY part) AS upto, sum(w) OVER (PARTITION BY media_id, seg_idx) AS total FROM wu),
+ww AS (SELECT *, part + 1 + greatest(start_ms, max(start_ms + (end_ms - start_ms) * upto // total - part - 1) OVER (PARTITION BY media_id, seg_idx ORDER BY part)) AS edge FROM wv),
+wx AS (SELECT *, coalesce(lag(edge) OVER (PARTITION BY media_id, seg_idx ORDER BY part), start_ms) AS from_ms FROM ww)
+SELECT media_id, seg_idx, part, CAST(CASE WHEN end_ms <= start_ms THEN start_ms + part ELSE from_ms END AS BIGINT) AS start_ms,
+ CAST(CASE WHEN end_ms <= start_ms THEN start_ms + part + 1 WHEN part = n - 1 THEN greatest(end_ms, from_ms + 1) ELSE edge END AS BIGINT) AS end_ms, {_WRAPPED_ZH.format(x='ls')} AS text FROM wx JOIN ld USING (text)
+UNION ALL SELECT media_id, seg_idx, 0, start_ms, end_ms, CASE WHEN {_STRIP % 'text'} = '' THEN text ELSE {_WRAPPED_ZH.format(x='ls')} END FROM laid JOIN ld USING (text) WHERE len(parts) <= 1"""
+
+_SHORT_RULE = ("e - s >= 900", "900", "{b} - {a} < 900")
+_FAST_RULE = (f"NOT (chars > 0 AND e > s AND {_FAST.format(a='s', b='e')})", "ceil(chars / CAST(16 AS DOUBLE) * CAST(1000 AS DOUBLE))", _FAST)
+ORACLES["subtitle_fixes"] = f"""WITH RECURSIVE {CUES}, {_wrapped("c", 42, 2)},
+z AS (SELECT media_id, cue_index, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, cue_index) - 1 AS n, start_ms, end_ms, {_CHARS % 'text'} AS chars FROM c),
+zo AS (SELECT media_id, n, chars, CASE WHEN start_ms < p THEN CASE WHEN p >= end_ms THEN greatest(end_ms - 1, 0) ELSE p END ELSE start_ms END AS start_ms, end_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY n) AS p FROM z)),
+{_stretch_step('zo', 'zd', *_SHORT_RULE)}, {_stretch_step('zd', 'zc', *_FAST_RULE)}
+SELECT z.media_id, z.cue_index, zc.start_ms, zc.end_ms, wr.text FROM zc JOIN z ON z.media_id = zc.media_id AND z.n = zc.n JOIN wr ON wr.media_id = z.media_id AND wr.cue_index = z.cue_index"""
+
+
+def _acted(number: int, *steps: str) -> str:
+    """Items in which a step of a pass has moved a cue."""
+    moved = " UNION ALL ".join(f"SELECT a.media_id FROM {a} a JOIN {b} b ON b.media_id = a.media_id AND b.n = a.n WHERE a.start_ms <> b.start_ms OR a.end_ms <> b.end_ms" for a, b in zip(steps, steps[1:]))
+    return f"SELECT media_id, {number} AS pass FROM ({moved})"
+
+
+ORACLES["fix_loop_report"] = f"""WITH RECURSIVE {_FINAL},
+wrapped_ AS (SELECT c.media_id, 1 AS pass FROM c JOIN wr ON wr.media_id = c.media_id AND wr.cue_index = c.cue_index WHERE c.text <> wr.text),
+acted AS (SELECT media_id, max(pass) AS acted FROM ({_acted(1, 'z', 'ao', 'ac', 'ad')} UNION ALL {_acted(2, 'za', 'bo', 'bc', 'bd')} UNION ALL {_acted(3, 'bd', 'eo', 'ec', 'ed')} UNION ALL SELECT * FROM wrapped_) WHERE media_id IN (SELECT media_id FROM bad) GROUP BY media_id),
+changed AS (SELECT media_id, count(*) AS changed FROM (SELECT media_id, start_ms, end_ms, text FROM fin EXCEPT ALL SELECT media_id, start_ms, end_ms, text FROM c0) GROUP BY media_id),
+old AS (SELECT * FROM (WITH c AS (SELECT * FROM c0), {METRICS} {_SUMMED})), new AS (SELECT * FROM (WITH c AS (SELECT * FROM fin), {METRICS} {_SUMMED}))
+SELECT media_id, old.total_cues AS cues, old.ok AS ok_before, old.major_count AS major_before, new.ok AS ok_after, new.major_count AS major_after, coalesce(changed, 0) AS changed,
+ CASE WHEN old.ok THEN 0 WHEN new.ok THEN coalesce(acted, 0) ELSE least(coalesce(acted, 0) + 1, 3) END AS passes, CASE WHEN old.ok THEN 'ok_before' WHEN new.ok THEN 'ok' WHEN coalesce(acted, 0) < 3 THEN 'no_progress' ELSE 'budget' END AS stop
+FROM old JOIN new USING (media_id) LEFT JOIN changed USING (media_id) LEFT JOIN acted USING (media_id)"""
