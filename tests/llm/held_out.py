@@ -24,7 +24,7 @@ def scores(model, table) -> tuple[Counter, Counter, Counter]:
     return right, want, got
 
 
-def fold(k: int, copies: int = 8) -> tuple[Counter, Counter, Counter]:
+def fold(k: int, copies: int = 16) -> tuple[Counter, Counter, Counter]:
     """The scores of every FOLDS-th pattern, in the order of a fixed shuffle, by a model of the others."""
     from cueweave.llm import pii, pii_labels
 
