@@ -49,8 +49,8 @@ def words_of(segments: DataFrame) -> DataFrame:
     return each.select("media_id", "seg_idx", idx.alias("word_idx"), at(F.col("k")).alias("start_ms"), at(F.col("k") + 1).alias("end_ms"), F.concat(F.when(idx > 0, " ").otherwise(""), "token").alias("word"))
 
 
-def _bucketed(df: DataFrame, order: str, size: int = BUCKET) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / size).cast("bigint"))
+def _bucketed(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_bucket", F.floor(F.col(order) / BUCKET).cast("bigint"))
 
 
 def with_previous(df: DataFrame, order: str, columns: list[str], prefix: str = "prev_", backwards: bool = False) -> DataFrame:
@@ -84,9 +84,9 @@ def with_neighbours(df: DataFrame, order: str, before: list[str], after: list[st
     return d.select(*df.columns, *(F.col(f"_old.{c}").alias(f"prev_{c}") for c in before), *(F.col(f"_new.{c}").alias(f"next_{c}") for c in after))
 
 
-def with_running_sum(df: DataFrame, order: str, column: str, name: str, bucket: int = BUCKET) -> DataFrame:
-    """df with the sum of a column over all rows before of the same media item; in buckets of the order column as `with_previous`."""
-    d = _bucketed(df, order, bucket)
+def with_running_sum(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """df with the sum of a column over all rows before of the same media item; in buckets as `with_previous`."""
+    d = _bucketed(df, order)
     inside = Window.partitionBy("media_id", "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_own", F.coalesce(F.sum(column).over(inside), F.lit(0)))
     total = d.groupBy("media_id", "_bucket").agg(F.sum(column).alias("_total"))
@@ -99,51 +99,47 @@ def with_running_sum(df: DataFrame, order: str, column: str, name: str, bucket:
 STRETCH_MS = 3_600_000
 
 
-def with_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with the place of each row in its media item, from 0, in the order given (which begins with start_ms): counted within stretches, to which the counts of the stretches before are added."""
-    d = df.withColumn("_stretch", F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint"))
+def with_number(df: DataFrame, order: list[str], name: str, size: int = STRETCH_MS) -> DataFrame:
+    """df with the place of each row in its media item, from 0, in the order given: counted within stretches of `size` of the first order column, to which the counts of the stretches before are added."""
+    d = df.withColumn("_stretch", F.floor(F.col(order[0]) / size).cast("bigint"))
     own = F.row_number().over(Window.partitionBy("media_id", "_stretch").orderBy(*order))
     across = Window.partitionBy("media_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     count = d.groupBy("media_id", "_stretch").agg(F.count("*").alias("_n")).select("media_id", "_stretch", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_n"))
     return d.withColumn("_own", own - 1).join(count, ["media_id", "_stretch"]).withColumn(name, (F.col("_own") + F.col("_n")).cast("bigint")).drop("_own", "_n", "_stretch")
 
 
-def with_islands(df: DataFrame, order: list[str], reach: Column, cut: Callable[[Column, Column], Column], carry: tuple[str, ...] = (), stretch: int | None = None, lookahead: bool = False) -> DataFrame:
-    """df with `island`: the first order column of the first row of its island, where no fold need look from one island into another.
+def with_islands(df: DataFrame, order: list[str], reach: Column, cut: Callable[[Column, Column], Column], given: dict[str, Column] | None = None, size: int | None = None, lookahead: bool = False) -> DataFrame:
+    """df with `island`, a number of stretches of a media item that no fold need look across.
 
-    cut(seen, before) says whether a row begins an island: seen is the greatest reach of all rows before it in the item, in
-    the order given, before a struct of the columns to carry of the row just before. Both run over stretches of an item (of
-    the first order column; milliseconds, STRETCH_MS, by default) and are carried over their edges by a summary of one row a
-    stretch, so that an item with a third of all rows spreads over many tasks. Two islands that begin at the same place count
-    as one, which no fold minds. With lookahead, the first row of an island also stands at the end of the one before, marked
-    in a column `ahead`.
+    cut(seen, before) says whether a fold can begin anew at a row: seen is the greatest reach of all rows before it in the
+    item, in the order given, before a struct of the row just before; both it and the row have the columns `given`. An item
+    is parted at the first cut of each stretch of `size` of the first order column (STRETCH_MS by default), so that an item
+    with a third of all rows spreads over many tasks. The cuts are found on narrow rows, within stretches, with what came
+    before carried over their edges by one row a stretch; the rows themselves only meet the small table of cuts. With
+    lookahead, the first row of an island also stands at the end of the one before, marked in a column `ahead`.
     """
-    first = order[0]
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).alias("one"))
-    inside = Window.partitionBy("media_id", "_stretch").orderBy(*order)
-    across = Window.partitionBy("media_id").orderBy("_stretch")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn("_stretch", F.floor(F.col(first) / (stretch or STRETCH_MS)).cast("bigint")).withColumn("_reach", reach)
-    d = d.withColumns({"_seen": F.max("_reach").over(earlier), "_before": F.lag(carried).over(inside)})
-    edge = d.groupBy("media_id", "_stretch").agg(F.max("_reach").alias("_r"), F.max_by(carried, F.struct(*order)).alias("_b"))
-    edge = edge.select("media_id", "_stretch", F.max("_r").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_r"), F.lag("_b").over(across).alias("_b"))
-    d = d.join(edge, ["media_id", "_stretch"])
+    at, place = F.floor(F.col(order[0]) / (size or STRETCH_MS)).cast("bigint"), F.struct(*order)
+    own = given or {"one": F.lit(1)}
+    carried = F.struct(*(F.col(c) for c in own))
+    narrow = df.select("media_id", *order, at.alias("_stretch"), reach.alias("_reach"), *(c.alias(n) for n, c in own.items() if n not in order))
+    keys = ["media_id", "_stretch"]
+    inside, across = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy("media_id").orderBy("_stretch")
+    so_far = across.rowsBetween(Window.unboundedPreceding, -1)
+    edge = narrow.groupBy(*keys).agg(F.max("_reach").alias("_r"), F.max_by(carried, place).alias("_b"))
+    edge = edge.select(*keys, F.max("_r").over(so_far).alias("_r"), F.lag("_b").over(across).alias("_b"))
+    d = narrow.withColumns({"_seen": F.max("_reach").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_before": F.lag(carried).over(inside)}).join(edge, keys)
     seen = F.greatest("_seen", "_r")
-    head = F.when(seen.isNull() | F.coalesce(cut(seen, F.coalesce("_before", "_b")), F.lit(False)), F.col(first))
-    d = d.drop("_reach").withColumn("_head", head).drop("_seen", "_before", "_r", "_b")
-    d = d.withColumn("_own", F.max("_head").over(earlier))
-    last = d.groupBy("media_id", "_stretch").agg(F.max("_head").alias("_h"))
-    last = last.select("media_id", "_stretch", F.max("_h").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_h"))
-    d = d.join(last, ["media_id", "_stretch"])
-    prior = F.coalesce("_own", "_h")
-    own = F.coalesce("_head", prior)
-    if lookahead:
-        twice = F.col("_head").isNotNull() & prior.isNotNull() & (prior < own)
-        here = F.struct(own.alias("island"), F.lit(False).alias("ahead"))
-        d = d.withColumn("_x", F.explode(F.when(twice, F.array(here, F.struct(prior.alias("island"), F.lit(True).alias("ahead")))).otherwise(F.array(here)))).withColumns({"island": F.col("_x.island"), "ahead": F.col("_x.ahead")}).drop("_x")
-    else:
-        d = d.withColumn("island", own)
-    return d.drop("_own", "_h", "_head", "_stretch")
+    new = seen.isNull() | F.coalesce(cut(seen, F.coalesce("_before", "_b")), F.lit(False))
+    cuts = d.groupBy(*keys).agg(F.min(F.when(new, place)).alias("_cut"))
+    cuts = cuts.withColumn("_last", F.max(F.when(F.col("_cut").isNotNull(), F.col("_stretch"))).over(so_far))
+    d = df.withColumn("_stretch", at).join(cuts, keys)
+    here = F.when(place >= F.col("_cut"), F.col("_stretch")).otherwise(F.col("_last"))
+    if not lookahead:
+        return d.withColumn("island", here).drop("_stretch", "_cut", "_last")
+    twice = (place == F.col("_cut")) & F.col("_last").isNotNull()
+    stand = lambda island, ahead: F.struct(island.alias("island"), F.lit(ahead).alias("ahead"))
+    both = F.when(twice, F.array(stand(here, False), stand(F.col("_last"), True))).otherwise(F.array(stand(here, False)))
+    return d.withColumn("_x", F.explode(both)).withColumns({"island": F.col("_x.island"), "ahead": F.col("_x.ahead")}).drop("_x", "_stretch", "_cut", "_last")
 
 
 Kernel = Callable[[Iterator[tuple]], Iterator[tuple]]

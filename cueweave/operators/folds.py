@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.runtime import cut_lineage
 from . import kernels as K
-from .base import BUCKET, STRETCH_MS, fold, with_islands, with_number, with_running_sum
+from .base import BUCKET, fold, with_islands, with_number
 from .quality import Profile, summary
 from .words import punct_split
 
@@ -33,7 +34,7 @@ _SORTED, _BY_TIME = ["start_ms", "end_ms", "cue_index"], ["start_ms", "end_ms",
 def _roomy(cues: DataFrame, need: Column, overlap: int, push: int = 1000) -> DataFrame:
     """Islands of the fixes that give cues time: a cue whose earliest start, had it all the time it may need before it, lies behind the latest end of every cue before it neither pushes nor is pushed."""
     reach = F.greatest(F.col("end_ms"), F.col("start_ms") + push + need) + overlap + 1
-    return with_islands(_cues(cues), _SORTED, reach, lambda seen, _: F.col("start_ms") - need > seen)
+    return with_islands(_cues(cues), _SORTED, reach, lambda seen, _: F.col("start_ms") - F.col("need") > seen, {"need": need})
 
 
 def fix_cps(cues: DataFrame, max_cps: float = 16.0, overlap: int = 0) -> DataFrame:
@@ -51,14 +52,15 @@ def fix_loop(cues: DataFrame, passes: int = 3, texts: bool = True, profile: Prof
     """media_id, cue_index, start_ms, end_ms, text: cues sorted by time and numbered anew, fixed in items that break a rule; the passes are chained in one stream."""
     ranked, bad = _ranked_bad(cues, profile)
     limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
-    fixed = fold(_far_apart(bad, passes, profile), ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE, island=True).drop("island")
-    return ranked.join(bad.select("media_id").distinct(), "media_id", "left_anti").unionByName(fixed)
+    fixed = fold(_far_apart(ranked.join(bad, "media_id", "left_semi"), passes, profile), ["cue_index"], partial(K.fix_loop, passes=passes, texts=texts, **limits), _CUE, island=True).drop("island")
+    return ranked.join(bad, "media_id", "left_anti").unionByName(fixed)
 
 
 def _ranked_bad(cues: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """Cues numbered by time, and those of items that break a rule."""
+    """Cues numbered by time, and the media items that break a rule. Both are kept: the checks, the cuts and the fixes read them."""
     ranked = with_number(_cues(cues), _SORTED, "n").drop("cue_index").withColumnRenamed("n", "cue_index").select("media_id", "cue_index", "start_ms", "end_ms", "text")
-    return ranked, ranked.join(summary(ranked, profile).where("not ok").select("media_id"), "media_id", "left_semi")
+    ranked = cut_lineage(ranked)
+    return ranked, cut_lineage(summary(ranked, profile).where("not ok").select("media_id"))
 
 
 def _far_apart(cues: DataFrame, passes: int, profile: Profile) -> DataFrame:
@@ -67,14 +69,15 @@ def _far_apart(cues: DataFrame, passes: int, profile: Profile) -> DataFrame:
     need = F.greatest(F.ceil(chars / profile.max_cps * 1000.0) if profile.max_cps > 0 else F.lit(0), F.lit(max(profile.min_dur_ms, 1))).cast("bigint")
     steps = 2 * passes * (need + 1)
     reach = F.greatest("start_ms", "end_ms") + steps + abs(profile.max_overlap_ms) + 1
-    return with_islands(cues, _SORTED, reach, lambda seen, _: F.col("start_ms") - steps > seen)
+    return with_islands(cues, _SORTED, reach, lambda seen, _: F.col("start_ms") - F.col("steps") > seen, {"steps": steps})
 
 
 def fix_actions(cues: DataFrame, passes: int = 3, profile: Profile = Profile()) -> DataFrame:
     """media_id, pass, step, name, cue_index, start_before, end_before, start_after, end_after, text_before, text_after, delta_ms, note: every action of `fix_loop`, one row each."""
     limits = dict(max_cps=profile.max_cps, min_ms=profile.min_dur_ms, overlap=profile.max_overlap_ms, width=profile.max_line_len, most=profile.max_lines)
     schema = "pass int, step int, name string, cue_index bigint, start_before bigint, end_before bigint, start_after bigint, end_after bigint, text_before string, text_after string, delta_ms bigint, note string"
-    return fold(_far_apart(_ranked_bad(cues, profile)[1], passes, profile), ["cue_index"], partial(K.fix_actions, passes=passes, **limits), schema, island=True).drop("island")
+    ranked, bad = _ranked_bad(cues, profile)
+    return fold(_far_apart(ranked.join(bad, "media_id", "left_semi"), passes, profile), ["cue_index"], partial(K.fix_actions, passes=passes, **limits), schema, island=True).drop("island")
 
 
 def subtitle_fixes(cues: DataFrame, **limits: float | None) -> DataFrame:
@@ -105,18 +108,20 @@ def wrap_two_lines(cues: DataFrame, width: int = 42) -> DataFrame:
     return d.select("media_id", "cue_index", F.col("best.a").alias("line_1"), F.col("best.b").alias("line_2"))
 
 
-def _numbered(df: DataFrame, size: int) -> DataFrame:
-    """seg_no over the whole item of rows that are numbered within their island: the rows of all islands before are added."""
-    count = df.groupBy("media_id", "island").agg(F.count("*").alias("n"))
-    before = with_running_sum(count, "island", "n", "seen", size).select("media_id", "island", "seen")
-    return df.join(before, ["media_id", "island"]).withColumn("seg_no", F.col("seg_no") + F.col("seen")).drop("island", "seen")
+def _numbered(df: DataFrame) -> DataFrame:
+    """seg_no over the whole item of rows that are numbered within their island: the rows of all islands before are added. The rows come from a fold, so they are kept."""
+    rows = cut_lineage(df)
+    count = rows.groupBy("media_id", "island").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("media_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
+    before = count.select("media_id", "island", F.coalesce(before, F.lit(0)).alias("seen"))
+    return rows.join(before, ["media_id", "island"]).withColumn("seg_no", F.col("seg_no") + F.col("seen")).drop("island", "seen")
 
 
 def rule_segments(words: DataFrame, **limits: int) -> DataFrame:
     """Words to segments by soft and hard limits, marks and pauses. A word that begins more than the hard limit behind all before it begins a segment; the one before looks at it, no other does."""
     rows = words.select("media_id", "word_idx", "start_ms", "end_ms", "word")
-    islands = with_islands(rows, ["word_idx"], F.greatest("start_ms", "end_ms"), lambda seen, _: F.least("start_ms", "end_ms") - seen > limits.get("hard", 15_000), stretch=BUCKET, lookahead=True)
-    return _numbered(fold(islands.select(*rows.columns, "ahead", "island"), ["word_idx"], partial(K.rule_segments, **limits), _NEW, island=True), 16 * BUCKET)
+    islands = with_islands(rows, ["word_idx"], F.greatest("start_ms", "end_ms"), lambda seen, _: F.col("low") - seen > limits.get("hard", 15_000), {"low": F.least("start_ms", "end_ms")}, size=BUCKET, lookahead=True)
+    return _numbered(fold(islands.select(*rows.columns, "ahead", "island"), ["word_idx"], partial(K.rule_segments, **limits), _NEW, island=True))
 
 
 def window_segments(words: DataFrame, cutter: K.Cutter = K.no_cuts, keep_tail: bool = False) -> DataFrame:
@@ -148,12 +153,12 @@ def greedy_units(words: DataFrame, **limits: int) -> DataFrame:
     order = ["start_ms", "end_ms", "word_idx"]
     rows = words.select("media_id", "word_idx", "start_ms", "end_ms", "word")
     islands = with_islands(rows, order, F.greatest("start_ms", "end_ms"), lambda seen, _: F.least("start_ms", "end_ms") - seen > limits.get("hard", 15_000))
-    return _numbered(fold(islands, order, partial(K.greedy_units, **limits), _NEW, island=True), STRETCH_MS)
+    return _numbered(fold(islands, order, partial(K.greedy_units, **limits), _NEW, island=True))
 
 
 def _apart(segments: DataFrame) -> DataFrame:
     """Islands of segments that overlap; a blank segment begins none."""
-    return with_islands(_segments(segments), _BY_TIME, F.col("end_ms"), lambda seen, _: (F.col("start_ms") > seen) & ~X.is_blank(F.col("text")))
+    return with_islands(_segments(segments), _BY_TIME, F.col("end_ms"), lambda seen, _: (F.col("start_ms") > seen) & ~F.col("blank"), {"blank": X.is_blank(F.col("text"))})
 
 
 def one_of_each(segments: DataFrame) -> DataFrame:
@@ -169,9 +174,8 @@ def no_overlap(segments: DataFrame) -> DataFrame:
 def _strong(segments: DataFrame, least_ms: int, min_ms: int = 2500, min_chars: int = 8) -> DataFrame:
     """Islands of merging: a segment that is long enough by itself, behind one that is so too and at least least_ms long, joins nothing before it, whatever that has become."""
     dur = F.col("end_ms") - F.col("start_ms")
-    d = _segments(segments).withColumns({"_strong": (dur >= min_ms) & (F.length(X.strip(F.col("text"))) >= min_chars), "_dur": dur})
-    d = with_islands(d, _BY_TIME, F.col("end_ms"), lambda _, before: F.col("_strong") & before["_strong"] & (before["_dur"] >= least_ms), ("_strong", "_dur"))
-    return d.drop("_strong", "_dur")
+    given = {"strong": (dur >= min_ms) & (F.length(X.strip(F.col("text"))) >= min_chars), "dur": dur}
+    return with_islands(_segments(segments), _BY_TIME, F.col("end_ms"), lambda _, before: F.col("strong") & before["strong"] & (before["dur"] >= least_ms), given)
 
 
 def coalesce(segments: DataFrame, min_ms: int = 2500, min_chars: int = 8, target: int = 7000, hard: int = 15000) -> DataFrame:
@@ -179,7 +183,7 @@ def coalesce(segments: DataFrame, min_ms: int = 2500, min_chars: int = 8, target
     limits = dict(min_ms=min_ms, min_chars=min_chars, target=target, hard=hard)
     # the second fold takes the rows in the order in which the first one gives them
     kernel = lambda rows: ((*s, k) for k, s in enumerate(K.coalesce(rows, **limits)))
-    merged = fold(_strong(segments, -(-target * 6 // 10), min_ms, min_chars), _BY_TIME, kernel, f"{_SEGMENT}, place bigint", island=True)
+    merged = cut_lineage(fold(_strong(segments, -(-target * 6 // 10), min_ms, min_chars), _BY_TIME, kernel, f"{_SEGMENT}, place bigint", island=True))
     return _near_duplicates(merged.withColumnRenamed("island", "part"), ["start_ms", "part", "place"])
 
 
@@ -222,6 +226,5 @@ def layout_zh(segments: DataFrame, width: int = 18, most: int = 2) -> DataFrame:
 def postprocess(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Sentence splitting, then coalescing; seg_idx numbers the pieces of a media item."""
     pieces = punct_split(words, segments)
-    index = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "piece")) - 1
-    ranked = pieces.select("media_id", index.cast("bigint").alias("seg_idx"), "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
+    ranked = with_number(cut_lineage(pieces), ["seg_idx", "piece"], "n", BUCKET).select("media_id", F.col("n").alias("seg_idx"), "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
     return coalesce(ranked)

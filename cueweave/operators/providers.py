@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.runtime import cut_lineage
 from . import folds, quality
+from .base import BUCKET, with_number
 from .words import translate_context
 
 
@@ -137,14 +139,14 @@ class PipelineConfig:
 
 
 def run_pipeline(words: DataFrame, config: PipelineConfig = PipelineConfig(), translator: Callable[[], Translator] = EchoTranslator) -> dict[str, DataFrame]:
-    """words to segments, translations, cues, fixed cues and a summary, all lazy: one action at the sink runs the whole chain."""
+    """words to segments, translations, cues, fixed cues and a summary. What a fold has made is kept in the shared folder, so that nothing runs twice however many of the results are used; the rest is lazy."""
     segments = folds.rule_segments(words, soft=config.soft_ms, hard=config.hard_ms).select("media_id", F.col("seg_no").alias("seg_idx"), "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
-    merged = folds.coalesce(segments)
+    merged = cut_lineage(folds.coalesce(cut_lineage(segments)))
     translated = translate(merged, translator).withColumn("text", X.apply_glossary(F.col("text"), config.glossary))
     if config.target.startswith("zh"):
-        index = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "part")) - 1
-        laid = folds.layout_zh(translated, config.zh_width, config.zh_lines).select("media_id", index.cast("bigint").alias("cue_index"), "start_ms", "end_ms", "text")
+        laid = with_number(folds.layout_zh(translated, config.zh_width, config.zh_lines), ["seg_idx", "part"], "cue_index", BUCKET).select("media_id", "cue_index", "start_ms", "end_ms", "text")
     else:
         laid = translated.select("media_id", F.col("seg_idx").alias("cue_index"), "start_ms", "end_ms", "text")
+    laid = cut_lineage(laid)
     fixed = folds.fix_loop(laid, config.passes, profile=config.profile)
     return {"segments": merged, "translated": translated, "cues": laid, "fixed": fixed, "summary": quality.summary(fixed, config.profile)}

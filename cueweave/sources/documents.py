@@ -26,12 +26,12 @@ def segments_of(transcripts: DataFrame) -> DataFrame:
 
 def words_of(transcripts: DataFrame) -> DataFrame:
     """media_id, word_idx, start_ms, end_ms, word in order of time; blank words are left out."""
-    from pyspark.sql import Window
+    from ..operators.base import with_number
 
     ms = lambda c: F.bround(F.col(c) * 1000).cast("bigint")
     d = transcripts.select("media_id", F.posexplode("words").alias("k", "w")).where("trim(w.word) <> ''")
-    order = Window.partitionBy("media_id").orderBy("w.start", "w.end", "k")
-    return d.select("media_id", (F.row_number().over(order) - 1).cast("bigint").alias("word_idx"), ms("w.start").alias("start_ms"), ms("w.end").alias("end_ms"), F.col("w.word").alias("word"))
+    d = with_number(d.select("media_id", "k", "w.*"), ["start", "end", "k"], "word_idx", 3600)  # an hour, in seconds
+    return d.select("media_id", "word_idx", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "word")
 
 
 def write_transcripts(segments: DataFrame, folder: str, language: str = "unknown") -> None:

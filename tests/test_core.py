@@ -265,7 +265,7 @@ def test_paths_and_hashes(spark):
 
 @pytest.mark.parametrize("name", ["fix_cps", "fix_duration", "one_of_each", "no_overlap", "near_duplicates", "coalesce", "absorb", "greedy_units"])
 def test_folds_over_islands(spark, monkeypatch, name):
-    """A fold over islands of short stretches gives what its kernel gives over the whole item."""
+    """A fold over islands, parted in short stretches, gives what its kernel gives over the whole item."""
     import random
     from functools import partial
 
