@@ -12,33 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import kernels as K
+from .text import TAIL_PUNCT, WS
 
 #: SQL functions of one expression each (temporary, for the session); cw_strip takes ASCII white space.
 EXPRESSIONS = {
     "cw_strip(t STRING) RETURNS STRING": r"regexp_replace(t, '^\\s+|\\s+$', '')",
     "cw_timecode(ms BIGINT) RETURNS STRING": "printf('%02d:%02d:%02d,%03d', greatest(ms, 0) div 3600000, greatest(ms, 0) div 60000 % 60, greatest(ms, 0) div 1000 % 60, greatest(ms, 0) % 1000)",
+    "cw_reading_chars(t STRING) RETURNS BIGINT": f"length(regexp_replace(t, r'{WS}', ''))",
+    "cw_repair_form(t STRING) RETURNS STRING": f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, r'^{WS}+|{WS}+$', ''), r'{WS}*-{WS}*', '-'), r'{WS}+', ' '), r'{TAIL_PUNCT}', ''), r'^{WS}+|{WS}+$', ''))",
     "cw_overlap_ms(a0 BIGINT, a1 BIGINT, b0 BIGINT, b1 BIGINT) RETURNS BIGINT": "greatest(0, least(a1, b1) - greatest(a0, b0))",
 }
 
 
-@F.pandas_udf(T.LongType())
-def reading_chars(t: pd.Series) -> pd.Series:
-    """Characters that are not white space; null stays null."""
-    return t.map(K.spoken_chars, na_action="ignore").astype("Int64")
-
-
 @F.pandas_udf(T.StringType())
 def dedupe_form(t: pd.Series) -> pd.Series:
     """The form in which near duplicates are compared."""
     return t.map(K.dedupe_form, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def repair_form(t: pd.Series) -> pd.Series:
-    """The form in which repair compares texts."""
-    return t.map(K.repair_form, na_action="ignore")
-
-
 @F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; a null is an empty text."""
@@ -67,7 +58,7 @@ def register(spark: SparkSession) -> list[str]:
     for head, body in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
         names.append(head.split("(")[0])
-    for f in (reading_chars, dedupe_form, repair_form, text_similarity, wrap_zh):
+    for f in (dedupe_form, text_similarity, wrap_zh):
         name = f"cw_{f.__name__}"
         spark.udf.register(name, f)
         names.append(name)

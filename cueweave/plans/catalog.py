@@ -307,8 +307,8 @@ def translator_routes(spark: SparkSession, d: str) -> DataFrame:
 
 def kb_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = read_table(spark, d, "embeddings")
-    first = vectors.orderBy("vec_id").select("embedding").first()
-    found = nearest.nearest_to_one(vectors, first[0] if first else [])
+    first = vectors.agg(F.min_by("embedding", "vec_id")).first()[0]
+    found = nearest.nearest_to_one(vectors, first or [])
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -293,3 +293,41 @@ def test_folds_over_islands(spark, monkeypatch, name):
     got = getattr(folds, name)(frame)
     order = ["media_id", "seg_no", "start_ms", "end_ms", "text"] if name == "greedy_units" else got.columns
     assert rows(got.select(*order)) == sorted(want, key=repr)
+
+
+def test_expressions_equal_kernels(spark):
+    """What exists as a Column expression and as a Python kernel is the same."""
+    import random
+
+    from cueweave.functions import text as X
+    from cueweave.functions.sql import register
+    from cueweave.operators import kernels as K
+
+    register(spark)
+    r = random.Random(6)
+    bits = ["yes", "yes", "no", " ", "  ", "\n", "\u00a0", "\u3000", "-", " - ", "。", "！", "，", ",", ".", "灯", "地图", "A", "\ufffd", "long word here ", "…", "12"]
+    rows_ = []
+    for i in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 40))) if i % 3 else " ".join(r.choice(["yes", "no", "lamp"]) for _ in range(r.randint(0, 30)))
+        start = i * 9000
+        rows_.append(("m", i, start, start + r.choice([0, 900, 2000, 6500, 11_000]), text, None))
+    rows_ = [(m, i, s, e, rows_[i - 1][4] if i % 5 == 4 else t, c) for m, i, s, e, t, c in rows_]
+    d = spark.createDataFrame(rows_, "media_id string, seg_idx long, start_ms long, end_ms long, text string, confidence double")
+    t, dur = F.col("text"), F.col("end_ms") - F.col("start_ms")
+    d.createOrReplaceTempView("pairs_of_logic")
+    sql = {x.seg_idx: (x.n, x.f) for x in spark.sql("select seg_idx, cw_reading_chars(text) n, cw_repair_form(text) f from pairs_of_logic").collect()}
+    got = d.select("seg_idx", X.normalize_zh(t).alias("zh"), X.normalize_repair(t).alias("form"), W.stuck(t).alias("stuck"), W.low_info(t, dur).alias("low"), W.suspect(t, dur).alias("suspect"), X.sentence_pieces(t).alias("parts")).collect()
+    shared = {}
+    for x in W.share_time(d).collect():
+        shared.setdefault(x.seg_idx, []).append((x.piece, x.start_ms, x.end_ms))
+    for x in got:
+        _, i, s, e, text, _ = rows_[x.seg_idx]
+        assert x.zh == K.normal_zh(text) and x.form == K.repair_form(text) == sql[i][1] and sql[i][0] == K.spoken_chars(text), repr(text)
+        quiet = (0, s - 60_000, s - 50_000, "", None)
+        reason = "STUCK_OR_INVALID" if x.stuck or "\ufffd" in text else "SHORT_LOW_INFO" if x.low else "SUSPECT" if x.suspect else None
+        assert K.trigger(quiet, (i, s, e, text, None)) == reason, repr(text)
+        parts = list(x.parts)
+        if e - s >= 2 * len(parts) > 0 and all(K.spoken_chars(p) for p in parts):
+            want = [(k, a, b) for k, (a, b) in enumerate(K.share_time(s, e, parts))]
+            if all(b - a > 1 for _, a, b in want):
+                assert sorted(shared[i]) == want, repr(text)
