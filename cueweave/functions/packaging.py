@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,7 +23,9 @@ def ship(spark: SparkSession) -> None:
         staged = Path(folder, "stage", package.name)
         shutil.copytree(package, staged, ignore=shutil.ignore_patterns("__pycache__"))
         archive = shutil.make_archive(os.path.join(folder, package.name), "zip", Path(folder, "stage"))
-        target = os.path.join(tempfile.mkdtemp(prefix="cueweave-py-"), f"{package.name}.zip")
+        home = tempfile.mkdtemp(prefix="cueweave-py-")
+        atexit.register(shutil.rmtree, home, ignore_errors=True)  # executors fetch the archive as long as the driver lives
+        target = os.path.join(home, f"{package.name}.zip")
         shutil.copy(archive, target)
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
