@@ -162,6 +162,24 @@ def transitions(snapshots: DataFrame) -> DataFrame:
     return d.select("job_id", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"), "from_state", F.col("job_state").alias("to_state"), ok.alias("allowed"))
 
 
+# Fixed value: the filter chain that makes speech clearer (rumble and harsh highs cut, loudness evened, mild noise reduction).
+SPEECH_FILTER = "highpass=f=80,lowpass=f=8000,dynaudnorm=f=150:g=15,afftdn=nf=-25"
+AUDIO_MODES = ("none", "speech_filter", "demucs")
+
+
+def audio_steps(path: Column, mode: Column, folder: Column, rate: int = 16_000, model: str = "htdemucs") -> Column:
+    """What has to run so that a media file becomes mono audio for a recogniser: an array of (step, args), in order; args are a command line (extract, filter) or the input, folder and model of a separation. An unknown or null mode is none."""
+    stem = F.concat(folder, F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", ""), F.lit(".audio"))
+    raw, speech, vocals = (F.concat(stem, F.lit(end)) for end in (".wav", ".speech.wav", ".vocals.speech.wav"))
+    lit = lambda *words: [F.lit(w) for w in words]
+    step = lambda name, *args: F.struct(F.lit(name).alias("step"), F.array(*args).alias("args"))
+    extract = lambda out, *extra: step("extract", *lit("ffmpeg", "-y", "-i"), path, *lit("-vn", "-ac", "1", "-ar", str(rate), *extra, "-f", "wav"), out)
+    separated = F.concat(folder, F.lit(f"/{model}/"), F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", ""), F.lit(".audio/vocals.wav"))
+    cleaned = step("filter", *lit("ffmpeg", "-y", "-i"), separated, *lit("-af", SPEECH_FILTER, "-f", "wav"), vocals)
+    several = F.array(extract(raw), step("separate", raw, folder, F.lit(model)), cleaned)
+    return F.when(mode == "speech_filter", F.array(extract(speech, "-af", SPEECH_FILTER))).when(mode == "demucs", several).otherwise(F.array(extract(raw)))
+
+
 def path_allowed(c: Column, roots: list[str]) -> Column:
     """Whether a path is absolute, without empty, dot or parent parts or a NUL, and under one of the roots."""
     under = F.lit(False)

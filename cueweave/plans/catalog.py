@@ -320,6 +320,12 @@ def asr_cache_key(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "media").select("media_id", jobs.asr_cache_key(F.sha1("source_path"), F.lit("small"), F.coalesce("lang", F.lit("auto")), preprocess=F.col("channel_code"), beam_size=F.length("media_id"), vad=F.col("duration_ms") > 600_000).alias("cache_key"))
 
 
+def audio_commands(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.element_at(F.array(*(F.lit(m) for m in jobs.AUDIO_MODES)), (F.pmod(F.length("source_path"), F.lit(3)) + 1).cast("int"))
+    steps = F.posexplode(jobs.audio_steps(F.col("source_path"), mode, F.lit("/work"))).alias("number", "s")
+    return read_table(spark, d, "media").where("source_path is not null").select("media_id", steps).select("media_id", F.col("number").cast("bigint").alias("number"), "s.step", F.array_join("s.args", " ").alias("args"))
+
+
 def job_latest(spark: SparkSession, d: str) -> DataFrame:
     return jobs.latest_states(read_table(spark, d, "job_status"))
 
@@ -382,7 +388,7 @@ QUERIES = {
         p1_found, p1_alternatives, p1_table, p3_found, cue_metrics, pair_metrics, bad_timecode_order, violations, quality_summary, violations_by_type, quality_by_profile, quality_report, fix_overlaps, fix_cps, fix_duration,
         fix_loop_final, fix_loop_times, fix_loop_summary, fix_loop_report, fix_actions, subtitle_fixes, violation_details, transcript_srt, range_words, repair_replayed, wrap_lines, wrap_two_lines, timecode_format, srt_render, srt_roundtrip, bilingual_zip, words_from_text, pause_and_mark_flags, rule_segments, window_segments, greedy_units, segments_from_cuts, time_overlap_dedupe,
         no_overlap_clamp, words_in_segments, segment_word_coverage, coverage_holes, clip_to_range, word_reliability, punct_split, coalesce, coalesce_absorb, alloc_times, dedupe_full, postprocess, repair_candidates, repair_flags, range_replace, risk_flags, glossary_apply,
-        normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
+        normalized_texts, zh_sentence_pieces, zh_layout_split, wrap_zh, zh_naturalize, translate_context, segment_stats, translator_routes, kb_topk, kb_topk_all, asr_cache_key, audio_commands, job_latest, job_status_reconcile, job_transitions, job_specs, quality_counts, path_policy, counters_prometheus, device_decisions,
         newest_candidate, path_helpers, emit_routing,
     )
 }

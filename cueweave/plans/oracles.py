@@ -486,3 +486,7 @@ old AS (SELECT * FROM (WITH c AS (SELECT * FROM c0), {METRICS} {_SUMMED})), new
 SELECT media_id, old.total_cues AS cues, old.ok AS ok_before, old.major_count AS major_before, new.ok AS ok_after, new.major_count AS major_after, coalesce(changed, 0) AS changed,
  CASE WHEN old.ok THEN 0 WHEN new.ok THEN coalesce(acted, 0) ELSE least(coalesce(acted, 0) + 1, 3) END AS passes, CASE WHEN old.ok THEN 'ok_before' WHEN new.ok THEN 'ok' WHEN coalesce(acted, 0) < 3 THEN 'no_progress' ELSE 'budget' END AS stop
 FROM old JOIN new USING (media_id) LEFT JOIN changed USING (media_id) LEFT JOIN acted USING (media_id)"""
+ORACLES["audio_commands"] = """WITH m AS (SELECT media_id, source_path AS p, length(source_path) % 3 AS mode, regexp_replace(regexp_replace(source_path, '^.*/', ''), '\\.[^.]*$', '') AS stem FROM media WHERE source_path IS NOT NULL)
+SELECT media_id, 0 AS number, 'extract' AS step, 'ffmpeg -y -i ' || p || ' -vn -ac 1 -ar 16000 ' || CASE WHEN mode = 1 THEN '-af highpass=f=80,lowpass=f=8000,dynaudnorm=f=150:g=15,afftdn=nf=-25 -f wav /work/' || stem || '.audio.speech.wav' ELSE '-f wav /work/' || stem || '.audio.wav' END AS args FROM m
+UNION ALL SELECT media_id, 1, 'separate', '/work/' || stem || '.audio.wav /work htdemucs' FROM m WHERE mode = 2
+UNION ALL SELECT media_id, 2, 'filter', 'ffmpeg -y -i /work/htdemucs/' || stem || '.audio/vocals.wav -af highpass=f=80,lowpass=f=8000,dynaudnorm=f=150:g=15,afftdn=nf=-25 -f wav /work/' || stem || '.audio.vocals.speech.wav' FROM m WHERE mode = 2"""

@@ -54,6 +54,14 @@ def read_job_documents(spark: SparkSession, root: str, name: str = "spec") -> Da
     return d.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("job_dir"), F.col("value").alias("payload"))
 
 
+def job_directories(spark: SparkSession, root: str) -> DataFrame:
+    """job_dir, has_spec, has_status, has_result of the folders of a job store that have any of the three; only names are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{spec,status,result}.json").option("recursiveFileLookup", "true").load(root).select("path")
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.json$", i)
+    d = files.select(part(1).alias("job_dir"), part(2).alias("name")).groupBy("job_dir")
+    return d.agg(*(F.bool_or(F.col("name") == n).alias(f"has_{n}") for n in ("spec", "status", "result")))
+
+
 def _json(path: str) -> Column:
     return F.get_json_object("payload", f"$.{path}")
 

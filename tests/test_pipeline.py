@@ -191,3 +191,22 @@ def test_translator_modes(spark):
     assert {r[0] for r in d.select(jobs.translator_route(F.col("lang"), "nllb")).collect()} == {"nllb"}
     with pytest.raises(ValueError):
         jobs.translator_route(F.col("lang"), "other")
+
+
+def test_job_directories(spark, tmp_path):
+    from cueweave.sources import documents
+
+    for job, names in (("a", ("spec", "status")), ("b", ("result", "spec", "other"))):
+        (tmp_path / job).mkdir()
+        for name in names:
+            (tmp_path / job / f"{name}.json").write_text("{}")
+    got = {r.job_dir: (r.has_spec, r.has_status, r.has_result) for r in documents.job_directories(spark, str(tmp_path)).collect()}
+    assert got == {"a": (True, True, False), "b": (True, False, True)}
+
+
+def test_audio_steps_of_unknown_modes(spark):
+    from cueweave.operators import jobs
+
+    d = spark.createDataFrame([("/m/x.y.mp4", None), ("x", "other")], "path string, mode string")
+    got = [r[0] for r in d.select(jobs.audio_steps(F.col("path"), F.col("mode"), F.lit("/w"))).collect()]
+    assert [[s.step for s in steps] for steps in got] == [["extract"], ["extract"]] and got[0][0].args[-1] == "/w/x.y.audio.wav"
