@@ -18,8 +18,10 @@ don't occur; people (the crew list) may be empty or have nulls; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -257,7 +259,7 @@ class Tokens:
         found = self.found
         joined = "\x00".join(views)
         tokens = _TOKEN.findall(joined)
-        for token in set(tokens) - found.keys():
+        for token in sorted(set(tokens) - found.keys()):  # sorted, so that sums are the same in every process
             self._add(token)
         kind, length, lead = self.shape[np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens))].T
         start = np.cumsum(length + lead) - length
@@ -545,10 +547,10 @@ def train(people: Sequence[tuple[str | None, str | None]], copies: int = 16, ste
     np.add.at(empirical, (gold[:-1][~last[:-1]], gold[1:][~last[:-1]]), 1)
     one_hot = np.eye(m, dtype=np.float32)[gold]
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, trans)]
+    pool = ThreadPoolExecutor(min(4, os.cpu_count() or 1))  # numpy works without the interpreter's lock; sums are taken in a fixed order
     for step in range(1, steps + 1):
         emission = np.zeros((len(e.kind), m), np.float32)
-        for at, row, number, _, sums, _, _ in tables:
-            own = sums(w[number])[row]
+        for (at, *_), own in zip(tables, pool.map(lambda t: t[4](w[t[2]])[t[1]], tables)):
             if at is None:
                 emission += own
             else:
@@ -556,12 +558,13 @@ def train(people: Sequence[tuple[str | None, str | None]], copies: int = 16, ste
         marginal, seen_pairs = _marginals(emission, packed, trans)
         residual = one_hot - marginal
         grad = -penalty * w
-        for (at, _, _, entry_row, _, by_row, _), features in zip(tables, by_feature):
-            grad += features(by_row(residual if at is None else residual[at])[entry_row])
+        for own in pool.map(lambda t, features: features(t[5](residual if t[0] is None else residual[t[0]])[t[3]]), tables, by_feature):  # noqa: B023
+            grad += own
         for value, g, (m1, m2) in ((w, grad, moments[0]), (trans, empirical - seen_pairs - penalty * trans, moments[1])):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
             value += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8) / (1 + 3 * step / steps)
+    pool.shutdown()
     return Crf(list(index), w.astype(np.float32), trans.astype(np.float32), given, family)
 
 
