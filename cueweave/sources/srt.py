@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.base import with_number
 
-#: Fixed value: the line of times; what follows them behind a blank is ignored. White space and digits are those of Unicode.
-TIMECODE = r"(?U)^\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})(?:\s.*)?$"
+#: Fixed value: the line of times; what follows them behind a blank is ignored. White space and digits are those of Unicode. Hours may exceed two digits, as in what is rendered.
+TIMECODE = r"(?U)^\s*(\d{2,}):(\d{2}):(\d{2}),(\d{3})\s*-->\s*(\d{2,}):(\d{2}):(\d{2}),(\d{3})(?:\s.*)?$"
 _INDEX = r"(?U)^[^\S\n]*\d+[^\S\n]*"
 
 
@@ -41,7 +41,9 @@ def parse(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     rest = F.regexp_replace("block", _INDEX + r"\n", "")
     head, body = F.substring_index(rest, "\n", 1), F.when(rest.contains("\n"), F.regexp_replace(rest, r"^[^\n]*\n", "")).otherwise("")
     part = lambda i: F.regexp_extract(head, TIMECODE, i).try_cast("bigint")
-    ms = lambda i: ((part(i) * 60 + part(i + 1)) * 60 + part(i + 2)) * 1000 + part(i + 3)
+    # hours beyond what a bigint of milliseconds holds are malformed, no error of arithmetic
+    hours = lambda i: F.try_multiply(part(i), F.lit(3_600_000))
+    ms = lambda i: F.try_add(hours(i), (part(i + 1) * 60 + part(i + 2)) * 1000 + part(i + 3))
     d = blocks.select("media_id", F.col("k").cast("bigint").alias("cue_index"), ms(1).alias("start_ms"), ms(5).alias("end_ms"), F.regexp_replace(F.regexp_replace(body, r"(?U)(?:(?:^|\n)[^\S\n]*)+\z", ""), r"^\n+", "").alias("text"), head.alias("head"))
     bad = F.col("start_ms").isNull() | F.col("end_ms").isNull() | (F.col("end_ms") < F.col("start_ms"))
     if mode == "FAILFAST":

@@ -173,6 +173,14 @@ def test_srt_round_trip_and_errors(spark, tmp_path):
         srt.parse(bad).collect()
 
 
+def test_srt_of_more_than_99_hours(spark):
+    c = clean_cues(cues(spark, ("m", 0, 0, 1500, "one", T0), ("m", 1, 359_999_999, 360_000_001, "two", T0), ("m", 2, 4_320_000_000, 4_320_000_500, "three", T0)))
+    want = [("m", 0, 0, 1500, "one"), ("m", 1, 359_999_999, 360_000_001, "two"), ("m", 2, 4_320_000_000, 4_320_000_500, "three")]
+    assert rows(srt.parse(srt.documents(c))) == want
+    endless = spark.createDataFrame([("m", "1\n00:00:00,000 --> 9999999999999:00:00,000\nx"), ("n", f"1\n{'9' * 40}:00:00,000 --> {'9' * 40}:00:01,000\nx")], "media_id string, srt string")
+    assert [r[1:] for r in rows(srt.parse(endless, "PERMISSIVE"))] == [(0, 0, None, "x"), (0, None, None, "x")]
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("　a b ", "￥"), ("", None), (None, ""), ("x" * 100_000, "y")], "t string, u string")
     assert [r[0] for r in d.select(X.strip(F.col("t"))).collect()][:3] == ["a b", "", None]
