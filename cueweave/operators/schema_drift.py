@@ -1,12 +1,12 @@
 """Schemas that drift between the files of a feed (problem 1).
 
 Tagged-union inference: every document yields the set of its leaf paths, each tagged with its JSON type. Tagged paths
-are fused per file, which keeps all alternative types of a path, and the fused schemas of neighbouring files are compared. Renames are proven by values: documents that occur in both files are recognised by leaves that are unique in
-either file, and an old and a new path are one field if all these documents agree on them.
+are fused per file, which keeps all alternative types of a path, and the fused schemas of neighbouring files are compared. Renames are proven by values: documents that occur in both files are recognised by the values that have not
+changed, common ones included, and an old and a new path are one field if all these documents agree on them.
 
 Payloads are parsed once, into one row per document: the hashes of its paths and of its values. A tagged path is spelled
-out once per task and file, so that schemas are read from few rows. What is shuffled for the proof are hashes; no key is
-a file alone.
+out once per task and file, so that schemas are read from few rows. What is shuffled for the proof are hashes. All
+documents of a file meet all of the file before it, in tiles of bounded size; no key is a file alone.
 
 Defined results: null, empty, broken and non-object payloads count for nothing; explicit JSON nulls are absent values;
 repeated lines are one document; an empty table gives an empty result; extra columns are ignored; a path whose types
@@ -15,15 +15,18 @@ are mixed within a file has all of them, joined by "|" in reports.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.runtime import cut_lineage
 
@@ -130,6 +133,27 @@ def _path_hash(path: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_quoted = json.encoder.encode_basestring
+
+
+def _as_sql(value: object) -> str:
+    """A value as the text that documents are put in order by."""
+    if isinstance(value, str):
+        return _quoted(value)
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        try:
+            return repr(float(value))
+        except OverflowError:
+            return str(value)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _mark(leaves: list[tuple[str, str, object]]) -> int:
+    """The first 64 bits of the MD5 of a document's sorted leaves (path, kind, value), in the order of its hexadecimal form."""
+    text = "\x02".join(f"{path}\x01{kind}\x01{_as_sql(value)}" for path, kind, value in leaves)
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8]) - (1 << 63)
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spelled: set[tuple] = set()
     shapes: dict[tuple, list[int]] = {}
@@ -150,15 +174,16 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             paths = shapes.get(own)
             if paths is None:
                 paths = shapes[own] = [_path_hash(p) for p in own]
-            values, new = [], []
+            values, new, typed = [], [], []
             for path, value in leaves:
                 kind = kind_of(value)
+                typed.append((path, kind, value))
                 values.append(_hash64(f"{kind}:{_canonical(value)}"))
                 if (feed, seq, path, kind) not in spelled:
                     spelled.add((feed, seq, path, kind))
                     new.append({"path": _clean(path), "kind": kind})
             rows.append(i)
-            doc.append(_hash64(f"{paths}:{values}"))
+            doc.append(_mark(typed))
             phs.append(paths)
             vhs.append(values)
             fields.append(new or None)
@@ -228,50 +253,158 @@ def _ends() -> Column:
     return F.explode(F.array(F.struct(F.col("file_seq").alias("at"), F.lit(False).alias("old")), F.struct((F.col("file_seq") + 1).alias("at"), F.lit(True).alias("old")))).alias("e")
 
 
-def _roles(changes: DataFrame) -> tuple[DataFrame, int]:
-    """(feed, file_seq, old, changed, only; number of fields) of both sides of each comparison that has removed and added fields: hashes of the paths that differ, and of those that only this side has. Of the size of the schemas."""
+def _roles(docs: DataFrame, changes: DataFrame) -> tuple[DataFrame, int]:
+    """(feed, file_seq, changed, gone, come, old_tiles, new_tiles; number of fields) of each comparison that has removed and added fields: hashes of the paths that differ, of those that only the old or the new file has, and into how many tiles the documents of either file go. Of the size of the schemas."""
     gone, come, path = F.col("new_kinds").isNull(), F.col("old_kinds").isNull(), F.xxhash64("path")
     open_pairs = changes.groupBy(*FILE_KEYS).agg(F.collect_list(path).alias("changed"), F.collect_list(F.when(gone, path)).alias("gone"), F.collect_list(F.when(come, path)).alias("come")).where("size(gone) > 0 and size(come) > 0")
-    side = lambda old, only: F.struct(F.lit(old).alias("old"), F.col(only).alias("only"))
-    roles = cut_lineage(open_pairs.select(*FILE_KEYS, "changed", F.explode(F.array(side(False, "come"), side(True, "gone"))).alias("s")).select(*FILE_KEYS, "s.old", "changed", "s.only"))
+    tiles = docs.groupBy(*FILE_KEYS).agg(F.ceil(F.count("*") / TILE).cast("bigint").alias("new_tiles"))
+    before = tiles.select("feed", (F.col("file_seq") + 1).alias("file_seq"), F.col("new_tiles").alias("old_tiles"))
+    roles = cut_lineage(open_pairs.join(tiles, [*FILE_KEYS]).join(before, [*FILE_KEYS]))
     return roles, roles.agg(F.sum(F.size("changed"))).first()[0] or 0
 
 
-def _renames(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    """feed, file_seq, old_path, new_path proven by the documents of both files.
+#: Documents of either side that meet in one task: a comparison goes in tiles of about so many by so many.
+TILE = 4096
+#: Documents of the old side whose votes are held at once, by all of the new side of a tile.
+_STRIP = 128
+
+_MOVED = T.ArrayType(T.StructType([T.StructField("p", T.LongType()), T.StructField("v", T.LongType())]))
+_BEST = T.StructType([
+    *_LEAVES.fields[:2], T.StructField("old", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("other", T.LongType()), T.StructField("votes", T.IntegerType()),
+    T.StructField("moved_a", _MOVED), T.StructField("moved_b", _MOVED),
+])
+
+
+class _Side:
+    """The documents of one side of a tile, each once and in order: their marks, and the row, path and value of each leaf."""
 
-    Values are counted under the hash of (comparison, path, value), documents are joined under that of (comparison,
-    document); what removed and added fields share is read off each pair of documents, without a join.
+    def __init__(self, pieces: list[tuple[np.ndarray, ...]]) -> None:
+        doc, sizes, path, value = (np.concatenate(x) for x in zip(*pieces))
+        self.doc, first = np.unique(doc, return_index=True)
+        row = np.full(len(doc), -1)
+        row[first] = np.arange(len(first))
+        row = np.repeat(row, sizes)
+        own = row >= 0
+        self.row, self.path, self.value = row[own], path[own], value[own]
+
+    def table(self, paths: np.ndarray, values: np.ndarray, absent: int) -> np.ndarray:
+        """A row per path and a column per document: the number of the value."""
+        own = np.isin(self.path, paths)
+        out = np.full((len(paths), len(self.doc)), absent, np.int32)
+        out[np.searchsorted(paths, self.path[own]), self.row[own]] = np.searchsorted(values, self.value[own])
+        return out
+
+    def moved(self, only: np.ndarray, rows: np.ndarray) -> dict[int, list[dict]]:
+        """The leaves under the given paths, by row."""
+        out: dict[int, list[dict]] = {int(r): [] for r in rows}
+        own = np.isin(self.path, only) & np.isin(self.row, rows)
+        for r, p, v in zip(self.row[own].tolist(), self.path[own].tolist(), self.value[own].tolist()):
+            out[r].append({"p": p, "v": v})
+        return out
+
+
+def _best_of(a: _Side, b: _Side, changed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each document of either side the first of the other side with most votes, and those votes (0: none).
+
+    Votes are the unchanged fields on which two documents agree: at least two, and nine tenths of those that both have.
     """
-    roles, fields = _roles(changes)
+    paths = np.setdiff1d(np.intersect1d(a.path, b.path), changed)
+    values = np.unique(np.concatenate([a.value, b.value]))
+    left, right = a.table(paths, values, -1), b.table(paths, values, -2)
+    shown = (right >= 0).astype(np.float32)
+    to_b, best_a = np.zeros(len(a.doc), np.int64), np.zeros(len(a.doc), np.int32)
+    to_a, best_b = np.zeros(len(b.doc), np.int64), np.zeros(len(b.doc), np.int32)
+    for at in range(0, len(a.doc), _STRIP):
+        strip = left[:, at : at + _STRIP]
+        votes = np.zeros((strip.shape[1], len(b.doc)), np.int32)
+        for x, y in zip(strip, right):
+            votes += x[:, None] == y
+        both = (strip >= 0).astype(np.float32).T @ shown
+        votes[(votes < 2) | (10 * votes < 9 * both)] = 0
+        to_b[at : at + _STRIP], best_a[at : at + _STRIP] = votes.argmax(1), votes.max(1)
+        most = votes.max(0)
+        more = most > best_b
+        to_a[more], best_b[more] = at + votes.argmax(0)[more], most[more]
+    return to_b, best_a, to_a, best_b
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_tiles` in order to the best partner of each document in its tile."""
+    schema = to_arrow_schema(_BEST)
+    held: list[list[tuple[np.ndarray, ...]]] = [[], [], [], []]
+    names: tuple = ()
+    out: list[tuple] = []
+
+    def close() -> None:
+        if not all(held):
+            return
+        (_, _, changed, gone), come = held[0][0], held[1][0][3]
+        a, b = _Side(held[2]), _Side(held[3])
+        to_b, best_a, to_a, best_b = _best_of(a, b, changed)
+        found = np.flatnonzero(best_a)
+        moved_a, moved_b = a.moved(gone, found), b.moved(come, to_b[found])
+        out.extend((*names, True, int(a.doc[i]), int(b.doc[to_b[i]]), int(best_a[i]), moved_a[i], moved_b[int(to_b[i])]) for i in found.tolist())
+        out.extend((*names, False, int(b.doc[j]), int(a.doc[to_a[j]]), int(best_b[j]), None, None) for j in np.flatnonzero(best_b).tolist())
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [() for _ in schema]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile, role, doc = (batch.column(c).to_numpy() for c in ("tile", "role", "doc"))
+        lists = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in (batch.column("phs"), batch.column("vhs"))]
+        edges = np.flatnonzero((np.diff(tile) != 0) | (np.diff(role) != 0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(tile)]):
+            if tile[lo] != now:
+                close()
+                now, held = tile[lo], [[], [], [], []]
+                if len(out) >= 10_000:
+                    yield flush()
+            (p_at, p), (v_at, v) = lists
+            if role[lo] == 0:
+                names = batch.column("feed")[lo].as_py(), batch.column("file_seq")[lo].as_py()
+            held[role[lo]].append((doc[lo:hi], np.diff(p_at[lo : hi + 1]), p[p_at[lo] : p_at[hi]], v[v_at[lo] : v_at[hi]]))
+    close()
+    if out:
+        yield flush()
+
+
+def _tiles(docs: DataFrame, roles: DataFrame, fields: int) -> DataFrame:
+    """tile, role, feed, file_seq, doc, phs, vhs: of each tile of a comparison the paths that differ and those that are gone (role 0) or new (1), with the names of the comparison, and the documents of the old (2) and the new file (3)."""
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    tile = F.xxhash64(*FILE_KEYS, "a", "b").alias("tile")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    each = roles.withColumn("a", number(F.col("old_tiles"))).withColumn("b", number(F.col("new_tiles")))
+    side = lambda role, only: F.struct(F.lit(role).alias("role"), F.col(only).alias("only"))
+    heads = each.withColumn("s", F.explode(F.array(side(0, "gone"), side(1, "come")))).select(tile, "s.role", *FILE_KEYS, F.lit(0).cast("bigint").alias("doc"), F.col("changed").alias("phs"), F.col("s.only").alias("vhs"))
     # a file is the new one of its own comparison and the old one of the next
-    ends = F.explode(F.array(F.struct(F.col("file_seq").alias("at"), F.lit(False).alias("old")), F.struct((F.col("file_seq") + 1).alias("at"), F.lit(True).alias("old")))).alias("e")
-    sides = docs.select("feed", "doc", "phs", "vhs", ends).select("feed", F.col("e.at").alias("file_seq"), "e.old", "doc", "phs", "vhs")
-    sides = _join_small(sides, roles.select(*FILE_KEYS, "old"), [*FILE_KEYS, "old"], fields, "doc").withColumn("id", F.xxhash64(*FILE_KEYS, "doc"))
-
-    of = lambda old: F.when(F.col("old") if old else ~F.col("old"), F.col("id"))
-    votes = sides.select("old", "id", *FILE_KEYS, F.explode(F.arrays_zip("phs", "vhs")).alias("x")).select("old", "id", F.xxhash64(*FILE_KEYS, "x.phs", "x.vhs").alias("v"))
-    votes = votes.groupBy("v").agg(F.min(of(True)).alias("old_id"), F.max(of(True)).alias("o"), F.min(of(False)).alias("new_id"), F.max(of(False)).alias("n"))
-    # documents that share two values that no other has; what a field has changed from or to is shared by none
-    votes = cut_lineage(votes.where("old_id = o and new_id = n").groupBy("old_id", "new_id").agg(F.count("*").alias("votes")).where("votes >= 2").select("old_id", "new_id"))
-    few = votes.count() <= MAX_SENT  # two numbers a row
-    named = lambda old, x: sides.where(F.col("old") if old else ~F.col("old")).select(*(FILE_KEYS if old else ()), F.col("id").alias("old_id" if old else "new_id"), *(F.col(c).alias(c + x) for c in ("phs", "vhs")))
-    chosen = lambda old, x: named(old, x).join(F.broadcast(votes) if few else votes, "old_id" if old else "new_id")
-    pairs = chosen(True, "_a").join(chosen(False, "_b"), ["old_id", "new_id"]).dropDuplicates(["old_id", "new_id"])
-    for old, x in ((True, "_a"), (False, "_b")):
-        own = roles.where(F.col("old") if old else ~F.col("old")).select(*FILE_KEYS, *([F.col("changed")] if old else []), F.col("only").alias("only" + x))
-        pairs = _join_small(pairs, own, list(FILE_KEYS), fields, "old_id")
-        each = F.zip_with("phs" + x, "vhs" + x, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-        pairs = pairs.withColumns({
-            "ph" + x: F.array_except("phs" + x, "changed"),
-            "stable" + x: F.transform(F.filter(each, lambda f: ~F.array_contains("changed", f["p"])), lambda f: F.xxhash64(f["p"], f["v"])),
-            "moved" + x: F.filter(each, lambda f: F.array_contains("only" + x, f["p"])),  # noqa: B023
-        })
-    # a document that occurs in both files agrees in whatever has not changed; others meet in a value by chance
-    pairs = pairs.withColumns({"votes": F.size(F.array_intersect("stable_a", "stable_b")), "both": F.size(F.array_intersect("ph_a", "ph_b"))}).where("votes >= 2 and votes >= 0.9 * both")
-    best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "old_id", "new_id"))
+    sides = docs.select("feed", "doc", "phs", "vhs", _ends()).select("feed", F.col("e.at").alias("file_seq"), "e.old", "doc", "phs", "vhs")
+    sides = _join_small(sides, roles.select(*FILE_KEYS, "old_tiles", "new_tiles"), list(FILE_KEYS), fields, "doc")
+    own, other = F.when(F.col("old"), F.col("old_tiles")).otherwise(F.col("new_tiles")), F.when(F.col("old"), F.col("new_tiles")).otherwise(F.col("old_tiles"))
+    sides = sides.withColumn("own", F.pmod("doc", own)).withColumn("other", number(other))
+    sides = sides.withColumns({"a": F.when(F.col("old"), F.col("own")).otherwise(F.col("other")), "b": F.when(F.col("old"), F.col("other")).otherwise(F.col("own"))})
+    rows = sides.select(tile, F.when(F.col("old"), 2).otherwise(3).alias("role"), none("feed", "string"), none("file_seq", "int"), "doc", "phs", "vhs")
+    return heads.unionByName(rows)
+
+
+def _partners(docs: DataFrame, roles: DataFrame, fields: int) -> DataFrame:
+    """feed, file_seq, moved_a, moved_b: the pairs of documents of both files, each the best partner of the other, with what they have under removed and under added paths. Of equal partners the first by MD5 counts."""
+    best = _tiles(docs, roles, fields).repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(_pair_batches, _BEST)
+    first = F.struct(-F.col("votes"), "other")
+    best = best.groupBy(*FILE_KEYS, "old", "doc").agg(F.min_by(F.struct("other", "moved_a", "moved_b"), first).alias("m"))
+    own, other = F.col("doc"), F.col("m.other")
+    best = best.select(*FILE_KEYS, F.when(F.col("old"), own).otherwise(other).alias("old_doc"), F.when(F.col("old"), other).otherwise(own).alias("new_doc"), "m.moved_a", "m.moved_b")
+    return best.groupBy(*FILE_KEYS, "old_doc", "new_doc").agg(F.count("*").alias("n"), F.max("moved_a").alias("moved_a"), F.max("moved_b").alias("moved_b")).where("n = 2").select(*FILE_KEYS, "moved_a", "moved_b")
+
+
+def _renames(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """feed, file_seq, old_path, new_path proven by the documents of both files; what removed and added fields share is read off each pair of documents, without a join."""
     # read three times below
-    shared = cut_lineage(pairs.select(*FILE_KEYS, "old_id", "new_id", "votes", "moved_a", "moved_b").withColumn("a", best("old_id")).withColumn("b", best("new_id")).where("a = 1 and b = 1").select(*FILE_KEYS, "moved_a", "moved_b"))
+    shared = cut_lineage(_partners(docs, *_roles(docs, changes)))
 
     same = F.flatten(F.transform("moved_a", lambda x: F.transform(F.filter("moved_b", lambda y: y["v"] == x["v"]), lambda y: F.struct(x["p"].alias("oh"), y["p"].alias("nh"), x["v"].alias("v")))))
     agreed = shared.select(*FILE_KEYS, F.explode(same).alias("s")).groupBy(*FILE_KEYS, "s.oh", "s.nh", "s.v").agg(F.count("*").alias("n"))

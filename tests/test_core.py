@@ -160,6 +160,41 @@ def test_schema_values_that_differ_are_no_rename(spark):
     assert got == [("added", "", "new"), ("removed", "old", "")]
 
 
+def _plain_values(seed, feeds=8, docs=14):
+    """Files of documents in which no value is unique: they are known by their combinations only, and many are equally alike."""
+    import random
+
+    rng, out, pick = random.Random(seed), [], lambda n: rng.randrange(n)
+    for f in range(feeds):
+        base = [{"kind": pick(3), "mode": f"m{pick(3)}", "lang": rng.choice(["de", "é", 'a"b', None]), "flag": pick(2) == 0, "n": {"x": rng.choice([1, 1.0, 2.5, 1e20, -3]), "y": pick(3)}, "tags": [pick(2), "t\n"], "name": f"v{pick(6)}", **{f"e{k}": pick(3) for k in range(f)}} for _ in range(docs)]
+        for seq in (0, 1):
+            own = [{**d, "mode": f"m{pick(3)}"} if pick(5) == 0 else dict(d) for d in base if pick(4)]
+            for d in own if seq else ():
+                d["title"] = d.pop("name")
+            out.append((f"f{f}", seq, own))
+    return out
+
+
+def test_schema_renames_of_documents_without_unique_values(spark, tmp_path, monkeypatch):
+    from cueweave.plans import catalog
+    from sqlcheck import agree
+
+    a = [{"job": j, "day": d, "at": t, "old": j * 9 + d * 3 + t} for j in range(3) for d in range(3) for t in range(3)]
+    b = [{"job": x["job"], "day": x["day"], "at": x["at"], "new": x["old"]} for x in a]
+    got = rows(schema_drift.schema_changes(raw(spark, ("f", 0, a), ("f", 1, b))).select("change_kind", "old_path", "new_path"))
+    assert got == [("renamed", "old", "new")]
+    files = str(tmp_path / "raw")
+    raw(spark, *_plain_values(3)).coalesce(1).write.parquet(files)
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "sf/raw_job_docs.parquet")
+    assert agree(spark, str(tmp_path / "sf"), catalog.p1_found, catalog.ORACLES["p1_found"])
+    # the same in tiles of a few documents, and with small tables that aren't broadcast
+    monkeypatch.setattr(schema_drift, "TILE", 5)
+    monkeypatch.setattr(schema_drift, "_STRIP", 3)
+    monkeypatch.setattr(schema_drift, "MAX_SENT", 0)
+    assert agree(spark, str(tmp_path / "sf"), catalog.p1_found, catalog.ORACLES["p1_found"])
+
+
 def test_srt_round_trip_and_errors(spark, tmp_path):
     c = clean_cues(cues(spark, ("m", 0, 0, 1500, "one\ntwo", T0), ("m", 1, 360_000_000, 360_000_001, "", T0)))
     assert "100:00:00,000" in srt.documents(c).first().srt
